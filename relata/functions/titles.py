@@ -15,9 +15,9 @@ def canonical_title(c: Column) -> Column:
 
 
 def canonical_category(c: Column) -> Column:
-    """As a title, but nothing is cut; leading ``category:`` in any case is dropped, repeated ones too; lower case."""
+    """As a title, but nothing is cut; leading ``category:`` in any case is dropped; lower case."""
     spaced = F.lower(F.trim(F.regexp_replace(c, SPACES, " ")))
-    return F.trim(F.regexp_replace(spaced, r"^(?:category ?: ?)+", ""))
+    return F.trim(F.regexp_replace(spaced, r"^category ?: ?", ""))
 
 
 def present(c: Column) -> Column:

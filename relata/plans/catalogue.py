@@ -6,12 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from relata.operators import hierarchy, references
+
 FLAGSHIP = "text_most_similar_topk"
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {
+        "p3_found": references.p3_found,
+        "p3_report": references.p3_report,
+        "p5_found": hierarchy.p5_found,
+        "p5_paths": hierarchy.p5_paths,
+        "p5_descendants": hierarchy.p5_descendants,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return references.SQL | hierarchy.SQL
