@@ -6,12 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from relata.llm import markup
+from relata.llm import distinctive, markup, ranking, topn
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": markup.p1_found}
+    return {
+        "p1_found": markup.p1_found,
+        "p4_found": ranking.p4_found,
+        "p6_found": distinctive.p6_found,
+        "p7_found": topn.p7_found,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return ranking.SQL | topn.SQL

@@ -488,9 +488,9 @@ _MD_LINE = re.compile(
 _REDIRECT = re.compile(r"\A\s*#redirect\b:?", _I)
 
 
-def visible(text: str | None) -> str:
+def visible(text: str | None, formulas: bool = True) -> str:
     """The page's text as a reader sees it: all markup, footnotes, templates, tables and category links gone, code
-    and formulas left in place. '' for NULL."""
+    left in place, and formulas too unless they're unwanted. '' for NULL."""
     if not text or text.isspace():
         return ""
     syntax, rest, marks = _prepared(_REDIRECT.sub("", text))
@@ -504,9 +504,9 @@ def visible(text: str | None) -> str:
         rest = "\n".join(lines)
     elif syntax == "md":
         rest = _MD_LINE.sub(" ", rest)
-    code = [x for x in marks if x[0] == "code"]
-    if code and "\x01" in rest:
-        marks = [("literal" if k == "code" else k, b) for k, b in marks]
+    if "\x01" in rest:
+        shown = {"code": "literal"} if formulas else {"code": "literal", "formula": "code"}
+        marks = [(shown.get(k, k), b) for k, b in marks]
     return inline(rest, syntax, marks)
 
 
