@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from relata.llm import distinctive, markup, ranking, topn
+from relata.llm import distinctive, markup, packing, ranking, tokens, topn
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p4_found": ranking.p4_found,
         "p6_found": distinctive.p6_found,
         "p7_found": topn.p7_found,
+        "p8_ids": tokens.p8_ids,
+        "p8_counts": tokens.p8_counts,
+        "p9_bins": packing.p9_bins,
+        "p9_fill": packing.p9_fill,
     }
 
 
