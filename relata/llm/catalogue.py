@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from relata.llm import distinctive, markup, packing, ranking, tokens, topn
+from relata.llm import distinctive, markup, packing, ranking, setjoin, tokens, topn
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": markup.p1_found,
+        "p2_found": setjoin.p2_found,
         "p4_found": ranking.p4_found,
         "p6_found": distinctive.p6_found,
         "p7_found": topn.p7_found,
@@ -23,4 +24,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return ranking.SQL | topn.SQL
+    return setjoin.SQL | ranking.SQL | topn.SQL
