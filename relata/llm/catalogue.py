@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from relata.llm import distinctive, markup, packing, ranking, setjoin, tokens, topn
+from relata.llm import distinctive, markup, packing, ranking, reading, setjoin, tokens, topn
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -20,6 +20,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p8_counts": tokens.p8_counts,
         "p9_bins": packing.p9_bins,
         "p9_fill": packing.p9_fill,
+        "p10_found": reading.p10_found,
     }
 
 
