@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from relata.operators import hierarchy, references
+from relata.operators import corpus, hierarchy, references
 
 FLAGSHIP = "text_most_similar_topk"
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        **corpus.QUERIES,
         "p3_found": references.p3_found,
         "p3_report": references.p3_report,
         "p5_found": hierarchy.p5_found,
@@ -22,4 +23,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return references.SQL | hierarchy.SQL
+    return corpus.SQL | references.SQL | hierarchy.SQL
