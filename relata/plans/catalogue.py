@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from relata.operators import corpus, hierarchy, references
+from relata.operators import corpus, hierarchy, postings, references
 
 FLAGSHIP = "text_most_similar_topk"
 
@@ -14,6 +14,7 @@ FLAGSHIP = "text_most_similar_topk"
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         **corpus.QUERIES,
+        **postings.QUERIES,
         "p3_found": references.p3_found,
         "p3_report": references.p3_report,
         "p5_found": hierarchy.p5_found,
@@ -23,4 +24,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return corpus.SQL | references.SQL | hierarchy.SQL
+    return corpus.SQL | postings.SQL | references.SQL | hierarchy.SQL
