@@ -149,14 +149,14 @@ def q_text_most_similar_topk(spark, d):
     return top_k(matches(asked, index, stats), K)
 
 
-def _gold_pairs(spark, d):
+def gold_pairs(spark, d):
     return table(spark, d, "gold").where("id1 is not null and id2 is not null").select("id1", "id2").distinct()
 
 
 def q_text_similarity_pairs(spark, d):
     """Text similarity of judged pairs: id1 asks, id2 answers; 0 where they share no selected term."""
     docs, index, stats = _page_index(spark, d)
-    pairs = _gold_pairs(spark, d)
+    pairs = gold_pairs(spark, d)
     here = docs.select("id")
     known = pairs.join(here.withColumnRenamed("id", "id1"), "id1", "left_semi").join(here.withColumnRenamed("id", "id2"), "id2", "left_semi")
     asking = index.join(known.select(F.col("id1").alias("id")).distinct(), "id", "left_semi")

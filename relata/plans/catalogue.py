@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from relata.operators import corpus, hierarchy, postings, references
+from relata.operators import corpus, hierarchy, links, postings, references
 
 FLAGSHIP = "text_most_similar_topk"
 
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         **corpus.QUERIES,
         **postings.QUERIES,
+        **links.QUERIES,
         "p3_found": references.p3_found,
         "p3_report": references.p3_report,
         "p5_found": hierarchy.p5_found,
@@ -24,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return corpus.SQL | postings.SQL | references.SQL | hierarchy.SQL
+    return corpus.SQL | postings.SQL | links.SQL | references.SQL | hierarchy.SQL
