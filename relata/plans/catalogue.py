@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from relata.operators import corpus, hierarchy, links, postings, references
+from relata.operators import corpus, graph, hierarchy, links, matrix, postings, references
 
 FLAGSHIP = "text_most_similar_topk"
 
@@ -16,6 +16,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         **corpus.QUERIES,
         **postings.QUERIES,
         **links.QUERIES,
+        **matrix.QUERIES,
+        **graph.QUERIES,
         "p3_found": references.p3_found,
         "p3_report": references.p3_report,
         "p5_found": hierarchy.p5_found,
@@ -25,4 +27,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return corpus.SQL | postings.SQL | links.SQL | references.SQL | hierarchy.SQL
+    return corpus.SQL | postings.SQL | links.SQL | matrix.SQL | graph.SQL | references.SQL | hierarchy.SQL
