@@ -85,7 +85,7 @@ def _edges(spark, d):
     return edges(table(spark, d, "links"), title_ids(table(spark, d, "pages")))
 
 
-def _n(spark, d):
+def page_count(spark, d):
     return table(spark, d, "pages").select("id").where("id is not null").agg(F.countDistinct("id").alias("n"))
 
 
@@ -126,7 +126,7 @@ def q_inbound_text(spark, d):
 
 def _overlap(spark, d):
     e = _edges(spark, d)
-    return link_overlap(P.gold_pairs(spark, d), e.select(F.col("src").alias("id"), F.col("dst").alias("link")), _n(spark, d))
+    return link_overlap(P.gold_pairs(spark, d), e.select(F.col("src").alias("id"), F.col("dst").alias("link")), page_count(spark, d))
 
 
 def _measure(make):
@@ -136,7 +136,7 @@ def _measure(make):
 def q_link_milne_witten(spark, d):
     e = _edges(spark, d)
     sets = e.select(F.col("dst").alias("id"), F.col("src").alias("link"))
-    return link_overlap(P.gold_pairs(spark, d), sets, _n(spark, d), min_df=3).select("id1", "id2", google(sigmoid=False).alias("score"))
+    return link_overlap(P.gold_pairs(spark, d), sets, page_count(spark, d), min_df=3).select("id1", "id2", google(sigmoid=False).alias("score"))
 
 
 def q_link_most_similar(spark, d):

@@ -166,36 +166,36 @@ def q_text_similarity_pairs(spark, d):
     return known.join(scored, ["id1", "id2"], "left").select("id1", "id2", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
-def _phrases(spark, d):
+def phrases(spark, d):
     gold = table(spark, d, "gold")
     return gold.select(F.explode(F.array("phrase1", "phrase2")).alias("phrase")).where("phrase is not null").distinct()
 
 
-def _phrase_vectors(spark, d, limit):
+def phrase_vectors(spark, d, limit):
     """Records for each phrase, best first: (query_id = the phrase, id, score, rank)."""
     docs, index, stats = _page_index(spark, d)
-    words = _phrases(spark, d).select(F.col("phrase").alias("id"), F.explode(T.ascii_tokens(F.col("phrase"))).alias("term"))
+    words = phrases(spark, d).select(F.col("phrase").alias("id"), F.explode(T.ascii_tokens(F.col("phrase"))).alias("term"))
     asked = words.groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf")).join(stats, "term").withColumnRenamed("id", "query_id")
     return top_k(matches(asked, index, stats), limit)
 
 
 def q_text_phrase_cosine(spark, d):
     pairs = table(spark, d, "gold").where("phrase1 is not null and phrase2 is not null").select(F.col("phrase1").alias("a"), F.col("phrase2").alias("b")).distinct()
-    return vector_cosine(pairs, _phrase_vectors(spark, d, 100_000))
+    return vector_cosine(pairs, phrase_vectors(spark, d, 100_000))
 
 
 def q_esa_concept_vector(spark, d):
-    return prune_tail(_phrase_vectors(spark, d, 5_000)).select("query_id", "id", "rank", "score")
+    return prune_tail(phrase_vectors(spark, d, 5_000)).select("query_id", "id", "rank", "score")
 
 
 def q_esa_phrase_similarity(spark, d):
     pairs = table(spark, d, "gold").where("phrase1 is not null and phrase2 is not null").select(F.col("phrase1").alias("a"), F.col("phrase2").alias("b")).distinct()
-    return vector_cosine(pairs, prune_tail(_phrase_vectors(spark, d, 5_000)))
+    return vector_cosine(pairs, prune_tail(phrase_vectors(spark, d, 5_000)))
 
 
 def q_esa_most_similar(spark, d):
     """Most similar by concept vectors for phrases: the head of the pruned vector."""
-    return prune_tail(_phrase_vectors(spark, d, 5_000)).where(F.col("rank") <= K).select("query_id", "id", "rank", "score")
+    return prune_tail(phrase_vectors(spark, d, 5_000)).where(F.col("rank") <= K).select("query_id", "id", "rank", "score")
 
 
 def q_valid_id_filter(spark, d):

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from relata.operators import corpus, graph, hierarchy, links, matrix, normalize, postings, references
+from relata.operators import concepts, corpus, graph, hierarchy, links, matrix, normalize, postings, references
 
 FLAGSHIP = "text_most_similar_topk"
 
@@ -19,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         **matrix.QUERIES,
         **graph.QUERIES,
         **normalize.QUERIES,
+        **concepts.QUERIES,
         "p3_found": references.p3_found,
         "p3_report": references.p3_report,
         "p5_found": hierarchy.p5_found,
@@ -28,4 +29,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return corpus.SQL | postings.SQL | links.SQL | matrix.SQL | graph.SQL | normalize.SQL | references.SQL | hierarchy.SQL
+    return corpus.SQL | postings.SQL | links.SQL | matrix.SQL | graph.SQL | normalize.SQL | concepts.SQL | references.SQL | hierarchy.SQL
