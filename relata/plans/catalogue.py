@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from relata.operators import concepts, corpus, ensemble, evaluate, graph, hierarchy, links, matrix, normalize, postings, references
+from relata.operators import concepts, corpus, ensemble, evaluate, files, graph, hierarchy, links, matrix, normalize, postings, references
 
 FLAGSHIP = "text_most_similar_topk"
 
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         **concepts.QUERIES,
         **evaluate.QUERIES,
         **ensemble.QUERIES,
+        **files.QUERIES,
         "p3_found": references.p3_found,
         "p3_report": references.p3_report,
         "p5_found": hierarchy.p5_found,
@@ -31,4 +32,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return corpus.SQL | postings.SQL | links.SQL | matrix.SQL | graph.SQL | normalize.SQL | concepts.SQL | evaluate.SQL | ensemble.SQL | references.SQL | hierarchy.SQL
+    return corpus.SQL | postings.SQL | links.SQL | matrix.SQL | graph.SQL | normalize.SQL | concepts.SQL | evaluate.SQL | ensemble.SQL | files.SQL | references.SQL | hierarchy.SQL
