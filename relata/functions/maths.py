@@ -20,7 +20,7 @@ def to_asymptote(x: Column, half_life: float | Column, start: float | Column, en
 def pack(x: Column, low: float = PACKED_MIN, high: float = PACKED_MAX) -> Column:
     """A 16-bit code of x clamped to [low, high]; the fraction is cut, not rounded."""
     clamped = F.least(F.greatest(x.cast("double"), F.lit(low)), F.lit(high))
-    return ((clamped - low) / (high - low) * 65535.0 - 32768.0).cast("smallint")
+    return F.when(x.isNotNull(), ((clamped - low) / (high - low) * 65535.0 - 32768.0).cast("smallint"))
 
 
 def unpack(code: Column, low: float = PACKED_MIN, high: float = PACKED_MAX) -> Column:
@@ -46,7 +46,7 @@ def log_boost(x: Column, logs: int, power: float) -> Column:
 def distance_score(distance: Column, least: Column) -> Column:
     """ln(max(distance, least)) / ln(least); minus infinity for an infinite distance, if least is below 1."""
     value = F.when(distance == float("inf"), F.lit(float("-inf"))).otherwise(F.log(F.greatest(distance, least)) / F.log(least))
-    return F.when(least > 0, value)
+    return F.when((least > 0) & distance.isNotNull(), value)
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -44,7 +44,7 @@ def missing_means(scores: DataFrame) -> DataFrame:
 def to_range(x: Column, low: Column, high: Column, new_low: float, new_high: float, truncate: bool = False) -> Column:
     """Linear onto [new_low, new_high]; NULL where all scores are equal or x is not finite."""
     y = F.when(M.finite(x) & (high > low), new_low + (new_high - new_low) * (x - low) / (high - low))
-    return F.least(F.greatest(y, F.lit(new_low)), F.lit(new_high)) if truncate else y
+    return F.when(y.isNotNull(), F.least(F.greatest(y, F.lit(new_low)), F.lit(new_high))) if truncate else y
 
 
 def from_range(y: Column, low: Column, high: Column, new_low: float, new_high: float) -> Column:
@@ -117,7 +117,7 @@ def smoothed(x: np.ndarray, y: np.ndarray, points: int = 10) -> tuple[np.ndarray
 def local_fit(x: np.ndarray, y: np.ndarray, share: float = 0.3) -> np.ndarray:
     """Locally weighted straight lines at the points themselves, tricube weights over the nearest share of points."""
     n = len(x)
-    k = max(2, min(n, int(np.ceil(share * n))))
+    k = min(n, max(2, int(np.ceil(share * n))))
     out = np.empty(n)
     for i in range(n):
         d = np.abs(x - x[i])
