@@ -200,8 +200,10 @@ def fit_texts(texts: list[str], grades: np.ndarray) -> LevelModel:
 def labelled_sample(documents: DataFrame, labels: DataFrame) -> pd.DataFrame:
     """At most MAX_LABELLED graded texts as (text, grade); of repeated labels the greatest counts."""
     graded = labels.where("doc_id is not null and grade is not null").groupBy("doc_id").agg(F.max("grade").alias("grade"))
-    known = documents.where("text is not null").select("doc_id", "text").join(graded, "doc_id")
-    return known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELLED).select("text", "grade").toPandas()
+    some = graded.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELLED)
+    # At most MAX_LABELLED ids are broadcast, so that no text is shuffled to find the graded ones.
+    known = documents.where("text is not null").select("doc_id", "text").join(F.broadcast(some), "doc_id")
+    return known.orderBy("doc_id").select("text", "grade").toPandas()
 
 
 def train(documents: DataFrame, labels: DataFrame) -> LevelModel:
