@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from relata.functions import text as T
 from relata.operators.corpus import CUR_SQL, current_pages
-from relata.session import table
+from relata.session import reliable, table
 
 SEARCH_STEP = 50  # searches take every record whose id is divisible by this
 K = 10
@@ -116,14 +116,18 @@ def _docs(spark, d):
 
 def _doc_index(spark, d):
     docs = _docs(spark, d)
-    index = postings(docs, T.ascii_tokens(F.col("text")))
+    return _materialized(docs)
+
+
+def _materialized(docs):
+    """(docs, postings, statistics): the postings are written once, as searches read them several times."""
+    index = reliable(postings(docs, T.ascii_tokens(F.col("text"))))
     return docs, index, with_size(term_stats(index), docs)
 
 
 def _page_index(spark, d):
     docs = current_pages(table(spark, d, "pages")).where("text is not null and redirect is null").select("id", "text")
-    index = postings(docs, T.ascii_tokens(F.col("text")))
-    return docs, index, with_size(term_stats(index), docs)
+    return _materialized(docs)
 
 
 def q_doc_count(spark, d):
@@ -131,11 +135,11 @@ def q_doc_count(spark, d):
 
 
 def q_term_doc_freq(spark, d):
-    return term_stats(_doc_index(spark, d)[1])
+    return term_stats(postings(_docs(spark, d), T.ascii_tokens(F.col("text"))))
 
 
 def q_term_freq(spark, d):
-    return _doc_index(spark, d)[1].groupBy("term").agg(F.sum("tf").cast("bigint").alias("total"), F.max("tf").alias("most"))
+    return postings(_docs(spark, d), T.ascii_tokens(F.col("text"))).groupBy("term").agg(F.sum("tf").cast("bigint").alias("total"), F.max("tf").alias("most"))
 
 
 def q_mlt_term_selection(spark, d):
@@ -181,21 +185,21 @@ def phrase_vectors(spark, d, limit):
 
 def q_text_phrase_cosine(spark, d):
     pairs = table(spark, d, "gold").where("phrase1 is not null and phrase2 is not null").select(F.col("phrase1").alias("a"), F.col("phrase2").alias("b")).distinct()
-    return vector_cosine(pairs, phrase_vectors(spark, d, 100_000))
+    return vector_cosine(pairs, reliable(phrase_vectors(spark, d, 100_000)))
 
 
 def q_esa_concept_vector(spark, d):
-    return prune_tail(phrase_vectors(spark, d, 5_000)).select("query_id", "id", "rank", "score")
+    return prune_tail(reliable(phrase_vectors(spark, d, 5_000))).select("query_id", "id", "rank", "score")
 
 
 def q_esa_phrase_similarity(spark, d):
     pairs = table(spark, d, "gold").where("phrase1 is not null and phrase2 is not null").select(F.col("phrase1").alias("a"), F.col("phrase2").alias("b")).distinct()
-    return vector_cosine(pairs, prune_tail(phrase_vectors(spark, d, 5_000)))
+    return vector_cosine(pairs, reliable(prune_tail(reliable(phrase_vectors(spark, d, 5_000)))))
 
 
 def q_esa_most_similar(spark, d):
     """Most similar by concept vectors for phrases: the head of the pruned vector."""
-    return prune_tail(phrase_vectors(spark, d, 5_000)).where(F.col("rank") <= K).select("query_id", "id", "rank", "score")
+    return prune_tail(reliable(phrase_vectors(spark, d, 5_000))).where(F.col("rank") <= K).select("query_id", "id", "rank", "score")
 
 
 def q_valid_id_filter(spark, d):
