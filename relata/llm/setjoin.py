@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from relata.functions.titles import canonical_category, canonical_title, present
@@ -89,8 +89,10 @@ def set_classes(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def _neighbours(trees_of: DataFrame, threshold: float) -> DataFrame:
     """(a, b), a < b: classes that share a prefix in some tree and whose sizes allow the threshold."""
-    counts = trees_of.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    met = trees_of.join(counts, "key").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
+    # One shuffle brings the members of a prefix together; most prefixes have one member and end here. The rest is
+    # written once, as both sides of the comparison read it.
+    together = trees_of.withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("m > 1")
+    met = reliable(together.withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")).drop("m"))
     left = met.select(
         "key", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int").alias("block"), F.col("cls").alias("a"), F.col("n").alias("na")
     )
