@@ -62,7 +62,7 @@ def pieces(items: DataFrame, containers: DataFrame) -> DataFrame:
     sized = containers.where("capacity > 0").select("container", F.col("capacity").cast("int").alias("capacity")).distinct()
     kinds = [(r["container"], r["capacity"]) for r in sized.collect()]
     each = F.explode(F.array(*[F.struct(F.lit(c).alias("container"), F.lit(k).alias("capacity")) for c, k in kinds]))
-    wide = items.select("doc_id", "n_tokens", each.alias("c")).select("doc_id", "n_tokens", "c.*")
+    wide = items.select("doc_id", "n_tokens", each.alias("c")).select("doc_id", "n_tokens", "c.*")  # one row a text and container
     last = F.greatest(F.lit(0), F.ceil(F.col("n_tokens") / F.col("capacity")).cast("int") - 1)
     return wide.select("*", F.explode(F.sequence(F.lit(0), last)).alias("part")).select(
         "container", "capacity", "doc_id", "part", (F.col("part") * F.col("capacity")).alias("start"),
@@ -72,25 +72,30 @@ def pieces(items: DataFrame, containers: DataFrame) -> DataFrame:
 
 def _pack(rows: pd.DataFrame) -> pd.DataFrame:
     rows = rows.sort_values(["doc_id", "part"], kind="stable").reset_index(drop=True)
-    rows["bin"] = first_fit_decreasing(rows["tokens"].tolist(), int(rows["capacity"].iloc[0]))
+    rows["number"] = first_fit_decreasing(rows["tokens"].tolist(), int(rows["capacity"].iloc[0]))
     return rows
 
 
 def pack(parts: DataFrame, n_items: int, group_size: int = GROUP_SIZE) -> DataFrame:
-    """``parts`` with the bin of each: (container, capacity, doc_id, part, start, tokens, grp, bin).
+    """``parts`` with the bin of each: (container, capacity, doc_id, part, start, tokens, bin).
 
-    Parts are spread over random groups by a hash of their text, for each container on its own; (container, grp, bin)
-    names a bin. Groups are of even size whatever the data, as no key but the text's own decides.
+    A part that fills a container is a bin of its own, ``d<doc_id>-<part>``. Of each text at most one part is left, and
+    those are spread over random groups by a hash of their text, for each container on its own; their bins are
+    ``g<group>-<number>``. Groups are of even size whatever the data, as no key but the text's own decides.
     """
     groups = max(1, -(-n_items // group_size))
-    spread = parts.withColumn("grp", F.pmod(F.xxhash64("doc_id", "part", "container"), F.lit(groups)).cast("int"))
-    schema = "container string, capacity int, doc_id bigint, part int, start int, tokens int, grp int, bin int"
-    return spread.groupBy("container", "grp").applyInPandas(_pack, schema)
+    full = parts.where("tokens = capacity").withColumn("bin", F.concat(F.lit("d"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("-"), F.col("part").cast("string")))
+    rest = parts.where("tokens < capacity").withColumn("grp", F.pmod(F.xxhash64("doc_id", "container"), F.lit(groups)).cast("int"))
+    schema = "container string, capacity int, doc_id bigint, part int, start int, tokens int, grp int, number int"
+    placed = rest.groupBy("container", "grp").applyInPandas(_pack, schema)
+    named = placed.withColumn("bin", F.concat(F.lit("g"), F.col("grp").cast("string"), F.lit("-"), F.col("number").cast("string")))
+    columns = ["container", "capacity", "doc_id", "part", "start", "tokens", "bin"]
+    return full.select(*columns).unionByName(named.select(*columns))
 
 
 def waste(packed: DataFrame) -> DataFrame:
     """(container, capacity, bins, parts, tokens, fill): how well each container was used."""
-    bins = packed.groupBy("container", "capacity", "grp", "bin").agg(F.sum("tokens").alias("used"), F.count(F.lit(1)).alias("parts"))
+    bins = packed.groupBy("container", "capacity", "bin").agg(F.sum("tokens").alias("used"), F.count(F.lit(1)).alias("parts"))
     return bins.groupBy("container", "capacity").agg(
         F.count(F.lit(1)).alias("bins"), F.sum("parts").alias("parts"), F.sum("used").alias("tokens"),
         F.round(F.sum("used") / (F.count(F.lit(1)) * F.first("capacity")), 6).alias("fill"),
@@ -105,7 +110,7 @@ def _packed(spark, sf_dir: str, folder: str = FOLDER) -> DataFrame:
 
 def p9_bins(spark, sf_dir: str) -> DataFrame:
     """Where each text, or part of a text, goes. Empty and null texts take no room and go into a first bin."""
-    return _packed(spark, sf_dir).select("container", "grp", "bin", "doc_id", "part", "start", "tokens")
+    return _packed(spark, sf_dir).select("container", "bin", "doc_id", "part", "start", "tokens")
 
 
 def p9_fill(spark, sf_dir: str) -> DataFrame:

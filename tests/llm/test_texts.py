@@ -95,7 +95,7 @@ def test_every_token_is_placed_once(spark):
             assert [s for s, _ in parts] == [i * capacity for i in range(len(parts))]
         fill = {}
         for r in mine:
-            fill[r["grp"], r["bin"]] = fill.get((r["grp"], r["bin"]), 0) + r["tokens"]
+            fill[r["bin"]] = fill.get(r["bin"], 0) + r["tokens"]
         assert max(fill.values()) <= capacity
     w = {r["container"]: r for r in packing.waste(packed).collect()}
     assert w["s"]["tokens"] == sum(sizes.values()) and 0 < w["l"]["fill"] <= 1
