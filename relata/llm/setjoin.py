@@ -23,6 +23,8 @@ TREES = 64
 MAX_DEPTH = 8
 #: Chance to find a pair exactly at the threshold; for more similar pairs it is higher.
 TARGET_RECALL = 0.999
+#: Sets with more values are never held in one row; see similar_records.
+GIANT = 100_000
 #: Classes of one neighbourhood that one task compares with all others of it at a time.
 BLOCK = 512
 
@@ -136,22 +138,52 @@ def similar_pairs(sets: DataFrame, threshold: float, least_size: int = 1) -> Dat
     return across.unionByName(within).select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
 
 
-def value_sets(rows: DataFrame, key: str, value: str) -> DataFrame:
-    """(id, vals): the sorted distinct values of each key; null and blank ones must be gone."""
-    # Repeats are combined before the shuffle, so a key gathers only its distinct values.
-    return rows.select(F.col(key).alias("id"), F.col(value).alias("v")).distinct().groupBy("id").agg(
-        F.array_sort(F.collect_list("v")).alias("vals")
-    )
+def value_sets(values: DataFrame) -> DataFrame:
+    """(id, vals): the sorted distinct values of each id of the distinct (id, v)."""
+    return values.groupBy("id").agg(F.array_sort(F.collect_list("v")).alias("vals"))
+
+
+def giant_pairs(values: DataFrame, sizes: DataFrame, threshold: float, giant: int) -> DataFrame:
+    """(id_a, id_b): the similar pairs of which one set at least has more than ``giant`` values.
+
+    The partner of such a set has more than threshold * giant values, so at most rows / (threshold * giant) sets take
+    part. They are compared exactly by counting shared values, without any set in one row.
+    """
+    large = sizes.where(F.col("n") > threshold * giant)
+    rows = values.join(large, "id")
+    a = rows.select(F.col("id").alias("id_a"), "v", F.col("n").alias("na"))
+    b = rows.select(F.col("id").alias("id_b"), "v", F.col("n").alias("nb"))
+    close = (F.col("id_a") < F.col("id_b")) & (F.greatest("na", "nb") > giant) & (F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(threshold))
+    shared = a.join(b, "v").where(close).groupBy("id_a", "id_b", "na", "nb").agg(F.count(F.lit(1)).alias("both"))
+    return shared.where(F.col("both") >= (F.col("na") + F.col("nb") - F.col("both")) * F.lit(threshold) - F.lit(1e-9)).select("id_a", "id_b")
+
+
+def similar_records(rows: DataFrame, threshold: float, least_size: int = 1, giant: int = GIANT) -> DataFrame:
+    """(id_a, id_b): all pairs of ids whose sets of values are similar, from rows (id, v) with repeats.
+
+    Repeats are combined before the shuffle. Sets of up to ``giant`` values go through the forest; a pair with a larger
+    one, which one row shouldn't hold even if a third of all rows belongs to it, is found exactly by counting. Rows
+    without id or value are left out.
+    """
+    values = rows.select("id", "v").where("id is not null and v is not null").distinct()
+    sizes = values.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    biggest = sizes.agg(F.max("n")).first()[0] or 0
+    if biggest <= giant:
+        return similar_pairs(value_sets(values), threshold, least_size)
+    values = reliable(values)
+    small = values.join(sizes.where(F.col("n") <= giant).select("id"), "id", "left_semi")
+    few = giant_pairs(values, sizes, threshold, giant)
+    return similar_pairs(value_sets(small), threshold, least_size).unionByName(few)
 
 
-def link_sets(spark, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "links").select("src_id", canonical_title(F.col("target_title")).alias("v"))
-    return value_sets(rows.where(present(F.col("v")) & ~F.lower("v").startswith("image:")), "src_id", "v")
+def link_values(spark, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "links").select(F.col("src_id").alias("id"), canonical_title(F.col("target_title")).alias("v"))
+    return rows.where(present(F.col("v")) & ~F.lower("v").startswith("image:"))
 
 
-def category_sets(spark, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "page_cat").select("page_id", canonical_category(F.col("cat")).alias("v"))
-    return value_sets(rows.where(present(F.col("v"))), "page_id", "v")
+def category_values(spark, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "page_cat").select(F.col("page_id").alias("id"), canonical_category(F.col("cat")).alias("v"))
+    return rows.where(present(F.col("v")))
 
 
 THRESHOLD, LEAST_SIZE = 0.6, 4
@@ -159,8 +191,8 @@ THRESHOLD, LEAST_SIZE = 0.6, 4
 
 def p2_found(spark, sf_dir: str) -> DataFrame:
     out = None
-    for fld, sets in (("links", link_sets(spark, sf_dir)), ("cats", category_sets(spark, sf_dir))):
-        part = similar_pairs(sets, THRESHOLD, LEAST_SIZE).select(F.lit(fld).alias("fld"), "id_a", "id_b")
+    for fld, rows in (("links", link_values(spark, sf_dir)), ("cats", category_values(spark, sf_dir))):
+        part = similar_records(rows, THRESHOLD, LEAST_SIZE).select(F.lit(fld).alias("fld"), "id_a", "id_b")
         out = part if out is None else out.unionByName(part)
     return out
 

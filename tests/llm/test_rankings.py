@@ -52,6 +52,17 @@ def test_similar_pairs_of_odd_tables(spark):
     assert [(r["id_a"], r["id_b"]) for r in setjoin.similar_pairs(_frame(spark, sets), 0.6, 1).collect()] == [(2, 3)]
 
 
+def test_giant_sets(spark):
+    rng = random.Random(5)
+    sets = {i: set(rng.sample([f"v{j}" for j in range(40)], rng.choice([5, 12, 25, 30, 36, 39]))) for i in range(1, 41)}
+    rows = spark.createDataFrame([(i, v) for i, s in sets.items() for v in s for _ in range(2)] + [(None, "v"), (3, None)], "id int, v string").withColumn("n", F.lit(1))
+    expected = _brute(sets, 0.6, 4)
+    for giant in (20, 10**6):
+        found = sorted((r["id_a"], r["id_b"]) for r in setjoin.similar_records(rows, 0.6, 4, giant).collect())
+        assert found == sorted(expected)
+    assert setjoin.similar_records(rows.limit(0), 0.6, 4).count() == 0
+
+
 def test_depth_reaches_its_recall():
     for t in (0.4, 0.6, 0.8, 0.95):
         d = setjoin.depth_for(t)
