@@ -20,6 +20,7 @@ from relata.operators.postings import top_k
 from relata.session import reliable, table
 
 DEFAULT_RESULTS = 500
+MAX_PHRASES = 1_000
 
 
 class Measure:
@@ -304,6 +305,21 @@ class Engine:
         rated = m.similarity(ids.where("id_a is not null and id_b is not null").select(F.col("id_a").alias("id1"), F.col("id_b").alias("id2")))
         return ids.join(rated.select(F.col("id1").alias("id_a"), F.col("id2").alias("id_b"), "score"), ["id_a", "id_b"], "left").select("a", "b", "score")
 
+    def phrase_matrix(self, phrases: DataFrame, measure: str) -> DataFrame:
+        """(a, b, score): every phrase of a small list against every other one; NULL where one maps to no page.
+
+        The list is the caller's own, of MAX_PHRASES at most; it is checked, as the result grows with its square.
+        """
+        listed = [r["phrase"] for r in phrases.select("phrase").distinct().limit(MAX_PHRASES + 1).collect()]
+        if len(listed) > MAX_PHRASES:
+            raise ValueError(f"a phrase matrix holds at most {MAX_PHRASES} phrases")
+        top = self.map_phrases(phrases.select("phrase").distinct(), 1).select("phrase", "id")
+        one = self.spark.createDataFrame([(x,) for x in listed], "a string")
+        grid = one.select("a", F.explode(F.array(*[F.lit(x) for x in listed])).alias("b")).where("a <> b")
+        ids = grid.join(top.select(F.col("phrase").alias("a"), F.col("id").alias("id1")), "a", "left").join(top.select(F.col("phrase").alias("b"), F.col("id").alias("id2")), "b", "left")
+        rated = self.measure(measure).similarity(ids.where("id1 is not null and id2 is not null"))
+        return ids.join(rated, ["id1", "id2"], "left").select("a", "b", "score")
+
     def phrase_most_similar(self, phrases: DataFrame, measure: str, k: int | None = None) -> DataFrame:
         """(phrase, id, score, rank) for phrases (phrase): the lists of the page each maps to."""
         top = self.map_phrases(phrases, 1).select("phrase", F.col("id").alias("query_id"))

@@ -164,6 +164,18 @@ def q_category_most_similar(spark, d):
     return most_similar_pages(asked, member, costs, up_distances(up, costs), K).select("query_id", "id", F.round("distance", 6).alias("distance"), "rank")
 
 
+def q_set_operations(spark, d):
+    """Categories of judged pairs: how many they share, have together, and the first has alone."""
+    sets = memberships(table(spark, d, "page_cat")).groupBy("id").agg(F.collect_set("cat").alias("s"))
+    pairs = table(spark, d, "gold").where("id1 is not null and id2 is not null").select("id1", "id2").distinct()
+    a, b = sets.select(F.col("id").alias("id1"), F.col("s").alias("a")), sets.select(F.col("id").alias("id2"), F.col("s").alias("b"))
+    both = pairs.join(a, "id1").join(b, "id2")
+    return both.select(
+        "id1", "id2", F.size(F.array_intersect("a", "b")).alias("shared"), F.size(F.array_union("a", "b")).alias("together"),
+        F.size(F.array_except("a", "b")).alias("first_only"), F.size(F.concat("a", "b")).alias("bag"),
+    )
+
+
 def q_unvisited(spark, d):
     """Categories of pages that no link of the hierarchy names: an anti join."""
     member, up, _ = _graph(spark, d)
@@ -173,6 +185,7 @@ def q_unvisited(spark, d):
 QUERIES = {
     "category_vocabulary": q_category_vocabulary, "category_pagerank_cost": q_category_cost, "category_up_distance": q_category_up_distance,
     "category_similarity": q_category_similarity, "category_most_similar": q_category_most_similar, "unvisited_anti_join": q_unvisited,
+    "set_operations": q_set_operations,
 }
 
 _CAT = "trim(regexp_replace(lower(trim(regexp_replace({0}, '[\\s_\\x{{a0}}]+', ' ', 'g'))), '^category ?: ?', ''))"
@@ -204,5 +217,8 @@ SQL = {
       reached as (select p.id as query_id, m.id, min(p.d + w.down) as distance from pup p join down w using (top) join member m on m.cat = w.cat where p.id % 50 = 0 and m.id <> p.id group by all
         union all select distinct id, id, 0 from member where id % 50 = 0)
       select query_id, id, round(distance, 6) as distance, cast(rn as int) as rank from (select *, row_number() over (partition by query_id order by round(distance, 9), id) as rn from reached) where rn <= 10""",
+    "set_operations": f"""{_GRAPH}, st as (select id, list(cat) as s from member group by 1), pairs as (select distinct id1, id2 from gold where id1 is not null and id2 is not null)
+      select id1, id2, cast(len(list_intersect(a.s, b.s)) as int) as shared, cast(len(list_distinct(list_concat(a.s, b.s))) as int) as together,
+        cast(len(a.s) - len(list_intersect(a.s, b.s)) as int) as first_only, cast(len(a.s) + len(b.s) as int) as bag from pairs join st a on a.id = id1 join st b on b.id = id2""",
     "unvisited_anti_join": f"{_GRAPH} select distinct cat from member where cat not in (select child from up union select parent from up)",
 }

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from relata.functions import maths as M
 from relata.operators.postings import K, SEARCH_STEP, top_k
-from relata.session import table
+from relata.session import reliable, table
 
 RANK_LIMIT = 20
 
@@ -66,6 +66,21 @@ def symmetric_mean(m: DataFrame) -> DataFrame:
     return both.groupBy("row_id", "col_id").agg(F.round(F.sum("value") / 2, 6).alias("value"))
 
 
+def dense_ids(values: DataFrame, column: str, partitions: int | None = None) -> DataFrame:
+    """(column, dense_id): consecutive numbers from 0 for the different values, in their order.
+
+    Values are range-partitioned and numbered within partitions; only the partitions' row counts, one number each, are
+    broadcast to shift them. NULL has no number.
+    """
+    n = partitions or int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    different = values.select(column).where(F.col(column).isNotNull()).distinct()
+    placed = reliable(different.repartitionByRange(n, column).withColumn("_part", F.spark_partition_id()))
+    counts = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_rows"))
+    before = counts.select("_part", (F.sum("_rows").over(Window.orderBy("_part")) - F.col("_rows")).alias("_before"))
+    local = F.row_number().over(Window.partitionBy("_part").orderBy(column)) - 1
+    return placed.withColumn("_local", local).join(F.broadcast(before), "_part").select(column, (F.col("_local") + F.col("_before")).alias("dense_id"))
+
+
 def block(m: DataFrame, ids: DataFrame) -> DataFrame:
     """Cells whose row and column are both in ids (id)."""
     rows = m.join(ids.select(F.col("id").alias("row_id")), "row_id", "left_semi")
@@ -189,6 +204,10 @@ def q_dense_topk(spark, d):
     return dense_cosines(asked, vectors)
 
 
+def q_dense_ids(spark, d):
+    return dense_ids(neighbour_matrix(spark, d), "col_id")
+
+
 def q_dense_norms(spark, d):
     v = _vectors(spark, d)
     return v.select("id", F.round(F.sqrt(M.dot(F.col("v"), F.col("v"))), 5).alias("norm"), F.round(M.dot(F.col("v"), F.col("v"), 8), 5).alias("head"), F.size("v").alias("n_cols"))
@@ -198,7 +217,7 @@ QUERIES = {
     "matrix_transpose": q_matrix_transpose, "matrix_sort": q_matrix_sort, "row_norms": q_row_norms, "column_summary": q_column_summary,
     "matrix_shape": q_matrix_shape, "quantize_roundtrip": q_quantize, "pairwise_cosine_topk": q_pairwise_topk, "pairwise_cosine_pairs": q_pairwise_pairs,
     "symmetric_mean": q_symmetric_mean, "cosim_block": q_cosim_block, "row_lookup": q_row_lookup, "known_most_similar": q_known_topk,
-    "dense_cosine_topk": q_dense_topk, "dense_norms": q_dense_norms,
+    "dense_id_assignment": q_dense_ids, "dense_cosine_topk": q_dense_topk, "dense_norms": q_dense_norms,
 }
 
 
@@ -230,6 +249,7 @@ SQL = {
     "row_lookup": f"{matrix_sql('text')}, {_PAIRS} select * from m where row_id in (select id1 from pairs)",
     "known_most_similar": f"""{matrix_sql('pairwise')} select row_id as query_id, col_id as id, value as score, cast(rn as int) as rank from
       (select *, row_number() over (partition by row_id order by value desc, col_id) as rn from m) where rn <= {RANK_LIMIT}""",
+    "dense_id_assignment": f"{matrix_sql()} select col_id, row_number() over (order by col_id) - 1 as dense_id from (select distinct col_id from m)",
     "dense_cosine_topk": """with s as (select a.vec_id as query_id, b.vec_id as id, round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 6) as score
       from embeddings a join embeddings b on a.vec_id % 50 = 0)
       select query_id, id, score, cast(rn as int) as rank from (select *, row_number() over (partition by query_id order by score desc, id) as rn from s) where rn <= 10""",

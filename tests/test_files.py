@@ -113,6 +113,16 @@ def test_valid_ids_and_cached_lists(spark):
     m.cached = None
 
 
+def test_phrases_to_scores(spark):
+    e = Engine(spark, SMALL)
+    gold = e.table("gold").where("phrase1 is not null and phrase2 is not null").select(F.col("phrase1").alias("a"), F.col("phrase2").alias("b")).distinct()
+    assert e.phrase_similarity(gold, "links").count() == gold.count()
+    some = gold.select(F.col("b").alias("phrase")).limit(4)
+    n = some.distinct().count()
+    assert e.phrase_matrix(some, "links").count() == n * (n - 1)
+    assert set(e.phrase_most_similar(some, "links", 3).columns) == {"phrase", "id", "score", "rank"}
+
+
 def test_stream_counts_equal_batch(spark, tmp_path):
     pages = spark.read.parquet(f"{SMALL}/pages.parquet").select("id", "text", "loaded")
     pages.repartition(3).write.parquet(str(tmp_path / "in"))
