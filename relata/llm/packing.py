@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from relata.llm.tokens import FOLDER, token_counts
-from relata.session import table
+from relata.session import reliable, table
 
 #: Texts packed together. A group of this size leaves almost no room at its end that a larger one would fill, and it
 #: bounds what one task holds, however many texts there are.
@@ -103,9 +103,9 @@ def waste(packed: DataFrame) -> DataFrame:
 
 
 def _packed(spark, sf_dir: str, folder: str = FOLDER) -> DataFrame:
-    documents = table(spark, sf_dir, "documents")
-    parts = pieces(token_counts(documents, folder=folder), table(spark, sf_dir, "containers"))
-    return pack(parts, documents.count())
+    # Two numbers a text, written once: the texts are encoded once, whatever reads the counts.
+    counts = reliable(token_counts(table(spark, sf_dir, "documents"), folder=folder))
+    return pack(pieces(counts, table(spark, sf_dir, "containers")), counts.count())
 
 
 def p9_bins(spark, sf_dir: str) -> DataFrame:
