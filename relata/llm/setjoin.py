@@ -165,12 +165,11 @@ def similar_records(rows: DataFrame, threshold: float, least_size: int = 1, gian
     one, which one row shouldn't hold even if a third of all rows belongs to it, is found exactly by counting. Rows
     without id or value are left out.
     """
-    values = rows.select("id", "v").where("id is not null and v is not null").distinct()
+    values = reliable(rows.select("id", "v").where("id is not null and v is not null").distinct())
     sizes = values.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
     biggest = sizes.agg(F.max("n")).first()[0] or 0
     if biggest <= giant:
         return similar_pairs(value_sets(values), threshold, least_size)
-    values = reliable(values)
     small = values.join(sizes.where(F.col("n") <= giant).select("id"), "id", "left_semi")
     few = giant_pairs(values, sizes, threshold, giant)
     return similar_pairs(value_sets(small), threshold, least_size).unionByName(few)
