@@ -41,13 +41,17 @@ def _coin(name: str, turn: int):
     return F.xxhash64(F.col(name), F.lit(turn)).bitwiseAND(F.lit(1)) == 1
 
 
-def hierarchy(nodes: DataFrame, with_path: bool = False) -> DataFrame:
+def hierarchy(nodes: DataFrame, with_path: bool = False, through_loops: bool = False) -> DataFrame:
     """(node, root, depth[, path]) of each node of ``nodes`` (node, parent), at most one row a node.
 
     depth is the number of links to the root, 0 for the root itself. If the way up ends in a loop, root is the least
     node of that loop, depth is -1 and path is NULL. path lists the nodes from the root to the node itself. An empty
     table gives an empty result.
+
+    With ``through_loops`` there is a path below and inside loops too: the way up is followed once round the loop, so
+    that path starts below the node that would come a second time and holds each node once.
     """
+    with_path = with_path or through_loops
     columns = ["node", "parent", "steps", "least"] + ["via"] * with_path
     active = nodes.select(
         "node", "parent", F.lit(1).cast("bigint").alias("steps"), F.col("node").alias("least"),
@@ -95,7 +99,7 @@ def hierarchy(nodes: DataFrame, with_path: bool = False) -> DataFrame:
         active.select(
             "node", F.when(looped, F.col("least")).otherwise(F.col("node")).alias("root"),
             F.when(looped, F.lit(-1)).otherwise(F.lit(0)).cast("bigint").alias("depth"),
-            *([F.when(~looped, F.array("node")).alias("path")] if with_path else []),
+            *([F.when(F.lit(through_loops) | ~looped, F.array("node")).alias("path")] if with_path else []),
         )
     ]
     for record in reversed(records):
@@ -122,16 +126,23 @@ def hierarchy(nodes: DataFrame, with_path: bool = False) -> DataFrame:
             *([F.concat("up_path", "via", F.array("node")).alias("path")] if with_path else []),
         )
         parts.append(reliable(found))
-    return reduce(DataFrame.unionByName, parts)
+    whole = reduce(DataFrame.unionByName, parts)
+    if not through_loops:
+        return whole
+    # Paths start at the node a loop shrunk to; its other members that don't follow on the way down stand before it.
+    loops = active.where(looped).select(F.col("least").alias("root"), F.concat(F.array("node"), "via").alias("loop"))
+    before = F.when(F.col("depth") < 0, F.array_except("loop", "path")).otherwise(F.array().cast("array<string>"))
+    return whole.join(loops, "root", "left").select("node", "root", "depth", F.concat(before, "path").alias("path"))
 
 
 def descendants(paths: DataFrame) -> DataFrame:
     """(node, descendant, distance): every pair of a node and one below it, from the paths of :func:`hierarchy`.
 
-    Nodes whose way up ends in a loop have no path and take no part.
+    Nodes without a path take no part: those whose way up ends in a loop, unless paths go through loops. Inside a loop
+    each node is then below every other one, at the number of links between them, but not below itself.
     """
-    pairs = paths.where("path is not null").select(F.col("node").alias("descendant"), "depth", F.posexplode("path").alias("at", "node"))
-    return pairs.where(F.col("at") < F.col("depth")).select("node", "descendant", (F.col("depth") - F.col("at")).alias("distance"))
+    pairs = paths.where("path is not null").select(F.col("node").alias("descendant"), (F.size("path") - 1).alias("last"), F.posexplode("path").alias("at", "node"))
+    return pairs.where(F.col("at") < F.col("last")).select("node", "descendant", (F.col("last") - F.col("at")).alias("distance"))
 
 
 def _links(spark, sf_dir: str) -> DataFrame:
@@ -147,7 +158,7 @@ def p5_found(spark, sf_dir: str) -> DataFrame:
 
 
 def p5_paths(spark, sf_dir: str) -> DataFrame:
-    """Path of each category from its root, ' > ' between the names; NULL below loops."""
+    """Path of each category from its root, ' > ' between the names; NULL below loops, as in its SQL."""
     found = hierarchy(_links(spark, sf_dir), with_path=True)
     return found.select(F.col("node").alias("cat"), "root", F.col("depth").cast("int").alias("depth"), F.array_join("path", " > ").alias("path"))
 
@@ -157,6 +168,18 @@ def p5_descendants(spark, sf_dir: str) -> DataFrame:
     return found.select(F.col("node").alias("cat"), "descendant", F.col("distance").cast("int").alias("distance"))
 
 
+def p5_all_paths(spark, sf_dir: str) -> DataFrame:
+    """As p5_paths, with the path once round the loop for categories below and inside loops."""
+    found = hierarchy(_links(spark, sf_dir), through_loops=True)
+    return found.select(F.col("node").alias("cat"), "root", F.col("depth").cast("int").alias("depth"), F.array_join("path", " > ").alias("path"))
+
+
+def p5_all_descendants(spark, sf_dir: str) -> DataFrame:
+    """As p5_descendants, with the pairs below and inside loops."""
+    found = descendants(hierarchy(_links(spark, sf_dir), through_loops=True))
+    return found.select(F.col("node").alias("cat"), "descendant", F.col("distance").cast("int").alias("distance"))
+
+
 _CAT = "trim(regexp_replace(lower(trim(regexp_replace({0}, '[\\s_\\x{{a0}}]+', ' ', 'g'))), '^category ?: ?', ''))"
 _TREE = f"""
 with recursive ends as (select {_CAT.format('child')} as c, {_CAT.format('parent')} as p from cat_parent),
