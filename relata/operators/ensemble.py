@@ -19,6 +19,8 @@ from relata.session import table
 
 #: Judged pairs that a model is fitted on at most.
 MAX_EXAMPLES = 100_000
+#: More than any vocabulary holds: no term is left out.
+ALL_TERMS = 2**31 - 1
 LISTS = ["text", "links", "esa"]
 LIST_SIZE = 500
 MIN_COMPONENTS = 1
@@ -183,34 +185,64 @@ def q_ensemble_merge(spark, d):
     return top_k(merged.select("query_id", "id", F.round((F.col("s") + (len(LISTS) - F.col("n")) * worst) / len(LISTS), 6).alias("score")), K)
 
 
-def q_als(spark, d):
-    """Low-rank factors of the neighbour matrix and the error of their product."""
+def _als(spark, d):
     from pyspark.ml.recommendation import ALS
 
     m = neighbour_matrix(spark, d, "links").select("row_id", "col_id", F.col("value").cast("float").alias("value")).cache()
-    model = ALS(rank=8, maxIter=5, regParam=0.02, userCol="row_id", itemCol="col_id", ratingCol="value", seed=7, coldStartStrategy="drop").fit(m)
+    return m, ALS(rank=8, maxIter=5, regParam=0.02, userCol="row_id", itemCol="col_id", ratingCol="value", seed=7, coldStartStrategy="drop").fit(m)
+
+
+def q_als(spark, d):
+    """Low-rank factors of the neighbour matrix: one vector for each of its rows and each of its columns."""
+    model = _als(spark, d)[1]
+    sides = [f.select(F.lit(side).alias("side"), "id", F.col("features").alias("factors")) for side, f in (("row", model.userFactors), ("col", model.itemFactors))]
+    return sides[0].unionByName(sides[1])
+
+
+def q_als_error(spark, d):
+    """The error of the product of the factors."""
+    m, model = _als(spark, d)
     error = model.transform(m).select(((F.col("prediction") - F.col("value")) ** 2).alias("e"))
     return error.agg(F.count(F.lit(1)).alias("cells"), F.round(F.sqrt(F.avg("e")), 3).alias("rmse"))
 
 
-def q_lda(spark, d):
-    """Topics of the documents' terms and the heaviest terms of each."""
+def _lda(spark, d):
+    """(documents (doc_id, features), fitted terms, fitted topics), over all terms that pass minDF and maxDF.
+
+    The model, of topics times terms, stands on the driver.
+    """
     from pyspark.ml.clustering import LDA
     from pyspark.ml.feature import CountVectorizer
 
     from relata.functions import text as T
 
-    docs = table(spark, d, "documents").where("text is not null").select("doc_id", T.ascii_tokens(F.col("text")).alias("words"))
-    counted = CountVectorizer(inputCol="words", outputCol="features", vocabSize=5_000, minDF=5.0, maxDF=0.5).fit(docs)
-    model = LDA(k=5, maxIter=5, optimizer="online", docConcentration=[0.1], topicConcentration=0.1, seed=7).fit(counted.transform(docs).cache())
-    names = F.array(*[F.lit(w) for w in counted.vocabulary])
-    topics = model.describeTopics(10).select("topic", F.posexplode("termIndices").alias("place", "term"))
-    return topics.select("topic", "place", F.element_at(names, F.col("term") + 1).alias("term"))
+    docs = table(spark, d, "documents").select("doc_id", F.col("text").isNotNull().alias("has"), T.ascii_tokens(F.coalesce("text", F.lit(""))).alias("words"))
+    counter = CountVectorizer(inputCol="words", outputCol="features", vocabSize=ALL_TERMS, minDF=5.0, maxDF=0.5)
+    terms = counter.fit(docs.where("has"))
+    counted = terms.transform(docs).drop("words").cache()
+    return counted, terms, LDA(k=5, maxIter=5, optimizer="online", docConcentration=[0.1], topicConcentration=0.1, seed=7).fit(counted.where("has"))
+
+
+def q_lda(spark, d):
+    """(doc_id, topics): the share of each topic in each document, of sum 1; all 0 for documents without counted terms."""
+    from pyspark.ml.functions import vector_to_array
+
+    counted, _, model = _lda(spark, d)
+    return model.transform(counted).select("doc_id", vector_to_array("topicDistribution").alias("topics"))
+
+
+def q_lda_terms(spark, d):
+    """The heaviest terms of each topic."""
+    _, terms, model = _lda(spark, d)
+    topics = model.describeTopics(10).select("topic", F.posexplode("termIndices").alias("place", "at"))
+    names = spark.createDataFrame(list(enumerate(terms.vocabulary)), "at int, term string")
+    return topics.join(names, "at").select("topic", "place", "term")
 
 
 QUERIES = {
     "ensemble_features": q_ensemble_features, "ols_two_measures": q_ols_two, "ols_linear_ensemble": q_ols_ensemble, "svr_analogue": q_huber_ensemble,
-    "ensemble_merge_topk": q_ensemble_merge, "als_factorize": q_als, "lda_topics": q_lda,
+    "ensemble_merge_topk": q_ensemble_merge, "als_factorize": q_als, "als_error": q_als_error, "lda_topics": q_lda,
+    "lda_terms": q_lda_terms,
 }
 
 _WIDE = f"""{SIMS_SQL}, w as (select id1, id2, max(y) as y, {', '.join(f"max(x) filter (metric = '{m}' and isfinite(x)) as {m}" for m in METRICS)} from s group by all)"""

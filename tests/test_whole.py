@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from relata.operators import hierarchy
+from relata.operators import ensemble, hierarchy
 from tests.helpers import SMALL, rows_of, rows_of_sql
 
 
@@ -36,3 +36,22 @@ def test_all_descendants_of_the_tables(spark):
     expected = rows_of_sql(seen + " union all select cat, seen, unnest(range(1, len(seen) - 1)) from loops)")[1]
     assert rows_of(hierarchy.p5_all_descendants(spark, SMALL)) == expected
     assert len(expected) > hierarchy.p5_descendants(spark, SMALL).count()
+
+
+# --- factors and topics ----------------------------------------------------------------------------------------------
+def test_topics_of_each_document_over_all_terms(spark, tmp_path):
+    words = [f"w{i}" for i in range(6_000)]
+    rows = [(i, " ".join(words if i < 5 else [f"x{i}"] * 3)) for i in range(12)] + [(12, None)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert sorted(ensemble._lda(spark, str(tmp_path))[1].vocabulary) == sorted(words)
+    found = {r["doc_id"]: r["topics"] for r in ensemble.q_lda(spark, str(tmp_path)).collect()}
+    assert sorted(found) == list(range(13)) and all(len(t) == 5 for t in found.values())
+    assert all(sum(found[i]) == pytest.approx(1.0 if i < 5 else 0.0) for i in found)
+
+
+def test_factors_of_each_row_and_column(spark):
+    found = ensemble.q_als(spark, SMALL)
+    cells = ensemble._als(spark, SMALL)[0]
+    sides = {(r["side"], r["id"]) for r in found.where("size(factors) = 8").collect()}
+    assert sides == {("row", r[0]) for r in cells.select("row_id").collect()} | {("col", r[0]) for r in cells.select("col_id").collect()}
+    assert found.count() == len(sides)
