@@ -33,7 +33,8 @@ class Measure:
     def raw_similarity(self, pairs: DataFrame) -> DataFrame:
         raise NotImplementedError(f"{self.name} doesn't rate pairs")
 
-    def raw_most_similar(self, queries: DataFrame, valid: DataFrame | None) -> DataFrame:
+    def raw_most_similar(self, queries: DataFrame, valid: DataFrame | None, k: int = DEFAULT_RESULTS) -> DataFrame:
+        """(query_id, id, score), with the k best ids of each query at least."""
         raise NotImplementedError(f"{self.name} has no lists")
 
     def _calibrated(self, df: DataFrame) -> DataFrame:
@@ -54,7 +55,7 @@ class Measure:
             if valid is not None:
                 found = found.join(valid.select("id").distinct(), "id", "left_semi")
         else:
-            found = self.raw_most_similar(asked, valid)
+            found = self.raw_most_similar(asked, valid, k)
         return self._calibrated(top_k(found, k))
 
     def all_lists(self, ids: DataFrame, k: int, valid: DataFrame | None = None) -> DataFrame:
@@ -75,7 +76,7 @@ class IndexedMeasure(Measure):
         mine = self.index.join(queries.select(F.col("query_id").alias("id")), "id", "left_semi")
         return P.select_terms(mine, self.stats, self.rule).withColumnRenamed("id", "query_id")
 
-    def raw_most_similar(self, queries, valid):
+    def raw_most_similar(self, queries, valid, k=DEFAULT_RESULTS):
         inside = self.index if valid is None else self.index.join(valid.select("id").distinct(), "id", "left_semi")
         return P.matches(self._asked(queries), inside, self.stats, P.lengths(inside, self.stats))
 
@@ -91,8 +92,8 @@ class IndexedMeasure(Measure):
 class ConceptMeasure(IndexedMeasure):
     """As an index, but long lists are cut where their scores flatten."""
 
-    def raw_most_similar(self, queries, valid):
-        return P.prune_tail(top_k(super().raw_most_similar(queries, valid), 5_000)).select("query_id", "id", "score")
+    def raw_most_similar(self, queries, valid, k=DEFAULT_RESULTS):
+        return P.prune_tail(top_k(super().raw_most_similar(queries, valid, k), max(5_000, k))).select("query_id", "id", "score")
 
 
 class LinkMeasure(Measure):
@@ -113,9 +114,9 @@ class LinkMeasure(Measure):
         sets = self.edges.select(F.col(ends[0]).alias("id"), F.col(ends[1]).alias("link"))
         return links.link_overlap(pairs, sets, self.n, 3 if inward else 0).select("id1", "id2", self.KINDS[self.kind]().alias("score"))
 
-    def raw_most_similar(self, queries, valid):
+    def raw_most_similar(self, queries, valid, k=DEFAULT_RESULTS):
         index = self.edges.select(F.col("dst").alias("term"), F.col("src").alias("id"), F.lit(1).cast("bigint").alias("tf"))
-        return IndexedMeasure(self.name, self.pages, index, P.TermRule(min_tf=1, max_percent=20.0)).raw_most_similar(queries, valid)
+        return IndexedMeasure(self.name, self.pages, index, P.TermRule(min_tf=1, max_percent=20.0)).raw_most_similar(queries, valid, k)
 
 
 class CategoryMeasure(Measure):
@@ -132,9 +133,9 @@ class CategoryMeasure(Measure):
         pages = graph.page_up_distances(self.member, self.costs, self.ways)
         return self._scored(graph.pair_distances(pairs, pages, self.costs)).select("id1", "id2", "score")
 
-    def raw_most_similar(self, queries, valid):
+    def raw_most_similar(self, queries, valid, k=DEFAULT_RESULTS):
         member = self.member if valid is None else self.member.join(valid.select("id").union(queries.select(F.col("query_id"))).distinct(), "id", "left_semi")
-        return self._scored(graph.most_similar_pages(queries, member, self.costs, self.ways, DEFAULT_RESULTS)).select("query_id", "id", "score")
+        return self._scored(graph.most_similar_pages(queries, member, self.costs, self.ways, k)).select("query_id", "id", "score")
 
 
 class PairwiseMeasure(Measure):
@@ -146,7 +147,7 @@ class PairwiseMeasure(Measure):
     def raw_similarity(self, pairs):
         return matrix.pair_cosines(pairs, self.m)
 
-    def raw_most_similar(self, queries, valid):
+    def raw_most_similar(self, queries, valid, k=DEFAULT_RESULTS):
         rows = self.m if valid is None else self.m.join(valid.select(F.col("id").alias("row_id")).distinct(), "row_id", "left_semi")
         return matrix.row_cosines(self.m.join(queries.select(F.col("query_id").alias("row_id")), "row_id", "left_semi"), rows)
 
@@ -161,7 +162,7 @@ class KnownMeasure(Measure):
         cells = self.m.select(F.col("row_id").alias("id1"), F.col("col_id").alias("id2"), F.col("value").alias("score"))
         return pairs.join(cells, ["id1", "id2"], "left")
 
-    def raw_most_similar(self, queries, valid):
+    def raw_most_similar(self, queries, valid, k=DEFAULT_RESULTS):
         cells = self.m.select(F.col("row_id").alias("query_id"), F.col("col_id").alias("id"), F.col("value").alias("score")).join(queries, "query_id", "left_semi")
         return cells if valid is None else cells.join(valid.select("id").distinct(), "id", "left_semi")
 
@@ -178,10 +179,10 @@ class DenseMeasure(Measure):
         both = pairs.join(a, "id1", "left").join(b, "id2", "left")
         return both.select("id1", "id2", F.when(F.col("va").isNull() | F.col("vb").isNull(), 0.0).otherwise(M.cosine(F.col("va"), F.col("vb"))).alias("score"))
 
-    def raw_most_similar(self, queries, valid):
+    def raw_most_similar(self, queries, valid, k=DEFAULT_RESULTS):
         asked = self.vectors.join(queries.select(F.col("query_id").alias("id")), "id", "left_semi").select(F.col("id").alias("query_id"), F.col("v").alias("q"))
         rows = self.vectors if valid is None else self.vectors.join(valid.select("id").distinct(), "id", "left_semi")
-        return matrix.dense_cosines(asked, rows, DEFAULT_RESULTS).select("query_id", "id", "score")
+        return matrix.dense_cosines(asked, rows, k).select("query_id", "id", "score")
 
 
 class SplitMeasure(Measure):
@@ -193,8 +194,8 @@ class SplitMeasure(Measure):
     def raw_similarity(self, pairs):
         return self.pairs.similarity(pairs)
 
-    def raw_most_similar(self, queries, valid):
-        return self.lists.most_similar(queries, DEFAULT_RESULTS, valid).select("query_id", "id", "score")
+    def raw_most_similar(self, queries, valid, k=DEFAULT_RESULTS):
+        return self.lists.most_similar(queries, k, valid).select("query_id", "id", "score")
 
 
 class EnsembleMeasure(Measure):
@@ -223,10 +224,10 @@ class EnsembleMeasure(Measure):
         wide = ensemble.imputed(self._wide(pairs), self.columns)
         return pairs.join(wide.select("id1", "id2", ensemble.predict(self.intercept, self.coefficients).alias("score")), ["id1", "id2"], "left")
 
-    def raw_most_similar(self, queries, valid):
+    def raw_most_similar(self, queries, valid, k=DEFAULT_RESULTS):
         merged = None
         for m, c in zip(self.parts, self.columns):
-            found = m.most_similar(queries, 2 * DEFAULT_RESULTS, valid).where(M.finite(F.col("score")))
+            found = m.most_similar(queries, 2 * k, valid).where(M.finite(F.col("score")))
             part = found.select("query_id", "id", *[(F.col("score") if x == c else F.lit(None).cast("double")).alias(x) for x in self.columns])
             merged = part if merged is None else merged.unionByName(part)
         wide = merged.groupBy("query_id", "id").agg(*[F.max(c).alias(c) for c in self.columns])

@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from relata.engine import CategoryMeasure, DenseMeasure, EnsembleMeasure, SplitMeasure
 from relata.operators import ensemble, hierarchy
 from tests.helpers import SMALL, rows_of, rows_of_sql
 
@@ -55,3 +56,19 @@ def test_factors_of_each_row_and_column(spark):
     sides = {(r["side"], r["id"]) for r in found.where("size(factors) = 8").collect()}
     assert sides == {("row", r[0]) for r in cells.select("row_id").collect()} | {("col", r[0]) for r in cells.select("col_id").collect()}
     assert found.count() == len(sides)
+
+
+# --- lists of the engine ---------------------------------------------------------------------------------------------
+def test_lists_longer_than_the_default(spark):
+    vectors = spark.range(1, 1_301).selectExpr("cast(id as int) as id", "array(1.0D, cast(id as double) / 1000) as v")
+    ask = spark.createDataFrame([(1,)], "query_id int")
+    dense = DenseMeasure("d", vectors)
+    assert dense.most_similar(ask, 700).count() == 700
+    assert SplitMeasure("s", dense, dense).most_similar(ask, 700).count() == 700
+    # Of the parts, the first 2k of each are merged, and the k best of these come out.
+    both = EnsembleMeasure("e", [dense])
+    assert both.raw_most_similar(ask, None, 600).count() == 1_200
+    assert both.most_similar(ask, 600).count() == 600
+    member = spark.range(1, 1_301).selectExpr("cast(id as int) as id", "'x' as cat")
+    up = spark.createDataFrame([("x", "y")], "child string, parent string")
+    assert CategoryMeasure("c", member, up).most_similar(ask, 700).count() == 700
