@@ -72,3 +72,20 @@ def test_lists_longer_than_the_default(spark):
     member = spark.range(1, 1_301).selectExpr("cast(id as int) as id", "'x' as cat")
     up = spark.createDataFrame([("x", "y")], "child string, parent string")
     assert CategoryMeasure("c", member, up).most_similar(ask, 700).count() == 700
+
+
+# --- regression ------------------------------------------------------------------------------------------------------
+def test_all_judged_pairs_are_predicted(spark, monkeypatch):
+    monkeypatch.setattr(ensemble, "MAX_EXAMPLES", 14)
+    monkeypatch.setattr(ensemble, "EPSILONS", [1.35])
+    monkeypatch.setattr(ensemble, "PENALTIES", [0.0])
+    judged = ensemble._wide(spark, SMALL)
+    assert judged.count() > 14
+    found = ensemble.q_huber_ensemble(spark, SMALL)
+    assert rows_of(found.select("id1", "id2")) == rows_of(judged.select("id1", "id2")) and not found.where("predicted is null").count()
+
+
+def test_fitting_sample_is_the_same_each_time(spark):
+    df = spark.range(200).selectExpr("cast(id as int) as id1", "cast(id * 7 as int) as id2")
+    a, b = (rows_of(ensemble.fitting_sample(df.repartition(n), 50, 7)) for n in (1, 9))
+    assert a == b and len(a) == 50 and {r[0] for r in a} == set(range(7))
