@@ -11,7 +11,7 @@ from relata.operators.postings import K, SEARCH_STEP
 from relata.session import reliable, table
 
 DAMPING, ROUNDS = 0.85, 20
-MAX_DOUBLINGS = 12
+MAX_DOUBLINGS = 40
 
 # --- fixed values: names of the categories nearest the root ------------------------------------------------------
 TOP_LEVEL = (
@@ -64,19 +64,22 @@ def up_distances(up: DataFrame, costs: DataFrame) -> DataFrame:
     """(cat, top, d): for each category and each one above it, the least sum of the costs entered on the way up.
 
     Distances are squared: each round joins ways of up to n steps with ways of up to n steps, so a hierarchy of depth
-    n takes log2(n) rounds. A category reaches itself at 0. Costs are positive, so loops end.
+    n takes log2(n) rounds. A category reaches itself at 0. Costs are positive, so loops end. It is an error if
+    distances still change after MAX_DOUBLINGS rounds.
     """
     steps = up.join(costs.select(F.col("cat").alias("parent"), "cost"), "parent").select(F.col("child").alias("cat"), F.col("parent").alias("top"), F.col("cost").alias("d"))
     ways = reliable(steps.unionByName(costs.select("cat", F.col("cat").alias("top"), F.lit(0.0).alias("d"))).groupBy("cat", "top").agg(F.min("d").alias("d")))
-    size = ways.agg(F.count(F.lit(1)), F.sum("d")).first()
+    # Decimals, as a sum of doubles differs with the order of the rows.
+    total = F.sum(F.col("d").cast("decimal(28,9)"))
+    size = ways.agg(F.count(F.lit(1)), total).first()
     for _ in range(MAX_DOUBLINGS):
         more = ways.select("cat", F.col("top").alias("mid"), "d").join(ways.select(F.col("cat").alias("mid"), "top", F.col("d").alias("e")), "mid")
         ways = reliable(more.groupBy("cat", "top").agg(F.min(F.col("d") + F.col("e")).alias("d")))
-        now = ways.agg(F.count(F.lit(1)), F.sum("d")).first()
-        if now[0] == size[0] and abs((now[1] or 0) - (size[1] or 0)) < 1e-9:
-            break
+        now = ways.agg(F.count(F.lit(1)), total).first()
+        if now == size:
+            return ways
         size = now
-    return ways
+    raise RuntimeError("distances didn't settle")
 
 
 def page_up_distances(member: DataFrame, costs: DataFrame, ways: DataFrame) -> DataFrame:

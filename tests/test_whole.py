@@ -5,7 +5,7 @@ import random
 import pytest
 
 from relata.engine import CategoryMeasure, DenseMeasure, EnsembleMeasure, SplitMeasure
-from relata.operators import ensemble, hierarchy
+from relata.operators import ensemble, graph, hierarchy
 from tests.helpers import SMALL, rows_of, rows_of_sql
 
 
@@ -89,3 +89,14 @@ def test_fitting_sample_is_the_same_each_time(spark):
     df = spark.range(200).selectExpr("cast(id as int) as id1", "cast(id * 7 as int) as id2")
     a, b = (rows_of(ensemble.fitting_sample(df.repartition(n), 50, 7)) for n in (1, 9))
     assert a == b and len(a) == 50 and {r[0] for r in a} == set(range(7))
+
+
+# --- distances -------------------------------------------------------------------------------------------------------
+def test_distances_are_whole_or_an_error(spark, monkeypatch):
+    up = spark.createDataFrame([(f"c{i:02}", f"c{i + 1:02}") for i in range(20)], "child string, parent string")
+    costs = spark.createDataFrame([(f"c{i:02}", 1.0) for i in range(21)], "cat string, cost double")
+    found = {(r["cat"], r["top"]): r["d"] for r in graph.up_distances(up, costs).collect()}
+    assert found == {(f"c{i:02}", f"c{j:02}"): float(j - i) for i in range(21) for j in range(i, 21)}
+    monkeypatch.setattr(graph, "MAX_DOUBLINGS", 2)
+    with pytest.raises(RuntimeError):
+        graph.up_distances(up, costs)
