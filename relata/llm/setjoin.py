@@ -1,9 +1,9 @@
-"""All pairs of records whose sets of values are similar, by sorted sketch forests (problem 2).
+"""All pairs of records whose sets of values are similar, by banded minhash (problem 2).
 
 Equal sets are one class and are compared once, through their first record. Every class has a minhash signature for
-each tree of a forest. In a tree, classes in the lexicographic order of their signatures that share a prefix are
-neighbours; the depth to which the prefixes are compared is the greatest at which the chance to meet a partner at the
-threshold in at least one tree reaches the target recall. Every pair that meets is verified exactly. Large
+each of several bands (trees). Classes whose whole signature in a tree is the same are neighbours; its length, the
+depth, is fixed: the greatest at which the chance to meet a partner at the threshold in at least one tree reaches the
+target recall. Signatures are not ordered and no prefix is split by going deeper. Every pair that meets is verified exactly. Large
 neighbourhoods are compared in blocks by many tasks; no neighbourhood, candidate list or partner list is capped.
 """
 
