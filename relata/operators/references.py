@@ -1,8 +1,8 @@
 """References to records that don't exist (problem 3).
 
-References are counted per key and period before anything is joined, so a key that holds a third of all references
-is one row from each partition onward. Keys that are still heavy after that are checked against a broadcast of the
-few target rows they can meet; all other keys go through a shuffled join. Both parts are united.
+Repeats of a reference are united before anything is joined; a key that holds a third of all references keeps a row for
+each source. Keys that are heavy after that are checked against a broadcast of the few target rows they can meet; all
+other keys go through a shuffled join. Both parts are united, and counted per period only then.
 """
 
 from __future__ import annotations
