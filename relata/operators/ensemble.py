@@ -15,7 +15,7 @@ from relata.operators.evaluate import METRICS, wide_scores
 from relata.operators.matrix import neighbour_matrix
 from relata.operators.normalize import SIMS_SQL, labelled_sims
 from relata.operators.postings import K, SEARCH_STEP, top_k
-from relata.session import table
+from relata.session import reliable, table
 
 #: Judged pairs that a model is fitted on at most.
 MAX_EXAMPLES = 100_000
@@ -174,8 +174,9 @@ def q_huber_ensemble(spark, d):
     from pyspark.ml.regression import LinearRegression
     from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 
-    everything = VectorAssembler(inputCols=METRICS, outputCol="features").transform(_wide(spark, d)).cache()
-    sample = fitting_sample(everything, MAX_EXAMPLES, FOLDS).cache()
+    # Short plans, as each of the many fits plans its input again.
+    everything = reliable(VectorAssembler(inputCols=METRICS, outputCol="features").transform(_wide(spark, d)))
+    sample = reliable(fitting_sample(everything, MAX_EXAMPLES, FOLDS))
     lr = LinearRegression(labelCol="y", loss="huber", maxIter=20)
     grid = ParamGridBuilder().addGrid(lr.epsilon, EPSILONS).addGrid(lr.regParam, PENALTIES).build()
     search = CrossValidator(
