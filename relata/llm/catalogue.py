@@ -13,6 +13,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": markup.p1_found,
         "p2_found": setjoin.p2_found,
+        "p2_classes": setjoin.p2_classes,
         "p4_found": ranking.p4_found,
         "p6_found": distinctive.p6_found,
         "p7_found": topn.p7_found,

@@ -18,38 +18,77 @@ def _brute(sets, threshold, least):
 
 
 def _frame(spark, sets):
-    return spark.createDataFrame([(k, sorted(v)) for k, v in sets.items()], "id int, vals array<string>")
+    return spark.createDataFrame([(k, v) for k, vals in sets.items() for v in sorted(vals)], "id int, v string")
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_similar_pairs_against_all_pairs(spark, seed):
+def _related_sets(seed, n=400):
     rng = random.Random(seed)
     base = [f"v{i}" for i in range(60)]
     sets = {}
-    for i in range(400):
+    for i in range(n):
         own = set(rng.sample(base, rng.randint(1, 14))) | {"hub"}
         if i % 3 == 0 and sets:
             own = set(sets[rng.choice(list(sets))])
             for _ in range(rng.randint(0, 4)):
                 (own.discard if rng.random() < 0.5 else own.add)(rng.choice(base))
         sets[i + 1] = own
+    return sets
+
+
+def _pairs(df):
+    return {tuple(r) for r in df.collect()}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_similar_records_against_all_pairs(spark, seed):
+    sets = _related_sets(seed)
     expected = _brute(sets, 0.6, 4)
-    found = {(r["id_a"], r["id_b"]) for r in setjoin.similar_pairs(_frame(spark, sets), 0.6, 4).collect()}
+    found = _pairs(setjoin.similar_records(_frame(spark, sets), 0.6, 4))
     assert found <= expected and len(found) >= 0.995 * len(expected) and len(expected) > 100
 
 
+@pytest.mark.parametrize("threshold", [0.3, 0.9])
+def test_other_thresholds(spark, threshold):
+    sets = _related_sets(3, 200)
+    expected = _brute(sets, threshold, 4)
+    found = _pairs(setjoin.similar_records(_frame(spark, sets), threshold, 4))
+    assert found <= expected and len(found) >= 0.995 * len(expected) and expected
+
+
 def test_hot_neighbourhoods_lose_nothing(spark, monkeypatch):
     monkeypatch.setattr(setjoin, "BLOCK", 8)
+    monkeypatch.setattr(setjoin, "CHUNK", 64)
     sets = {i: {"a", "b", "c", "d", "e", f"x{i % 30}"} for i in range(1, 91)}
-    found = {(r["id_a"], r["id_b"]) for r in setjoin.similar_pairs(_frame(spark, sets), 0.6, 4).collect()}
-    assert found == _brute(sets, 0.6, 4) and len(found) == 90 * 89 // 2
-
-
-def test_similar_pairs_of_odd_tables(spark):
-    assert setjoin.similar_pairs(_frame(spark, {}), 0.6, 4).count() == 0
+    found = setjoin.similar_sets(_frame(spark, sets), 0.6, 4)
+    assert _pairs(found.pairs()) == _brute(sets, 0.6, 4) and found.pairs().count() == 90 * 89 // 2
+    rows = {r["id"]: r for r in found.counts().collect()}
+    assert len(rows) == 90 and all(r["copies"] == 3 and r["links"] == 89 and r["cls"] == (i - 1) % 30 + 1 for i, r in rows.items())
+
+
+def test_neighbourhoods_deepen_and_classes_go_on(spark):
+    """A prefix of chance that many unlike sets share is left for deeper ones, and further trees make up for it."""
+    rng = random.Random(9)
+    sets = {i: {"h1", "h2", *(f"r{i}_{j}" for j in range(6))} for i in range(1, 1500)}
+    for i in range(1, 200):
+        sets[5000 + i] = set(list(sets[i])[: rng.randint(6, 8)]) | {f"more{i}"}
+    forest = setjoin.Forest(0.6)
+    values, cls = [], sorted(sets)
+    keys = setjoin.np.asarray([hash(v) & (2**63 - 1) for i in cls for v in sorted(sets[i])], dtype="uint64")
+    starts = setjoin.np.cumsum([0] + [len(sets[i]) for i in cls[:-1]])
+    trees = range(forest.first_trees)
+    least = setjoin.signatures(setjoin.minhashes(keys, starts, trees, forest.levels), trees)[:, 0]
+    order = setjoin.np.lexsort(least.T[::-1])
+    nm = setjoin.np.asarray([len(sets[i]) * 4 + 3 for i in cls], dtype="int32")[order]
+    *_, (none, deep, loss) = setjoin.compared(least[order], setjoin.np.asarray(cls)[order], nm, forest)
+    assert none is None and len(deep) > 20 and (loss > 0).all() and not values
+    assert _pairs(setjoin.similar_records(_frame(spark, sets), 0.6, 4)) == _brute(sets, 0.6, 4)
+
+
+def test_similar_records_of_odd_tables(spark):
+    assert setjoin.similar_records(_frame(spark, {}), 0.6, 4).count() == 0
     sets = {1: set(), 2: {"a"}, 3: {"a"}, 4: {"a", "b", "c", "d"}}
-    assert setjoin.similar_pairs(_frame(spark, sets), 0.6, 4).count() == 0
-    assert [(r["id_a"], r["id_b"]) for r in setjoin.similar_pairs(_frame(spark, sets), 0.6, 1).collect()] == [(2, 3)]
+    assert setjoin.similar_records(_frame(spark, sets), 0.6, 4).count() == 0
+    assert _pairs(setjoin.similar_records(_frame(spark, sets), 0.6, 1)) == {(2, 3)}
 
 
 def test_giant_sets(spark):
@@ -58,15 +97,22 @@ def test_giant_sets(spark):
     rows = spark.createDataFrame([(i, v) for i, s in sets.items() for v in s for _ in range(2)] + [(None, "v"), (3, None)], "id int, v string").withColumn("n", F.lit(1))
     expected = _brute(sets, 0.6, 4)
     for giant in (20, 10**6):
-        found = sorted((r["id_a"], r["id_b"]) for r in setjoin.similar_records(rows, 0.6, 4, giant).collect())
-        assert found == sorted(expected)
+        assert _pairs(setjoin.similar_records(rows, 0.6, 4, giant)) == expected
     assert setjoin.similar_records(rows.limit(0), 0.6, 4).count() == 0
 
 
-def test_depth_reaches_its_recall():
-    for t in (0.4, 0.6, 0.8, 0.95):
-        d = setjoin.depth_for(t)
-        assert d == 1 or 1 - (1 - t**d) ** setjoin.TREES >= setjoin.TARGET_RECALL
+@pytest.mark.parametrize("giant", [8, 10**6])
+def test_two_tables(spark, giant):
+    left, right = _related_sets(4, 120), _related_sets(4, 150)
+    expected = {(a, b) for a, x in left.items() for b, y in right.items() if min(len(x), len(y)) >= 4 and len(x & y) >= 0.6 * len(x | y) - 1e-9}
+    found = _pairs(setjoin.similar_between(_frame(spark, left), _frame(spark, right), 0.6, 4, giant))
+    assert found <= expected and len(found) >= 0.995 * len(expected) and len(expected) > 100
+
+
+def test_trees_reach_the_recall():
+    for t in (0.03, 0.1, 0.4, 0.6, 0.8, 0.95):
+        f = setjoin.Forest(t)
+        assert 1 - (1 - t**f.base) ** f.first_trees >= setjoin.TARGET_RECALL and f.base < 13
 
 
 # --- rankings -------------------------------------------------------------------------------------------------------
