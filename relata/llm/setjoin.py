@@ -156,8 +156,8 @@ _OUT = "kind tinyint, a bigint, b bigint, key binary, nm int, loss double"
 
 def _common(keys: np.ndarray) -> np.ndarray:
     """For each row the number of levels it has in common with the row before, -1 for another tree and for row 0."""
-    if not len(keys):
-        return np.zeros(0, np.int64)
+    if len(keys) < 2:
+        return np.full(len(keys), -1)
     same = keys[1:] == keys[:-1]
     levels = same[:, 2:].reshape(len(same), -1, _LEVEL).all(2)
     out = np.where(same[:, :2].all(1), np.logical_and.accumulate(levels, axis=1).sum(1), -1)

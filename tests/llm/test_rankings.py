@@ -89,6 +89,9 @@ def test_similar_records_of_odd_tables(spark):
     sets = {1: set(), 2: {"a"}, 3: {"a"}, 4: {"a", "b", "c", "d"}}
     assert setjoin.similar_records(_frame(spark, sets), 0.6, 4).count() == 0
     assert _pairs(setjoin.similar_records(_frame(spark, sets), 0.6, 1)) == {(2, 3)}
+    assert setjoin.similar_records(_frame(spark, {4: sets[4]}), 0.6, 4).count() == 0
+    for n in (0, 1, 2):
+        assert setjoin._common(setjoin.np.zeros((n, 20), "uint8")).tolist() == [-1, 6][:n]
 
 
 def test_giant_sets(spark):
