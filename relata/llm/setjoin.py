@@ -36,8 +36,8 @@ TREES = 24
 SPARE = 0.25
 #: Levels below the base depth that a neighbourhood may deepen by.
 DEEPER = 4
-#: What one more tree costs a class, in comparisons.
-TREE_COST = 32.0
+#: What one more tree costs a class, in comparisons: what is shuffled for a tree against what is for a pair to verify.
+TREE_COST = 2.0
 #: A set with more values than this is held in several rows; its similarities are counted value by value.
 GIANT = 100_000
 #: Classes of a neighbourhood that one task compares with all others of it at a time.
@@ -56,6 +56,8 @@ class Forest:
 
     threshold: float
     recall: float = TARGET_RECALL
+    tree_cost: float = TREE_COST
+    chunk: int = CHUNK
 
     @property
     def need(self) -> float:
@@ -180,7 +182,7 @@ def compared(keys: np.ndarray, cls: np.ndarray, nm: np.ndarray, forest: Forest)
         starts[d] = np.flatnonzero(common < d)
         count = np.bincount(group)
         sizes[d] = count
-        cost = (count[group] - 1 + TREE_COST) / forest.gain(d)
+        cost = (count[group] - 1 + forest.tree_cost) / forest.gain(d)
         better = cost < best * (1 - 1e-9)
         best[better], chosen[better] = cost[better], d
         starts[d] = starts[d][group]
@@ -191,7 +193,7 @@ def compared(keys: np.ndarray, cls: np.ndarray, nm: np.ndarray, forest: Forest)
         many = np.cumsum(sizes[d][asking])
         begin = 0
         while begin < len(asking):
-            end = max(begin + 1, int(np.searchsorted(many, (many[begin - 1] if begin else 0) + CHUNK, side="right")))
+            end = max(begin + 1, int(np.searchsorted(many, (many[begin - 1] if begin else 0) + forest.chunk, side="right")))
             who = asking[begin:end]
             n = sizes[d][who]
             i = np.repeat(who, n)
@@ -262,7 +264,7 @@ def _open_neighbourhoods(rows: DataFrame, forest: Forest) -> tuple[DataFrame, Da
     at = rows.select("key", "cls", "nm", deep).withColumn("prefix", prefix(F.col("d")))
     counts = at.groupBy("prefix").agg(F.count(F.lit(1)).alias("m"))
     gain = F.element_at(F.array(*[F.lit(forest.gain(d)) for d in forest.depths]), F.col("d") - forest.base + 1)
-    cost = F.round((F.col("m") - 1 + TREE_COST) / gain, 6)
+    cost = F.round((F.col("m") - 1 + F.lit(forest.tree_cost)) / gain, 6)
     choice = at.join(counts, "prefix").groupBy("key", "cls", "nm").agg(F.min(F.struct(cost.alias("cost"), "d", "m")).alias("c"))
     chosen = reliable(choice.select("key", "cls", "nm", F.col("c.d").alias("depth"), F.ceil(F.col("c.m") / BLOCK).cast("int").alias("blocks")))
     # A prefix belongs to one depth, as its length says.
@@ -331,11 +333,12 @@ def candidates(classes: DataFrame, forest: Forest, giants: DataFrame | None = No
         else:
             left = needs.join(losses, "cls", "left").select("cls", (F.col("need") - won + F.coalesce("loss", F.lit(0.0))).alias("need"))
         needs = reliable(left.where("need > 1e-9"))
-        if not needs.limit(1).count():
+        most = needs.agg(F.max("need")).first()[0]
+        if most is None:
             break
         active = active.join(needs.select("cls"), "cls", "left_semi")
         big = None if big is None else big.join(needs.select("cls"), "cls", "left_semi")
-        first, trees = first + trees, min(2 * trees, 256)
+        first, trees = first + trees, math.ceil(most / forest.gain(forest.base) * (1 + SPARE))
     whole = found[0]
     for more in found[1:]:
         whole = whole.unionByName(more)
@@ -378,19 +381,23 @@ def _giant_ids(rows: DataFrame, giant: int) -> tuple[DataFrame, int]:
     return ids, ids.count()
 
 
-def similar_sets(rows: DataFrame, threshold: float, least_size: int = 1, giant: int = GIANT, recall: float = TARGET_RECALL) -> SimilarSets:
+def similar_sets(
+    rows: DataFrame, threshold: float, least_size: int = 1, giant: int = GIANT, recall: float = TARGET_RECALL, ids: DataFrame | None = None
+) -> SimilarSets:
     """Similar sets of values, from rows (id, v[, sides]) with repeats; ids are whole numbers.
 
+    ids (id), if given, holds each id at least as often as ``rows`` and is cheaper to count.
+
     Rows without id or value are left out, and so are ids with less than ``least_size`` different values. Sets of up to
     ``giant`` values are one row; larger ones are spread over several and go through the same forest, each as a class of
     its own.
     """
-    forest = Forest(threshold, recall)
+    forest = Forest(threshold, recall, TREE_COST, CHUNK)
     sides = F.col("sides") if "sides" in rows.columns else F.lit(3)
     values = rows.where("id is not null and v is not null").select(F.col("id").cast("bigint").alias("id"), F.xxhash64("v").alias("h"), sides.cast("int").alias("sides"))
-    ids, n_giants = _giant_ids(values.select("id"), giant)
+    giants, n_giants = _giant_ids((rows if ids is None else ids).select(F.col("id").cast("bigint").alias("id")), giant)
     if n_giants:
-        few = F.broadcast(ids) if n_giants <= BROADCAST_IDS else ids
+        few = F.broadcast(giants) if n_giants <= BROADCAST_IDS else giants
         values = values.join(few, "id", "left").withColumn("chunk", F.when(F.col("spread").isNull(), -1).otherwise(F.pmod("h", F.col("spread")).cast("int"))).drop("spread")
     else:
         values = values.withColumn("chunk", F.lit(-1))
@@ -473,7 +480,10 @@ THRESHOLD, LEAST_SIZE = 0.6, 4
 
 
 def _fields(spark, sf_dir: str) -> list[tuple[str, SimilarSets]]:
-    return [(fld, similar_sets(rows, THRESHOLD, LEAST_SIZE)) for fld, rows in (("links", link_values(spark, sf_dir)), ("cats", category_values(spark, sf_dir)))]
+    def found(name: str, column: str, values: DataFrame) -> SimilarSets:
+        return similar_sets(values, THRESHOLD, LEAST_SIZE, ids=table(spark, sf_dir, name).select(F.col(column).alias("id")))
+
+    return [("links", found("links", "src_id", link_values(spark, sf_dir))), ("cats", found("page_cat", "page_id", category_values(spark, sf_dir)))]
 
 
 def p2_found(spark, sf_dir: str) -> DataFrame:
