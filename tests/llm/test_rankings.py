@@ -2,7 +2,9 @@ import math
 import random
 from itertools import combinations
 
+import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from relata.llm import distinctive, ranking, setjoin, topn
@@ -70,17 +72,20 @@ def test_neighbourhoods_deepen_and_classes_go_on(spark):
     rng = random.Random(9)
     sets = {i: {"h1", "h2", *(f"r{i}_{j}" for j in range(6))} for i in range(1, 1500)}
     for i in range(1, 200):
-        sets[5000 + i] = set(list(sets[i])[: rng.randint(6, 8)]) | {f"more{i}"}
-    forest = setjoin.Forest(0.6)
-    values, cls = [], sorted(sets)
-    keys = setjoin.np.asarray([hash(v) & (2**63 - 1) for i in cls for v in sorted(sets[i])], dtype="uint64")
-    starts = setjoin.np.cumsum([0] + [len(sets[i]) for i in cls[:-1]])
+        sets[5000 + i] = set(sorted(sets[i])[: rng.randint(6, 8)]) | {f"more{i}"}
+    forest, cls = setjoin.Forest(0.6), np.asarray(sorted(sets))
+    values = np.asarray([xxhash.xxh64_intdigest(v) for i in cls for v in sorted(sets[i])], dtype="uint64")
+    starts = np.cumsum([0] + [len(sets[i]) for i in cls[:-1]])
     trees = range(forest.first_trees)
-    least = setjoin.signatures(setjoin.minhashes(keys, starts, trees, forest.levels), trees)[:, 0]
-    order = setjoin.np.lexsort(least.T[::-1])
-    nm = setjoin.np.asarray([len(sets[i]) * 4 + 3 for i in cls], dtype="int32")[order]
-    *_, (none, deep, loss) = setjoin.compared(least[order], setjoin.np.asarray(cls)[order], nm, forest)
-    assert none is None and len(deep) > 20 and (loss > 0).all() and not values
+    keys = setjoin.signatures(setjoin.minhashes(values, starts, trees, forest.levels), trees)
+    nm = np.asarray([len(sets[i]) * 4 + 3 for i in cls], dtype="int32")
+    deepened = 0
+    for t in trees:
+        order = np.lexsort(keys[:, t].T[::-1])
+        *_, (none, deep, loss) = setjoin.compared(keys[order, t], cls[order], nm[order], forest)
+        assert none is None and (loss > 0).all()
+        deepened += len(deep)
+    assert deepened > 100
     assert _pairs(setjoin.similar_records(_frame(spark, sets), 0.6, 4)) == _brute(sets, 0.6, 4)
 
 
@@ -91,7 +96,7 @@ def test_similar_records_of_odd_tables(spark):
     assert _pairs(setjoin.similar_records(_frame(spark, sets), 0.6, 1)) == {(2, 3)}
     assert setjoin.similar_records(_frame(spark, {4: sets[4]}), 0.6, 4).count() == 0
     for n in (0, 1, 2):
-        assert setjoin._common(setjoin.np.zeros((n, 20), "uint8")).tolist() == [-1, 6][:n]
+        assert setjoin._common(np.zeros((n, 20), "uint8")).tolist() == [-1, 6][:n]
 
 
 def test_giant_sets(spark):
