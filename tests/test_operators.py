@@ -13,7 +13,11 @@ def _orphans(spark, refs, targets, gone, heavy):
     r = spark.createDataFrame(refs, "tab string, src_id int, target string, seen string").withColumn("seen", F.col("seen").cast("timestamp"))
     t = spark.createDataFrame(targets, "target string, since string").withColumn("since", F.col("since").cast("timestamp"))
     g = spark.createDataFrame(gone, "target string")
-    return {(x["src_id"], x["target"]): x["why"] for x in references.orphan_references(r, t, g, heavy).collect()}
+    found = references.orphan_references(r, t, g, 1e-9, heavy).withColumn("ym", F.date_format("seen", "yyyy-MM"))
+    report = {(x["tab"], x["why"], x["ym"]): (x["refs"], x["targets"]) for x in references.orphan_counts(r, t, g, 1e-9, heavy).collect()}
+    rows = found.groupBy("tab", "why", "ym").agg(F.count("*").alias("refs"), F.countDistinct("target").alias("targets")).collect()
+    assert report == {(x["tab"], x["why"], x["ym"]): (x["refs"], x["targets"]) for x in rows}
+    return {(x["src_id"], x["target"]): x["why"] for x in found.collect()}
 
 
 @pytest.mark.parametrize("heavy", [2, 10**6])
@@ -24,6 +28,18 @@ def test_orphans(spark, heavy):
     assert sum(v == "deleted" for k, v in found.items() if k[1] == "Hub") == 30
 
 
+def test_months_in_which_a_target_arrives_are_split(spark):
+    refs = [("l", i, "Hub", f"2023-05-{i + 1:02d}") for i in range(20)]
+    for heavy in (1, 1000):
+        found = _orphans(spark, refs, [("Hub", "2023-05-08")], [], heavy)
+        assert found == {(i, "Hub"): "late" for i in range(7)}
+
+
+def test_only_so_many_keys_are_heavy(spark):
+    counts = spark.createDataFrame([(f"k{i}", 1000 if i < 3 else 10) for i in range(500)], "target string, refs bigint")
+    assert {x["target"] for x in references.heavy_keys(counts).collect()} == {"k0", "k1", "k2"}
+
+
 def test_orphans_of_empty_tables(spark):
     assert _orphans(spark, [], [("A", "2022-01-01")], [("C",)], 2) == {}
     assert _orphans(spark, [("l", 1, "A", "2023-01-01")], [], [], 2) == {(1, "A"): "missing"}
