@@ -331,11 +331,11 @@ class Engine:
     def _text(self, c: Config) -> Measure:
         docs = self.pages().where("text is not null and redirect is null").select("id", "text")
         rule = P.TermRule(c.integer("minTermFreq", 2), c.integer("minDocFreq", 2), c.number("maxPercentage", 10))
-        return IndexedMeasure("text", docs, P.postings(docs, T.ascii_tokens(F.col("text"))), rule)
+        return IndexedMeasure("text", docs, P.postings(docs, T.word_tokens(F.col("text"))), rule)
 
     def _esa(self, c: Config) -> Measure:
         docs = self.pages().where("text is not null and redirect is null").select("id", "text")
-        return ConceptMeasure("esa", docs, P.postings(docs, T.ascii_tokens(F.col("text"))))
+        return ConceptMeasure("esa", docs, P.postings(docs, T.word_tokens(F.col("text"))))
 
     def _links(self, c: Config) -> Measure:
         return LinkMeasure("links", self.edges(), self.table("pages").where("id is not null"), c.string("similarity", "google"))

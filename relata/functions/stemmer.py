@@ -113,7 +113,7 @@ def stems(tokens: pd.Series) -> pd.Series:
 
 def analyzed(text: Column, stop_words: list[str], stemming: bool = False) -> Column:
     """Terms of a text: runs of letters and digits in lower case without stop words, stemmed if asked for."""
-    kept = T.remove_words(T.ascii_tokens(text), stop_words)
+    kept = T.remove_words(T.word_tokens(text), stop_words)
     return stems(kept) if stemming else kept
 
 

@@ -107,7 +107,7 @@ def clean_category(s: Column) -> Column:
     return F.regexp_replace(F.lower(F.translate(s, "_", " ")), "^category:", "")
 
 
-# --- what the stripping of markup takes away, as far as regular expressions can ---------------------------------
+# --- what the stripping of markup takes away, as far as regular expressions can; the patterns are fixed values -----
 def strip_refs(s: Column) -> Column:
     for pattern in (r"<ref\\>", r"(?s)<ref>(.*?)</ref>", r"(?s)<ref\s(.*?)>(.*?)</ref>"):
         s = F.regexp_replace(s, pattern, "")
@@ -129,7 +129,7 @@ def strip_external_links(s: Column) -> Column:
 
 def strip_formatting(s: Column) -> Column:
     """Quotes of bold and italic, heading marks, indents and list markers."""
-    for pattern, by in ((r"'{2,}", ""), (r"={2,}", ""), (r"\n:+", "\n"), (r"\n(\*+)[^a-zA-Z0-9_]*", "\n")):
+    for pattern, by in ((r"'{2,}", ""), (r"={2,}", ""), (r"\n:+", "\n"), (r"\n(\*+)\W*", "\n")):
         s = F.regexp_replace(s, pattern, by)
     return s
 
@@ -143,7 +143,7 @@ def strip_list_items(s: Column) -> Column:
 
 
 def strip_orphaned_brackets(s: Column) -> Column:
-    return F.regexp_replace(s, r"\([^a-zA-Z0-9_]*?\)", "")
+    return F.regexp_replace(s, r"\(\W*?\)", "")
 
 
 def strip_magic_words(s: Column) -> Column:
@@ -165,14 +165,22 @@ def strip_sections(s: Column) -> Column:
 
 
 def strip_indented_start(s: Column) -> Column:
-    """Lines at the beginning that are blank or indented by a colon or white space."""
-    return F.regexp_replace(s, r"\A(?:(?:[ \t:][^\n]*)?\n)+", "")
+    """Whole lines at the beginning go that hold no word, or none before their first colon or asterisk."""
+    return F.regexp_replace(s, r"\A(?:[^\w\n]*(?:[:*][^\n]*)?\n)+", "")
 
 
 # --- terms and phrases --------------------------------------------------------------------------------------------
-def ascii_tokens(text: Column) -> Column:
-    """Runs of ASCII letters and digits in lower case."""
-    return F.filter(F.split(F.lower(F.regexp_replace(text, "[^A-Za-z0-9]+", " ")), " "), lambda t: t != "")
+def word_tokens(text: Column) -> Column:
+    """Runs of letters, marks and digits of any script, in lower case; the last form of sigma and the dotted capital I
+    are folded, as their lower case depends on where they stand and on the language."""
+    spaced = F.translate(F.regexp_replace(text, r"[^\p{L}\p{M}\p{N}]+", " "), "\u0130", "I")
+    return F.filter(F.split(F.translate(F.lower(spaced), "\u03c2", "\u03c3"), " "), lambda t: t != "")
+
+
+#: The same in the SQL that queries are compared with, of a column ``text``.
+WORD_TOKENS_SQL = (
+    "list_filter(string_split(replace(lower(replace(regexp_replace(text, '[^\\p{L}\\p{M}\\p{N}]+', ' ', 'g'), '\u0130', 'I')), '\u03c2', '\u03c3'), ' '), lambda t: t <> '')"
+)
 
 
 def remove_words(tokens: Column, words: list[str]) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -144,17 +146,15 @@ def q_txt_strip_lines(spark, d):
 
 
 def q_txt_strip_sections(spark, d):
-    s = T.strip_indented_start(T.strip_headings(T.strip_sections(F.col("text"))))
-    return _cur(spark, d).select("id", F.length(s).alias("chars"))
+    return _cur(spark, d).select("id", T.strip_sections(F.col("text")).alias("text"))
 
 
-def q_txt_strip_balanced(spark, d):
-    s = F.col("text")
-    return _cur(spark, d).select(
-        "id", F.length(balanced.strip_templates(s)).alias("templates"), F.length(balanced.strip_tables(s)).alias("tables"),
-        F.length(balanced.strip_links(s)).alias("links"), F.length(balanced.strip_isolated_links(s)).alias("isolated"),
-        F.length(balanced.strip_non_article_links(s)).alias("prefixed"), F.length(balanced.strip_image_links(s)).alias("images"),
-    )
+def q_txt_strip_start(spark, d):
+    return _cur(spark, d).select("id", T.strip_indented_start(F.col("text")).alias("text"))
+
+
+def _stripped(strip):
+    return lambda spark, d: _cur(spark, d).select("id", strip(F.col("text")).alias("text"))
 
 
 def q_txt_strip_everything(spark, d):
@@ -215,7 +215,10 @@ QUERIES = {
     "txt_strip_html": q_txt_strip_html, "txt_strip_refs": q_txt_strip_refs, "txt_strip_comments": q_txt_strip_comments,
     "txt_strip_external_links": q_txt_strip_external_links, "txt_strip_formatting": q_txt_strip_formatting,
     "txt_collapse_newlines": q_txt_collapse_newlines, "txt_strip_lines": q_txt_strip_lines, "txt_strip_sections": q_txt_strip_sections,
-    "txt_strip_balanced": q_txt_strip_balanced, "txt_strip_everything": q_txt_strip_everything,
+    "txt_strip_start": q_txt_strip_start, "txt_strip_templates": _stripped(balanced.strip_templates), "txt_strip_tables": _stripped(balanced.strip_tables),
+    "txt_strip_links": _stripped(balanced.strip_links), "txt_strip_isolated_links": _stripped(balanced.strip_isolated_links),
+    "txt_strip_non_article_links": _stripped(balanced.strip_non_article_links), "txt_strip_images": _stripped(balanced.strip_image_links),
+    "txt_strip_everything": q_txt_strip_everything,
     "phrase_normalize": q_phrase_normalize, "title_canonicalize": q_title_spaces, "category_clean": q_category_clean,
     "page_filter": q_page_filter, "index_projection": q_index_projection, "id_title_lookup": q_id_title_lookup,
     "redirect_follow": q_redirect_follow, "gold_clean": q_gold_clean, "valid_titles": q_valid_titles,
@@ -249,7 +252,40 @@ def _digest(expr: str) -> str:
     return f"{_C} select id, md5({expr}) as digest from cur"
 
 
+def _balanced_sql(opener: str, closer: str, by: str) -> str:
+    """Outermost balanced spans by running sums: the depth after each mark is its sum less the least sum so far.
+
+    ``by`` is an expression of inside, before (all text before the span) and after (all text behind it).
+    """
+    marks = f"{re.escape(opener)}|{re.escape(closer)}"
+    return rf"""{_C}, cut as (select id, text, regexp_split_to_array(text, '{marks}') as parts, regexp_extract_all(text, '{marks}') as marks from cur where text is not null),
+      flat as (select id, text, unnest(range(0, len(parts))) as i, unnest(parts) as part, unnest(list_prepend('', marks)) as mark from cut),
+      summed as (select *, sum(case mark when '{opener}' then 1 when '{closer}' then -1 else 0 end) over w as s, sum(length(mark) + length(part)) over w - length(part) as spot from flat window w as (partition by id order by i)),
+      least_sums as (select *, s - least(0, min(s) over (partition by id order by i)) as depth from summed),
+      marked as (select *, lag(depth, 1, 0) over (partition by id order by i) as above, max(i) filter (depth = 0) over (partition by id) as settled from least_sums),
+      spans as (select *, count(*) filter (above = 0 and depth = 1) over (partition by id order by i) as span, depth > 0 or above > 0 as inner_mark from marked where i <= settled),
+      texts as (select id, text, span, string_agg(case when above = 0 and depth = 1 then part when depth = 0 and above = 1 then '' else mark || part end, '' order by i) as inside,
+          min(spot) - 2 as b, max(spot) as e from spans where depth > 0 or (depth = 0 and above = 1) group by all),
+      swapped as (select id, span, {by} as new from (select *, left(text, cast(b as bigint)) as before, substr(text, cast(e as bigint) + 1) as after from texts)),
+      pieces as (select id, i, case when depth = 0 and above = 0 then mark || part when depth = 0 then part end as piece from spans where depth = 0
+        union all select id, s.i, w.new from spans s join swapped w using (id, span) where s.above = 0 and s.depth = 1
+        union all select id, i, mark || part from marked where i > settled)
+      select id, string_agg(piece, '' order by i) as text from pieces group by id union all select id, null from cur where text is null"""
+
+
+_SHOWN = """case when position(':' in inside) > 1 then substr(inside, position(':' in inside) + 1) else inside end"""
+_AFTER_PIPE = f"case when regexp_matches({_SHOWN}, '(?s)^.+[|]') then regexp_replace({_SHOWN}, '(?s)^.*[|]', '') else {_SHOWN} end"
+
+
 SQL = {
+    "txt_strip_start": rf"""{_C} select id, regexp_replace(text, '\A(?:[^\w\n]*(?:[:*][^\n]*)?\n)+', '') as text from cur""",
+    "txt_strip_templates": _balanced_sql("{{", "}}", "''"),
+    "txt_strip_tables": _balanced_sql("{|", "|}", "''"),
+    "txt_strip_links": _balanced_sql("[[", "]]", f"case when lower(left(inside, 6)) = 'image:' then '' else {_AFTER_PIPE} end"),
+    "txt_strip_isolated_links": _balanced_sql("[[", "]]", r"""case when right(before, 1) = chr(10) and (length(after) <= 1
+      or regexp_matches(left(after, cast(least(10, length(after) - 1) as bigint)), '\A\W*(?:\n|\z)')) then '' else '[[' || inside || ']]' end"""),
+    "txt_strip_non_article_links": _balanced_sql("[[", "]]", f"case when position(':' in inside) = 0 then '[[' || inside || ']]' when position(':' in inside) > 1 then '' else {_AFTER_PIPE} end"),
+    "txt_strip_images": _balanced_sql("[[", "]]", "case when lower(left(inside, 6)) = 'image:' then '' else '[[' || inside || ']]' end"),
     "txt_links": f"{_C} select id, split_part(link, '#', 1) as link, count(*) as n from (select id, unnest({_TARGETS}) as link from cur) group by all",
     "txt_linktext": f"""{_C} select id, shown, count(*) as n from (select id, unnest(list_transform(list_filter({_LINKS},
       lambda x: not contains(split_part(x, '|', 1), 'Image:')), lambda x: regexp_replace(x, '^[^|]*\\|', ''))) as shown from cur) group by all""",

@@ -235,7 +235,7 @@ def _lda(spark, d):
 
     from relata.functions import text as T
 
-    docs = table(spark, d, "documents").select("doc_id", F.col("text").isNotNull().alias("has"), T.ascii_tokens(F.coalesce("text", F.lit(""))).alias("words"))
+    docs = table(spark, d, "documents").select("doc_id", F.col("text").isNotNull().alias("has"), T.word_tokens(F.coalesce("text", F.lit(""))).alias("words"))
     counter = CountVectorizer(inputCol="words", outputCol="features", vocabSize=ALL_TERMS, minDF=5.0, maxDF=0.5)
     terms = counter.fit(docs.where("has"))
     counted = terms.transform(docs).drop("words").cache()

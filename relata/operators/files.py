@@ -93,7 +93,6 @@ QUERIES = {
     "standard_analyzer": q_standard_analyzer, "stemmed_analyzer": q_stemmed_analyzer, "link_flags": q_link_flags,
 }
 
-_TOKENS = "list_filter(string_split(lower(regexp_replace(text, '[^A-Za-z0-9]+', ' ', 'g')), ' '), lambda t: t <> '')"
 _DICT = r"""cnt as (select text, article, count(*) as num from (select trim(lower(regexp_replace(anchor, '[^\p{L}\p{N}]+', ' ', 'g'))) as text,
   trim(regexp_replace(split_part(target_title, '#', 1), '[\s_\x{a0}]+', ' ', 'g')) as article from links) where text <> '' and article <> '' and not contains(article, 'Image:') group by all),
 dict as (select text, article, num, cast(sum(num) over (partition by text) as bigint) as den from cnt)"""
@@ -108,6 +107,6 @@ SQL = {
     "result_lines": """select phrase1, phrase2, score, gold from (select phrase1, phrase2, max(similarity) as gold, min(id1) as id1, min(id2) as id2 from gold group by all)
       join (select id1, id2, max(similarity) as score from sims where metric = 'category' group by all) using (id1, id2) where isfinite(score)""",
     "query_language": L.EDGES_SQL + f", tp as (select id, title, {_TYPE} as type from cur) select id, title, ninlinks from tp join inl using (id) where type = 'normal' and ninlinks between 3 and 20",
-    "standard_analyzer": f"select term, count(*) as n from (select unnest({_TOKENS}) as term from documents) where term not in ({', '.join(repr(w) for w in STANDARD_STOP_WORDS)}) group by 1",
+    "standard_analyzer": f"select term, count(*) as n from (select unnest({T.WORD_TOKENS_SQL}) as term from documents) where term not in ({', '.join(repr(w) for w in STANDARD_STOP_WORDS)}) group by 1",
     "link_flags": "select query_id, max(abs(rank)) as num, max(query_id) as den from neighbours where rank is not null and query_id is not null group by 1",
 }

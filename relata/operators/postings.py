@@ -121,7 +121,7 @@ def _doc_index(spark, d):
 
 def _materialized(docs):
     """(docs, postings, statistics): the postings are written once, as searches read them several times."""
-    index = reliable(postings(docs, T.ascii_tokens(F.col("text"))))
+    index = reliable(postings(docs, T.word_tokens(F.col("text"))))
     return docs, index, with_size(term_stats(index), docs)
 
 
@@ -135,11 +135,11 @@ def q_doc_count(spark, d):
 
 
 def q_term_doc_freq(spark, d):
-    return term_stats(postings(_docs(spark, d), T.ascii_tokens(F.col("text"))))
+    return term_stats(postings(_docs(spark, d), T.word_tokens(F.col("text"))))
 
 
 def q_term_freq(spark, d):
-    return postings(_docs(spark, d), T.ascii_tokens(F.col("text"))).groupBy("term").agg(F.sum("tf").cast("bigint").alias("total"), F.max("tf").alias("most"))
+    return postings(_docs(spark, d), T.word_tokens(F.col("text"))).groupBy("term").agg(F.sum("tf").cast("bigint").alias("total"), F.max("tf").alias("most"))
 
 
 def q_mlt_term_selection(spark, d):
@@ -147,10 +147,14 @@ def q_mlt_term_selection(spark, d):
     return select_terms(index.where(F.col("id") % SEARCH_STEP == 0), stats, TermRule()).select("id", "term", "tf", "df")
 
 
-def q_text_most_similar_topk(spark, d):
+def most_similar_documents(spark, d, every: int = SEARCH_STEP):
+    """(query_id, id, score, rank): for each document whose id is divisible by ``every`` its nearest, of all documents."""
     docs, index, stats = _doc_index(spark, d)
-    asked = select_terms(index.where(F.col("id") % SEARCH_STEP == 0), stats, TermRule()).withColumnRenamed("id", "query_id")
-    return top_k(matches(asked, index, stats), K)
+    return top_k(matches(select_terms(index.where(F.col("id") % every == 0), stats, TermRule()).withColumnRenamed("id", "query_id"), index, stats), K)
+
+
+def q_text_most_similar_topk(spark, d):
+    return most_similar_documents(spark, d)
 
 
 def gold_pairs(spark, d):
@@ -178,7 +182,7 @@ def phrases(spark, d):
 def phrase_vectors(spark, d, limit):
     """Records for each phrase, best first: (query_id = the phrase, id, score, rank)."""
     docs, index, stats = _page_index(spark, d)
-    words = phrases(spark, d).select(F.col("phrase").alias("id"), F.explode(T.ascii_tokens(F.col("phrase"))).alias("term"))
+    words = phrases(spark, d).select(F.col("phrase").alias("id"), F.explode(T.word_tokens(F.col("phrase"))).alias("term"))
     asked = words.groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf")).join(stats, "term").withColumnRenamed("id", "query_id")
     return top_k(matches(asked, index, stats), limit)
 
@@ -218,7 +222,7 @@ QUERIES = {
     "esa_most_similar": q_esa_most_similar, "valid_id_filter": q_valid_id_filter,
 }
 
-_TOKENS = "list_filter(string_split(lower(regexp_replace(text, '[^A-Za-z0-9]+', ' ', 'g')), ' '), lambda t: t <> '')"
+_TOKENS = T.WORD_TOKENS_SQL
 _INDEX = f"""
 post as (select term, id, count(*) as tf from (select id, unnest({_TOKENS}) as term from docs) group by all),
 stats as (select term, count(*) as df, (select count(*) from docs) as n from post group by 1),
@@ -243,7 +247,7 @@ ranked as (select *, row_number() over (partition by query_id order by score des
 _ASKED = "asked as (select id as query_id, term, w from selected where id % 50 = 0)"
 _PHRASES = f"""phr as (select distinct phrase from (select phrase1 as phrase from gold union all select phrase2 from gold) where phrase is not null),
 asked as (select query_id, term, (1 + ln(tf)) * ln(n / df) as w from (select phrase as query_id, term, count(*) as tf from
-  (select phrase, unnest({_TOKENS.replace('text', 'phrase')}) as term from phr) group by all) join stats using (term))"""
+  (select phrase, unnest({_TOKENS.replace('(text,', '(phrase,')}) as term from phr) group by all) join stats using (term))"""
 _PRUNED = """best as (select query_id, max(score) as top from ranked group by 1),
 cuts as (select query_id, min(rank) as cut from (select *, lead(score, 100) over (partition by query_id order by rank) as later from ranked where rank <= 5000)
   join best using (query_id) where score - later < 0.005 * top group by 1),

@@ -16,6 +16,7 @@ def build_session(cpus: str | int = "*", shuffle_partitions: int = 8, app: str =
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("RELATA_DRIVER_MEMORY", "6g"))
@@ -27,15 +28,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def reliable(df: DataFrame) -> DataFrame:
-    """Cut lineage with a checkpoint in the shared folder of ``spark.checkpoint.dir``.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate data that all executors reach: that of ``spark.checkpoint.dir``.
 
-    The folder named by the cluster is used as it is. Only where none is set (tests, one machine) a folder of
-    this machine takes its place.
+    Only a session on this machine alone may do without one; a folder of this machine then takes its place.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if not context.getCheckpointDir():
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="relata-checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not context.master.startswith("local[") and context.master != "local":
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors reach")
+            folder = tempfile.mkdtemp(prefix="relata-checkpoint-")
+        context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def reliable(df: DataFrame) -> DataFrame:
+    """Cut lineage with a checkpoint in the shared folder. What is no longer referred to is removed by Spark where
+    ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -23,7 +23,7 @@ def merge_term_counts(pages: DataFrame, out: str, checkpoint: str) -> StreamingQ
     """Term counts of each micro-batch of pages (id, text); runs until all files that are there are read."""
 
     def write(batch: DataFrame, number: int) -> None:
-        words = batch.where("text is not null").select("id", F.explode(T.ascii_tokens(F.col("text"))).alias("term"))
+        words = batch.where("text is not null").select("id", F.explode(T.word_tokens(F.col("text"))).alias("term"))
         counts = words.groupBy("term").agg(F.count(F.lit(1)).alias("tf"), F.countDistinct("id").alias("df"))
         counts.write.mode("overwrite").parquet(f"{out}/batch={number}")
 

@@ -130,6 +130,6 @@ def test_stream_counts_equal_batch(spark, tmp_path):
     S.merge_term_counts(stream, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     from relata.functions import text as T
 
-    words = pages.where("text is not null").select(F.explode(T.ascii_tokens(F.col("text"))).alias("term"))
+    words = pages.where("text is not null").select(F.explode(T.word_tokens(F.col("text"))).alias("term"))
     assert rows_of(S.term_counts(spark, str(tmp_path / "out")).select("term", "tf")) == rows_of(words.groupBy("term").agg(F.count(F.lit(1)).alias("tf")))
     assert S.arrivals(pages).agg(F.sum("pages")).first()[0] == pages.where("loaded is not null").count()

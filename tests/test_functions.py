@@ -53,14 +53,15 @@ def test_stripping(spark):
     assert one(spark, "'''a''' == b ==\n:c\n** d", T.strip_formatting) == "a  b \nc\nd"
     assert one(spark, "x\n== See also ==\n* y\n== Next ==\nz", lambda c: T.strip_section(c, "see also")) == "x\n\n== Next ==\nz"
     assert one(spark, "a\n\n\n\nb", T.collapse_newlines) == "a\n\nb"
-    assert one(spark, ":x\n  y\nz", T.strip_indented_start) == "z"
+    assert one(spark, ":x\n \n ''* y: w\n--\n  z\n:a", T.strip_indented_start) == "  z\n:a"
 
 
 def test_balanced():
     assert balanced.cut_balanced("a{{b{{c}}d}}e{{f", "{{", "}}") == "ae{{f"
-    assert balanced.replace_links("x [[a|b]] [[c]] [[image:d|e [[f]] g]] [[:h]]") == "x b c  h"
-    assert balanced.replace_links("[[a]]\nx [[b]]", isolated=True) == "\nx [[b]]"
-    assert balanced.replace_links("[[w:a]] [[:b]] [[c]]", kinds="prefixed") == " b [[c]]"
+    assert balanced.cut_balanced("a}}b{{c{{d}}e", "{{", "}}") == "a}}b{{c{{d}}e"
+    assert balanced.replace_links("x [[a|b]] [[c]] [[Image:d|e [[f]] g]] [[:h]] [[Foo|x: y]] [[p:q|r]]") == "x b c  :h  y r"
+    assert balanced.replace_links("[[a]]\nx [[b]]\n[[c]].\n[[d]] e\n[[f]]", "isolated") == "[[a]]\nx [[b]]\n.\n[[d]] e\n"
+    assert balanced.replace_links("[[w:a]] [[:b|d]] [[c]] [[x|y: z]]", "prefixed") == " d [[c]] "
 
 
 def test_strip_everything(spark):

@@ -108,7 +108,7 @@ def test_tail_pruning(spark, n):
 
 def test_same_text_is_nearest(spark):
     docs = spark.createDataFrame([(i, f"common word{i % 7} word{i % 7} rare{i} rare{i} rest{i % 3}") for i in range(30)], "id int, text string")
-    index = postings.postings(docs, postings.T.ascii_tokens(F.col("text")))
+    index = postings.postings(docs, postings.T.word_tokens(F.col("text")))
     stats = postings.with_size(postings.term_stats(index), docs)
     asked = postings.select_terms(index, stats, postings.TermRule(min_df=1, max_percent=50)).withColumnRenamed("id", "query_id")
     top = postings.top_k(postings.matches(asked, index, stats), 1)
