@@ -105,14 +105,13 @@ class LinkMeasure(Measure):
         if kind not in self.KINDS:
             raise ValueError(f"unknown kind of link measure: {kind}")
         self.name, self.kind, self.edges = name, kind, edges
-        self.n = pages.select("id").distinct().agg(F.count(F.lit(1)).alias("n"))
         self.pages = pages.select("id").distinct()
 
     def raw_similarity(self, pairs):
         inward = self.kind == "milne_witten"
         ends = ("dst", "src") if inward else ("src", "dst")
         sets = self.edges.select(F.col(ends[0]).alias("id"), F.col(ends[1]).alias("link"))
-        return links.link_overlap(pairs, sets, self.n, 3 if inward else 0).select("id1", "id2", self.KINDS[self.kind]().alias("score"))
+        return links.link_overlap(pairs, sets, self.pages, 3 if inward else 0).select("id1", "id2", self.KINDS[self.kind]().alias("score"))
 
     def raw_most_similar(self, queries, valid, k=DEFAULT_RESULTS):
         index = self.edges.select(F.col("dst").alias("term"), F.col("src").alias("id"), F.lit(1).cast("bigint").alias("tf"))
@@ -120,22 +119,22 @@ class LinkMeasure(Measure):
 
 
 class CategoryMeasure(Measure):
-    def __init__(self, name: str, member: DataFrame, up: DataFrame):
-        self.name, self.member = name, member
-        self.costs = reliable(graph.rank_costs(graph.vocabulary(up, member), up))
-        self.ways = graph.up_distances(up, self.costs)
+    def __init__(self, name: str, member: DataFrame, up: DataFrame, ids: DataFrame, costs: DataFrame | None = None):
+        self.name, self.member, self.up, self.ids = name, member, up, ids.select("id").where("id is not null").distinct()
+        self.costs = reliable(graph.rank_costs(graph.vocabulary(up, member), up)) if costs is None else costs
         self.least = self.costs.agg(F.min("cost").alias("least"))
 
     def _scored(self, df):
         return df.join(F.broadcast(self.least)).withColumn("score", M.distance_score(F.col("distance"), F.col("least")))
 
     def raw_similarity(self, pairs):
-        pages = graph.page_up_distances(self.member, self.costs, self.ways)
-        return self._scored(graph.pair_distances(pairs, pages, self.costs)).select("id1", "id2", "score")
+        wanted = pairs.select(F.explode(F.array("id1", "id2")).alias("id")).distinct()
+        pages = graph.up_distances(self.member.join(wanted, "id", "left_semi"), self.costs, graph.steps_up(self.up, self.costs))
+        return graph.known_or_zero(self._scored(graph.pair_distances(pairs, pages, self.costs)), self.ids)
 
     def raw_most_similar(self, queries, valid, k=DEFAULT_RESULTS):
         member = self.member if valid is None else self.member.join(valid.select("id").union(queries.select(F.col("query_id"))).distinct(), "id", "left_semi")
-        return self._scored(graph.most_similar_pages(queries, member, self.costs, self.ways, k)).select("query_id", "id", "score")
+        return self._scored(graph.most_similar_pages(queries, member, self.costs, self.up, k)).select("query_id", "id", "score")
 
 
 class PairwiseMeasure(Measure):
@@ -341,7 +340,7 @@ class Engine:
         return LinkMeasure("links", self.edges(), self.table("pages").where("id is not null"), c.string("similarity", "google"))
 
     def _category(self, c: Config) -> Measure:
-        return CategoryMeasure("category", graph.memberships(self.table("page_cat")), graph.parents(self.table("cat_parent")))
+        return CategoryMeasure("category", graph.memberships(self.table("page_cat")), graph.parents(self.table("cat_parent")), self.table("pages"))
 
     def _pairwise(self, c: Config) -> Measure:
         return PairwiseMeasure("pairwise", matrix.neighbour_matrix(self.spark, self.folder, c.string("matrix", "esa")))

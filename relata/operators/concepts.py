@@ -166,7 +166,7 @@ def q_single_disambiguate(spark, d):
 def q_pair_disambiguate(spark, d):
     pairs = table(spark, d, "gold").where("phrase1 is not null and phrase2 is not null").select(F.col("phrase1").alias("a"), F.col("phrase2").alias("b")).distinct()
     e = L.edges(table(spark, d, "links"), title_ids(table(spark, d, "pages"))).select(F.col("src").alias("id"), F.col("dst").alias("link"))
-    n = L.page_count(spark, d)
+    n = L.page_ids(spark, d)
     return disambiguate(pairs, _mapped(spark, d), lambda ids: L.link_overlap(ids, e, n).select("id1", "id2", L.jaccard().alias("score")))
 
 

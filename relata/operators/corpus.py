@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from relata.functions import balanced
 from relata.functions import text as T
 from relata.functions.titles import canonical_title, present
-from relata.session import table
+from relata.session import reliable, table
 
 MIN_WORDS, MIN_LINKS = 20, 2
 
@@ -59,18 +59,29 @@ def title_ids(pages: DataFrame) -> DataFrame:
     return titled.select(canonical_title(F.col("title")).alias("title"), "id").where(present(F.col("title"))).groupBy("title").agg(F.min("id").alias("id"))
 
 
-def follow_redirects(moves: DataFrame, hops: int = 10) -> DataFrame:
+def follow_redirects(moves: DataFrame, hops: int = 10, known: DataFrame | None = None) -> DataFrame:
     """(title, target, steps): each title followed through ``moves`` (title, to) for at most ``hops`` hops.
 
-    A loop just stops after so many hops. Each title has one row in moves. Rounds stop early once nothing moves.
+    A loop just stops after so many hops. Each title has one row in moves. Ways of 1, 2, 4 ... hops are joined, so ten
+    hops take four joins. If ``known`` (title) is given, target is NULL where the way ends at a title that isn't in it.
     """
-    out = moves.select("title", F.col("to").alias("target"), F.lit(1).alias("steps"))
-    for _ in range(hops - 1):
-        step = moves.select(F.col("title").alias("at"), F.col("to").alias("next"))
-        out = out.join(step, out["target"] == step["at"], "left").select(
-            "title", F.coalesce("next", "target").alias("target"), (F.col("steps") + F.col("next").isNotNull().cast("int")).alias("steps")
+    def then(first: DataFrame, second: DataFrame) -> DataFrame:
+        on = second.select(F.col("title").alias("at"), F.col("target").alias("next"), F.col("steps").alias("more"))
+        return first.join(on, first["target"] == on["at"], "left").select(
+            "title", F.coalesce("next", "target").alias("target"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps")
         )
-    return out
+
+    power = moves.select("title", F.col("to").alias("target"), F.lit(1).alias("steps"))
+    out = None
+    while hops:
+        if hops & 1:
+            out = power if out is None else then(out, power)
+        hops >>= 1
+        power = reliable(then(power, power)) if hops else power
+    if known is None:
+        return out
+    here = known.select(F.col("title").alias("target"), F.lit(True).alias("here"))
+    return out.join(here, "target", "left").select("title", F.when(F.col("here"), F.col("target")).alias("target"), "steps")
 
 
 # --- queries ------------------------------------------------------------------------------------------------------
@@ -194,7 +205,7 @@ def q_redirect_follow(spark, d):
     cur = current_pages(_pages(spark, d).select("id", "title", "redirect", "touched", "loaded", F.lit(None).cast("string").alias("text")))
     moves = cur.select(canonical_title(F.col("title")).alias("title"), canonical_title(F.col("redirect")).alias("to"))
     moves = moves.where(present(F.col("title")) & present(F.col("to"))).groupBy("title").agg(F.min("to").alias("to"))
-    return follow_redirects(moves)
+    return follow_redirects(moves, known=title_ids(_pages(spark, d)).select("title"))
 
 
 def q_gold_clean(spark, d):
@@ -323,7 +334,7 @@ SQL = {
         where redirect is not null and {_CANON.format('title')} <> '' and {_CANON.format('redirect')} <> '' group by 1),
       f as (select title, dest as target, 1 as steps from m
         union all select f.title, m.dest, steps + 1 from f join m on m.title = f.target where steps < 10)
-      select title, arg_max(target, steps) as target, max(steps) as steps from f group by 1""",
+      select title, case when target in (select {_CANON.format('title')} from cur) then target end as target, steps from (select title, arg_max(target, steps) as target, max(steps) as steps from f group by 1)""",
     "gold_clean": """select lower(replace(least(phrase1, phrase2), '_', ' ')) as a, lower(replace(greatest(phrase1, phrase2), '_', ' ')) as b, similarity from gold""",
     "valid_titles": f"""{_C} select id, title from cur where {_TYPE} = 'normal' and ns = 0 and title is not null
       and not regexp_matches(title, '^(?:[0-9]{{4}}|January|February|March|April|May|June|July|August|September|October|November|December)')

@@ -7,11 +7,15 @@ from pyspark.sql import functions as F
 
 from relata.functions import maths as M
 from relata.functions.titles import canonical_category, present
+from relata.operators.matrix import dense_ids
 from relata.operators.postings import K, SEARCH_STEP
 from relata.session import reliable, table
 
 DAMPING, ROUNDS = 0.85, 20
-MAX_DOUBLINGS = 40
+#: Ways of up to 2 ** SQUARINGS steps are joined at a time.
+SQUARINGS = 3
+#: Rounds after which distances that still change are an error.
+MAX_ROUNDS = 10_000
 
 # --- fixed values: names of the categories nearest the root ------------------------------------------------------
 TOP_LEVEL = (
@@ -60,32 +64,44 @@ def rank_costs(cats: DataFrame, up: DataFrame, damping: float = DAMPING, rounds:
     return ranks.select("cat", (1 / -F.log("rank")).alias("cost"))
 
 
-def up_distances(up: DataFrame, costs: DataFrame) -> DataFrame:
-    """(cat, top, d): for each category and each one above it, the least sum of the costs entered on the way up.
+def steps_up(up: DataFrame, costs: DataFrame, squarings: int = SQUARINGS) -> DataFrame:
+    """(cat, top, d): the cheapest ways up of at most 2 ** squarings steps, by the costs of the categories entered.
 
-    Distances are squared: each round joins ways of up to n steps with ways of up to n steps, so a hierarchy of depth
-    n takes log2(n) rounds. A category reaches itself at 0. Costs are positive, so loops end. It is an error if
-    distances still change after MAX_DOUBLINGS rounds.
+    A bounded number of steps keeps this table near the size of the hierarchy, whatever its depth and its loops.
     """
-    steps = up.join(costs.select(F.col("cat").alias("parent"), "cost"), "parent").select(F.col("child").alias("cat"), F.col("parent").alias("top"), F.col("cost").alias("d"))
-    ways = reliable(steps.unionByName(costs.select("cat", F.col("cat").alias("top"), F.lit(0.0).alias("d"))).groupBy("cat", "top").agg(F.min("d").alias("d")))
-    # Decimals, as a sum of doubles differs with the order of the rows.
-    total = F.sum(F.col("d").cast("decimal(28,9)"))
-    size = ways.agg(F.count(F.lit(1)), total).first()
-    for _ in range(MAX_DOUBLINGS):
-        more = ways.select("cat", F.col("top").alias("mid"), "d").join(ways.select(F.col("cat").alias("mid"), "top", F.col("d").alias("e")), "mid")
-        ways = reliable(more.groupBy("cat", "top").agg(F.min(F.col("d") + F.col("e")).alias("d")))
-        now = ways.agg(F.count(F.lit(1)), total).first()
-        if now == size:
-            return ways
-        size = now
+    one = up.join(costs.select(F.col("cat").alias("parent"), "cost"), "parent")
+    ways = one.select(F.col("child").alias("cat"), F.col("parent").alias("top"), F.col("cost").alias("d"))
+    for _ in range(squarings):
+        ways = reliable(ways)
+        further = ways.select("cat", F.col("top").alias("mid"), "d").join(ways.select(F.col("cat").alias("mid"), "top", F.col("d").alias("e")), "mid")
+        both = ways.unionByName(further.select("cat", "top", (F.col("d") + F.col("e")).alias("d")))
+        ways = both.where("cat <> top").groupBy("cat", "top").agg(F.min("d").alias("d"))
+    return reliable(ways)
+
+
+def up_distances(member: DataFrame, costs: DataFrame, steps: DataFrame) -> DataFrame:
+    """(id, top, d): the distance from each page of ``member`` (id, cat) to each category above it.
+
+    It is the least sum of the costs of the categories entered, the page's own category too. Only what the asked pages
+    reach is held: what became cheaper in a round is all that goes on in the next one. Costs are positive, so loops
+    end. It is an error if distances still change after MAX_ROUNDS rounds.
+    """
+    best = reliable(member.join(costs, "cat").groupBy("id", F.col("cat").alias("top")).agg(F.min("cost").alias("d")))
+    edge = best
+    for _ in range(MAX_ROUNDS):
+        further = edge.withColumnRenamed("top", "cat").join(steps.withColumnRenamed("d", "e"), "cat")
+        found = further.groupBy("id", "top").agg(F.min(F.col("d") + F.col("e")).alias("d"))
+        edge = reliable(_cheaper(found, best, ["id", "top"]))
+        if not edge.limit(1).count():
+            return best
+        best = reliable(best.unionByName(edge).groupBy("id", "top").agg(F.min("d").alias("d")))
     raise RuntimeError("distances didn't settle")
 
 
-def page_up_distances(member: DataFrame, costs: DataFrame, ways: DataFrame) -> DataFrame:
-    """(id, top, d): distance from a page to each category above it; entering the first category costs too."""
-    first = member.join(costs, "cat").select("id", "cat", "cost")
-    return first.join(ways, "cat").groupBy("id", "top").agg(F.min(F.col("cost") + F.col("d")).alias("d"))
+def _cheaper(found: DataFrame, best: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of ``found`` that are new or cheaper by more than what the order of a sum changes."""
+    known = best.select(*keys, F.col("d").alias("was"))
+    return found.join(known, keys, "left").where(F.col("was").isNull() | (F.col("d") < F.col("was") - 1e-12)).drop("was")
 
 
 def pair_distances(pairs: DataFrame, pages: DataFrame, costs: DataFrame) -> DataFrame:
@@ -98,27 +114,47 @@ def pair_distances(pairs: DataFrame, pages: DataFrame, costs: DataFrame) -> Data
     return out.select("id1", "id2", F.when(F.col("id1") == F.col("id2"), 0.0).otherwise(F.coalesce("distance", F.lit(float("inf")))).alias("distance"))
 
 
-def most_similar_pages(asked: DataFrame, member: DataFrame, costs: DataFrame, ways: DataFrame, k: int) -> DataFrame:
+def most_similar_pages(asked: DataFrame, member: DataFrame, costs: DataFrame, up: DataFrame, k: int) -> DataFrame:
     """(query_id, id, distance, rank): the k pages nearest to each asked page, going up and then down, never up again.
 
-    All pages of a category are equally far, so of each category only the k least ids can be among the k nearest: no
-    category, however large, brings more than k rows to a query. The asked page itself is at distance 0.
+    A search from all asked pages at once, step by step. Its state is the categories each query has met, on the way up
+    or down. As soon as a query has met k pages, nothing farther than the k-th of them goes on. All pages of a category
+    are equally far, so of each category only the k + 1 least ids can be among the k nearest: no category, however
+    large, brings more rows to a query. The asked page itself is at distance 0.
     """
-    mine = member.join(asked.select(F.col("query_id").alias("id")), "id", "left_semi")
-    tops = page_up_distances(mine, costs, ways).select(F.col("id").alias("query_id"), "top", F.col("d").alias("up"))
-    named = costs.select("cat", F.col("cost").alias("own"))
-    down = ways.join(costs.select(F.col("cat").alias("top"), F.col("cost").alias("top_cost")), "top").join(named, "cat").select(
-        "cat", "top", F.when(F.col("cat") == F.col("top"), 0.0).otherwise(F.col("d") - F.col("top_cost") + F.col("own")).alias("down")
-    )
     w = Window.partitionBy("cat").orderBy("id")
-    few = member.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k + 1).drop("rn")
-    held = down.join(few.select("cat").distinct(), "cat", "left_semi")
-    reached = tops.join(held, "top").groupBy("query_id", "cat").agg(F.min(F.col("up") + F.col("down")).alias("distance"))
-    found = reached.join(few, "cat").groupBy("query_id", "id").agg(F.min("distance").alias("distance"))
+    few = reliable(member.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k + 1).drop("rn"))
+    price = costs.select("cat", "cost")
+    ways = reliable(
+        up.join(price, up["parent"] == price["cat"]).select(F.col("child").alias("at"), F.col("parent").alias("cat"), F.col("cost").alias("e"), F.lit(False).alias("down"))
+        .unionByName(up.join(price, up["child"] == price["cat"]).select(F.col("parent").alias("at"), F.col("child").alias("cat"), F.col("cost").alias("e"), F.lit(True).alias("down")))
+    )
+    mine = member.join(asked.select(F.col("query_id").alias("id")), "id", "left_semi").join(price, "cat")
+    best = reliable(mine.groupBy(F.col("id").alias("query_id"), "cat").agg(F.min("cost").alias("d")).withColumn("down", F.lit(False)))
+    edge, keys = best, ["query_id", "cat", "down"]
+
+    def met(states: DataFrame) -> DataFrame:
+        nearest = states.groupBy("query_id", "cat").agg(F.min("d").alias("d"))
+        return nearest.join(few, "cat").where("id <> query_id").groupBy("query_id", "id").agg(F.min("d").alias("distance"))
+
+    for _ in range(MAX_ROUNDS):
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance"))
+        far = met(best).withColumn("rn", rank).where(F.col("rn") == k).select("query_id", F.col("distance").alias("far"))
+        here = edge.select("query_id", F.col("cat").alias("at"), "d", F.col("down").alias("fell"))
+        found = here.join(ways, "at").where("down or not fell").groupBy(*keys).agg(F.min(F.col("d") + F.col("e")).alias("d"))
+        near = found.join(far, "query_id", "left").where(F.col("far").isNull() | (F.col("d") <= F.col("far") + 1e-9)).drop("far")
+        # What was met as cheaply on the way up may go anywhere that it may on the way down.
+        risen = best.where("not down").select("query_id", "cat", F.col("d").alias("rose"))
+        free = near.join(risen, ["query_id", "cat"], "left").where(~F.col("down") | F.col("rose").isNull() | (F.col("d") < F.col("rose") - 1e-12)).drop("rose")
+        edge = reliable(_cheaper(free, best, keys).select(*best.columns))
+        if not edge.limit(1).count():
+            break
+        best = reliable(best.unionByName(edge).groupBy(*keys).agg(F.min("d").alias("d")))
+    else:
+        raise RuntimeError("distances didn't settle")
     own = asked.select("query_id", F.col("query_id").alias("id"), F.lit(0.0).alias("distance"))
-    both = found.where("id <> query_id").unionByName(own)
     last = Window.partitionBy("query_id").orderBy(F.round("distance", 9), "id")
-    return both.withColumn("rank", F.row_number().over(last)).where(F.col("rank") <= k)
+    return met(best).select("query_id", "id", "distance").unionByName(own).withColumn("rank", F.row_number().over(last)).where(F.col("rank") <= k)
 
 
 # --- queries ------------------------------------------------------------------------------------------------------
@@ -146,25 +182,59 @@ def q_category_cost(spark, d):
     return _costs(spark, d)[2].select("cat", F.round("cost", 6).alias("cost"))
 
 
+def _asked(member: DataFrame) -> DataFrame:
+    return member.where(F.col("id") % SEARCH_STEP == 0)
+
+
 def q_category_up_distance(spark, d):
+    """Every category above each fiftieth page."""
     member, up, costs = _costs(spark, d)
-    return up_distances(up, costs).select("cat", "top", F.round("d", 6).alias("d"))
+    return up_distances(_asked(member), costs, steps_up(up, costs)).select("id", "top", F.round("d", 6).alias("d"))
+
+
+def known_or_zero(scored: DataFrame, ids: DataFrame) -> DataFrame:
+    """Pairs with an id that no page has score 0, other than pairs of equal ids."""
+    for c in ("id1", "id2"):
+        scored = scored.join(ids.select(F.col("id").alias(c), F.lit(True).alias(f"has_{c}")), c, "left")
+    known = F.col("has_id1").isNotNull() & F.col("has_id2").isNotNull()
+    return scored.select("id1", "id2", F.when(known | (F.col("id1") == F.col("id2")), F.col("score")).otherwise(F.lit(0.0)).alias("score"))
 
 
 def q_category_similarity(spark, d):
     member, up, costs = _costs(spark, d)
     pairs = table(spark, d, "gold").where("id1 is not null and id2 is not null").select("id1", "id2").distinct()
     wanted = pairs.select(F.explode(F.array("id1", "id2")).alias("id")).distinct()
-    pages = page_up_distances(member.join(wanted, "id", "left_semi"), costs, up_distances(up, costs))
+    pages = up_distances(member.join(wanted, "id", "left_semi"), costs, steps_up(up, costs))
     least = costs.agg(F.min("cost").alias("least"))
     scored = pair_distances(pairs, pages, costs).join(F.broadcast(least))
-    return scored.select("id1", "id2", F.round(M.distance_score(F.col("distance"), F.col("least")), 5).alias("score"))
+    rated = scored.select("id1", "id2", F.round(M.distance_score(F.col("distance"), F.col("least")), 5).alias("score"))
+    return known_or_zero(rated, table(spark, d, "pages").select("id").where("id is not null").distinct())
 
 
 def q_category_most_similar(spark, d):
     member, up, costs = _costs(spark, d)
-    asked = member.where(F.col("id") % SEARCH_STEP == 0).select(F.col("id").alias("query_id")).distinct()
-    return most_similar_pages(asked, member, costs, up_distances(up, costs), K).select("query_id", "id", F.round("distance", 6).alias("distance"), "rank")
+    asked = _asked(member).select(F.col("id").alias("query_id")).distinct()
+    return most_similar_pages(asked, member, costs, up, K).select("query_id", "id", F.round("distance", 6).alias("distance"), "rank")
+
+
+def category_dump(member: DataFrame, up: DataFrame, costs: DataFrame) -> dict[str, DataFrame]:
+    """What a dump of the graph holds: links (cat, parent), ranked (place, cat, cost, pages), cheapest last, members (id, cat).
+
+    Places come from a range partitioning, so no task ranks all categories.
+    """
+    pages = vocabulary(up, member)
+    ordered = costs.join(pages, "cat").withColumn("by", F.struct("cost", "cat"))
+    places = dense_ids(ordered, "by").select(F.col("by.cat").alias("cat"), (F.col("dense_id") + 1).alias("place"))
+    return {"links": up.select(F.col("child").alias("cat"), "parent"), "ranked": costs.join(pages, "cat").join(places, "cat").select("place", "cat", "cost", "pages"), "members": member}
+
+
+def q_category_dump(spark, d):
+    """The dump's three parts as lines: what kind, then its columns."""
+    member, up, costs = _costs(spark, d)
+    parts = category_dump(member, up, reliable(costs.select("cat", F.round("cost", 6).alias("cost"))))
+    ranked = parts["ranked"].select(F.lit("ranked").alias("part"), F.col("cat").alias("a"), F.concat_ws(" ", "place", "pages").alias("b"))
+    links = parts["links"].select(F.lit("links").alias("part"), F.col("cat").alias("a"), F.col("parent").alias("b"))
+    return ranked.unionByName(links).unionByName(parts["members"].select(F.lit("members").alias("part"), F.col("cat").alias("a"), F.col("id").cast("string").alias("b")))
 
 
 def q_set_operations(spark, d):
@@ -187,7 +257,7 @@ def q_unvisited(spark, d):
 
 QUERIES = {
     "category_vocabulary": q_category_vocabulary, "category_pagerank_cost": q_category_cost, "category_up_distance": q_category_up_distance,
-    "category_similarity": q_category_similarity, "category_most_similar": q_category_most_similar, "unvisited_anti_join": q_unvisited,
+    "category_dump": q_category_dump, "category_similarity": q_category_similarity, "category_most_similar": q_category_most_similar, "unvisited_anti_join": q_unvisited,
     "set_operations": q_set_operations,
 }
 
@@ -211,10 +281,13 @@ SQL = {
       cat in ({', '.join(repr(c.lower()) for c in TOP_LEVEL)}) as is_top
       from cats left join (select child as cat, count(*) as n from up group by 1) a using (cat) left join (select parent as cat, count(*) as n from up group by 1) b using (cat)""",
     "category_pagerank_cost": f"{_RANKS} select cat, round(cost, 6) as cost from costs",
-    "category_up_distance": f"{_UP} select cat, top, round(d, 6) as d from dist",
+    "category_up_distance": f"{_UP}, {_PAGES} select id, top, round(d, 6) as d from pup where id % 50 = 0",
+    "category_dump": f"""{_RANKS}, rc as (select cat, round(cost, 6) as cost, pages from costs join cats using (cat))
+      select 'ranked' as part, cat as a, (row_number() over (order by cost, cat)) || ' ' || pages as b from rc union all select 'links', child, parent from up union all select 'members', cat, id || '' from member""",
     "category_similarity": f"""{_UP}, {_PAGES}, pairs as (select distinct id1, id2 from gold where id1 is not null and id2 is not null),
       met as (select id1, id2, min(a.d + b.d - c.cost) as distance from pairs join pup a on a.id = id1 join pup b on b.id = id2 and a.top = b.top join costs c on c.cat = a.top group by all)
-      select id1, id2, case when distance is null and id1 <> id2 then '-inf'::double else round(ln(greatest(case when id1 = id2 then 0 else distance end, least)) / ln(least), 5) end as score
+      select id1, id2, case when id1 <> id2 and not (id1 in (select id from pages where id is not null) and id2 in (select id from pages where id is not null)) then 0.0
+        when distance is null and id1 <> id2 then '-inf'::double else round(ln(greatest(case when id1 = id2 then 0 else distance end, least)) / ln(least), 5) end as score
       from pairs left join met using (id1, id2), (select min(cost) as least from costs)""",
     "category_most_similar": f"""{_UP}, {_PAGES}, down as (select t.cat, t.top, case when t.cat = t.top then 0 else t.d - a.cost + b.cost end as down from dist t join costs a on a.cat = t.top join costs b on b.cat = t.cat),
       reached as (select p.id as query_id, m.id, min(p.d + w.down) as distance from pup p join down w using (top) join member m on m.cat = w.cat where p.id % 50 = 0 and m.id <> p.id group by all

@@ -12,6 +12,7 @@ from relata.operators.corpus import _TYPE, CUR_SQL, current_pages, title_ids, wi
 from relata.session import table
 
 MIN_INLINKS = 3
+LIST_PART = 1_000
 
 
 def named_edges(links: DataFrame) -> DataFrame:
@@ -29,12 +30,14 @@ def inlink_counts(edge: DataFrame) -> DataFrame:
     return edge.groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("ninlinks"))
 
 
-def link_overlap(pairs: DataFrame, sets: DataFrame, n: DataFrame, min_df: int = 0) -> DataFrame:
-    """For each pair (id1, id2): sizes and weighted sums over the two sets of ``sets`` (id, link) and what they share.
+def link_overlap(pairs: DataFrame, sets: DataFrame, pages: DataFrame, min_df: int = 0) -> DataFrame:
+    """For each pair (id1, id2): sizes and weighted sums over the two sets of ``sets`` (id, link) and what they share,
+    and whether both are among ``pages`` (id), each once.
 
     The link's document frequency is joined once to the sets of the pages asked for, so hub links are rows of those
-    pages only. n: one row with the number of pages.
+    pages only.
     """
+    n = pages.agg(F.count(F.lit(1)).alias("n"))
     df = sets.groupBy("link").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") >= min_df)
     wanted = pairs.select(F.explode(F.array("id1", "id2")).alias("id")).distinct()
     own = sets.join(wanted, "id", "left_semi").join(df, "link").join(F.broadcast(n)).withColumns(
@@ -49,13 +52,16 @@ def link_overlap(pairs: DataFrame, sets: DataFrame, n: DataFrame, min_df: int =
     sa = sizes.select(F.col("id").alias("id1"), F.col("size").alias("na"), F.col("idf2").alias("ia"))
     sb = sizes.select(F.col("id").alias("id2"), F.col("size").alias("nb"), F.col("idf2").alias("ib"))
     joined = pairs.join(shared, ["id1", "id2"], "left").join(sa, "id1", "left").join(sb, "id2", "left").join(F.broadcast(n))
+    for c in ("id1", "id2"):
+        joined = joined.join(pages.select(F.col("id").alias(c), F.lit(True).alias(f"has_{c}")), c, "left")
+    joined = joined.withColumn("known", F.col("has_id1").isNotNull() & F.col("has_id2").isNotNull()).drop("has_id1", "has_id2")
     zero = {c: F.coalesce(F.col(c), F.lit(0)) for c in ("both", "na", "nb")}
     return joined.withColumns(zero)
 
 
 def _scored(value: Column) -> Column:
-    """0 for pairs that share nothing, NULL if a page has no links at all."""
-    return F.when((F.col("na") == 0) | (F.col("nb") == 0), None).when(F.col("both") == 0, 0.0).otherwise(F.round(value, 6))
+    """0 for pairs that share nothing, NULL if an id is no page's."""
+    return F.when(~F.col("known"), None).when(F.col("both") == 0, 0.0).otherwise(F.round(value, 6))
 
 
 def jaccard() -> Column:
@@ -85,8 +91,8 @@ def _edges(spark, d):
     return edges(table(spark, d, "links"), title_ids(table(spark, d, "pages")))
 
 
-def page_count(spark, d):
-    return table(spark, d, "pages").select("id").where("id is not null").agg(F.countDistinct("id").alias("n"))
+def page_ids(spark, d):
+    return table(spark, d, "pages").select("id").where("id is not null").distinct()
 
 
 def q_link_edges(spark, d):
@@ -99,9 +105,10 @@ def q_inlink_counts(spark, d):
 
 
 def q_inlink_lists(spark, d):
-    """In-link list of each page as one text; a hub's list is as long as the number of pages that link to it."""
-    lists = _edges(spark, d).groupBy(F.col("dst").alias("id")).agg(F.array_sort(F.collect_list("src")).alias("l"))
-    return lists.select("id", F.array_join(F.col("l").cast("array<string>"), ",").alias("inlinks"))
+    """In-link lists as texts, in parts of the linking ids from LIST_PART * part on: at most LIST_PART ids in a row."""
+    part = F.floor(F.col("src") / LIST_PART)
+    lists = _edges(spark, d).groupBy(F.col("dst").alias("id"), part.alias("part")).agg(F.array_sort(F.collect_list("src")).alias("l"))
+    return lists.select("id", "part", F.array_join(F.col("l").cast("array<string>"), ",").alias("inlinks"))
 
 
 def q_minlinks_prune(spark, d):
@@ -126,7 +133,7 @@ def q_inbound_text(spark, d):
 
 def _overlap(spark, d):
     e = _edges(spark, d)
-    return link_overlap(P.gold_pairs(spark, d), e.select(F.col("src").alias("id"), F.col("dst").alias("link")), page_count(spark, d))
+    return link_overlap(P.gold_pairs(spark, d), e.select(F.col("src").alias("id"), F.col("dst").alias("link")), page_ids(spark, d))
 
 
 def _measure(make):
@@ -136,7 +143,7 @@ def _measure(make):
 def q_link_milne_witten(spark, d):
     e = _edges(spark, d)
     sets = e.select(F.col("dst").alias("id"), F.col("src").alias("link"))
-    return link_overlap(P.gold_pairs(spark, d), sets, page_count(spark, d), min_df=3).select("id1", "id2", google(sigmoid=False).alias("score"))
+    return link_overlap(P.gold_pairs(spark, d), sets, page_ids(spark, d), min_df=3).select("id1", "id2", google(sigmoid=False).alias("score"))
 
 
 def q_link_most_similar(spark, d):
@@ -179,7 +186,7 @@ sh as (select id1, id2, count(*) as both_n, sum(a.idf2) as both_idf2, sum(a.info
 o as (select id1, id2, coalesce(both_n, 0) as i, both_idf2, both_info, coalesce(x.size, 0) as na, coalesce(y.size, 0) as nb, x.idf2 as ia, y.idf2 as ib, n
   from pairs left join sh using (id1, id2) left join siz x on x.id = id1 left join siz y on y.id = id2, num),
 d as (select *, case when i > 0 and na > 0 and nb > 0 and ln(n) - ln(least(na, nb)) > 0 then (ln(greatest(na, nb)) - ln(i)) / (ln(n) - ln(least(na, nb))) else 0 end as dist from o)
-select id1, id2, case when na = 0 or nb = 0 then null when i = 0 then 0.0 else round({score}, 6) end as score from d"""
+select id1, id2, case when not (id1 in (select id from ids) and id2 in (select id from ids)) then null when i = 0 then 0.0 else round({score}, 6) end as score from d"""
 
 
 _OUT, _IN = "select src as id, dst as link from e", "select dst as id, src as link from e"
@@ -187,7 +194,7 @@ _LOGODDS = "i * (ln(1.0 / na) + ln(1.0 / nb)) - 2 * both_info"
 SQL = {
     "link_edges": f"{EDGES_SQL} select src, dst from e",
     "inlink_counts": f"{EDGES_SQL} select id, ninlinks from inl",
-    "inlink_lists": f"{EDGES_SQL} select dst as id, string_agg(cast(src as varchar), ',' order by src) as inlinks from e group by 1",
+    "inlink_lists": f"{EDGES_SQL} select dst as id, cast(floor(src / {LIST_PART}) as bigint) as part, string_agg(cast(src as varchar), ',' order by src) as inlinks from e group by all",
     "minlinks_prune": f"{EDGES_SQL} select id from inl where ninlinks >= {MIN_INLINKS}",
     "link_neighbours": f"""{EDGES_SQL} select src_id, dst, cast(row_number() over (partition by src_id order by pos, dst) as int) as place from
       (select src_id, id as dst, min(pos) as pos from named join titles using (title) group by all)""",

@@ -95,7 +95,9 @@ def test_current_rows_and_clashing_columns(spark):
 def test_redirect_loops_stop(spark):
     moves = spark.createDataFrame([("a", "b"), ("b", "c"), ("x", "y"), ("y", "x")], "title string, to string")
     found = {r["title"]: (r["target"], r["steps"]) for r in corpus.follow_redirects(moves).collect()}
-    assert found["a"] == ("c", 2) and found["b"] == ("c", 1) and found["x"][1] == 10
+    assert found["a"] == ("c", 2) and found["b"] == ("c", 1) and found["x"] == ("x", 10)
+    known = spark.createDataFrame([("a",), ("b",), ("x",)], "title string")
+    assert {r["title"]: r["target"] for r in corpus.follow_redirects(moves, known=known).collect()} == {"a": None, "b": None, "x": "x", "y": None}
 
 
 @pytest.mark.parametrize("n", [3, 250])
@@ -119,17 +121,52 @@ def test_same_text_is_nearest(spark):
 def test_link_measures(spark):
     sets = {1: {10, 11, 12}, 2: {11, 12, 13, 14}, 3: {20}, 4: set()}
     rows = spark.createDataFrame([(i, x) for i, s in sets.items() for x in s], "id int, link int")
-    pairs = spark.createDataFrame([(1, 2), (1, 3), (1, 4)], "id1 int, id2 int")
-    n = spark.createDataFrame([(100,)], "n bigint")
-    got = {(r["id1"], r["id2"]): r["j"] for r in links.link_overlap(pairs, rows, n).select("id1", "id2", links.jaccard().alias("j")).collect()}
-    assert got == {(1, 2): round(2 / 6, 6), (1, 3): 0.0, (1, 4): None}
+    pairs = spark.createDataFrame([(1, 2), (1, 3), (1, 4), (1, 100)], "id1 int, id2 int")
+    pages = spark.range(100).select(F.col("id").cast("int").alias("id"))
+    got = {(r["id1"], r["id2"]): r["j"] for r in links.link_overlap(pairs, rows, pages).select("id1", "id2", links.jaccard().alias("j")).collect()}
+    assert got == {(1, 2): round(2 / 6, 6), (1, 3): 0.0, (1, 4): 0.0, (1, 100): None}
 
 
-def test_distances_upward(spark):
+@pytest.mark.parametrize("squarings", [0, 2])
+def test_distances_upward(spark, squarings):
     up = spark.createDataFrame([("c", "b"), ("b", "a"), ("c", "a"), ("a", "c")], "child string, parent string")
     costs = spark.createDataFrame([("a", 1.0), ("b", 0.2), ("c", 0.5)], "cat string, cost double")
-    d = {(r["cat"], r["top"]): round(r["d"], 6) for r in graph.up_distances(up, costs).collect()}
-    assert d["c", "a"] == 1.0 and d["c", "b"] == 0.2 and d["c", "c"] == 0.0 and d["b", "c"] == 1.5
+    member = spark.createDataFrame([(1, "c"), (2, "b")], "id int, cat string")
+    d = {(r["id"], r["top"]): round(r["d"], 6) for r in graph.up_distances(member, costs, graph.steps_up(up, costs, squarings)).collect()}
+    assert d == {(1, "c"): 0.5, (1, "b"): 0.7, (1, "a"): 1.5, (2, "b"): 0.2, (2, "a"): 1.2, (2, "c"): 1.7}
+
+
+def test_nearest_pages_are_those_of_all_ways(spark):
+    rng = random.Random(4)
+    cats = [f"c{i:02}" for i in range(30)]
+    links = {(c, rng.choice(cats)) for c in cats for _ in range(2)}
+    links = {x for x in links if x[0] != x[1]}
+    cost = {c: rng.choice([0.1, 0.3, 0.7, 1.1]) for c in cats}
+    member = {(i, rng.choice(cats)) for i in range(1, 60) for _ in range(2)}
+    inf = float("inf")
+    up = {(a, b): 0.0 if a == b else inf for a in cats for b in cats}
+    for child, parent in links:
+        up[child, parent] = min(up[child, parent], cost[parent])
+    for m in cats:
+        for a in cats:
+            for b in cats:
+                up[a, b] = min(up[a, b], up[a, m] + up[m, b])
+    expected = {}
+    for q in (10, 20, 30):
+        found = {q: 0.0}
+        for i, c in member:
+            if i != q:
+                down = lambda t: 0.0 if t == c else up[c, t] - cost[t] + cost[c]
+                ways = [cost[own] + up[own, t] + down(t) for p, own in member if p == q for t in cats]
+                found[i] = min(found.get(i, inf), min(ways))
+        best = sorted((round(v, 9), i) for i, v in found.items() if v < inf)[:5]
+        expected |= {(q, i): v for v, i in best}
+    frames = (
+        spark.createDataFrame([(10,), (20,), (30,)], "query_id int"), spark.createDataFrame(sorted(member), "id int, cat string"),
+        spark.createDataFrame(sorted(cost.items()), "cat string, cost double"), spark.createDataFrame(sorted(links), "child string, parent string"),
+    )
+    found = {(r["query_id"], r["id"]): round(r["distance"], 9) for r in graph.most_similar_pages(*frames, 5).collect()}
+    assert found == pytest.approx(expected)
 
 
 def test_transpose_twice(spark):

@@ -95,8 +95,10 @@ def test_fitting_sample_is_the_same_each_time(spark):
 def test_distances_are_whole_or_an_error(spark, monkeypatch):
     up = spark.createDataFrame([(f"c{i:02}", f"c{i + 1:02}") for i in range(20)], "child string, parent string")
     costs = spark.createDataFrame([(f"c{i:02}", 1.0) for i in range(21)], "cat string, cost double")
-    found = {(r["cat"], r["top"]): r["d"] for r in graph.up_distances(up, costs).collect()}
-    assert found == {(f"c{i:02}", f"c{j:02}"): float(j - i) for i in range(21) for j in range(i, 21)}
-    monkeypatch.setattr(graph, "MAX_DOUBLINGS", 2)
+    member = spark.createDataFrame([(0, "c00"), (7, "c07")], "id int, cat string")
+    steps = graph.steps_up(up, costs, 1)
+    found = {(r["id"], r["top"]): r["d"] for r in graph.up_distances(member, costs, steps).collect()}
+    assert found == {(i, f"c{j:02}"): float(j - i + 1) for i in (0, 7) for j in range(i, 21)}
+    monkeypatch.setattr(graph, "MAX_ROUNDS", 2)
     with pytest.raises(RuntimeError):
-        graph.up_distances(up, costs)
+        graph.up_distances(member, costs, steps)
