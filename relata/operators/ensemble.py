@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import json
-import math
 import re
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from relata.functions import maths as M
+from relata.operators.calibrate import percentile_knots, percentiles
 from relata.operators.evaluate import METRICS, wide_scores
 from relata.operators.matrix import neighbour_matrix
 from relata.operators.normalize import SIMS_SQL, labelled_sims
@@ -24,7 +25,7 @@ EPSILONS = [1.05, 1.2, 1.35, 1.6, 2.0]
 PENALTIES = [0.0, 0.0001, 0.001, 0.003, 0.01, 0.03, 0.1, 0.3]
 #: More than any vocabulary holds: no term is left out.
 ALL_TERMS = 2**31 - 1
-LISTS = ["text", "links", "esa"]
+LISTS = ["category", "esa", "links", "pairwise", "text"]
 LIST_SIZE = 500
 MIN_COMPONENTS = 1
 
@@ -37,19 +38,88 @@ def imputed(df: DataFrame, columns: list[str]) -> DataFrame:
     return joined.withColumns({c: F.coalesce(F.col(c), F.col(f"mean_{c}")) for c in columns}).drop(*[f"mean_{c}" for c in columns])
 
 
-def similarity_features(forward: Column, backward: Column, low: Column, high: Column) -> dict[str, Column]:
-    """Mean and greatest of the two directions, scaled to -1..1."""
-    scaled = lambda x: F.when(high > low, -1 + 2 * (x - low) / (high - low)).otherwise(F.lit(0.0))
-    both = (F.coalesce(forward, backward) + F.coalesce(backward, forward)) / 2
-    return {"mean": scaled(both), "most": scaled(F.greatest(forward, backward))}
+#: Features of a component: of a pair from both directions, and of an id in a list.
+PAIR_FEATURES = ("rangemean", "rangemax", "percentmean", "percentmax")
+LIST_FEATURES = ("range", "percent", "rank")
+#: The percentile of what isn't in a list.
+ABSENT_PERCENTILE = -0.2
 
 
-def list_features(score: Column, rank: Column, low: Column, high: Column, size: int = LIST_SIZE) -> dict[str, Column]:
-    """Score scaled to -1..1, and the logarithmic rank score; what isn't in the list ranks at twice its size."""
-    return {
-        "scaled": F.coalesce(F.when(high > low, -1 + 2 * (score - low) / (high - low)), F.lit(-1.0)),
-        "ranked": M.rank_score(F.coalesce(rank - 1, F.lit(2 * size)).cast("double"), 2 * size),
-    }
+@dataclass
+class FeatureModel:
+    """What features are made with: bounds (metric, low, high, missing) and percentile knots (metric, x, y)."""
+
+    bounds: DataFrame
+    knots: DataFrame
+
+
+def fit_features(observed: DataFrame) -> FeatureModel:
+    """From observed (metric, key, x, y): scores, NULL where absent, and labels. missing is the mean label of absent scores."""
+    ok = M.finite(F.col("x"))
+    bounds = observed.groupBy("metric").agg(
+        F.min(F.when(ok, F.col("x"))).alias("low"), F.max(F.when(ok, F.col("x"))).alias("high"), F.coalesce(F.avg(F.when(~ok, F.col("y"))), F.lit(0.0)).alias("missing")
+    )
+    return FeatureModel(bounds, percentile_knots(observed))
+
+
+def _scaled(x: Column) -> Column:
+    return F.when(F.col("high") > F.col("low"), -1 + 2 * (x - F.col("low")) / (F.col("high") - F.col("low"))).otherwise(F.lit(0.0))
+
+
+def both_directions(scores: DataFrame, pairs: DataFrame, metrics: list[str]) -> DataFrame:
+    """(id1, id2, metric, s1, s2): for each pair and metric the scores (metric, id1, id2, x) of both directions, NULL where absent."""
+    grid = pairs.select("id1", "id2", F.explode(F.array(*[F.lit(m) for m in metrics])).alias("metric"))
+    usable = scores.where(M.finite(F.col("x")))
+    ahead = usable.select("metric", "id1", "id2", F.col("x").alias("s1"))
+    back = usable.select("metric", F.col("id2").alias("id1"), F.col("id1").alias("id2"), F.col("x").alias("s2"))
+    keys = ["metric", "id1", "id2"]
+    return grid.join(ahead, keys, "left").join(back, keys, "left").select("id1", "id2", "metric", "s1", "s2")
+
+
+def observed_pairs(long: DataFrame, labels: DataFrame) -> DataFrame:
+    """(metric, key, x, y) of both directions of the labelled pairs (id1, id2, y)."""
+    judged = long.join(labels.where("y is not null").select("id1", "id2", "y"), ["id1", "id2"])
+    one = judged.select("metric", F.concat_ws("-", "id1", "id2").alias("key"), F.col("s1").alias("x"), "y")
+    return one.unionByName(judged.select("metric", F.concat_ws("-", "id2", "id1", F.lit("r")).alias("key"), F.col("s2").alias("x"), "y"))
+
+
+def pair_features(long: DataFrame, model: FeatureModel) -> DataFrame:
+    """(id1, id2, metric, *PAIR_FEATURES) of :func:`both_directions`: mean and greatest of the two directions, scaled to
+    -1..1 by range and by percentile. An absent direction has the metric's missing score."""
+    joined = long.join(F.broadcast(model.bounds), "metric")  # one row a metric
+    filled = joined.withColumns({c: F.coalesce(F.col(c), F.col("missing")) for c in ("s1", "s2")})
+    rated = percentiles(percentiles(filled, model.knots, "p1", "s1"), model.knots, "p2", "s2")
+    r1, r2, p1, p2 = _scaled(F.col("s1")), _scaled(F.col("s2")), F.col("p1"), F.col("p2")
+    values = ((r1 + r2) / 2, F.greatest(r1, r2), M.percentile_score((p1 + p2) / 2), M.percentile_score(F.greatest(p1, p2)))
+    return rated.select("id1", "id2", "metric", *[F.coalesce(v, F.lit(0.0)).alias(n) for n, v in zip(PAIR_FEATURES, values)])
+
+
+def in_lists(lists: DataFrame, metrics: list[str]) -> DataFrame:
+    """(query_id, id, metric, score, rank): each id of any list of a query for each metric, NULL where its list lacks it."""
+    grid = lists.select("query_id", "id").distinct().select("query_id", "id", F.explode(F.array(*[F.lit(m) for m in metrics])).alias("metric"))
+    return grid.join(lists.select("query_id", "id", "metric", "score", "rank"), ["query_id", "id", "metric"], "left")
+
+
+def list_features(long: DataFrame, model: FeatureModel, size: int = LIST_SIZE) -> DataFrame:
+    """(query_id, id, metric, *LIST_FEATURES) of :func:`in_lists`: score by range and percentile, and the logarithm of the
+    rank from 1. What a list lacks has the metric's missing score, the percentile ABSENT_PERCENTILE and twice the rank
+    of the list's end."""
+    joined = long.join(F.broadcast(model.bounds), "metric")
+    rated = percentiles(joined, model.knots, "p", "score")
+    p = F.when(F.col("score").isNull(), ABSENT_PERCENTILE).otherwise(F.coalesce("p", F.lit(0.5)))
+    rank = F.coalesce(F.col("rank") - 1, F.lit(2 * size)).cast("double")
+    values = (_scaled(F.coalesce("score", "missing")), M.percentile_score(p), M.rank_score(rank, 2 * size))
+    return rated.select("query_id", "id", "metric", *[F.coalesce(v, F.lit(0.0)).alias(n) for n, v in zip(LIST_FEATURES, values)])
+
+
+def wide_features(features: DataFrame, keys: list[str], metrics: list[str], names: tuple[str, ...]) -> DataFrame:
+    """(*keys, metric_name ...): a column for each metric and feature."""
+    # The names of the columns follow the metrics given, so no pass is needed to find them.
+    return features.groupBy(*keys).pivot("metric", metrics).agg(*[F.first(n).alias(n) for n in names])
+
+
+def feature_columns(metrics: list[str], names: tuple[str, ...]) -> list[str]:
+    return [f"{m}_{n}" for m in metrics for n in names]
 
 
 # --- linear models ------------------------------------------------------------------------------------------------
@@ -70,6 +140,37 @@ def colinear_groups(x: np.ndarray, tolerance: float = 1e-6) -> list[list[int]]:
     return groups
 
 
+def distributed_colinear_groups(df: DataFrame, columns: list[str], order: list[str], tolerance: float = 1e-6) -> list[list[int]]:
+    """The same for the columns of a table, row 0 being the first by ``order``: the greatest distance of each two columns
+    from being multiples is found in one pass."""
+    first = df.orderBy(*order).select(*columns).first()
+    if first is None:
+        return [[i] for i in range(len(columns))]
+    factor = {}
+    for j in range(len(columns)):
+        for i in range(j):
+            factor[i, j] = first[i] / first[j] if first[j] else None
+    pairs = [(i, j) for (i, j), k in factor.items() if k is not None]
+    apart = df.agg(F.count(F.lit(1)), *[F.max(F.abs(F.col(columns[i]) - F.lit(factor[i, j]) * F.col(columns[j]))) for i, j in pairs]).first()
+    distance = {p: apart[n + 1] for n, p in enumerate(pairs)}
+    groups: list[list[int]] = []
+    for j in range(len(columns)):
+        for g in groups:
+            if distance.get((g[0], j), 0.0) <= tolerance:
+                g.append(j)
+                break
+        else:
+            groups.append([j])
+    return groups
+
+
+def fit_without_colinear(df: DataFrame, columns: list[str], label: str, order: list[str]) -> tuple[float, dict[str, float]]:
+    """Least squares from moments; of colinear columns only the first has a coefficient, the others have 0."""
+    keep = [columns[g[0]] for g in distributed_colinear_groups(df.where(F.col(label).isNotNull()), columns, order)]
+    b0, b = fit_from_moments(df, keep, label)
+    return b0, dict.fromkeys(columns, 0.0) | dict(zip(keep, map(float, b)))
+
+
 def fit_linear(x: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray]:
     """Intercept and coefficients by least squares; of colinear columns only the first has one."""
     keep = [g[0] for g in colinear_groups(x)]
@@ -143,11 +244,42 @@ def fitting_sample(df: DataFrame, most: int, folds: int) -> DataFrame:
     return few.withColumn("fold", (F.row_number().over(Window.orderBy(*order)) - 1) % folds)
 
 
+def _pair_examples(spark, d, least: int = 3):
+    """(features of all pairs with ``least`` scores at least, labels (id1, id2, y)), the model fitted on the judged ones."""
+    scores = reliable(labelled_sims(spark, d).select("metric", "id1", "id2", "x", "y"))
+    known = scores.where(M.finite(F.col("x"))).groupBy("id1", "id2").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    labels = scores.where("y is not null").groupBy("id1", "id2").agg(F.max("y").alias("y"))
+    long = reliable(both_directions(scores, known, METRICS))
+    return pair_features(long, fit_features(observed_pairs(long, labels))), labels
+
+
 def q_ensemble_features(spark, d):
-    wide = wide_scores(labelled_sims(spark, d), METRICS)
-    have = sum((F.col(m).isNotNull().cast("int") for m in METRICS), F.lit(0))
-    enough = imputed(wide.withColumn("components", have).where(F.col("components") >= 3), METRICS)
-    return enough.select("id1", "id2", "components", *[F.round(m, 5).alias(m) for m in METRICS])
+    """Four features of each component for every pair with three scores at least."""
+    features = _pair_examples(spark, d)[0]
+    return features.select("id1", "id2", "metric", *[F.round(n, 5).alias(n) for n in PAIR_FEATURES])
+
+
+def _best_lists(spark, d, asked: Column):
+    lists = table(spark, d, "neighbours").where(M.finite(F.col("score")) & asked & F.col("query_id").isNotNull() & F.col("id").isNotNull())
+    best = lists.groupBy("query_id", "metric", "id").agg(F.max("score").alias("score"))
+    w = Window.partitionBy("query_id", "metric").orderBy(F.desc("score"), "id")
+    return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= LIST_SIZE)
+
+
+def _list_examples(spark, d, asked: Column):
+    """Features of all ids of the asked lists; bounds and percentiles are of all lists, missing of the judged pairs."""
+    every = reliable(_best_lists(spark, d, F.lit(True)))
+    labels = table(spark, d, "gold").where("id1 is not null and id2 is not null and similarity is not null").groupBy(F.col("id1").alias("query_id"), F.col("id2").alias("id")).agg(F.avg("similarity").alias("y"))
+    absent = labels.select("query_id", "id", "y", F.explode(F.array(*[F.lit(m) for m in LISTS])).alias("metric")).join(every, ["query_id", "id", "metric"], "left_anti")
+    key = F.concat_ws("-", "query_id", "id").alias("key")
+    seen = every.select("metric", key, F.col("score").alias("x"), F.lit(None).cast("double").alias("y"))
+    model = fit_features(seen.unionByName(absent.select("metric", key, F.lit(None).cast("double").alias("x"), "y")))
+    return list_features(in_lists(every.where(asked), LISTS), model)
+
+
+def q_list_features(spark, d):
+    """Three features of each component for every id that some list of a query holds."""
+    return _list_examples(spark, d, F.lit(True)).select("query_id", "id", "metric", *[F.round(n, 5).alias(n) for n in LIST_FEATURES])
 
 
 def q_ols_two(spark, d):
@@ -157,10 +289,17 @@ def q_ols_two(spark, d):
     return wide.select("id1", "id2", F.round(predict(b0, dict(zip(["google", "esa"], b))), 5).alias("predicted"))
 
 
+def _wide_examples(spark, d):
+    features, labels = _pair_examples(spark, d)
+    wide = wide_features(features, ["id1", "id2"], METRICS, PAIR_FEATURES)
+    return reliable(wide.join(labels, ["id1", "id2"]).na.fill(0.0, feature_columns(METRICS, PAIR_FEATURES)))
+
+
 def q_ols_ensemble(spark, d):
-    wide = _wide(spark, d)
-    b0, b = fit_from_moments(wide, METRICS, "y")
-    return wide.select("id1", "id2", "y", F.round(predict(b0, dict(zip(METRICS, map(float, b)))), 6).alias("predicted"))
+    """The linear ensemble of pairs: least squares of the label on all features, colinear ones left out."""
+    wide, columns = _wide_examples(spark, d), feature_columns(METRICS, PAIR_FEATURES)
+    b0, b = fit_without_colinear(wide, columns, "y", ["id1", "id2"])
+    return wide.select("id1", "id2", "y", F.round(predict(b0, b), 6).alias("predicted"))
 
 
 def q_huber_ensemble(spark, d):
@@ -187,21 +326,15 @@ def q_huber_ensemble(spark, d):
 
 
 def q_ensemble_merge(spark, d):
-    """Lists of several metrics merged by id: scaled and rank features of each, their mean, k best of each query.
+    """Lists of all metrics merged by id: the mean of all features, k best of each query.
 
     Ids that fewer lists hold than MIN_COMPONENTS are left out.
     """
-    lists = table(spark, d, "neighbours").where(M.finite(F.col("score")) & F.col("metric").isin(LISTS) & (F.col("query_id") % SEARCH_STEP == 0))
-    best = lists.groupBy("query_id", "metric", "id").agg(F.max("score").alias("score"))
-    w = Window.partitionBy("query_id", "metric").orderBy(F.desc("score"), "id")
-    ranked = best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= 2 * K)
-    bounds = ranked.groupBy("metric").agg(F.min("score").alias("low"), F.max("score").alias("high"))
-    f = list_features(F.col("score"), F.col("rank"), F.col("low"), F.col("high"))
-    rated = ranked.join(F.broadcast(bounds), "metric").select("query_id", "id", ((f["scaled"] + f["ranked"]) / 2).alias("v"))
-    # A list that lacks the id gives it the worst value of both features.
-    worst = (-1.0 + ((math.log(2 * LIST_SIZE + 2) - math.log(2 * LIST_SIZE + 1)) / math.log(2 * LIST_SIZE + 2) - 0.5) * 2) / 2
-    merged = rated.groupBy("query_id", "id").agg(F.sum("v").alias("s"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= MIN_COMPONENTS)
-    return top_k(merged.select("query_id", "id", F.round((F.col("s") + (len(LISTS) - F.col("n")) * worst) / len(LISTS), 6).alias("score")), K)
+    rated = _list_examples(spark, d, F.col("query_id") % SEARCH_STEP == 0)
+    mean = sum((F.col(n) for n in LIST_FEATURES), F.lit(0.0)) / len(LIST_FEATURES)
+    held = F.sum((F.col("rank") > M.rank_score(F.lit(2.0 * LIST_SIZE), 2 * LIST_SIZE)).cast("int"))
+    merged = rated.groupBy("query_id", "id").agg(F.avg(mean).alias("s"), held.alias("n")).where(F.col("n") >= MIN_COMPONENTS)
+    return top_k(merged.select("query_id", "id", F.round("s", 6).alias("score")), K)
 
 
 def _als(spark, d):
@@ -259,24 +392,51 @@ def q_lda_terms(spark, d):
 
 
 QUERIES = {
-    "ensemble_features": q_ensemble_features, "ols_two_measures": q_ols_two, "ols_linear_ensemble": q_ols_ensemble, "svr_analogue": q_huber_ensemble,
+    "ensemble_features": q_ensemble_features, "ensemble_list_features": q_list_features, "ols_two_measures": q_ols_two, "ols_linear_ensemble": q_ols_ensemble, "svr_analogue": q_huber_ensemble,
     "ensemble_merge_topk": q_ensemble_merge, "als_factorize": q_als, "als_error": q_als_error, "lda_topics": q_lda,
     "lda_terms": q_lda_terms,
 }
 
 _WIDE = f"""{SIMS_SQL}, w as (select id1, id2, max(y) as y, {', '.join(f"max(x) filter (metric = '{m}' and isfinite(x)) as {m}" for m in METRICS)} from s group by all)"""
+#: Bounds and percentile knots of observed scores ``ob`` (metric, key, x, y).
+_FEATURES_SQL = """bd as (select metric, min(x) filter (isfinite(x)) as low, max(x) filter (isfinite(x)) as high, coalesce(avg(y) filter (x is null or not isfinite(x)), 0) as missing from ob group by 1),
+  sm as (select metric, x from (select *, row_number() over (partition by metric order by md5(key), key, x) as rn from ob where isfinite(x)) where rn <= 1000),
+  pt as (select metric, x, avg(y) as y from (select metric, x, row_number() over (partition by metric order by x) / (count(*) over (partition by metric) + 1) as y from sm) group by all),
+  sg as (select metric, x as x0, y as y0, lead(x) over v as x1, lead(y) over v as y1 from pt window v as (partition by metric order by x)),
+  en as (select metric, min(x) as lo, max(x) as hi, arg_min(y, x) as ylo, arg_max(y, x) as yhi, case when max(x) > min(x) then (max(x) - min(x)) / 4 else 1 end as half from pt group by 1)"""
+
+
+def _percentile_sql(rows: str, x: str, out: str) -> str:
+    return f"""select t.*, case when {x} is null or not isfinite({x}) then null when {x} < lo then ylo + (1 - exp(-(lo - {x}) / half)) * (0 - ylo) when {x} > hi then yhi + (1 - exp(-({x} - hi) / half)) * (1 - yhi)
+      when x1 is null then y0 else y0 + (y1 - y0) * ({x} - x0) / (x1 - x0) end as {out}
+      from {rows} t left join en on en.metric = t.metric asof left join sg on t.metric = sg.metric and t.{x} >= sg.x0"""
+
+
+def _scaled_sql(x: str) -> str:
+    return f"case when high > low then -1 + 2 * ({x} - low) / (high - low) else 0 end"
+
+
+_LISTS_SQL = f"""with bs as (select query_id, metric, id, max(score) as score from neighbours where isfinite(score) and query_id is not null and id is not null group by all),
+  rk as (select * from (select *, row_number() over (partition by query_id, metric order by score desc, id) as rank from bs) where rank <= {LIST_SIZE}),
+  lb as (select id1 as query_id, id2 as id, avg(similarity) as y from gold where id1 is not null and id2 is not null and similarity is not null group by all),
+  ab as (select query_id, id, metric, y from (select *, unnest({LISTS}) as metric from lb) anti join rk using (query_id, id, metric)),
+  ob as (select metric, query_id || '-' || id as key, score as x, null::double as y from rk union all select metric, query_id || '-' || id, null, y from ab), {_FEATURES_SQL},
+  gr as (select query_id, id, unnest({LISTS}) as metric from (select distinct query_id, id from rk)),
+  lg as (select gr.*, score, rank, low, high, missing from gr left join rk using (query_id, id, metric) join bd using (metric)), pc as ({_percentile_sql('lg', 'score', 'p')}),
+  ft as (select query_id, id, metric, {_scaled_sql('coalesce(score, missing)')} as f1, (case when score is null then {ABSENT_PERCENTILE} else coalesce(p, 0.5) end - 0.5) * 2 as f2,
+    ((ln({2 * LIST_SIZE + 2}) - ln(coalesce(rank - 1, {2 * LIST_SIZE}) + 1)) / ln({2 * LIST_SIZE + 2}) - 0.5) * 2 as f3 from pc)"""
 SQL = {
-    "ensemble_features": f"""{_WIDE}, c as (select *, {' + '.join(f'cast({m} is not null as int)' for m in METRICS)} as components from w), k as (select * from c where components >= 3),
-      mm as (select {', '.join(f'avg({m}) as a_{m}' for m in METRICS)} from k)
-      select id1, id2, cast(components as int) as components, {', '.join(f'round(coalesce({m}, a_{m}, 0), 5) as {m}' for m in METRICS)} from k, mm""",
+    "ensemble_features": f"""{SIMS_SQL}, lb as (select id1, id2, max(y) as y from s where y is not null group by all), kp as (select id1, id2 from o group by all having count(*) >= 3),
+      gr as (select id1, id2, unnest({METRICS}) as metric from kp), lg as (select gr.*, a.x as s1, b.x as s2 from gr left join o a using (id1, id2, metric) left join o b on b.id1 = gr.id2 and b.id2 = gr.id1 and b.metric = gr.metric),
+      ob as (select metric, id1 || '-' || id2 as key, s1 as x, y from lg join lb using (id1, id2) union all select metric, id2 || '-' || id1 || '-r', s2, y from lg join lb using (id1, id2)),
+      {_FEATURES_SQL}, fl as (select id1, id2, metric, low, high, coalesce(s1, missing) as s1, coalesce(s2, missing) as s2 from lg join bd using (metric)),
+      p1 as ({_percentile_sql('fl', 's1', 'p1')}), p2 as ({_percentile_sql('p1', 's2', 'p2')}), r as (select *, {_scaled_sql('s1')} as r1, {_scaled_sql('s2')} as r2 from p2)
+      select id1, id2, metric, round((r1 + r2) / 2, 5) as rangemean, round(greatest(r1, r2), 5) as rangemax, round(coalesce(((p1 + p2) / 2 - 0.5) * 2, 0), 5) as percentmean, round(coalesce((greatest(p1, p2) - 0.5) * 2, 0), 5) as percentmax from r""",
+    "ensemble_list_features": f"""{_LISTS_SQL} select query_id, id, metric, round(f1, 5) as range, round(f2, 5) as percent, round(f3, 5) as rank from ft""",
     "ols_two_measures": f"""{_WIDE}, k as (select * from w where y is not null and google is not null and esa is not null),
       m as (select covar_pop(google, google) as gg, covar_pop(esa, esa) as ee, covar_pop(google, esa) as ge, covar_pop(google, y) as gy, covar_pop(esa, y) as ey, avg(google) as mg, avg(esa) as me, avg(y) as my from k),
       b as (select *, (gy * ee - ey * ge) / (gg * ee - ge * ge) as b1, (ey * gg - gy * ge) / (gg * ee - ge * ge) as b2 from m)
       select id1, id2, round(my - b1 * mg - b2 * me + b1 * google + b2 * esa, 5) as predicted from k, b""",
-    "ensemble_merge_topk": f"""with b as (select query_id, metric, id, max(score) as score from neighbours where isfinite(score) and metric in ('text', 'links', 'esa') and query_id % 50 = 0 group by all),
-      r as (select * from (select *, row_number() over (partition by query_id, metric order by score desc, id) as rank from b) where rank <= 20),
-      bd as (select metric, min(score) as low, max(score) as high from r group by 1),
-      v as (select query_id, id, (coalesce(case when high > low then -1 + 2 * (score - low) / (high - low) end, -1) + ((ln(1002) - ln(rank)) / ln(1002) - 0.5) * 2) / 2 as v from r join bd using (metric)),
-      mg as (select query_id, id, round((sum(v) + (3 - count(*)) * (-1 + ((ln(1002) - ln(1001)) / ln(1002) - 0.5) * 2) / 2) / 3, 6) as score from v group by all having count(*) >= 1)
+    "ensemble_merge_topk": f"""{_LISTS_SQL}, mg as (select query_id, id, round(avg((f1 + f2 + f3) / 3), 6) as score from ft where query_id % 50 = 0 group by all)
       select query_id, id, score, cast(rn as int) as rank from (select *, row_number() over (partition by query_id order by score desc, id) as rn from mg) where rn <= 10""",
 }

@@ -56,41 +56,6 @@ def log_scaled(x: Column, low: Column) -> Column:
     return F.when((x < low) | (low + x <= 0), 0.0).otherwise(F.log(low + x))
 
 
-def interpolate(x: np.ndarray, xs: np.ndarray, ys: np.ndarray, low_end: float, high_end: float) -> np.ndarray:
-    """Linear between the points; beyond them towards the ends, with a quarter of the width as half-life."""
-    out = np.interp(x, xs, ys)
-    half = (xs[-1] - xs[0]) / 4.0 or 1.0
-    below, above = x < xs[0], x > xs[-1]
-    out[below] = ys[0] + (1 - np.exp(-(xs[0] - x[below]) / half)) * (low_end - ys[0])
-    out[above] = ys[-1] + (1 - np.exp(-(x[above] - xs[-1]) / half)) * (high_end - ys[-1])
-    out[~np.isfinite(x)] = np.nan
-    return out
-
-
-def percentile_points(sample: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The sorted sample and (i + 1) / (n + 1) for each of its places; equal scores share their mean place."""
-    xs = np.sort(np.asarray(sample, float))
-    ys = (np.arange(len(xs)) + 1.0) / (len(xs) + 1)
-    unique, inverse, counts = np.unique(xs, return_inverse=True, return_counts=True)
-    return unique, np.bincount(inverse, weights=ys) / counts
-
-
-def percentiles(scores: DataFrame, model: DataFrame) -> DataFrame:
-    """``scores`` with p, the percentile of x within its metric's sample; model: (metric, sample array)."""
-    points = {r["metric"]: percentile_points(r["sample"]) for r in model.collect()}  # a few metrics of at most SAMPLE points
-    columns = scores.columns
-
-    def rate(batches):
-        for batch in batches:
-            p = np.full(len(batch), np.nan)
-            for metric, rows in batch.groupby("metric").indices.items():
-                if metric in points:
-                    p[rows] = interpolate(batch["x"].to_numpy(float)[rows], *points[metric], 0.0, 1.0)
-            yield batch.assign(p=p)
-
-    return scores.mapInPandas(rate, f"{', '.join(f'{c} {t}' for c, t in scores.dtypes)}, p double").select(*columns, F.nanvl("p", F.lit(None)).alias("p"))
-
-
 def monotone(v: np.ndarray, epsilon: float = EPSILON) -> np.ndarray:
     """Each value at least epsilon above the one before."""
     i = np.arange(len(v)) * epsilon
@@ -105,7 +70,7 @@ def robust_mean(values: np.ndarray) -> float:
 
 def smoothed(x: np.ndarray, y: np.ndarray, points: int = 10) -> tuple[np.ndarray, np.ndarray]:
     """About ``points`` places of sorted x, with the robust mean of the y around each; equal x share their mean."""
-    order = np.argsort(x, kind="stable")
+    order = np.lexsort((y, x))
     x, y = np.asarray(x, float)[order], np.asarray(y, float)[order]
     width = min(20, len(x) // 10)
     at = np.arange(width // 2, max(width // 2 + 1, len(x) - width // 2), max(1, len(x) // (points + 1)))
@@ -160,9 +125,10 @@ def q_norm_log(spark, d):
 
 
 def q_norm_percentile(spark, d):
+    from relata.operators.calibrate import percentile_knots, percentiles
+
     s = observed(labelled_sims(spark, d))
-    model = sampled(s).groupBy("metric").agg(F.collect_list("x").alias("sample"))
-    return percentiles(s.select("metric", "id1", "id2", "x"), model).select("metric", "id1", "id2", F.round("p", 6).alias("p"))
+    return percentiles(s.select("metric", "id1", "id2", "x"), percentile_knots(s)).select("metric", "id1", "id2", F.round("p", 6).alias("p"))
 
 
 def q_norm_missing(spark, d):
@@ -194,8 +160,8 @@ def q_norm_rank_score(spark, d):
     return ranked.join(F.broadcast(model), "metric").select("metric", "id1", "id2", F.round(z, 5).alias("z"))
 
 
-def q_norm_loess(spark, d):
-    """Knots of the smoothed map of each metric, learned from a bounded sample of judged pairs."""
+def _loess_knots(spark, d):
+    """(metric, knot, x, y): the smoothed map of each metric, learned from a bounded sample of judged pairs."""
     s = sampled(observed(labelled_sims(spark, d)).where("y is not null"))
 
     def fit(rows: pd.DataFrame) -> pd.DataFrame:
@@ -205,6 +171,18 @@ def q_norm_loess(spark, d):
     return s.groupBy("metric").applyInPandas(fit, "metric string, knot int, x double, y double")
 
 
+def q_norm_loess(spark, d):
+    return _loess_knots(spark, d).select("metric", "knot", F.round("x", 6).alias("x"), F.round("y", 5).alias("y"))
+
+
+def q_norm_loess_apply(spark, d):
+    """Every score of a metric through the metric's smoothed map."""
+    from relata.operators.calibrate import smoothly
+
+    scores = observed(labelled_sims(spark, d)).select("metric", "id1", "id2", "x")
+    return smoothly(scores, _loess_knots(spark, d).select("metric", "x", "y")).select("metric", "id1", "id2", F.round("z", 4).alias("z"))
+
+
 def q_empirical_percentile(spark, d):
     """(i + 1) / (n + 1) of each judged label, ties in order of the pair."""
     gold = table(spark, d, "gold").where("similarity is not null and id1 is not null and id2 is not null").groupBy("id1", "id2").agg(F.avg("similarity").alias("y"))
@@ -250,7 +228,7 @@ def q_smooth_window(spark, d):
 
 QUERIES = {
     "norm_range": q_norm_range, "norm_log": q_norm_log, "norm_percentile": q_norm_percentile, "norm_missing_mean": q_norm_missing,
-    "norm_rank_score": q_norm_rank_score, "norm_loess": q_norm_loess, "empirical_percentile": q_empirical_percentile, "math_functions": q_math_functions,
+    "norm_rank_score": q_norm_rank_score, "norm_loess": q_norm_loess, "norm_loess_apply": q_norm_loess_apply, "empirical_percentile": q_empirical_percentile, "math_functions": q_math_functions,
     "robust_mean": q_robust_mean, "running_monotone": q_running_monotone, "smooth_window": q_smooth_window,
 }
 
@@ -263,7 +241,29 @@ _P = """smp as (select metric, x from (select *, row_number() over (partition by
 pts as (select metric, x, avg(y) as y from (select metric, x, row_number() over (partition by metric order by x) / (count(*) over (partition by metric) + 1) as y from smp) group by all),
 seg as (select metric, x as x0, y as y0, lead(x) over w as x1, lead(y) over w as y1 from pts window w as (partition by metric order by x)),
 ends as (select metric, min(x) as lo, max(x) as hi, min(y) as ylo, max(y) as yhi, (max(x) - min(x)) / 4 as half from pts group by 1)"""
+_LOESS = """lp as (select *, row_number() over (partition by metric order by x, y) - 1 as i, count(*) over (partition by metric) as n from
+  (select metric, x, y from (select *, row_number() over (partition by metric order by md5(key), key, x) as rn from o where y is not null) where rn <= 1000)),
+lw as (select distinct metric, n, least(20, n // 10) as w from lp),
+la as (select metric, n, w, unnest(range(w // 2, greatest(w // 2 + 1, n - w // 2), greatest(1, n // 11))) as c from lw),
+lk as (select la.metric, c, w, y, row_number() over (partition by la.metric, c order by y) - 1 as r, count(*) over (partition by la.metric, c) as m
+  from la join lp on lp.metric = la.metric and lp.i >= greatest(0, c - w // 2) and lp.i < greatest(c + 1, least(la.n, c + w))),
+lm as (select metric, c, sum(y * g) / sum(g) as y from (select *, exp(-pow((r - m // 2) / greatest(3, m // 4), 2) / 2) as g from lk) group by all),
+ls as (select lm.metric, lp.x, avg(lm.y) as y from lm join lp on lp.metric = lm.metric and lp.i = c group by all),
+lq as (select metric, count(*) as m, least(count(*), greatest(2, cast(ceil(0.3::double * count(*)) as bigint))) as k from ls group by 1),
+ld as (select a.metric, a.x as kx, b.x, b.y, abs(b.x - a.x) as d, row_number() over (partition by a.metric, a.x order by abs(b.x - a.x)) as r, k from ls a join ls b using (metric) join lq using (metric)),
+lr as (select metric, kx, max(case when r = k then d end) as reach from ld group by all),
+lg as (select metric, kx, x, y, pow(greatest(0, 1 - pow(d / (case when reach = 0 then 1 else reach end * 1.0001::double), 3)), 3) as g from ld join lr using (metric, kx)),
+lc as (select metric, kx, sum(g * x) / sum(g) as mx, sum(g * y) / sum(g) as my from lg group by all),
+lf as (select metric, kx as x, my + case when sxx > 1e-18 then sxy / sxx * (kx - mx) else 0 end as y from
+  (select metric, kx, mx, my, sum(g * pow(x - mx, 2)) as sxx, sum(g * (x - mx) * (y - my)) as sxy from lg join lc using (metric, kx) group by all)),
+kn as (select metric, knot, x, max(y - knot * 1e-10) over (partition by metric order by knot) + knot * 1e-10 as y from
+  (select *, cast(row_number() over (partition by metric order by x) - 1 as int) as knot from lf))"""
 SQL = {
+    "norm_loess": f"{SIMS_SQL}, {_LOESS} select metric, knot, round(x, 6) as x, round(y, 5) as y from kn",
+    "norm_loess_apply": f"""{SIMS_SQL}, {_LOESS}, sg as (select metric, x as x0, y as y0, lead(x) over v as x1, lead(y) over v as y1 from kn window v as (partition by metric order by x)),
+      en as (select metric, min(x) as lo, max(x) as hi, arg_min(y, x) as ylo, arg_max(y, x) as yhi, (max(x) - min(x)) / 4 as half from kn group by 1)
+      select o.metric, id1, id2, round(case when x < lo then ylo - (1 - exp(-(lo - x) / half)) * (yhi - ylo) / 10 when x > hi then yhi + (1 - exp(-(x - hi) / half)) * (yhi - ylo) / 10
+        when x1 is null then y0 else y0 + (y1 - y0) * (x - x0) / (x1 - x0) end, 4) as z from o join en using (metric) asof left join sg on o.metric = sg.metric and o.x >= sg.x0""",
     "norm_range": f"{SIMS_SQL} select metric, id1, id2, round(-1 + 2 * (x - low) / (high - low), 6) as z, round(low + (-1 + 2 * (x - low) / (high - low) + 1) * (high - low) / 2, 5) as back from o join rng using (metric)",
     "norm_log": f"{SIMS_SQL} select metric, id1, id2, case when x < low or low + x <= 0 then 0.0 else round(ln(case when low + x > 0 then low + x else 1 end), 6) end as z from o join rng using (metric)",
     "norm_percentile": f"""{SIMS_SQL}, {_P} select metric, id1, id2, round(case when x < lo then ylo + (1 - exp(-(lo - x) / half)) * (0 - ylo) when x > hi then yhi + (1 - exp(-(x - hi) / half)) * (1 - yhi)
