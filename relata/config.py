@@ -14,6 +14,7 @@ KNOWN = {
     "metrics": {
         "type", "index", "field", "similarity", "similarityNormalizer", "mostSimilarNormalizer", "basedOn", "delegates", "components", "matrix",
         "transpose", "ensembleType", "minComponents", "maxPercentage", "minTermFreq", "minDocFreq", "minInLinks", "path", "useInternalMapper",
+        "strict", "indexed", "stemming", "stopWords", "minWords", "minLinks",
     },
     "gold": {"similarity", "mostSimilar"},
     "models": None,

@@ -7,6 +7,7 @@ Every measure answers for whole tables: ``similarity`` takes pairs (id1, id2), `
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,20 +15,25 @@ from pyspark.sql import functions as F
 from relata.config import Config
 from relata.functions import maths as M
 from relata.functions import text as T
-from relata.operators import concepts, corpus, ensemble, graph, links, matrix, normalize
+from relata.functions.stemmer import analyzed
+from relata import timing
+from relata.operators import calibrate, concepts, corpus, ensemble, graph, links, matrix
 from relata.operators import postings as P
+from relata.operators.calibrate import Normalizer
 from relata.operators.postings import top_k
 from relata.session import reliable, table
+from relata.sources import readers
 
 DEFAULT_RESULTS = 500
 MAX_PHRASES = 1_000
 
 
 class Measure:
-    """A measure of relatedness. Raw scores pass a normalizer (a Column function of ``score``) if one is set."""
+    """A measure of relatedness. Raw scores pass a fitted normalizer if one is set, for pairs and for lists each."""
 
     name = "measure"
-    normalizer: Callable | None = None
+    pair_normalizer = Normalizer("identity")
+    list_normalizer = Normalizer("identity")
     cached: DataFrame | None = None
 
     def raw_similarity(self, pairs: DataFrame) -> DataFrame:
@@ -37,26 +43,41 @@ class Measure:
         """(query_id, id, score), with the k best ids of each query at least."""
         raise NotImplementedError(f"{self.name} has no lists")
 
-    def _calibrated(self, df: DataFrame) -> DataFrame:
-        return df if self.normalizer is None else df.withColumn("score", self.normalizer(F.col("score")))
-
     def similarity(self, pairs: DataFrame) -> DataFrame:
         """(id1, id2, score) for each different pair; NULL where nothing is known."""
-        return self._calibrated(self.raw_similarity(pairs.select("id1", "id2").distinct()))
+        return self.pair_normalizer.on(self.raw_similarity(pairs.select("id1", "id2").distinct()))
+
+    def ranked(self, queries: DataFrame, k: int, valid: DataFrame | None = None) -> DataFrame:
+        """(query_id, id, score, rank) before the normalizer."""
+        asked = queries.select("query_id").distinct()
+        if self.cached is None:
+            return top_k(self.raw_most_similar(asked, valid, k), k)
+        found = self.cached.join(asked, "query_id", "left_semi").select("query_id", "id", "score")
+        return top_k(found if valid is None else found.join(valid.select("id").distinct(), "id", "left_semi"), k)
 
     def most_similar(self, queries: DataFrame, k: int = DEFAULT_RESULTS, valid: DataFrame | None = None) -> DataFrame:
         """(query_id, id, score, rank): the k best ids of each query, of those in ``valid`` (id) if given.
 
         Lists computed before, if there are any, stand in for the search.
         """
-        asked = queries.select("query_id").distinct()
-        if self.cached is not None:
-            found = self.cached.join(asked, "query_id", "left_semi").select("query_id", "id", "score")
-            if valid is not None:
-                found = found.join(valid.select("id").distinct(), "id", "left_semi")
-        else:
-            found = self.raw_most_similar(asked, valid, k)
-        return self._calibrated(top_k(found, k))
+        return self.list_normalizer.on(self.ranked(queries, k, valid)).select("query_id", "id", "score", "rank")
+
+    def calibrate(self, gold: DataFrame, pairs: Any = None, lists: Any = None, k: int = DEFAULT_RESULTS) -> Measure:
+        """Fit the normalizers of the entries ``pairs`` and ``lists`` on judged pairs (id1, id2, y).
+
+        For lists, the judged page's score and rank in the list of the other count, absent ones as missing.
+        """
+        labels = gold.groupBy("id1", "id2").agg(F.avg("y").alias("y"))
+        key = F.concat_ws("-", "id1", "id2").alias("key")
+        if calibrate.parameters(pairs)["type"] == "rankandscore":
+            raise ValueError("rankAndScore rates lists only")
+        if calibrate.parameters(pairs)["type"] != "identity":
+            scored = reliable(self.raw_similarity(labels.select("id1", "id2")).join(labels, ["id1", "id2"]).select(key, F.col("score").alias("x"), "y"))
+            self.pair_normalizer = calibrate.fitted(pairs, scored)
+        if calibrate.parameters(lists)["type"] != "identity":
+            found = self.ranked(labels.select(F.col("id1").alias("query_id")), k).select(F.col("query_id").alias("id1"), F.col("id").alias("id2"), F.col("score").alias("x"), "rank")
+            self.list_normalizer = calibrate.fitted(lists, reliable(labels.join(found, ["id1", "id2"], "left").select(key, "x", "y", "rank")))
+        return self
 
     def all_lists(self, ids: DataFrame, k: int, valid: DataFrame | None = None) -> DataFrame:
         """The neighbour matrix (row_id, col_id, value, rank) of all ids in one job."""
@@ -90,7 +111,18 @@ class IndexedMeasure(Measure):
 
 
 class ConceptMeasure(IndexedMeasure):
-    """As an index, but long lists are cut where their scores flatten."""
+    """As an index, but long lists are cut where their scores flatten. Queries that the index of concepts lacks ask with
+    the terms of ``fallback``, postings of a wider index over the same terms."""
+
+    def __init__(self, name: str, docs: DataFrame, index: DataFrame, fallback: DataFrame | None = None, rule: P.TermRule | None = None):
+        super().__init__(name, docs, index, rule)
+        self.fallback = fallback
+
+    def _asked(self, queries):
+        own = super()._asked(queries)
+        if self.fallback is None:
+            return own
+        return own.unionByName(P.fallback_terms(queries, self.docs, self.fallback, self.stats, self.rule))
 
     def raw_most_similar(self, queries, valid, k=DEFAULT_RESULTS):
         return P.prune_tail(top_k(super().raw_most_similar(queries, valid, k), max(5_000, k))).select("query_id", "id", "score")
@@ -152,14 +184,22 @@ class PairwiseMeasure(Measure):
 
 
 class KnownMeasure(Measure):
-    """Scores as they stand in a matrix: the mean of both directions."""
+    """Scores as they stand in a matrix: the mean of both directions. Ids that the matrix doesn't know are an error,
+    raised when the scores are computed, unless ``strict`` is off, which gives them NULL."""
 
-    def __init__(self, name: str, m: DataFrame):
-        self.name, self.m = name, matrix.symmetric_mean(m)
+    def __init__(self, name: str, m: DataFrame, strict: bool = True):
+        self.name, self.m, self.strict = name, matrix.symmetric_mean(m), strict
 
     def raw_similarity(self, pairs):
         cells = self.m.select(F.col("row_id").alias("id1"), F.col("col_id").alias("id2"), F.col("value").alias("score"))
-        return pairs.join(cells, ["id1", "id2"], "left")
+        found = pairs.join(cells, ["id1", "id2"], "left")
+        if not self.strict:
+            return found
+        for c in ("id1", "id2"):
+            found = found.join(self.m.select(F.col("row_id").alias(c), F.lit(True).alias(f"has_{c}")).distinct(), c, "left")
+        known = F.col("has_id1").isNotNull() & F.col("has_id2").isNotNull()
+        error = F.raise_error(F.concat_ws(" ", F.lit("unknown id in the pair"), "id1", "id2")).cast("double")
+        return found.select("id1", "id2", F.when(known, F.coalesce("score", F.lit(0.0))).otherwise(error).alias("score"))
 
     def raw_most_similar(self, queries, valid, k=DEFAULT_RESULTS):
         cells = self.m.select(F.col("row_id").alias("query_id"), F.col("col_id").alias("id"), F.col("value").alias("score")).join(queries, "query_id", "left_semi")
@@ -167,10 +207,10 @@ class KnownMeasure(Measure):
 
 
 class DenseMeasure(Measure):
-    """Cosine of dense rows (id, v)."""
+    """Cosine of dense rows (id, v). Lists are exact, or come from an index of cells where ``indexed``."""
 
-    def __init__(self, name: str, vectors: DataFrame):
-        self.name, self.vectors = name, vectors
+    def __init__(self, name: str, vectors: DataFrame, indexed: bool = False):
+        self.name, self.vectors, self.indexed, self.centres = name, vectors, indexed, None
 
     def raw_similarity(self, pairs):
         a = self.vectors.select(F.col("id").alias("id1"), F.col("v").alias("va"))
@@ -181,7 +221,10 @@ class DenseMeasure(Measure):
     def raw_most_similar(self, queries, valid, k=DEFAULT_RESULTS):
         asked = self.vectors.join(queries.select(F.col("query_id").alias("id")), "id", "left_semi").select(F.col("id").alias("query_id"), F.col("v").alias("q"))
         rows = self.vectors if valid is None else self.vectors.join(valid.select("id").distinct(), "id", "left_semi")
-        return matrix.dense_cosines(asked, rows, k).select("query_id", "id", "score")
+        if not self.indexed:
+            return matrix.dense_cosines(asked, rows, k).select("query_id", "id", "score")
+        self.centres = matrix.fit_cells(self.vectors) if self.centres is None else self.centres
+        return matrix.indexed_cosines(asked, rows, k, self.centres).select("query_id", "id", "score")
 
 
 class SplitMeasure(Measure):
@@ -198,50 +241,73 @@ class SplitMeasure(Measure):
 
 
 class EnsembleMeasure(Measure):
-    """A linear model of components, fitted on judged pairs (id1, id2, y)."""
+    """A linear model of the features of its parts, one for pairs and one for lists, fitted on judged pairs (id1, id2, y).
+
+    Before it is trained, a score is the mean of the parts' scores, absent ones as their mean.
+    """
+
+    def __init__(self, name: str, parts: list[Measure], least: int = 1, results: int = DEFAULT_RESULTS):
+        self.name, self.parts, self.least, self.results = name, sorted(parts, key=lambda m: m.name), least, results
+        self.pairs: ensemble.Linear | None = None
+        self.lists: ensemble.Linear | None = None
 
-    def __init__(self, name: str, parts: list[Measure], least: int = 1):
-        self.name, self.parts, self.least = name, sorted(parts, key=lambda m: m.name), least
-        self.columns = [T.feature_slug(m.name, i) for i, m in enumerate(self.parts)]
-        self.intercept, self.coefficients = 0.0, dict.fromkeys(self.columns, 1.0 / max(1, len(parts)))
+    @property
+    def columns(self) -> list[str]:
+        return [T.feature_slug(m.name, i) for i, m in enumerate(self.parts)]
 
-    def _wide(self, pairs):
-        wide = pairs
+    def _scores(self, pairs: DataFrame) -> DataFrame:
+        """(metric, id1, id2, x) of all parts for the pairs and their reverse."""
+        both = pairs.select("id1", "id2").unionByName(pairs.select(F.col("id2").alias("id1"), F.col("id1").alias("id2"))).distinct()
+        out = None
         for m, c in zip(self.parts, self.columns):
-            s = m.similarity(pairs).select("id1", "id2", F.when(M.finite(F.col("score")), F.col("score")).alias(c))
-            wide = wide.join(s, ["id1", "id2"], "left")
-        return wide.where(sum((F.col(c).isNotNull().cast("int") for c in self.columns), F.lit(0)) >= self.least)
+            part = m.similarity(both).select(F.lit(c).alias("metric"), "id1", "id2", F.when(M.finite(F.col("score")), F.col("score")).alias("x"))
+            out = part if out is None else out.unionByName(part)
+        return out
+
+    def _lists(self, queries: DataFrame, k: int, valid: DataFrame | None) -> DataFrame:
+        """(query_id, id, metric, score, rank): the 2k best of each part."""
+        out = None
+        for m, c in zip(self.parts, self.columns):
+            part = m.most_similar(queries, 2 * k, valid).where(M.finite(F.col("score"))).select("query_id", "id", F.lit(c).alias("metric"), "score", "rank")
+            out = part if out is None else out.unionByName(part)
+        return out
 
     def train(self, gold: DataFrame) -> EnsembleMeasure:
-        labels = gold.groupBy("id1", "id2").agg(F.avg("y").alias("y"))
-        wide = reliable(ensemble.imputed(self._wide(labels.select("id1", "id2")).join(labels, ["id1", "id2"]), self.columns))
-        self.intercept, b = ensemble.fit_from_moments(wide, self.columns, "y")
-        self.coefficients = dict(zip(self.columns, map(float, b)))
+        labels = reliable(gold.groupBy("id1", "id2").agg(F.avg("y").alias("y")))
+        long = reliable(ensemble.both_directions(self._scores(labels), labels, self.columns))
+        self.pairs = ensemble.fit_pairs(long, labels, self.columns)
+        asked = labels.select(F.col("id1").alias("query_id")).distinct()
+        self.lists = ensemble.fit_lists(reliable(self._lists(asked, self.results, None)), labels, self.columns, self.results)
         return self
 
     def raw_similarity(self, pairs):
-        wide = ensemble.imputed(self._wide(pairs), self.columns)
-        return pairs.join(wide.select("id1", "id2", ensemble.predict(self.intercept, self.coefficients).alias("score")), ["id1", "id2"], "left")
+        scores = reliable(self._scores(pairs))
+        long = ensemble.both_directions(scores, pairs, self.columns)
+        enough = long.groupBy("id1", "id2").agg(F.count("s1").alias("n"), F.avg("s1").alias("mean")).where(F.col("n") >= self.least)
+        if self.pairs is None:
+            rated = enough.select("id1", "id2", F.col("mean").alias("score"))
+        else:
+            rated = self.pairs.on(ensemble.pair_features(long, self.pairs.features), ["id1", "id2"], ensemble.PAIR_FEATURES).join(enough.select("id1", "id2"), ["id1", "id2"], "left_semi")
+        return pairs.join(rated, ["id1", "id2"], "left").select("id1", "id2", "score")
 
     def raw_most_similar(self, queries, valid, k=DEFAULT_RESULTS):
-        merged = None
-        for m, c in zip(self.parts, self.columns):
-            found = m.most_similar(queries, 2 * k, valid).where(M.finite(F.col("score")))
-            part = found.select("query_id", "id", *[(F.col("score") if x == c else F.lit(None).cast("double")).alias(x) for x in self.columns])
-            merged = part if merged is None else merged.unionByName(part)
-        wide = merged.groupBy("query_id", "id").agg(*[F.max(c).alias(c) for c in self.columns])
-        wide = wide.where(sum((F.col(c).isNotNull().cast("int") for c in self.columns), F.lit(0)) >= self.least)
-        rated = ensemble.imputed(wide, self.columns).select("query_id", "id", ensemble.predict(self.intercept, self.coefficients).alias("score"))
+        lists = self._lists(queries, k, valid)
+        enough = lists.groupBy("query_id", "id").agg(F.count(F.lit(1)).alias("n"), F.avg("score").alias("score")).where(F.col("n") >= self.least)
+        if self.lists is None:
+            return enough.select("query_id", "id", "score")
+        features = ensemble.list_features(ensemble.in_lists(reliable(lists), self.columns), self.lists.features, k)
+        rated = self.lists.on(features, ["query_id", "id"], ensemble.LIST_FEATURES).join(enough.select("query_id", "id"), ["query_id", "id"], "left_semi")
         return rated.where("score is not null and not isnan(score)")
 
     def save(self, path: str) -> None:
-        ensemble.write_model(path, self.intercept, self.coefficients, parts=[m.name for m in self.parts])
-
-    def load(self, path: str) -> EnsembleMeasure:
-        model = ensemble.read_model(path)
-        if model["parts"] != [m.name for m in self.parts]:
-            raise ValueError("the model has other parts")
-        self.intercept, self.coefficients = model["intercept"], model["coefficients"]
+        names = {c: m.name for m, c in zip(self.parts, self.columns)}
+        ensemble.write_models(path, {"pairs": self.pairs, "lists": self.lists}, names)
+
+    def load(self, path: str, spark: SparkSession, prune: bool = True) -> EnsembleMeasure:
+        """Take over the saved models for the parts at hand, whatever their order. Parts the models lack have no weight;
+        what they hold for parts that aren't at hand goes, or is an error without ``prune``."""
+        models = ensemble.read_models(path, spark, {m.name: c for m, c in zip(self.parts, self.columns)}, prune)
+        self.pairs, self.lists = models["pairs"], models["lists"]
         return self
 
 
@@ -274,10 +340,10 @@ class Engine:
                 raise KeyError(f"unknown kind of measure: {kind}")
             made = self._makers[kind](section)
             made.name = name
-            if made.normalizer is None and section.string("similarityNormalizer", "identity") == "range":
-                gold = self.gold()
-                low, high = made.raw_similarity(gold.select("id1", "id2").distinct()).where(M.finite(F.col("score"))).agg(F.min("score"), F.max("score")).first()
-                made.normalizer = lambda c: normalize.to_range(c, F.lit(low), F.lit(high), 0.0, 1.0, truncate=True)
+            entries = section.data.get("similarityNormalizer"), section.data.get("mostSimilarNormalizer")
+            if any(calibrate.parameters(e)["type"] != "identity" for e in entries):
+                with timing.phase(f"calibrate {name}"):
+                    made.calibrate(self.gold(), *entries, self.results)
             self._measures[name] = made
         return self._measures[name]
 
@@ -326,6 +392,16 @@ class Engine:
         found = self.measure(measure).most_similar(top.select("query_id"), k or self.results)
         return top.join(found, "query_id").select("phrase", "id", "score", "rank")
 
+    def phrase_vector_similarity(self, pairs: DataFrame, measure: str, k: int | None = None) -> DataFrame:
+        """(a, b, score) for phrase pairs (a, b): the cosine of the two phrases' lists by a measure."""
+        lists = self.phrase_most_similar(pairs.select(F.explode(F.array("a", "b")).alias("phrase")).distinct(), measure, k)
+        return P.vector_cosine(pairs.select("a", "b").distinct(), reliable(lists.select(F.col("phrase").alias("query_id"), "id", "score")))
+
+    def phrase_targets(self, pairs: DataFrame, measure: str, k: int | None = None) -> DataFrame:
+        """(a, b, id, score, rank) for phrase pairs (a, b): the page in the list of a that most likely is meant by b."""
+        lists = self.phrase_most_similar(pairs.select(F.col("a").alias("phrase")).distinct(), measure, k)
+        return concepts.targets_in_lists(pairs, lists, self.map_phrases(pairs.select(F.col("b").alias("phrase")).distinct(), 2 * concepts.CONCEPTS))
+
     # makers
     def _text(self, c: Config) -> Measure:
         docs = self.pages().where("text is not null and redirect is null").select("id", "text")
@@ -333,8 +409,12 @@ class Engine:
         return IndexedMeasure("text", docs, P.postings(docs, T.word_tokens(F.col("text"))), rule)
 
     def _esa(self, c: Config) -> Measure:
-        docs = self.pages().where("text is not null and redirect is null").select("id", "text")
-        return ConceptMeasure("esa", docs, P.postings(docs, T.word_tokens(F.col("text"))))
+        """Concepts are the pages fit for an index; stop words go and words are stemmed. Other pages ask with their text."""
+        pages = self.pages().where("text is not null and redirect is null")
+        tokens = analyzed(F.col("text"), readers.stop_words(path=c.string("stopWords", "") or None), stemming=c.boolean("stemming", True))
+        every = reliable(P.postings(pages.select("id", "text"), tokens))
+        fit = corpus.included(pages, min_words=c.integer("minWords", corpus.MIN_WORDS), min_links=c.integer("minLinks", corpus.MIN_LINKS)).select("id")
+        return ConceptMeasure("esa", fit, reliable(every.join(fit, "id", "left_semi")), every)
 
     def _links(self, c: Config) -> Measure:
         return LinkMeasure("links", self.edges(), self.table("pages").where("id is not null"), c.string("similarity", "google"))
@@ -346,14 +426,14 @@ class Engine:
         return PairwiseMeasure("pairwise", matrix.neighbour_matrix(self.spark, self.folder, c.string("matrix", "esa")))
 
     def _known(self, c: Config) -> Measure:
-        return KnownMeasure("known", matrix.neighbour_matrix(self.spark, self.folder, c.string("matrix", "pairwise")))
+        return KnownMeasure("known", matrix.neighbour_matrix(self.spark, self.folder, c.string("matrix", "pairwise")), c.boolean("strict", True))
 
     def _dense(self, c: Config) -> Measure:
-        return DenseMeasure("densematrix", self.table("embeddings").where("embedding is not null").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")))
+        return DenseMeasure("densematrix", self.table("embeddings").where("embedding is not null").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), c.boolean("indexed", False))
 
     def _split(self, c: Config) -> Measure:
         pairs, lists = c.strings("delegates")
         return SplitMeasure("split", self.measure(pairs), self.measure(lists))
 
     def _ensemble(self, c: Config) -> Measure:
-        return EnsembleMeasure("ensemble", [self.measure(n) for n in c.strings("components")], c.integer("minComponents", 1))
+        return EnsembleMeasure("ensemble", [self.measure(n) for n in c.strings("components")], c.integer("minComponents", 1), self.results)

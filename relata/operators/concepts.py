@@ -10,10 +10,13 @@ from relata.functions.titles import canonical_title, present
 from relata.operators import links as L
 from relata.operators import postings as P
 from relata.operators.corpus import current_pages, follow_redirects, title_ids
-from relata.session import table
+from relata.operators.matrix import METRICS, matrix_sql, neighbour_matrix
+from relata.session import reliable, table
 
 MIN_COUNT, MIN_SHARE = 5, 0.01
 CONCEPTS = 5
+#: Length of a phrase's list in which another phrase's page is looked for.
+TARGET_LIST = 500
 
 
 def dictionary(links: DataFrame) -> DataFrame:
@@ -89,10 +92,10 @@ def disambiguate(pairs: DataFrame, mapped: DataFrame, scored, n: int = CONCEPTS)
     At most n by n candidates a pair; scored gives (id1, id2, score) for id pairs. Without any similar candidates the
     best of each side stand; NULL if a side has none.
     """
-    some = mapped.where(F.col("rank") <= n)
+    some = reliable(mapped.where(F.col("rank") <= n))
     a = some.select(F.col("phrase").alias("a"), F.col("id").alias("id1"), F.col("score").alias("sa"))
     b = some.select(F.col("phrase").alias("b"), F.col("id").alias("id2"), F.col("score").alias("sb"))
-    grid = pairs.join(a, "a").join(b, "b")
+    grid = reliable(pairs.join(a, "a").join(b, "b"))
     sims = scored(grid.select("id1", "id2").distinct())
     rated = grid.join(sims, ["id1", "id2"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
     product = F.round(F.col("sa") * F.col("sb") * F.col("score"), 9)
@@ -101,6 +104,24 @@ def disambiguate(pairs: DataFrame, mapped: DataFrame, scored, n: int = CONCEPTS)
     return pairs.join(top, ["a", "b"], "left")
 
 
+def targets_in_lists(pairs: DataFrame, lists: DataFrame, mapped: DataFrame) -> DataFrame:
+    """(a, b, id, score, rank) for phrase pairs (a, b): of the list of a (phrase, id, score, rank) the page with the
+    greatest product of its score and the share with which b stands for it (phrase, id, score); NULL if there is none."""
+    list_of_a = lists.select(F.col("phrase").alias("a"), "id", "score", "rank")
+    meant = mapped.select(F.col("phrase").alias("b"), "id", F.col("score").alias("share"))
+    w = Window.partitionBy("a", "b").orderBy(F.desc(F.round(F.col("score") * F.col("share"), 9)), "rank", "id")
+    hits = pairs.select("a", "b").distinct().join(meant, "b").join(list_of_a, ["a", "id"]).withColumn("rn", F.row_number().over(w))
+    return pairs.select("a", "b").distinct().join(hits.where("rn = 1").select("a", "b", "id", "score", "rank"), ["a", "b"], "left")
+
+
+def scores_in_lists(pairs: DataFrame, lists: DataFrame) -> DataFrame:
+    """(id1, id2, score, rank) for id pairs: where id2 stands in the list of id1 (query_id, id, score, rank from 1); rank is
+    -1 and score NULL if the list lacks it. Pairs whose id1 has no list are left out."""
+    known = pairs.join(lists.select(F.col("query_id").alias("id1")).distinct(), "id1", "left_semi")
+    cells = lists.select(F.col("query_id").alias("id1"), F.col("id").alias("id2"), "score", "rank")
+    return known.join(cells, ["id1", "id2"], "left").select("id1", "id2", "score", F.coalesce("rank", F.lit(-1)).alias("rank"))
+
+
 # --- queries ------------------------------------------------------------------------------------------------------
 def _phrases(spark, d):
     return P.phrases(spark, d)
@@ -170,7 +191,44 @@ def q_pair_disambiguate(spark, d):
     return disambiguate(pairs, _mapped(spark, d), lambda ids: L.link_overlap(ids, e, n).select("id1", "id2", L.jaccard().alias("score")))
 
 
+def q_dictionary_sorted(spark, d):
+    """Entries of each text in order of their links, the most first."""
+    w = Window.partitionBy("text").orderBy(F.desc("num"), "article")
+    return dictionary(table(spark, d, "links")).select("text", "article", "num", F.row_number().over(w).alias("place"))
+
+
+def _gold_phrases(spark, d):
+    return table(spark, d, "gold").where("phrase1 is not null and phrase2 is not null").select(F.col("phrase1").alias("a"), F.col("phrase2").alias("b")).distinct()
+
+
+def q_phrase_targets(spark, d):
+    """The page of phrase a's search results that phrase b most likely stands for."""
+    lists = P.phrase_vectors(spark, d, TARGET_LIST).withColumnRenamed("query_id", "phrase")
+    return targets_in_lists(_gold_phrases(spark, d), lists, _mapped(spark, d, 2 * CONCEPTS))
+
+
+def q_list_scorer(spark, d):
+    """Where the second page of a judged pair stands in the first one's list of each metric."""
+    pairs = table(spark, d, "gold").where("id1 is not null and id2 is not null").select("id1", "id2").distinct()
+    lists = neighbour_matrix(spark, d).select("metric", F.col("row_id").alias("query_id"), F.col("col_id").alias("id"), F.col("value").alias("score"))
+    w = Window.partitionBy("metric", "query_id").orderBy(F.desc("score"), "id")
+    out = None
+    ranked = lists.withColumn("rank", F.row_number().over(w))
+    for metric in METRICS:
+        part = scores_in_lists(pairs, ranked.where(F.col("metric") == metric).drop("metric")).select(F.lit(metric).alias("metric"), "id1", "id2", "score", "rank")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def q_phrase_vectors_cosine(spark, d):
+    """Cosine of the lists of two phrases, a phrase's list being that of the page it maps to, by the metric esa."""
+    pages = _mapped(spark, d, 1).select(F.col("phrase").alias("query_id"), F.col("id").alias("row_id"))
+    lists = pages.join(neighbour_matrix(spark, d, "esa"), "row_id").select("query_id", F.col("col_id").alias("id"), F.col("value").alias("score"))
+    return P.vector_cosine(_gold_phrases(spark, d), reliable(lists))
+
+
 QUERIES = {
+    "dictionary_sorted": q_dictionary_sorted, "phrase_targets": q_phrase_targets, "list_scorer": q_list_scorer, "phrase_vectors_cosine": q_phrase_vectors_cosine,
     "dictionary_build": q_dictionary, "dictionary_retain": q_dictionary_retain, "dictionary_merge": q_dictionary_merge, "dictionary_map": q_dictionary_map,
     "title_map": q_title_map, "search_map": q_search_map, "ensemble_map": q_ensemble_map, "hierarchical_map": q_hierarchical_map,
     "single_disambiguate": q_single_disambiguate, "pair_disambiguate": q_pair_disambiguate,
@@ -198,7 +256,16 @@ def _search_map(n: int) -> str:
 sm{n} as (select phrase, cast(rank as int) as rank, id, round(score / sum(score) over (partition by phrase), 6) as score from bst{n} where rank <= {n})"""
 
 
+_LISTED = matrix_sql().replace("with ", "", 1) + ", ls as (select *, row_number() over (partition by metric, row_id order by value desc, col_id) as rank from m)"
 SQL = {
+    "dictionary_sorted": f"with {_DICT} select text, article, num, cast(row_number() over (partition by text order by num desc, article) as int) as place from dict",
+    "phrase_targets": f"""{_MAP}, {_SEARCH}, pairs as (select distinct phrase1 as a, phrase2 as b from gold where phrase1 is not null and phrase2 is not null),
+      ht as (select a, b, r.id, r.score, r.rank, row_number() over (partition by a, b order by round(r.score * m.score, 9) desc, r.rank, r.id) as rn
+        from pairs join dm m on m.phrase = b and m.rank <= {2 * CONCEPTS} join ranked r on r.query_id = a and r.id = m.id and r.rank <= {TARGET_LIST})
+      select a, b, id, score, cast(rank as int) as rank from pairs left join (select * from ht where rn = 1) using (a, b)""",
+    "list_scorer": f"""with {_LISTED}, pairs as (select distinct id1, id2 from gold where id1 is not null and id2 is not null), kn as (select distinct metric, row_id as id1 from ls)
+      select kn.metric, id1, id2, value as score, cast(coalesce(rank, -1) as int) as rank from pairs join kn using (id1) left join ls on ls.metric = kn.metric and ls.row_id = id1 and ls.col_id = id2""",
+    "phrase_vectors_cosine": f"""{_MAP}, {matrix_sql('esa').replace('with ', '', 1)}, vec as (select phrase as query_id, col_id as id, value as score from dm join m on m.row_id = dm.id where rank = 1), {P._cosine('vec')}""",
     "dictionary_build": f"with {_DICT} select * from dict",
     "dictionary_retain": f"with {_DICT} select * from dict where num >= {MIN_COUNT} and num::double / den > {MIN_SHARE}",
     "dictionary_merge": f"with {_DICT} select * from dict",

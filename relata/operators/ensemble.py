@@ -204,6 +204,90 @@ def predict(intercept: float, coefficients: dict[str, float]) -> Column:
     return out
 
 
+@dataclass
+class Linear:
+    """A fitted ensemble: how features are made, and their weights by the name of the column."""
+
+    features: FeatureModel
+    intercept: float
+    weights: dict[str, float]
+    metrics: list[str]
+
+    def on(self, features: DataFrame, keys: list[str], names: tuple[str, ...]) -> DataFrame:
+        """(*keys, score) of the features (*keys, metric, *names)."""
+        wide = wide_features(features, keys, self.metrics, names).na.fill(0.0, feature_columns(self.metrics, names))
+        return wide.select(*keys, predict(self.intercept, self.weights).alias("score"))
+
+
+def _fit(features: DataFrame, model: FeatureModel, labels: DataFrame, keys: list[str], metrics: list[str], names: tuple[str, ...]) -> Linear:
+    columns = feature_columns(metrics, names)
+    wide = reliable(wide_features(features, keys, metrics, names).join(labels, keys).na.fill(0.0, columns))
+    b0, b = fit_without_colinear(wide, columns, "y", keys)
+    return Linear(model, b0, b, metrics)
+
+
+def fit_pairs(long: DataFrame, labels: DataFrame, metrics: list[str]) -> Linear:
+    """The model of pairs, from :func:`both_directions` of the labelled pairs (id1, id2, y)."""
+    model = _kept(fit_features(observed_pairs(long, labels)))
+    return _fit(pair_features(long, model), model, labels, ["id1", "id2"], metrics, PAIR_FEATURES)
+
+
+def fit_lists(lists: DataFrame, labels: DataFrame, metrics: list[str], size: int) -> Linear:
+    """The model of lists (query_id, id, metric, score, rank), from the judged ids in them and those they lack."""
+    judged = labels.select(F.col("id1").alias("query_id"), F.col("id2").alias("id"), "y")
+    grid = judged.select("query_id", "id", "y", F.explode(F.array(*[F.lit(m) for m in metrics])).alias("metric"))
+    long = reliable(grid.join(lists, ["query_id", "id", "metric"], "left"))
+    model = _kept(fit_features(long.select("metric", F.concat_ws("-", "query_id", "id").alias("key"), F.col("score").alias("x"), "y")))
+    return _fit(list_features(long.drop("y"), model, size), model, judged, ["query_id", "id"], metrics, LIST_FEATURES)
+
+
+def _kept(model: FeatureModel) -> FeatureModel:
+    return FeatureModel(reliable(model.bounds), reliable(model.knots))
+
+
+def write_models(path: str, models: dict[str, Linear | None], names: dict[str, str]) -> None:
+    """Models as JSON, with the parts' names in place of their columns; all digits are kept."""
+    out = {}
+    for kind, m in models.items():
+        if m is not None:
+            table_of = lambda df: [list(r) for r in df.collect()]  # noqa: E731, a few rows a metric, SAMPLE points at most
+            bounds, knots = table_of(m.features.bounds.select("metric", "low", "high", "missing")), table_of(m.features.knots.select("metric", "x", "y"))
+            out[kind] = {
+                "intercept": m.intercept,
+                "parts": [
+                    {
+                        "name": names[c], "bounds": next((b[1:] for b in bounds if b[0] == c), None), "knots": [k[1:] for k in knots if k[0] == c],
+                        "weights": {w.removeprefix(f"{c}_"): v for w, v in m.weights.items() if w.startswith(f"{c}_")},
+                    }
+                    for c in m.metrics
+                ],
+            }
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump(out, f, indent=1)
+
+
+def read_models(path: str, spark, columns: dict[str, str], prune: bool) -> dict[str, Linear | None]:
+    """The models of :func:`write_models` for the parts of ``columns`` (name: column); see :meth:`EnsembleMeasure.load`."""
+    found: dict[str, Linear | None] = {"pairs": None, "lists": None}
+    for kind, m in read_model(path).items():
+        if missing := [p["name"] for p in m["parts"] if p["name"] not in columns]:
+            if not prune:
+                raise ValueError(f"the model has other parts: {', '.join(missing)}")
+        parts = {columns[p["name"]]: p for p in m["parts"] if p["name"] in columns}
+        bounds = [(c, *map(_number, p["bounds"])) for c, p in parts.items() if p["bounds"]]
+        knots = [(c, float(x), float(y)) for c, p in parts.items() for x, y in p["knots"]]
+        features = FeatureModel(
+            spark.createDataFrame(bounds, "metric string, low double, high double, missing double"), spark.createDataFrame(knots, "metric string, x double, y double")
+        )
+        weights = {f"{c}_{w}": v for c, p in parts.items() for w, v in p["weights"].items()}
+        found[kind] = Linear(features, m["intercept"], weights, list(parts))
+    return found
+
+
+def _number(x) -> float | None:
+    return None if x is None else float(x)
+
+
 def write_equation(intercept: float, coefficients: dict[str, float]) -> str:
     """Terms in ascending order of their coefficient, with all digits."""
     terms = sorted(coefficients.items(), key=lambda t: t[1])

@@ -116,8 +116,30 @@ def q_list_correlation(spark, d):
     return correlations(scored)
 
 
+def joint_fit(wide: DataFrame, columns: list[str], label: str, intercept: float, coefficients: dict[str, float]) -> DataFrame:
+    """(metric, n, pearson, spearman, r2): each measure by itself and the fitted sum of all (``joint``) against the label,
+    over rows that all measures cover."""
+    fit = F.lit(float(intercept)) + sum((F.lit(float(coefficients[c])) * F.col(c) for c in columns), F.lit(0.0))
+    covered = wide.dropna(subset=[*columns, label]).withColumn("joint", fit)
+    long = covered.select(F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).alias("x")) for c in [*columns, "joint"]])).alias("e"), F.col(label).alias("y"))
+    spread = covered.agg(F.avg((F.col(label) - fit) * (F.col(label) - fit)).alias("left"), F.var_pop(label).alias("all"))
+    r2 = F.when(F.col("all") > 0, 1 - F.col("left") / F.col("all"))
+    found = correlations(long.select("e.metric", "e.x", "y"))
+    return found.join(F.broadcast(spread)).select("metric", "n", "pearson", "spearman", F.when(F.col("metric") == "joint", F.round(r2, 6)).alias("r2"))
+
+
+def q_joint_fit(spark, d):
+    """Two measures fitted together on the judged pairs both cover."""
+    from relata.operators.ensemble import fit_from_moments
+
+    two = ["esa", "google"]
+    wide = wide_scores(labelled_sims(spark, d), METRICS).where("y is not null").dropna(subset=two).select("id1", "id2", "y", *two)
+    b0, b = fit_from_moments(wide, two, "y")
+    return joint_fit(wide, two, "y", b0, dict(zip(two, map(float, b))))
+
+
 QUERIES = {
-    "gold_combine": q_gold_combine, "gold_stratified_filter": q_gold_stratified, "pearson_spearman_coverage": q_correlation, "score_statistics": q_score_stats,
+    "joint_fit": q_joint_fit, "gold_combine": q_gold_combine, "gold_stratified_filter": q_gold_stratified, "pearson_spearman_coverage": q_correlation, "score_statistics": q_score_stats,
     "prediction_errors": q_errors, "metric_matrix": q_metric_matrix, "list_correlation": q_list_correlation,
 }
 
@@ -130,6 +152,13 @@ rk as (select metric, x, y, rank() over (partition by metric order by x) + (coun
 cr as (select metric, case when stddev_pop(x) > 0 and stddev_pop(y) > 0 then corr(x, y) end as p, case when stddev_pop(rx) > 0 and stddev_pop(ry) > 0 then corr(rx, ry) end as sp from rk group by 1)
 select metric, n, round(n / asked, 6) as coverage, round(case when n >= 4 then p end, 6) as pearson, round(case when n >= 4 then sp end, 6) as spearman from cov left join cr using (metric)"""
 SQL = {
+    "joint_fit": f"""{SIMS_SQL}, w as (select id1, id2, max(y) as y, max(x) filter (metric = 'esa' and isfinite(x)) as esa, max(x) filter (metric = 'google' and isfinite(x)) as google from s group by all),
+      k as (select * from w where y is not null and esa is not null and google is not null),
+      mo as (select covar_pop(google, google) as gg, covar_pop(esa, esa) as ee, covar_pop(google, esa) as ge, covar_pop(google, y) as gy, covar_pop(esa, y) as ey, avg(google) as mg, avg(esa) as me, avg(y) as my from k),
+      be as (select *, (gy * ee - ey * ge) / (gg * ee - ge * ge) as b1, (ey * gg - gy * ge) / (gg * ee - ge * ge) as b2 from mo),
+      p as (select k.*, my - b1 * mg - b2 * me + b1 * google + b2 * esa as joint from k, be), lo as (unpivot p on esa, google, joint into name metric value x),
+      fi as (select metric, x, y from lo), co as ({_CORR.format('fi').replace('jd as', 'with jd as', 1)})
+      select metric, n, pearson, spearman, case when metric = 'joint' then (select round(1 - avg((y - joint) * (y - joint)) / var_pop(y), 6) from p) end as r2 from co""",
     "gold_combine": "with " + _GOLD.format("coalesce(id1 % 3, -1)") + " select a, b, round(label, 6) as label from comb",
     "gold_stratified_filter": "with " + _GOLD.format("0") + f""", bn as (select *, cast(floor((label - lo) / (0.0001 + hi - lo) * {BINS}) as int) as bin from comb, (select min(label) as lo, max(label) as hi from comb)),
       rn as (select *, row_number() over (partition by bin order by md5(a || '|' || b), a, b) as rn from bn)

@@ -8,6 +8,8 @@ from relata.functions import query as Q
 from relata.functions import text as T
 from relata.functions.stemmer import analyzed
 from relata.operators import links as L
+from relata.operators.evaluate import METRICS, wide_scores
+from relata.operators.normalize import SIMS_SQL, labelled_sims
 from relata.operators.corpus import _TYPE, current_pages, title_ids, with_type
 from relata.operators.matrix import matrix_sql, neighbour_matrix
 from relata.sources import readers, writers
@@ -46,22 +48,23 @@ def q_phrase_lines(spark, d):
 
 
 def q_topic_lines(spark, d):
-    return writers.topic_lines(neighbour_matrix(spark, d))
+    return writers.topic_lines(neighbour_matrix(spark, d), ("metric",))
 
 
 def q_matrix_summary(spark, d):
-    return writers.matrix_summary(neighbour_matrix(spark, d))
+    return writers.matrix_summary(neighbour_matrix(spark, d), by=("metric",))
 
 
 def q_result_lines(spark, d):
     gold = table(spark, d, "gold").groupBy("phrase1", "phrase2").agg(F.max("similarity").alias("gold"), F.min("id1").alias("id1"), F.min("id2").alias("id2"))
-    sims = table(spark, d, "sims").where("metric = 'category'").groupBy("id1", "id2").agg(F.max("similarity").alias("score"))
-    return writers.result_lines(gold.join(sims, ["id1", "id2"]))
+    sims = table(spark, d, "sims").where("metric is not null").groupBy("metric", "id1", "id2").agg(F.max(F.when(~F.isnan("similarity"), F.col("similarity"))).alias("score"))
+    return writers.result_lines(gold.join(sims, ["id1", "id2"]), "metric")
 
 
 def q_arff_lines(spark, d):
-    wide = table(spark, d, "sims").where("metric in ('esa', 'google')").groupBy("id1", "id2").pivot("metric", ["esa", "google"]).agg(F.max("similarity"))
-    return writers.arff_lines(wide.withColumn("label", F.lit(None).cast("double")), ["esa", "google"], "label").groupBy("value").agg(F.count(F.lit(1)).alias("n"))
+    """Scores of all measures of a pair and its label as data lines, counted."""
+    wide = wide_scores(labelled_sims(spark, d), METRICS)
+    return writers.arff_lines(wide, METRICS, "y", decimals=4).groupBy("value").agg(F.count(F.lit(1)).alias("n"))
 
 
 def q_query_language(spark, d):
@@ -101,11 +104,14 @@ SQL = {
     "id_lines": "select distinct id2 as id from gold where id2 is not null",
     "dictionary_lines": f"with {_DICT} select text, replace(article, ' ', '_') as article, cast(num as int) as num, cast(den as int) as den, round(num / den, 5) as fraction from dict",
     "phrase_lines": "select distinct cast(id1 as varchar) as client_id, trim(phrase1) as phrase from gold where id1 is not null and phrase1 is not null",
-    "topic_lines": f"{matrix_sql()} select row_id, '| ' || string_agg(col_id || ':' || format('{{:.6f}}', value), ' ' order by col_id) as value from m group by 1",
-    "matrix_summary": f"""{matrix_sql()}, s as (select col_id, count(*) as cells, round(sum(value), 6) as total from m group by 1)
-      select 'cells' as by, * from (select * from s order by cells desc, col_id limit 100) union all select 'total', * from (select * from s order by total desc, col_id limit 100)""",
-    "result_lines": """select phrase1, phrase2, score, gold from (select phrase1, phrase2, max(similarity) as gold, min(id1) as id1, min(id2) as id2 from gold group by all)
-      join (select id1, id2, max(similarity) as score from sims where metric = 'category' group by all) using (id1, id2) where isfinite(score)""",
+    "topic_lines": f"{matrix_sql()} select metric, row_id, '| ' || string_agg(col_id || ':' || format('{{:.6f}}', value), ' ' order by col_id) as value from m group by all",
+    "matrix_summary": f"""{matrix_sql()}, s as (select metric, col_id, count(*) as cells, round(sum(value), 6) as total from m group by all)
+      select metric, ranked_by, col_id, cells, total from (select *, 'cells' as ranked_by, row_number() over (partition by metric order by cells desc, col_id) as rn from s
+        union all select *, 'total', row_number() over (partition by metric order by total desc, col_id) from s) where rn <= 100""",
+    "result_lines": """select metric, phrase1, phrase2, score, gold from (select phrase1, phrase2, max(similarity) as gold, min(id1) as id1, min(id2) as id2 from gold group by all)
+      join (select metric, id1, id2, max(similarity) filter (not isnan(similarity)) as score from sims where metric is not null group by all) using (id1, id2) where isfinite(score)""",
+    "arff_lines": f"""{SIMS_SQL}, w as (select id1, id2, max(y) as y, {', '.join(f"max(x) filter (metric = '{m}' and isfinite(x)) as {m}" for m in METRICS)} from s group by all)
+      select concat_ws(',', {', '.join(f"coalesce(format('{{:.4f}}', {m} + 0.0), '?')" for m in [*METRICS, 'y'])}) as value, count(*) as n from w group by 1""",
     "query_language": L.EDGES_SQL + f", tp as (select id, title, {_TYPE} as type from cur) select id, title, ninlinks from tp join inl using (id) where type = 'normal' and ninlinks between 3 and 20",
     "standard_analyzer": f"select term, count(*) as n from (select unnest({T.WORD_TOKENS_SQL}) as term from documents) where term not in ({', '.join(repr(w) for w in STANDARD_STOP_WORDS)}) group by 1",
     "link_flags": "select query_id, max(abs(rank)) as num, max(query_id) as den from neighbours where rank is not null and query_id is not null group by 1",

@@ -197,10 +197,10 @@ def q_empirical_percentile(spark, d):
 
 
 def q_math_functions(spark, d):
-    s = observed(labelled_sims(spark, d)).where("metric = 'google'")
+    s = observed(labelled_sims(spark, d)).where("x >= 0")  # logarithms of negative scores have no value
     x = F.col("x")
     return s.select(
-        "id1", "id2", F.round(M.to_asymptote(x, 0.25, 0.1, 1.0), 6).alias("asymptote"), F.round(M.rank_score(x, 500), 6).alias("by_rank"),
+        "metric", "id1", "id2", F.round(M.to_asymptote(x, 0.25, 0.1, 1.0), 6).alias("asymptote"), F.round(M.rank_score(x, 500), 6).alias("by_rank"),
         F.round(M.percentile_score(x), 6).alias("by_percentile"), F.round(M.log_boost(x, 2, 0.5), 6).alias("boost"),
         F.round(M.distance_score(x, F.lit(0.2)), 6).alias("by_distance"),
     )
@@ -277,8 +277,8 @@ SQL = {
       select rk.metric, id1, id2, round(my - b1 * mr - b2 * ms + b1 * r + b2 * x, 5) as z from rk join b on b.metric = rk.metric""",
     "empirical_percentile": """with g as (select id1, id2, avg(similarity) as y from gold where similarity is not null and id1 is not null and id2 is not null group by all)
       select id1, id2, round(row_number() over (order by y, id1, id2) / (count(*) over () + 1), 6) as p from g""",
-    "math_functions": f"""{SIMS_SQL} select id1, id2, round(0.1 + (1 - exp(-x / 0.25)) * 0.9, 6) as asymptote, round(((ln(502) - ln(x + 1)) / ln(502) - 0.5) * 2, 6) as by_rank,
-      round((x - 0.5) * 2, 6) as by_percentile, round(sqrt(ln(1 + ln(1 + x))), 6) as boost, round(ln(greatest(x, 0.2)) / ln(0.2), 6) as by_distance from o where metric = 'google'""",
+    "math_functions": f"""{SIMS_SQL} select metric, id1, id2, round(0.1 + (1 - exp(-x / 0.25)) * 0.9, 6) as asymptote, round(((ln(502) - ln(x + 1)) / ln(502) - 0.5) * 2, 6) as by_rank,
+      round((x - 0.5) * 2, 6) as by_percentile, round(sqrt(ln(1 + ln(1 + x))), 6) as boost, round(ln(greatest(x, 0.2)) / ln(0.2), 6) as by_distance from o where x >= 0""",
     "robust_mean": f"""{SIMS_SQL}, k as (select metric, id1, x, row_number() over (partition by metric, id1 order by x) - 1 as i, count(*) over (partition by metric, id1) as n from o),
       w as (select metric, id1, x, exp(-pow((i - floor(n / 2)) / greatest(3, floor(n / 4)), 2) / 2) as w from k)
       select metric, id1, round(sum(x * w) / sum(w), 5) as mean from w group by all""",

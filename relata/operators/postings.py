@@ -53,6 +53,13 @@ def select_terms(index: DataFrame, stats: DataFrame, rule: TermRule) -> DataFram
     return ranked.where(F.col("rn") <= rule.max_terms).drop("rn")
 
 
+def fallback_terms(queries: DataFrame, docs: DataFrame, wider: DataFrame, stats: DataFrame, rule: TermRule) -> DataFrame:
+    """(query_id, term, tf, df, n) of queries (query_id) that aren't among ``docs`` (id) but in the postings ``wider``:
+    their terms are rated by the statistics of the index that is searched."""
+    absent = queries.join(docs.select(F.col("id").alias("query_id")), "query_id", "left_anti").select(F.col("query_id").alias("id"))
+    return select_terms(wider.join(absent, "id", "left_semi"), stats, rule).withColumnRenamed("id", "query_id")
+
+
 def weight() -> Column:
     return (1 + F.log("tf")) * F.log(F.col("n") / F.col("df"))
 
@@ -215,7 +222,58 @@ def q_valid_id_filter(spark, d):
     return top_k(matches(asked, inside, stats, lengths(inside, stats)), K)
 
 
+def _esa_index(spark, d):
+    """(concepts, their postings, statistics, postings of all pages): concepts are pages with enough words and links;
+    stop words are left out."""
+    from relata.operators.corpus import MIN_LINKS, MIN_WORDS, included
+    from relata.sources.readers import stop_words
+
+    pages = current_pages(table(spark, d, "pages")).where("text is not null and redirect is null")
+    every = reliable(postings(pages.select("id", "text"), T.remove_words(T.word_tokens(F.col("text")), stop_words())))
+    docs = reliable(included(pages, min_words=MIN_WORDS, min_links=MIN_LINKS).select("id"))
+    index = reliable(every.join(docs, "id", "left_semi"))
+    return docs, index, with_size(term_stats(index), docs), every
+
+
+def q_esa_id_most_similar(spark, d):
+    """The concepts nearest to each fiftieth page, lists cut where they flatten. Pages that are no concepts ask with
+    their own text (fallback)."""
+    docs, index, stats, every = _esa_index(spark, d)
+    asked = every.where(F.col("id") % SEARCH_STEP == 0).select(F.col("id").alias("query_id")).distinct()
+    own = select_terms(index.where(F.col("id") % SEARCH_STEP == 0), stats, TermRule()).withColumnRenamed("id", "query_id").withColumn("fallback", F.lit(False))
+    other = fallback_terms(asked, docs, every, stats, TermRule()).withColumn("fallback", F.lit(True))
+    terms = own.unionByName(other)
+    found = prune_tail(reliable(top_k(matches(terms.drop("fallback"), index, stats), 5_000))).where(F.col("rank") <= K)
+    return found.join(terms.select("query_id", "fallback").distinct(), "query_id").select("query_id", "id", "score", "rank", "fallback")
+
+
+def q_inbound_postings(spark, d):
+    """(term, id, tf) of pages with the texts of the links to them appended. Texts are never joined into one: counts are."""
+    from relata.functions.titles import canonical_title, present
+    from relata.operators.corpus import title_ids
+
+    docs = current_pages(table(spark, d, "pages")).where("text is not null and redirect is null").select("id", "text")
+    links = table(spark, d, "links").select(canonical_title(F.col("target_title")).alias("title"), F.col("anchor").alias("text"))
+    named = links.where(present(F.col("title")) & F.col("text").isNotNull()).join(title_ids(table(spark, d, "pages")), "title")
+    inbound = postings(named.select("id", "text"), T.word_tokens(F.col("text"))).join(docs.select("id"), "id", "left_semi")
+    own = postings(docs, T.word_tokens(F.col("text")))
+    return own.unionByName(inbound.select(*own.columns)).groupBy("term", "id").agg(F.sum("tf").alias("tf"))
+
+
+def q_boosted_most_similar(spark, d):
+    """Nearest pages by text, scores multiplied by the page's boost, a slow function of the links to it."""
+    from relata.functions.maths import log_boost
+    from relata.operators.links import _edges, inlink_counts
+
+    docs, index, stats = _page_index(spark, d)
+    asked = select_terms(index.where(F.col("id") % SEARCH_STEP == 0), stats, TermRule()).withColumnRenamed("id", "query_id")
+    found = matches(asked, index, stats).join(inlink_counts(_edges(spark, d)), "id", "left")
+    boosted = F.round(F.col("score") * (1 + log_boost(F.coalesce("ninlinks", F.lit(0)), 2, 0.5)), 6)
+    return top_k(found.select("query_id", "id", boosted.alias("score")), K)
+
+
 QUERIES = {
+    "esa_id_most_similar": q_esa_id_most_similar, "inbound_postings": q_inbound_postings, "boosted_most_similar": q_boosted_most_similar,
     "doc_count": q_doc_count, "term_doc_freq": q_term_doc_freq, "term_freq": q_term_freq, "mlt_term_selection": q_mlt_term_selection,
     "text_most_similar_topk": q_text_most_similar_topk, "text_similarity_pairs": q_text_similarity_pairs,
     "text_phrase_cosine": q_text_phrase_cosine, "esa_concept_vector": q_esa_concept_vector, "esa_phrase_similarity": q_esa_phrase_similarity,
@@ -262,6 +320,33 @@ select a, b, round(case when x.len * y.len > 0 then coalesce(dot, 0) / (x.len *
 from pairs left join dots using (a, b) left join vlen x on x.query_id = a left join vlen y on y.query_id = b"""
 
 
+def _esa_sql() -> str:
+    from relata.operators.corpus import SQL as PAGES
+    from relata.sources.readers import stop_words
+
+    stop = ", ".join("'" + w.replace("'", "''") + "'" for w in stop_words())
+    fit = PAGES["page_filter"]
+    fit = fit[fit.index("select id, title from cur"):].replace("select id, title from cur", "select id from cur")
+    return f"""with {CUR_SQL}, fit as ({fit} and text is not null),
+      ev as (select term, id, count(*) as tf from (select id, unnest({_TOKENS}) as term from cur where text is not null and redirect is null) where term not in ({stop}) group by all),
+      post as (select * from ev where id in (select id from fit)), stats as (select term, count(*) as df, (select count(*) from fit) as n from post group by 1),
+      w as (select id, term, tf, df, n, (1 + ln(tf)) * ln(n / df) as w from post join stats using (term)), len as (select id, sqrt(sum(w * w)) as len from w group by 1),
+      we as (select id, term, tf, df, n, (1 + ln(tf)) * ln(n / df) as w from ev join stats using (term) where id % 50 = 0),
+      asked as (select query_id, term, w, fallback from (select id as query_id, term, w, id not in (select id from fit) as fallback,
+        row_number() over (partition by id order by round(tf * (1 + ln(n / (df + 1))), 6) desc, term) as rn from we where tf >= 2 and df >= 2 and df <= floor(n * 10.0 / 100)) where rn <= 100),
+      {_matches('asked')}, {_PRUNED} select query_id, id, score, cast(rank as int) as rank, fallback from vec join (select distinct query_id, fallback from asked) using (query_id) where rank <= 10"""
+
+
+def _linked_sql(start: str) -> str:
+    """The CTEs of linking pages before those of ``start``, which begin with the current pages too."""
+    from relata.operators.links import EDGES_SQL
+
+    return EDGES_SQL + start.removeprefix(f"with {CUR_SQL}")
+
+
+_CANONICAL = "trim(regexp_replace(split_part(target_title, '#', 1), '[\\s_\\x{a0}]+', ' ', 'g'))"
+
+
 SQL = {
     "doc_count": "select count(*) as n from documents where text is not null",
     "term_doc_freq": f"{DOC_INDEX_SQL} select term, df from stats",
@@ -278,3 +363,17 @@ SQL = {
     "valid_id_filter": f"""{PAGE_INDEX_SQL}, {_SELECTED}, {_ASKED}, inside as (select * from w where id in (select id2 from gold)), {_matches('asked', 'inside')}
       select query_id, id, score, cast(rank as int) as rank from ranked where rank <= 10""",
 }
+
+
+def linked_sql() -> dict[str, str]:
+    """SQL of the queries that join links too, and of those that need other modules' SQL."""
+    anchors = _TOKENS.replace("(text,", "(anchor,")
+    return {
+        "esa_id_most_similar": _esa_sql(),
+        "inbound_postings": _linked_sql(f"with {CUR_SQL}, docs as (select id, text from cur where text is not null and redirect is null)")
+        + f""" select term, id, count(*) as tf from (select unnest({_TOKENS}) as term, id from docs union all
+          select unnest({anchors}), id from (select anchor, {_CANONICAL} as title from links where anchor is not null) join titles using (title) where id in (select id from docs)) group by all""",
+        "boosted_most_similar": _linked_sql(PAGE_INDEX_SQL) + f""", {_SELECTED}, {_ASKED}, {_matches('asked')},
+          bo as (select query_id, id, round(score * (1 + sqrt(ln(1 + ln(1 + coalesce(ninlinks, 0))))), 6) as score from scored left join inl using (id))
+          select query_id, id, score, cast(rn as int) as rank from (select *, row_number() over (partition by query_id order by score desc, id) as rn from bo) where rn <= 10""",
+    }

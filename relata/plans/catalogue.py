@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from relata.operators import concepts, corpus, ensemble, evaluate, files, graph, hierarchy, links, matrix, normalize, postings, references
+from relata.operators import concepts, corpus, ensemble, evaluate, facade, files, graph, hierarchy, links, matrix, normalize, postings, references
 
 FLAGSHIP = "text_most_similar_topk"
 
@@ -23,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         **evaluate.QUERIES,
         **ensemble.QUERIES,
         **files.QUERIES,
+        **facade.QUERIES,
         "p3_found": references.p3_found,
         "p3_report": references.p3_report,
         "p5_found": hierarchy.p5_found,
@@ -34,4 +35,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return corpus.SQL | postings.SQL | links.SQL | matrix.SQL | graph.SQL | normalize.SQL | concepts.SQL | evaluate.SQL | ensemble.SQL | files.SQL | references.SQL | hierarchy.SQL
+    out: dict[str, str] = dict(postings.linked_sql())
+    for part in (corpus, postings, links, matrix, graph, normalize, concepts, evaluate, ensemble, files, facade, references, hierarchy):
+        out |= part.SQL
+    return out

@@ -17,7 +17,7 @@ _DUMP = StructType(
     [
         StructField("title", StringType()), StructField("ns", IntegerType()), StructField("id", IntegerType()),
         StructField("redirect", StructType([StructField("_title", StringType())])),
-        StructField("revision", StructType([StructField("text", StructType([StructField("_VALUE", StringType()), StructField("_bytes", StringType())]))])),
+        StructField("revision", StructType([StructField("text", StringType())])),
     ]
 )
 
@@ -30,7 +30,7 @@ def read_dump(spark: SparkSession, path: str, skip_broken: bool = True, text_lim
     """
     mode = "DROPMALFORMED" if skip_broken else "FAILFAST"
     rows = spark.read.format("xml").option("rowTag", "page").option("mode", mode).option("ignoreCorruptFiles", str(skip_broken).lower()).schema(_DUMP).load(path)
-    return rows.select("id", "ns", "title", F.col("redirect._title").alias("redirect"), F.substring("revision.text._VALUE", 1, text_limit).alias("text"))
+    return rows.select("id", "ns", "title", F.col("redirect._title").alias("redirect"), F.substring("revision.text", 1, text_limit).alias("text"))
 
 
 def parse_gold(lines: DataFrame, separator: str = "\t") -> DataFrame:
@@ -120,7 +120,23 @@ def parse_topic_weights(lines: DataFrame) -> DataFrame:
     return rows.select(F.col("n")[0].cast("int").alias("dense_id"), F.when(total != 0, F.transform(weights, lambda x: x / total)).otherwise(weights).alias("w"))
 
 
-def stop_words(language: str = "english") -> list[str]:
+def parse_topics(lines: DataFrame) -> DataFrame:
+    """(dense_id, w) of a topic model's file: after the line that begins with ``lda``, an id and its weight for each topic."""
+    return parse_topic_weights(lines.where(~F.trim("value").startswith("lda")))
+
+
+def parse_predictions(lines: DataFrame) -> DataFrame:
+    """(place, w) of predictions, one line for each document in order: its weights, divided by their sum. ``lines`` holds
+    (place, value), as a file's lines have no order of their own."""
+    rows = lines.select("place", F.concat_ws(" ", F.col("place").cast("string"), "value").alias("value"))
+    return parse_topic_weights(rows).select(F.col("dense_id").alias("place"), "w")
+
+
+def stop_words(language: str = "english", path: str | None = None) -> list[str]:
+    """The words of a file, one a line, or Spark's own list of the language."""
+    if path:
+        with open(path, encoding="utf-8") as f:
+            return sorted({line.strip() for line in f if line.strip()})
     from pyspark.ml.feature import StopWordsRemover
 
     return StopWordsRemover.loadDefaultStopWords(language)

@@ -8,7 +8,7 @@ import os
 import duckdb
 
 DATA = os.environ.get("RELATA_TEST_DATA", "/root/testdata")
-SMALL = f"{DATA}/sf0.001"
+SMALL, MIDDLE = f"{DATA}/sf0.001", f"{DATA}/sf0.01"
 
 
 def plain(v):

@@ -3,13 +3,14 @@ import bz2
 import pytest
 from pyspark.sql import functions as F
 
-from relata import config
-from relata.engine import Engine
+from relata import config, timing
+from relata.engine import Engine, KnownMeasure
+from relata.operators import ensemble
 from relata.sources import readers, writers
 from relata.streaming import postings as S
-from tests.helpers import SMALL, rows_of
+from tests.helpers import MIDDLE, SMALL, rows_of
 
-PAGE = "<page><title>{t}</title><ns>0</ns><id>{i}</id>{r}<revision><text bytes='3'>{x}</text></revision></page>"
+PAGE = "<page><title>{t}</title><ns>0</ns><id>{i}</id>{r}<revision><text{a}>{x}</text></revision></page>"
 
 
 def _dump(pages):
@@ -18,7 +19,7 @@ def _dump(pages):
 
 @pytest.mark.parametrize("name", ["a.xml", "a.xml.bz2"])
 def test_dump(spark, tmp_path, name):
-    xml = _dump([dict(t="A &amp; b", i=1, r='<redirect title="C"/>', x="t1"), dict(t="D", i=2, r="", x="x" * 30)])
+    xml = _dump([dict(t="A &amp; b", i=1, a="", r='<redirect title="C"/>', x="t1"), dict(t="D", i=2, a=" bytes='3' xml:space='preserve'", r="", x="x" * 30)])
     data = xml.encode()
     (tmp_path / name).write_bytes(bz2.compress(data) if name.endswith("bz2") else data)
     rows = {r["id"]: r for r in readers.read_dump(spark, str(tmp_path), text_limit=20).collect()}
@@ -40,6 +41,11 @@ def test_line_readers(spark, tmp_path):
     assert [(r["dense_id"], r["w"]) for r in w] == [(3, [0.25, 0.25, 0.5]), (4, [0.0, 0.0])]
     assert readers.parse_topic_ids(lines("r\t1\t5", "bad")).count() == 1
     assert "the" in readers.stop_words()
+    (tmp_path / "stop.txt").write_text("a\n\n the \n")
+    assert readers.stop_words(path=str(tmp_path / "stop.txt")) == ["a", "the"]
+    assert readers.parse_topics(lines("lda: 2", "3 1 1")).collect()[0]["w"] == [0.5, 0.5]
+    placed = spark.createDataFrame([(7, "1 3"), (8, "2 2")], "place bigint, value string")
+    assert [(r["place"], r["w"]) for r in readers.parse_predictions(placed).collect()] == [(7, [0.25, 0.75]), (8, [0.5, 0.5])]
 
 
 def test_matrix_files(spark, tmp_path):
@@ -54,6 +60,10 @@ def test_matrix_files(spark, tmp_path):
     assert columns == [5, 6] and rows_of(back) == rows_of(rows)
     with pytest.raises(Exception, match="other columns"):
         writers.write_dense(rows, [5], str(tmp_path / "e"))
+    with pytest.raises(Exception, match="other columns"):
+        writers.write_dense(rows.withColumn("col_ids", F.array(F.lit(5), F.lit(7))), [5, 6], str(tmp_path / "f"))
+    with pytest.raises(Exception, match="codec"):
+        writers.write_sparse(m.withColumn("value", F.lit(1.2)), str(tmp_path / "g"), quantize=True)
 
 
 def test_dictionary_and_result_files(spark, tmp_path):
@@ -84,23 +94,88 @@ def test_lenient_configuration(tmp_path):
 
 
 def test_pairs_agree_with_lists(spark):
-    e = Engine(spark, SMALL, config.Config({"metrics": {"all": {"type": "ensemble", "components": ["links", "text"]}, "both": {"type": "split", "delegates": ["links", "text"]}}}))
-    ids = e.gold().select(F.col("id1").alias("query_id")).distinct()
-    for name in ("text", "pairwise"):
+    e = Engine(spark, MIDDLE, config.Config({"metrics": {"both": {"type": "split", "delegates": ["links", "text"]}}}))
+    for name in ("text", "pairwise", "esa"):
         m = e.measure(name)
-        lists = {(r["query_id"], r["id"]): r["score"] for r in m.most_similar(ids, 50).collect()}
-        if not lists:
-            continue
+        ids = m.m.select(F.col("row_id").alias("query_id")) if name == "pairwise" else e.gold().select(F.col("id1").alias("query_id"))
+        lists = {(r["query_id"], r["id"]): r["score"] for r in m.most_similar(ids, 20).collect()}
+        assert len(lists) > 10, name
         pairs = spark.createDataFrame(list(lists), "id1 int, id2 int")
-        for r in m.similarity(pairs).collect():
-            assert abs(r["score"] - lists[r["id1"], r["id2"]]) < 1e-5
-    m = e.measure("all").train(e.gold())
-    assert set(m.coefficients) == {"links_0", "text_1"} and m.similarity(e.gold()).count() > 0
+        rated = {(r["id1"], r["id2"]): r["score"] for r in m.similarity(pairs).collect()}
+        compared = [abs(rated[p] - s) < 1e-5 for p, s in lists.items() if name != "esa" or rated[p] is not None]
+        assert compared and all(compared), name
     assert e.measure("both").similarity(e.gold()).count() == e.gold().select("id1", "id2").distinct().count()
     with pytest.raises(KeyError):
         e.measure("unknown")
 
 
+def test_trained_ensembles(spark, tmp_path):
+    settings = {"metrics": {"all": {"type": "ensemble", "components": ["links", "text"]}, "few": {"type": "ensemble", "components": ["text", "pairwise"]}}}
+    e = Engine(spark, SMALL, config.Config(settings), results=20)
+    gold = e.gold()
+    m = e.measure("all")
+    plain = {(r["id1"], r["id2"]): r["score"] for r in m.similarity(gold).collect()}
+    m.train(gold)
+    assert sorted(m.pairs.weights) == sorted(ensemble.feature_columns(["links_0", "text_1"], ensemble.PAIR_FEATURES))
+    assert sorted(m.lists.weights) == sorted(ensemble.feature_columns(["links_0", "text_1"], ensemble.LIST_FEATURES))
+    rated = {(r["id1"], r["id2"]): r["score"] for r in m.similarity(gold).collect()}
+    assert set(rated) == set(plain) and rated != plain
+    label = {(r["id1"], r["id2"]): r["y"] for r in gold.groupBy("id1", "id2").agg(F.avg("y").alias("y")).collect()}
+    known = [p for p, s in rated.items() if s is not None]
+    # Least squares with a constant: the predictions of the fitted pairs have the mean of the labels.
+    assert len(known) > 5 and abs(sum(rated[p] - label[p] for p in known)) < 1e-6 * len(known)
+    lists = rows_of(m.most_similar(gold.select(F.col("id1").alias("query_id")), 5))
+    assert lists
+    m.save(str(tmp_path / "m.json"))
+    other = Engine(spark, SMALL, config.Config(settings), results=20).measure("all").load(str(tmp_path / "m.json"), spark)
+    assert {(r["id1"], r["id2"]): r["score"] for r in other.similarity(gold).collect()} == pytest.approx(rated)
+    few = e.measure("few")
+    with pytest.raises(ValueError, match="links"):
+        few.load(str(tmp_path / "m.json"), spark, prune=False)
+    few.load(str(tmp_path / "m.json"), spark)
+    assert few.pairs.metrics == ["text_1"] and few.similarity(gold).where("score is not null").count() > 0
+
+
+def test_calibrated_measures(spark):
+    kinds = {
+        "a": {"type": "links", "similarityNormalizer": {"type": "loess", "monotonic": True, "log": True}}, "b": {"type": "links", "similarityNormalizer": "log"},
+        "c": {"type": "links", "mostSimilarNormalizer": {"type": "percentile"}}, "d": {"type": "links", "similarityNormalizer": {"type": "spline"}},
+        "e": {"type": "links", "similarityNormalizer": {"type": "rankAndScore"}}, "f": {"type": "links", "similarityNormalizer": {"type": "loess", "span": 1}},
+    }
+    e = Engine(spark, MIDDLE, config.Config({"metrics": kinds}), results=20)
+    raw = {(r["id1"], r["id2"]): r["score"] for r in e.measure("links").similarity(e.gold()).collect()}
+    smooth = {(r["id1"], r["id2"]): r["score"] for r in e.measure("a").similarity(e.gold()).collect()}
+    order = sorted((p for p in raw if raw[p] is not None), key=raw.get)
+    assert set(smooth) == set(raw) and len(order) > 50
+    assert all(smooth[p] <= smooth[q] + 1e-9 for p, q in zip(order, order[1:])) and len({smooth[p] for p in order}) > 5
+    assert e.measure("b").similarity(e.gold()).where("score is not null").count() == len(order)
+    asked = e.gold().select(F.col("id1").alias("query_id"))
+    shares = [r["score"] for r in e.measure("c").most_similar(asked, 10).collect()]
+    assert shares and all(0 <= s <= 1 for s in shares)
+    for name in ("d", "e", "f"):
+        with pytest.raises(ValueError):
+            e.measure(name)
+
+
+def test_unknown_ids_of_known_scores(spark):
+    m = spark.createDataFrame([(1, 2, 0.5), (2, 1, 0.1), (3, 1, 1.0)], "row_id int, col_id int, value double")
+    pairs = spark.createDataFrame([(1, 2), (3, 2)], "id1 int, id2 int")
+    assert {(r["id1"], r["id2"]): r["score"] for r in KnownMeasure("k", m).similarity(pairs).collect()} == {(1, 2): 0.3, (3, 2): 0.0}
+    odd = spark.createDataFrame([(1, 9)], "id1 int, id2 int")
+    with pytest.raises(Exception, match="unknown id"):
+        KnownMeasure("k", m).similarity(odd).collect()
+    assert KnownMeasure("k", m, strict=False).similarity(odd).first()["score"] is None
+
+
+def test_phases():
+    p = timing.Phases()
+    with p("outer"):
+        for _ in range(3):
+            with p("inner"):
+                pass
+    assert [(n, c) for n, c, _ in p.report()] == [("outer", 1), ("inner", 3)] and p.mean("inner") >= 0 and p.mean("none") == 0
+
+
 def test_valid_ids_and_cached_lists(spark):
     e = Engine(spark, SMALL)
     m = e.measure("text")

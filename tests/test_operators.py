@@ -4,8 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from relata.operators import concepts, corpus, ensemble, evaluate, graph, hierarchy, links, matrix, normalize, postings, references
-from tests.helpers import rows_of
+from relata.operators import calibrate, concepts, corpus, ensemble, evaluate, graph, hierarchy, links, matrix, normalize, postings, references
+from tests.helpers import MIDDLE, rows_of
 
 
 # --- references ---------------------------------------------------------------------------------------------------
@@ -204,11 +204,15 @@ def test_dense_top_k(spark, k):
 
 
 # --- normalizers, ensembles, evaluation ----------------------------------------------------------------------------------
-def test_percentile_points():
-    xs, ys = normalize.percentile_points(np.array([5.0, 1, 3, 2, 8, 13, 21, 34]))
-    p = normalize.interpolate(np.array([1.0, 34.0, -5.0, -50.0, 40.0, 400.0, np.nan]), xs, ys, 0.0, 1.0)
-    assert abs(p[0] - 0.1111) < 1e-3 and abs(p[1] - 0.8888) < 1e-3
-    assert 0 <= p[3] < p[2] < p[0] and p[1] < p[4] < p[5] <= 1 and np.isnan(p[6])
+def test_percentile_points(spark):
+    points = [5.0, 1.0, 3.0, 2.0, 8.0, 13.0, 21.0, 34.0]
+    knots = calibrate.percentile_knots(spark.createDataFrame([("m", str(x), x) for x in points], "metric string, key string, x double"))
+    asked = [1.0, 34.0, -5.0, -50.0, 40.0, 400.0, float("nan"), 10.5, None]
+    rows = spark.createDataFrame([("m", i, x) for i, x in enumerate(asked)] + [("other", 9, 1.0)], "metric string, i int, x double")
+    p = [r["p"] for r in calibrate.percentiles(rows, knots).orderBy("i").collect()]
+    assert abs(p[0] - 0.1111) < 1e-3 and abs(p[1] - 0.8888) < 1e-3 and abs(p[7] - (5.5 / 9)) < 1e-9
+    assert 0 <= p[3] < p[2] < p[0] and p[1] < p[4] < p[5] <= 1 and p[6] is p[8] is p[9] is None
+    assert calibrate.percentiles(rows, knots.limit(0)).where("p is not null").count() == 0
 
 
 def test_loess_rises():
@@ -227,6 +231,32 @@ def test_colinear_groups(x, groups):
     assert ensemble.colinear_groups(np.array(x, float)) == groups
 
 
+def test_colinear_columns_of_a_table(spark):
+    rows = [(i, float(i), 2.0 * i, float(i * i), 0.0) for i in range(1, 40)]
+    df = spark.createDataFrame(rows, "id int, a double, b double, c double, z double")
+    assert ensemble.distributed_colinear_groups(df, ["a", "b", "c", "z"], ["id"]) == [[0, 1, 3], [2]]
+    b0, b = ensemble.fit_without_colinear(df.withColumn("y", 3 * F.col("a") - F.col("c") + 1), ["a", "b", "c", "z"], "y", ["id"])
+    assert abs(b0 - 1) < 1e-6 and {k: round(v, 6) for k, v in b.items()} == {"a": 3.0, "b": 0.0, "c": -1.0, "z": 0.0}
+
+
+def test_linear_ensemble_is_least_squares(spark):
+    wide, columns = ensemble._wide_examples(spark, MIDDLE), ensemble.feature_columns(ensemble.METRICS, ensemble.PAIR_FEATURES)
+    rows = wide.orderBy("id1", "id2").toPandas()
+    b0, b = ensemble.fit_linear(rows[columns].to_numpy(float), rows["y"].to_numpy(float))
+    expected = b0 + rows[columns].to_numpy(float) @ b
+    found = ensemble.q_ols_ensemble(spark, MIDDLE).orderBy("id1", "id2").toPandas()["predicted"].to_numpy(float)
+    assert len(found) > 100 and np.abs(found - expected).max() < 1e-4
+
+
+def test_index_of_cells_finds_most(spark):
+    exact = {(r["query_id"], r["id"]) for r in matrix.q_dense_topk(spark, MIDDLE).collect()}
+    found = {(r["query_id"], r["id"]) for r in matrix.q_dense_index_topk(spark, MIDDLE).collect()}
+    assert len(exact) >= 100 and len(exact & found) >= 0.9 * len(exact)
+    vectors = matrix._vectors(spark, MIDDLE)
+    assert matrix.indexed_cosines(vectors.select(F.col("id").alias("query_id"), F.col("v").alias("q")).limit(0), vectors, 5).count() == 0
+    assert matrix.indexed_cosines(vectors.select(F.col("id").alias("query_id"), F.col("v").alias("q")), vectors.limit(0), 5).count() == 0
+
+
 def test_linear_fits_agree(spark):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(300, 3))

@@ -71,7 +71,7 @@ def test_lists_longer_than_the_default(spark):
     assert both.most_similar(ask, 600).count() == 600
     member = spark.range(1, 1_301).selectExpr("cast(id as int) as id", "'x' as cat")
     up = spark.createDataFrame([("x", "y")], "child string, parent string")
-    assert CategoryMeasure("c", member, up).most_similar(ask, 700).count() == 700
+    assert CategoryMeasure("c", member, up, member).most_similar(ask, 700).count() == 700
 
 
 # --- regression ------------------------------------------------------------------------------------------------------
