@@ -210,7 +210,7 @@ class DenseMeasure(Measure):
     """Cosine of dense rows (id, v). Lists are exact, or come from an index of cells where ``indexed``."""
 
     def __init__(self, name: str, vectors: DataFrame, indexed: bool = False):
-        self.name, self.vectors, self.indexed, self.centres = name, vectors, indexed, None
+        self.name, self.vectors, self.indexed, self.cells = name, vectors, indexed, None
 
     def raw_similarity(self, pairs):
         a = self.vectors.select(F.col("id").alias("id1"), F.col("v").alias("va"))
@@ -223,8 +223,8 @@ class DenseMeasure(Measure):
         rows = self.vectors if valid is None else self.vectors.join(valid.select("id").distinct(), "id", "left_semi")
         if not self.indexed:
             return matrix.dense_cosines(asked, rows, k).select("query_id", "id", "score")
-        self.centres = matrix.fit_cells(self.vectors) if self.centres is None else self.centres
-        return matrix.indexed_cosines(asked, rows, k, self.centres).select("query_id", "id", "score")
+        self.cells = matrix.fit_cells(self.vectors) if self.cells is None else self.cells
+        return matrix.indexed_cosines(asked, rows, k, self.cells).select("query_id", "id", "score")
 
 
 class SplitMeasure(Measure):

@@ -5,6 +5,8 @@ Several matrices may stand in one table: the columns named by ``by`` tell them a
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -17,6 +19,8 @@ from relata.session import reliable, table
 RANK_LIMIT = 20
 #: Rows that the cells of an index are fitted on at most, and the greatest number of cells.
 CELL_SAMPLE, MAX_CELLS = 20_000, 1_024
+#: Cells that each vector stands in, and the share of the nearest that an index is fitted to find.
+COPIES, CELL_RECALL = 2, 0.95
 #: Vectors of a part of the index or of the table that a task multiplies.
 PART_ROWS = 20_000
 #: Queries and rows of an index that are multiplied at a time.
@@ -163,14 +167,23 @@ def dense_cosines(asked: DataFrame, vectors: DataFrame, k: int | None = K) -> Da
     return nearest if k is None else top_k(nearest, k)
 
 
-def fit_cells(vectors: DataFrame, cells: int | None = None, steps: int = 8) -> np.ndarray:
-    """Centres of cells of unit vectors, by k-means on at most CELL_SAMPLE rows, always the same ones. The number of cells
-    is the root of that of the vectors, and MAX_CELLS at most, so the centres have a bounded size."""
+@dataclass(frozen=True)
+class Cells:
+    """Centres of cells of unit vectors, and how many of them a query looks into."""
+
+    centres: np.ndarray
+    probes: int
+
+
+def fit_cells(vectors: DataFrame, k: int = K, recall: float = CELL_RECALL, steps: int = 8) -> Cells:
+    """An index fitted on at most CELL_SAMPLE rows, always the same ones: centres by k-means, and the least number of
+    probes with which every fiftieth row of the sample finds the share ``recall`` of its k nearest in the sample. The
+    number of cells is the root of that of the vectors and MAX_CELLS at most, so the index has a bounded size."""
     some = vectors.orderBy(F.xxhash64("id"), "id").limit(CELL_SAMPLE).select("v").toPandas()
     if some.empty:
-        return np.zeros((0, 1))
+        return Cells(np.zeros((0, 1)), 0)
     x = _unit(some["v"])
-    n = min(len(x), cells or max(1, min(MAX_CELLS, int(vectors.count() ** 0.5))))
+    n = min(len(x), max(1, min(MAX_CELLS, int(vectors.count() ** 0.5))))
     centres = x[np.random.default_rng(11).choice(len(x), n, replace=False)]
     for _ in range(steps):
         own = np.argmax(x @ centres.T, axis=1)
@@ -178,7 +191,16 @@ def fit_cells(vectors: DataFrame, cells: int | None = None, steps: int = 8) -> n
         np.add.at(sums, own, x)
         length = np.linalg.norm(sums, axis=1, keepdims=True)
         centres = np.where(length > 0, sums / np.where(length > 0, length, 1), centres)
-    return centres
+    order = np.argsort(-(x @ centres.T), axis=1, kind="stable")
+    place = np.empty_like(order)
+    np.put_along_axis(place, order, np.arange(n)[None, :].repeat(len(x), 0), axis=1)
+    asking = np.arange(0, len(x), SEARCH_STEP)
+    needed = []  # for each of the k nearest of a row the probes after which one of its cells is looked into
+    for i in asking:
+        near = np.argsort(-(x @ x[i]), kind="stable")[:k]
+        needed.append(place[i][order[near, :COPIES]].min(axis=1) + 1)
+    probes = int(np.ceil(np.quantile(np.concatenate(needed), recall)))
+    return Cells(centres, max(1, min(n, probes)))
 
 
 def in_cells(rows: DataFrame, name: str, vector: str, centres: np.ndarray, probes: int) -> DataFrame:
@@ -194,18 +216,18 @@ def in_cells(rows: DataFrame, name: str, vector: str, centres: np.ndarray, probe
     return placed.select(name, vector, F.explode("cells").alias("cell"))
 
 
-def indexed_cosines(asked: DataFrame, vectors: DataFrame, k: int = K, centres: np.ndarray | None = None, probes: int | None = None) -> DataFrame:
+def indexed_cosines(asked: DataFrame, vectors: DataFrame, k: int = K, cells: Cells | None = None) -> DataFrame:
     """About the k nearest of ``vectors`` (id, v) by cosine for each asked (query_id, q), with exact scores.
 
-    Every vector stands in its nearest cell, every query looks into its ``probes`` nearest ones, by default two fifths
-    of all and 12 at least. Large cells are split into parts of about PART_ROWS vectors and BLOCK queries, so that a cell of
-    a third of all vectors is no single task.
+    Every vector stands in its COPIES nearest cells, every query looks into as many as the index was fitted to need.
+    Large cells are split into parts of about PART_ROWS vectors and BLOCK queries, so that a cell of a third of all
+    vectors is no single task.
     """
-    centres = fit_cells(vectors) if centres is None else centres
+    cells = fit_cells(vectors, k) if cells is None else cells
+    centres, probes = cells.centres, cells.probes
     if not len(centres):
         return asked.limit(0).select(F.col("query_id").cast("bigint").alias("query_id"), F.lit(0).cast("bigint").alias("id"), F.lit(0.0).alias("score"), F.lit(1).alias("rank"))
-    probes = min(len(centres), probes or max(12, -(-2 * len(centres) // 5)))
-    kept = reliable(in_cells(vectors, "id", "v", centres, 1))
+    kept = reliable(in_cells(vectors, "id", "v", centres, COPIES))
     asking = reliable(in_cells(asked, "query_id", "q", centres, probes))
     sizes = kept.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / PART_ROWS).cast("int").alias("parts"))
     loads = asking.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
@@ -215,7 +237,8 @@ def indexed_cosines(asked: DataFrame, vectors: DataFrame, k: int = K, centres: n
     wide = asking.join(plan, "cell").withColumn("block", F.pmod(F.xxhash64("query_id"), "blocks").cast("int"))
     wide = wide.select("cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "block", "query_id", "q")
     keys = ["cell", "part", "block"]
-    return top_k(wide.groupBy(*keys).cogroup(rows.groupBy(*keys)).applyInPandas(_nearest(k), _FOUND), k)
+    nearest = wide.groupBy(*keys).cogroup(rows.groupBy(*keys)).applyInPandas(_nearest(k), _FOUND)
+    return top_k(nearest.repartition("query_id").dropDuplicates(["query_id", "id"]), k)
 
 
 # --- queries ------------------------------------------------------------------------------------------------------
