@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from relata.functions import maths as M
 from relata.functions import text as T
 from relata.operators.normalize import SIMS_SQL, labelled_sims
+from relata.operators.ranks import distributed_ranks
 from relata.session import table
 
 BINS = 4
@@ -38,9 +39,8 @@ def stratified(pairs: DataFrame, bins: int = BINS, least: float | None = None) -
 
 
 def average_ranks(df: DataFrame, group: str, column: str, out: str) -> DataFrame:
-    """df with the rank of column within its group, ties sharing their average."""
-    lower = Window.partitionBy(group).orderBy(column)
-    return df.withColumn(out, F.rank().over(lower) + (F.count(F.lit(1)).over(Window.partitionBy(group, column)) - 1) / 2)
+    """df with the rank of column within its group, ties sharing their average; no task holds a whole group."""
+    return distributed_ranks(df, [group], column, descending=False).drop("size").withColumnRenamed("rank", out)
 
 
 def correlation(x: str, y: str) -> Column:
@@ -53,7 +53,7 @@ def correlations(scores: DataFrame, least: int = 4) -> DataFrame:
     """(metric, n, coverage, pearson, spearman) of score x and label y; NULL below ``least`` usable points."""
     judged = scores.where("y is not null").withColumn("ok", M.finite(F.col("x")))
     cover = judged.groupBy("metric").agg(F.count(F.lit(1)).alias("asked"), F.sum(F.col("ok").cast("int")).alias("n"))
-    ranked = average_ranks(average_ranks(judged.where("ok"), "metric", "x", "rx"), "metric", "y", "ry")
+    ranked = average_ranks(average_ranks(judged.where("ok").select("metric", "x", "y"), "metric", "x", "rx"), "metric", "y", "ry")
     corr = ranked.groupBy("metric").agg(correlation("x", "y").alias("pearson"), correlation("rx", "ry").alias("spearman"))
     joined = cover.join(corr, "metric", "left")
     enough = lambda c: F.round(F.when(F.col("n") >= least, F.col(c)), 6).alias(c)

@@ -185,15 +185,12 @@ def q_norm_loess_apply(spark, d):
 
 def q_empirical_percentile(spark, d):
     """(i + 1) / (n + 1) of each judged label, ties in order of the pair."""
+    from relata.operators.ranks import distributed_ranks
+
     gold = table(spark, d, "gold").where("similarity is not null and id1 is not null and id2 is not null").groupBy("id1", "id2").agg(F.avg("similarity").alias("y"))
-    n = gold.agg(F.count(F.lit(1)).alias("n"))
-    binned = gold.withColumn("bucket", F.floor(F.col("y") * 64).cast("int"))
-    # Ranks within buckets of the label plus the rows of lower buckets: no window over the whole table.
-    sizes = binned.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"))
-    before = sizes.select("bucket", (F.sum("m").over(Window.orderBy("bucket")) - F.col("m")).alias("before"))
-    local = F.row_number().over(Window.partitionBy("bucket").orderBy("y", "id1", "id2"))
-    ranked = binned.withColumn("local", local).join(F.broadcast(before), "bucket").join(F.broadcast(n))
-    return ranked.select("id1", "id2", F.round((F.col("local") + F.col("before")) / (F.col("n") + 1), 6).alias("p"))
+    ordered = gold.select(F.lit(0).alias("all"), F.struct("y", "id1", "id2").alias("by"))
+    ranked = distributed_ranks(ordered, ["all"], "by", descending=False)
+    return ranked.select("by.id1", "by.id2", F.round(F.col("rank") / (F.col("size") + 1), 6).alias("p"))
 
 
 def q_math_functions(spark, d):

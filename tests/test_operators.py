@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from relata.operators import calibrate, concepts, corpus, ensemble, evaluate, graph, hierarchy, links, matrix, normalize, postings, references
+from relata.operators import calibrate, concepts, corpus, ensemble, evaluate, graph, hierarchy, links, matrix, normalize, postings, ranks, references
 from tests.helpers import MIDDLE, rows_of
 
 
@@ -275,6 +275,19 @@ def test_equations_round_trip():
         ensemble.read_equation("1.0 + x")
 
 
+@pytest.mark.parametrize("parts", [1, 7])
+@pytest.mark.parametrize("descending", [True, False])
+def test_ranks_over_partitions(spark, parts, descending):
+    rng = random.Random(parts)
+    rows = [(g, i, float(rng.choice([1, 1, 1, 1, 2, 3, 4, i]))) for g in ("a", "b", "c") for i in range({"a": 300, "b": 5, "c": 1}[g])]
+    df = spark.createDataFrame(rows, "g string, i int, x double")
+    found = {(r["g"], r["i"]): (r["rank"], r["size"]) for r in ranks.distributed_ranks(df, ["g"], "x", parts, descending).collect()}
+    for g, i, x in rows:
+        same = [v for h, _, v in rows if h == g]
+        ahead = sum(v > x if descending else v < x for v in same)
+        assert found[g, i] == (ahead + 1 + (same.count(x) - 1) / 2, len(same))
+
+
 def test_correlations(spark):
     rows = [("m", float(i), float(i * i)) for i in range(10)] + [("m", float("nan"), 1.0), ("k", 1.0, 1.0), ("flat", 2.0, 1.0), ("flat", 2.0, 2.0), ("flat", 2.0, 3.0), ("flat", 2.0, 4.0)]
     got = {r["metric"]: r for r in evaluate.correlations(spark.createDataFrame(rows, "metric string, x double, y double")).collect()}
