@@ -1,9 +1,10 @@
 """Full hierarchies from parent-child links by parallel tree contraction (problem 5).
 
 Every round rakes the leaves and splices a random, independent part of the nodes that have one child out of their
-chains, so that the number of rounds grows with the logarithm of the nodes, whatever the depth. Each removed node is
-recorded with the node it hung from. What can't be contracted any more is a root, or a loop shrunk to one node that
-is its own parent. Going back through the records then gives every node its root, depth and path.
+chains, those with the least number of the round among their neighbours, so that the number of rounds grows with the
+logarithm of the nodes, whatever the depth. Each removed node is recorded with the node it hung from. What can't be
+contracted any more is a root, or a loop shrunk to one node that is its own parent. The records are then followed
+together, twice as far each time, and give every node its root, depth and path.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from relata.session import reliable, table
 
 #: More rounds than any forest of practical size needs; reached only if something is wrong.
 MAX_ROUNDS = 400
+#: Records lead on to later rounds only, so this many doublings are more than MAX_ROUNDS can need.
+MAX_DOUBLINGS = 12
 
 
 def parent_links(links: DataFrame, child: str, parent: str) -> DataFrame:
@@ -37,8 +40,38 @@ def parent_links(links: DataFrame, child: str, parent: str) -> DataFrame:
     return ends.where(present(F.col("node"))).groupBy("node").agg(F.min("parent").alias("parent"))
 
 
-def _coin(name: str, turn: int):
-    return F.xxhash64(F.col(name), F.lit(turn)).bitwiseAND(F.lit(1)) == 1
+def _priority(column: str, turn: int):
+    return F.xxhash64(F.col(column), F.lit(turn))
+
+
+def _recovered(records: DataFrame, top: DataFrame, with_path: bool) -> DataFrame:
+    """(node, root, depth[, path]) of the removed nodes, from their records (node, parent, steps[, via]).
+
+    A record's parent was removed later, or is one of ``top``. Following records twice as far each time, all are held
+    against ``top`` after a number of joins that grows with the logarithm of the rounds.
+    """
+    ways = records
+    for _ in range(MAX_DOUBLINGS):
+        on = ways.select(
+            F.col("node").alias("parent"), F.col("parent").alias("up"), F.col("steps").alias("more"), *([F.concat("via", F.array("node")).alias("between")] if with_path else [])
+        )
+        hit = F.col("up").isNotNull()
+        further = ways.join(on, "parent", "left").select(
+            "node", F.coalesce("up", "parent").alias("parent"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"),
+            *([F.when(hit, F.concat("between", "via")).otherwise(F.col("via")).alias("via")] if with_path else []), hit.alias("moved"),
+        )
+        further = reliable(further)
+        moved = further.where("moved").limit(1).count()
+        ways = further.drop("moved")
+        if not moved:
+            break
+    else:
+        raise RuntimeError("the records don't end")
+    above = top.select(F.col("node").alias("parent"), "root", F.col("depth").alias("up_depth"), *[F.col("path").alias("up_path")] * with_path)
+    return ways.join(above, "parent").select(
+        "node", "root", F.when(F.col("up_depth") < 0, F.lit(-1)).otherwise(F.col("up_depth") + F.col("steps")).cast("bigint").alias("depth"),
+        *([F.concat("up_path", "via", F.array("node")).alias("path")] if with_path else []),
+    )
 
 
 def hierarchy(nodes: DataFrame, with_path: bool = False, through_loops: bool = False) -> DataFrame:
@@ -65,19 +98,14 @@ def hierarchy(nodes: DataFrame, with_path: bool = False, through_loops: bool = F
             .agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("only"))
         )
         inner = F.col("parent").isNotNull() & (F.col("parent") != F.col("node"))
-        act = (
-            F.when(inner & F.col("n").isNull(), "rake")
-            .when(inner & (F.col("n") == 1) & _coin("node", turn) & ~_coin("parent", turn), "splice")
-        )
+        lowest = (_priority("node", turn) < _priority("parent", turn)) & (_priority("node", turn) < _priority("only", turn))
+        act = F.when(inner & F.col("n").isNull(), "rake").when(inner & (F.col("n") == 1) & lowest, "splice")
         state = reliable(active.join(kids, "node", "left").withColumn("act", act).drop("n"))
-        tally = state.agg(
-            F.count("act").alias("removed"),
-            F.count(F.when(F.col("parent").isNotNull() & (F.col("parent") != F.col("node")), 1)).alias("inner"),
-        ).first()
+        tally = state.agg(F.count(F.when(inner, 1)).alias("inner")).first()
         if not tally["inner"]:
             active = state.select(*columns)
             break
-        records.append(state.where("act is not null").select(*columns, "act"))
+        records.append(state.where("act is not null").select("node", "parent", "steps", *["via"] * with_path))
         spliced = state.where("act = 'splice'").select(
             F.col("only").alias("node"), F.col("parent").alias("up"), F.col("steps").alias("more"), F.col("least").alias("low"),
             *([F.concat("via", F.array("node")).alias("between")] if with_path else []),
@@ -95,37 +123,12 @@ def hierarchy(nodes: DataFrame, with_path: bool = False, through_loops: bool = F
         raise RuntimeError("the contraction didn't end")
 
     looped = F.col("parent").isNotNull()
-    parts = [
-        active.select(
-            "node", F.when(looped, F.col("least")).otherwise(F.col("node")).alias("root"),
-            F.when(looped, F.lit(-1)).otherwise(F.lit(0)).cast("bigint").alias("depth"),
-            *([F.when(F.lit(through_loops) | ~looped, F.array("node")).alias("path")] if with_path else []),
-        )
-    ]
-    for record in reversed(records):
-        known = reduce(DataFrame.unionByName, parts)
-        gone = record.where("act = 'splice'").drop("act", "least")
-        # A leaf may have hung from a node that was spliced out in the same round: hang it one node higher.
-        higher = gone.select(
-            F.col("node").alias("parent"), F.col("parent").alias("up"), F.col("steps").alias("more"),
-            *([F.concat("via", F.array("node")).alias("between")] if with_path else []),
-        )
-        raked = record.where("act = 'rake'").drop("act", "least").join(higher, "parent", "left")
-        hit = F.col("up").isNotNull()
-        raked = raked.select(
-            "node", F.when(hit, F.col("up")).otherwise(F.col("parent")).alias("parent"),
-            (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"),
-            *([F.when(hit, F.concat("between", "via")).otherwise(F.col("via")).alias("via")] if with_path else []),
-        )
-        above = known.select(
-            F.col("node").alias("parent"), "root", F.col("depth").alias("up_depth"), *[F.col("path").alias("up_path")] * with_path
-        )
-        found = gone.unionByName(raked).join(above, "parent").select(
-            "node", "root",
-            F.when(F.col("up_depth") < 0, F.lit(-1)).otherwise(F.col("up_depth") + F.col("steps")).cast("bigint").alias("depth"),
-            *([F.concat("up_path", "via", F.array("node")).alias("path")] if with_path else []),
-        )
-        parts.append(reliable(found))
+    top = active.select(
+        "node", F.when(looped, F.col("least")).otherwise(F.col("node")).alias("root"),
+        F.when(looped, F.lit(-1)).otherwise(F.lit(0)).cast("bigint").alias("depth"),
+        *([F.when(F.lit(through_loops) | ~looped, F.array("node")).alias("path")] if with_path else []),
+    )
+    parts = [top] + ([_recovered(reduce(DataFrame.unionByName, records), top, with_path)] if records else [])
     whole = reduce(DataFrame.unionByName, parts)
     if not through_loops:
         return whole
@@ -158,24 +161,13 @@ def p5_found(spark, sf_dir: str) -> DataFrame:
 
 
 def p5_paths(spark, sf_dir: str) -> DataFrame:
-    """Path of each category from its root, ' > ' between the names; NULL below loops, as in its SQL."""
-    found = hierarchy(_links(spark, sf_dir), with_path=True)
-    return found.select(F.col("node").alias("cat"), "root", F.col("depth").cast("int").alias("depth"), F.array_join("path", " > ").alias("path"))
-
-
-def p5_descendants(spark, sf_dir: str) -> DataFrame:
-    found = descendants(hierarchy(_links(spark, sf_dir), with_path=True))
-    return found.select(F.col("node").alias("cat"), "descendant", F.col("distance").cast("int").alias("distance"))
-
-
-def p5_all_paths(spark, sf_dir: str) -> DataFrame:
-    """As p5_paths, with the path once round the loop for categories below and inside loops."""
+    """Path of each category from its root, ' > ' between the names; below and inside loops once round the loop."""
     found = hierarchy(_links(spark, sf_dir), through_loops=True)
     return found.select(F.col("node").alias("cat"), "root", F.col("depth").cast("int").alias("depth"), F.array_join("path", " > ").alias("path"))
 
 
-def p5_all_descendants(spark, sf_dir: str) -> DataFrame:
-    """As p5_descendants, with the pairs below and inside loops."""
+def p5_descendants(spark, sf_dir: str) -> DataFrame:
+    """Every pair of a category and one below it, those below and inside loops too."""
     found = descendants(hierarchy(_links(spark, sf_dir), through_loops=True))
     return found.select(F.col("node").alias("cat"), "descendant", F.col("distance").cast("int").alias("distance"))
 
@@ -197,7 +189,7 @@ SQL = {
     "p5_found": _TREE + "select cat, cur as root, cast(len(seen) - 1 as int) as depth from tops union all"
     " select cat, list_min(seen[list_position(seen, cur):]), -1 from loops",
     "p5_paths": _TREE + "select cat, cur as root, cast(len(seen) - 1 as int) as depth, array_to_string(list_reverse(seen), ' > ') as path from tops"
-    " union all select cat, list_min(seen[list_position(seen, cur):]), -1, null from loops",
+    " union all select cat, list_min(seen[list_position(seen, cur):]), -1, array_to_string(list_reverse(seen[:len(seen) - 1]), ' > ') from loops",
     "p5_descendants": _TREE + "select seen[i + 1] as cat, cat as descendant, cast(i as int) as distance from"
-    " (select cat, seen, unnest(range(1, len(seen))) as i from tops)",
+    " (select cat, seen, unnest(range(1, len(seen))) as i from tops union all select cat, seen, unnest(range(1, len(seen) - 1)) from loops)",
 }

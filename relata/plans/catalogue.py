@@ -29,8 +29,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p5_found": hierarchy.p5_found,
         "p5_paths": hierarchy.p5_paths,
         "p5_descendants": hierarchy.p5_descendants,
-        "p5_all_paths": hierarchy.p5_all_paths,
-        "p5_all_descendants": hierarchy.p5_all_descendants,
     }
 
 
