@@ -185,6 +185,14 @@ def resolve(s: str) -> str:
     return _ENTITY.sub(lambda m: unescape(m.group()), s) if "&" in s else s
 
 
+def _settled(pattern: re.Pattern, by, s: str) -> str:
+    """s with the innermost matches replaced until none is left; each replacement must be shorter than its match."""
+    while True:
+        s, n = pattern.subn(by, s)
+        if not n:
+            return s
+
+
 def squeeze(s: str) -> str:
     return _SPACE.sub(" ", s).strip()
 
@@ -203,10 +211,7 @@ def _tex_inline(s: str, own: bool) -> str:
     s = _TEX_ESC.sub(lambda m: f"\x03{ord(m[1])}\x04", s)
     s = _TEX_HREF.sub("", s)
     s = _TEX_MUTE.sub("", s)
-    while True:
-        s, n = _TEX_WRAP.subn(r"\1", s)
-        if not n:
-            break
+    s = _settled(_TEX_WRAP, r"\1", s)
     if own:
         s = _TEX_WORD.sub("", s)
         s = re.sub(r"\\[,;:! ]", " ", s)
@@ -229,10 +234,7 @@ def inline(s: str, syntax: str, marks: list[tuple[str, str]] | None = None) -> s
         s = _tex_inline(s, tex)
     if "[" in s:
         if "[[" in s:
-            for _ in range(4):
-                s, n = _WIKI_LINK.subn(_shown, s)
-                if not n:
-                    break
+            s = _settled(_WIKI_LINK, _shown, s)
         if not tex:
             s = _EXTERNAL.sub(lambda m: m[1] or "", s)
             if "](" in s:
@@ -250,16 +252,10 @@ def inline(s: str, syntax: str, marks: list[tuple[str, str]] | None = None) -> s
     if "<" in s:
         s = _TAG.sub("", _BREAK.sub(" ", _AUTOLINK.sub(r"\1", s) if syntax in ("md", "any") else s))
     if "*" in s and not tex:
-        for _ in range(3):
-            s, n = _STARS.subn(r"\2", s)
-            if not n:
-                break
+        s = _settled(_STARS, r"\2", s)
     if syntax in ("md", "any"):
         if "_" in s:
-            for _ in range(3):
-                s, n = _UNDERS.subn(r"\2", s)
-                if not n:
-                    break
+            s = _settled(_UNDERS, r"\2", s)
         if "~~" in s:
             s = _STRIKE.sub(r"\1", s)
         if "\\" in s:
@@ -436,10 +432,7 @@ def _prepared(text: str) -> tuple[str, str, list[tuple[str, str]]]:
     elif "{{" in rest or "{|" in rest:
         rest = _cut_nested(rest)
     if "<" in rest and syntax != "tex":
-        for _ in range(8):
-            rest, n = _TABLE.subn("\n", rest)
-            if not n:
-                break
+        rest = _settled(_TABLE, "\n", rest)
     return syntax, rest, marks
 
 

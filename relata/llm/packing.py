@@ -56,22 +56,25 @@ def first_fit_decreasing(sizes: list[int], capacity: int) -> list[int]:
 def pieces(items: DataFrame, containers: DataFrame) -> DataFrame:
     """(container, capacity, doc_id, part, start, tokens): the parts that must be placed.
 
-    A text no larger than the capacity is one part. A larger one is split into full parts and a last one with the rest.
+    Texts are told apart by doc_id; rows without one are texts of their own, told apart by the
+    number ``row`` that items must then have. A text no larger than the capacity is one part. A larger one is split into full parts and a last one with the rest.
     containers is a small fixed table of a few rows; each row of items is repeated for each of them.
     """
     sized = containers.where("capacity > 0").select("container", F.col("capacity").cast("int").alias("capacity")).distinct()
+    if "row" not in items.columns:
+        items = items.withColumn("row", F.lit(None).cast("bigint"))
     kinds = [(r["container"], r["capacity"]) for r in sized.collect()]
     each = F.explode(F.array(*[F.struct(F.lit(c).alias("container"), F.lit(k).alias("capacity")) for c, k in kinds]))
-    wide = items.select("doc_id", "n_tokens", each.alias("c")).select("doc_id", "n_tokens", "c.*")  # one row a text and container
+    wide = items.select("doc_id", "row", "n_tokens", each.alias("c")).select("doc_id", "row", "n_tokens", "c.*")  # one row a text and container
     last = F.greatest(F.lit(0), F.ceil(F.col("n_tokens") / F.col("capacity")).cast("int") - 1)
     return wide.select("*", F.explode(F.sequence(F.lit(0), last)).alias("part")).select(
-        "container", "capacity", "doc_id", "part", (F.col("part") * F.col("capacity")).alias("start"),
+        "container", "capacity", "doc_id", "row", "part", (F.col("part") * F.col("capacity")).alias("start"),
         F.least(F.col("capacity"), F.col("n_tokens") - F.col("part") * F.col("capacity")).alias("tokens"),
     )
 
 
 def _pack(rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values(["doc_id", "part"], kind="stable").reset_index(drop=True)
+    rows = rows.sort_values(["doc_id", "row", "part"], kind="stable").reset_index(drop=True)
     rows["number"] = first_fit_decreasing(rows["tokens"].tolist(), int(rows["capacity"].iloc[0]))
     return rows
 
@@ -84,9 +87,9 @@ def pack(parts: DataFrame, n_items: int, group_size: int = GROUP_SIZE) -> DataFr
     ``g<group>-<number>``. Groups are of even size whatever the data, as no key but the text's own decides.
     """
     groups = max(1, -(-n_items // group_size))
-    full = parts.where("tokens = capacity").withColumn("bin", F.concat(F.lit("d"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("-"), F.col("part").cast("string")))
-    rest = parts.where("tokens < capacity").withColumn("grp", F.pmod(F.xxhash64("doc_id", "container"), F.lit(groups)).cast("int"))
-    schema = "container string, capacity int, doc_id bigint, part int, start int, tokens int, grp int, number int"
+    full = parts.where("tokens = capacity").withColumn("bin", F.concat(F.lit("d"), F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("n"), F.col("row").cast("string"))), F.lit("-"), F.col("part").cast("string")))
+    rest = parts.where("tokens < capacity").withColumn("grp", F.pmod(F.xxhash64("doc_id", "row", "container"), F.lit(groups)).cast("int"))
+    schema = "container string, capacity int, doc_id bigint, row bigint, part int, start int, tokens int, grp int, number int"
     placed = rest.groupBy("container", "grp").applyInPandas(_pack, schema)
     named = placed.withColumn("bin", F.concat(F.lit("g"), F.col("grp").cast("string"), F.lit("-"), F.col("number").cast("string")))
     columns = ["container", "capacity", "doc_id", "part", "start", "tokens", "bin"]
@@ -104,7 +107,7 @@ def waste(packed: DataFrame) -> DataFrame:
 
 def _packed(spark, sf_dir: str, folder: str = FOLDER) -> DataFrame:
     # Two numbers a text, written once: the texts are encoded once, whatever reads the counts.
-    counts = reliable(token_counts(table(spark, sf_dir, "documents"), folder=folder))
+    counts = reliable(token_counts(table(spark, sf_dir, "documents"), folder=folder).withColumn("row", F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())))
     return pack(pieces(counts, table(spark, sf_dir, "containers")), counts.count())
 
 

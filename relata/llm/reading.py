@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from relata.session import table
+from relata.session import reliable, table
 
 #: Labelled documents that the ranker is fitted on at most; with more, those with the least hashes are taken.
 MAX_LABELLED = 5_000
@@ -89,16 +89,6 @@ class Vocabulary:
     docs: dict[str, int]
     total: dict[str, float]
 
-    @classmethod
-    def of(cls, texts: list[str], grades: np.ndarray) -> Vocabulary:
-        docs: dict[str, int] = {}
-        total: dict[str, float] = {}
-        for text, grade in zip(texts, grades):
-            for w in set(plain_words(text)):
-                docs[w] = docs.get(w, 0) + 1
-                total[w] = total.get(w, 0.0) + float(grade)
-        return cls(docs, total)
-
     def features(self, text: str, own: float | None = None) -> list[float]:
         """Mean and spread of the words' usual grades, and their shares over bands. own: the text's own grade, taken
         out of the usual grades if the text is one of those they were learned from."""
@@ -151,16 +141,13 @@ def isotonic(y: np.ndarray, w: np.ndarray | None = None) -> np.ndarray:
 
 
 def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 400, seed: int = 7) -> LevelModel:
-    """Learn the ranker from all pairs of different grade, or MAX_PAIRS random ones, and calibrate its scores."""
+    """Learn the ranker from MAX_PAIRS random pairs of different grade, and calibrate its scores."""
     if not len(y):
         raise ValueError("there are no graded documents")
     mean, scale = x.mean(0), x.std(0)
     scale = np.where(scale > 1e-9, scale, 1.0)
     z = (x - mean) / scale
-    a, b = np.nonzero(y[:, None] > y[None, :]) if len(y) <= 1500 else _some_pairs(y, seed)
-    if len(a) > MAX_PAIRS:
-        pick = np.random.default_rng(seed).choice(len(a), MAX_PAIRS, replace=False)
-        a, b = a[pick], b[pick]
+    a, b = _some_pairs(y, seed)
     w = np.zeros(x.shape[1])
     if len(a):
         d = z[a] - z[b]
@@ -184,31 +171,65 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 400, see
 
 
 def _some_pairs(y: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """MAX_PAIRS random pairs of different grade at most, the higher one first; fewer if so many draws don't give them."""
     rng = np.random.default_rng(seed)
     a, b = rng.integers(0, len(y), 4 * MAX_PAIRS), rng.integers(0, len(y), 4 * MAX_PAIRS)
     a, b = np.where(y[a] > y[b], a, b), np.where(y[a] > y[b], b, a)
-    keep = y[a] > y[b]
+    keep = np.flatnonzero(y[a] > y[b])[:MAX_PAIRS]
     return a[keep], b[keep]
 
 
-def fit_texts(texts: list[str], grades: np.ndarray) -> LevelModel:
-    words = Vocabulary.of(texts, grades)
-    x = np.asarray([features(t) + words.features(t, float(g)) for t, g in zip(texts, grades)])
-    return replace(fit(x, grades), vocabulary=words)
-
-
-def labelled_sample(documents: DataFrame, labels: DataFrame) -> pd.DataFrame:
-    """At most MAX_LABELLED graded texts as (text, grade); of repeated labels the greatest counts."""
+def labelled_sample(documents: DataFrame, labels: DataFrame) -> DataFrame:
+    """At most MAX_LABELLED graded texts as (doc_id, text, grade), written once; of repeated labels the greatest counts."""
     graded = labels.where("doc_id is not null and grade is not null").groupBy("doc_id").agg(F.max("grade").alias("grade"))
     some = graded.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELLED)
     # At most MAX_LABELLED ids are broadcast, so that no text is shuffled to find the graded ones.
-    known = documents.where("text is not null").select("doc_id", "text").join(F.broadcast(some), "doc_id")
-    return known.orderBy("doc_id").select("text", "grade").toPandas()
+    return reliable(documents.where("text is not null").select("doc_id", "text").join(F.broadcast(some), "doc_id").select("doc_id", "text", F.col("grade").cast("int").alias("grade")))
+
+
+def _spread(texts: DataFrame) -> DataFrame:
+    """The few texts over all tasks, as reading them takes longer than moving them."""
+    return texts.repartition(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def learned_vocabulary(texts: DataFrame) -> Vocabulary:
+    """How many of the graded texts (text, grade) hold each word and the sum of their grades, counted in the executors.
+
+    Words in less than LEAST_DOCS texts never count; all others reach the driver, two numbers a word.
+    """
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(w, g) for text, g in zip(batch.column("text").to_pylist(), batch.column("grade").to_pylist()) for w in set(plain_words(text))]
+            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in rows], pa.string()), pa.array([g for _, g in rows], pa.int32())], names=["word", "grade"])
+
+    counted = texts.select("text", "grade").mapInArrow(words, "word string, grade int").groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.sum("grade").alias("total"))
+    rows = counted.where(F.col("n") >= LEAST_DOCS).toPandas()
+    return Vocabulary(dict(zip(rows["word"], rows["n"].astype(int))), dict(zip(rows["word"], rows["total"].astype(float))))
+
+
+def sample_features(texts: DataFrame, words: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """(vectors, grades) of the graded texts (doc_id, text, grade); texts are read in the executors, only vectors come back."""
+
+    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            grades = batch.column("grade").to_pylist()
+            x = [features(t) + words.features(t, float(g)) for t, g in zip(batch.column("text").to_pylist(), grades)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("grade"), pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "grade", "x"])
+
+    rows = texts.select("doc_id", "text", "grade").mapInArrow(vectors, "doc_id bigint, grade int, x array<double>").toPandas().sort_values("doc_id", kind="stable")
+    return np.asarray(rows["x"].tolist(), dtype=float).reshape(len(rows), -1), rows["grade"].to_numpy()
+
+
+def train_on(texts: DataFrame) -> LevelModel:
+    """The model of graded texts (doc_id, text, grade)."""
+    texts = _spread(texts)
+    words = learned_vocabulary(texts)
+    return replace(fit(*sample_features(texts, words)), vocabulary=words)
 
 
 def train(documents: DataFrame, labels: DataFrame) -> LevelModel:
-    sample = labelled_sample(documents, labels)
-    return fit_texts(sample["text"].tolist(), sample["grade"].to_numpy())
+    return train_on(labelled_sample(documents, labels))
 
 
 def graded(documents: DataFrame, model: LevelModel) -> DataFrame:

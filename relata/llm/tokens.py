@@ -163,15 +163,11 @@ def encoder(name: str = "byte_bpe_50k", folder: str = FOLDER) -> Encoder:
     return Encoder(f"{folder}/{name}.json")
 
 
-def _batches(batches: Iterator[pa.RecordBatch], name: str, folder: str, lengths: bool) -> Iterator[pa.RecordBatch]:
+def _batches(batches: Iterator[pa.RecordBatch], name: str, folder: str) -> Iterator[pa.RecordBatch]:
     own = encoder(name, folder)
     for batch in batches:
-        out = [own.encode(text) for text in batch.column("text").to_pylist()]
-        if lengths:
-            last = pa.array([len(x) for x in out], pa.int32())
-        else:
-            last = pa.array(out, pa.list_(pa.int32()))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), last], names=["doc_id", "n_tokens" if lengths else "ids"])
+        ids = pa.array([own.encode(text) for text in batch.column("text").to_pylist()], pa.list_(pa.int32()))
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids], names=["doc_id", "ids"])
 
 
 def encoded(documents: DataFrame, name: str = "byte_bpe_50k", folder: str = FOLDER) -> DataFrame:
@@ -180,15 +176,24 @@ def encoded(documents: DataFrame, name: str = "byte_bpe_50k", folder: str = FOLD
     NULL and empty texts get an empty list. There is no shuffle: each task encodes the rows it reads.
     """
     return documents.select("doc_id", "text").mapInArrow(
-        lambda batches: _batches(batches, name, folder, False), "doc_id bigint, ids array<int>"
+        lambda batches: _batches(batches, name, folder), "doc_id bigint, ids array<int>"
     )
 
 
-def token_counts(documents: DataFrame, name: str = "byte_bpe_50k", folder: str = FOLDER) -> DataFrame:
-    """(doc_id, n_tokens): the length of each text in tokens, 0 for NULL and empty ones."""
-    return documents.select("doc_id", "text").mapInArrow(
-        lambda batches: _batches(batches, name, folder, True), "doc_id bigint, n_tokens int"
-    )
+def token_counts(documents: DataFrame, name: str = "byte_bpe_50k", folder: str = FOLDER, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, *carry, n_tokens): the length of each text in tokens, 0 for NULL and empty ones, and the columns ``carry``
+    of its row, so that nothing has to be joined back."""
+    kinds = dict(documents.dtypes)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = encoder(name, folder)
+        for batch in batches:
+            sizes = pa.array([len(own.encode(text)) for text in batch.column("text").to_pylist()], pa.int32())
+            names = ["doc_id", *carry]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], sizes], names=[*names, "n_tokens"])
+
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in carry)
+    return documents.select("doc_id", *carry, "text").mapInArrow(count, f"doc_id bigint, {schema + ', ' if carry else ''}n_tokens int")
 
 
 def p8_ids(spark, sf_dir: str) -> DataFrame:
@@ -197,8 +202,7 @@ def p8_ids(spark, sf_dir: str) -> DataFrame:
 
 def p8_counts(spark, sf_dir: str) -> DataFrame:
     """Documents and tokens for each language, with the mean characters a token."""
-    documents = table(spark, sf_dir, "documents")
-    counts = token_counts(documents).join(documents.select("doc_id", "lang", "n_chars"), "doc_id")
+    counts = token_counts(table(spark, sf_dir, "documents"), carry=("lang", "n_chars"))
     return counts.groupBy("lang").agg(
         F.count(F.lit(1)).alias("docs"), F.sum("n_tokens").cast("bigint").alias("tokens"),
         F.round(F.sum("n_chars") / F.sum("n_tokens"), 6).alias("chars_per_token"),

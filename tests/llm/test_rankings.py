@@ -138,19 +138,6 @@ def test_order_statistics(spark, ranks):
     assert abs(df.first()["p"] - _significance(ranks)) < 1e-9
 
 
-@pytest.mark.parametrize("parts", [1, 3, 7])
-def test_ranks_over_partitions(spark, parts):
-    rng = random.Random(parts)
-    rows = [("hot", rng.choice([0.5, rng.random(), float("inf"), float("-inf")])) for _ in range(300)] + [(f"g{i % 9}", float(i % 4)) for i in range(60)]
-    df = spark.createDataFrame(rows, "g string, score double")
-    got = sorted((r["g"], r["score"], r["rank"], r["size"]) for r in ranking.distributed_ranks(df, ["g"], "score", parts).collect())
-    expected = []
-    for g, s in rows:
-        own = [x for h, x in rows if h == g]
-        expected.append((g, s, sum(x > s for x in own) + (own.count(s) + 1) / 2, len(own)))
-    assert got == sorted(expected)
-
-
 def test_no_range_dominates(spark):
     rows = []
     for i in range(20):
@@ -192,7 +179,18 @@ def test_distinctive_terms_against_brute_force(spark):
         d = sum(w in c for c in tf.values())
         f, length = tf[i][w], sum(tf[i].values())
         assert abs(s - math.log1p((n - d + 0.5) / (d + 0.5)) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * length / avg))) < 1e-9
-    assert distinctive.distinctive_terms(df.limit(0).select("id", "text"), df.limit(0).select("id", "text")).count() == 0
+    assert distinctive.distinctive_terms(df.limit(0).select("id", "text"), df.limit(0).select("id")).count() == 0
+    some = distinctive.distinctive_terms(df.select("id", "text"), df.where("id = 2").select("id"))
+    assert {(r["id"], r["term"]): r["score"] for r in some.collect()} == {k: v for k, v in scored.items() if k[0] == 2}
+
+
+@pytest.mark.parametrize("most", [0, 10**6])
+def test_current_texts(spark, monkeypatch, most):
+    monkeypatch.setattr(distinctive, "BROADCAST_IDS", most)
+    rows = [(1, "2020-01-01", "2020-01-02", "old"), (1, "2021-01-01", None, "new"), (1, "2021-01-01", "2020-01-01", "newest"), (1, "2021-01-01", "2020-01-01", "newest")]
+    rows += [(None, "2021-01-01", None, "x"), (2, None, None, None), (3, None, None, "alone"), (4, "2020-01-01", None, "gone"), (4, "2021-01-01", None, None)]
+    pages = spark.createDataFrame(rows, "id int, touched string, loaded string, text string").withColumns({"redirect": F.lit(None).cast("string"), "n": F.lit(1)})
+    assert sorted((r["id"], r["text"]) for r in distinctive.current_texts(pages).collect()) == [(1, "newest"), (3, "alone")]
 
 
 def test_ties_of_terms(spark):

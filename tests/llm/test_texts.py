@@ -97,6 +97,9 @@ def test_every_token_is_placed_once(spark):
         for r in mine:
             fill[r["bin"]] = fill.get(r["bin"], 0) + r["tokens"]
         assert max(fill.values()) <= capacity
+    nameless = items.limit(4).selectExpr("cast(null as bigint) as doc_id", "cast(10 + doc_id as int) as n_tokens", "doc_id as row")
+    placed = packing.pack(packing.pieces(nameless, boxes), 4, group_size=4).groupBy("container", "capacity", "bin").agg(F.sum("tokens").alias("n"))
+    assert placed.where("n > capacity").count() == 0 and placed.where("container = 's' and n = 10").count() >= 4
     w = {r["container"]: r for r in packing.waste(packed).collect()}
     assert w["s"]["tokens"] == sum(sizes.values()) and 0 < w["l"]["fill"] <= 1
     assert packing.pack(packing.pieces(items.limit(0), boxes), 0).count() == 0
@@ -115,14 +118,22 @@ def _labelled(spark, scale="sf0.1"):
 
 
 def test_held_out_accuracy(spark):
-    sample = _labelled(spark)
-    texts, y = sample["text"].tolist(), sample["grade"].to_numpy()
-    right = []
-    for fold in range(3):
-        held = np.arange(len(y)) % 3 == fold
-        model = reading.fit_texts([t for t, h in zip(texts, held) if not h], y[~held])
-        right += (model.rate([t for t, h in zip(texts, held) if h]) == y[held]).tolist()
-    assert np.mean(right) > 0.92
+    sample = _labelled(spark).orderBy("doc_id").toPandas()
+    held = np.arange(len(sample)) % 3 == 0
+    kept = spark.createDataFrame(sample[~held])
+    model = reading.train_on(kept.selectExpr("doc_id", "text", "cast(grade as int) as grade"))
+    right = model.rate(sample["text"][held].tolist()) == sample["grade"][held].to_numpy()
+    assert len(right) > 100 and np.mean(right) > 0.92
+
+
+def test_vocabulary_is_counted_in_the_executors(spark):
+    texts = ["the cat sat", "the dog sat sat", "the cat", "a cat <b>ran</b>", "The Cat"]
+    df = spark.createDataFrame([(i, t, i % 3 + 1) for i, t in enumerate(texts)], "doc_id bigint, text string, grade int")
+    words = reading.learned_vocabulary(df.repartition(3))
+    assert words.docs == {"the": 3, "cat": 3} and words.total == {"the": 6.0, "cat": 5.0}
+    x, y = reading.sample_features(df, words)
+    assert x.shape[0] == 5 and y.tolist() == [1, 2, 3, 1, 2]
+    assert x[0].tolist() == reading.features(texts[0]) + words.features(texts[0], 1.0)
 
 
 def test_isotonic():
@@ -132,11 +143,13 @@ def test_isotonic():
 
 
 def test_grading_odd_texts(spark):
-    model = reading.fit_texts(["It is a hat. We see the sun.", "The jurisprudence subsumes incommensurable antecedents."] * 4, np.array([1, 4] * 4))
+    easy, hard = "It is a hat. We see the sun.", "The jurisprudence subsumes incommensurable antecedents."
+    graded = spark.createDataFrame([(i, (easy, hard)[i % 2], (1, 4)[i % 2]) for i in range(8)], "doc_id bigint, text string, grade int")
+    model = reading.train_on(graded)
     rows = [(1, "It is a hat."), (2, None), (3, ""), (4, "jurisprudence " * 20_000), (5, "!!! 12 日本"), (6, "<b>")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("grade", F.lit(9))
     got = {r["doc_id"]: r["grade"] for r in reading.graded(df, model).collect()}
     assert set(got) == {1, 2, 3, 4, 5, 6} and got[2] == got[3] == 1 and set(got.values()) <= {1, 4}
     assert reading.graded(df.limit(0), model).count() == 0
     with pytest.raises(ValueError):
-        reading.fit_texts([], np.zeros(0))
+        reading.train_on(graded.limit(0))
