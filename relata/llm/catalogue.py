@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from relata.llm import distinctive, markup, packing, ranking, reading, setjoin, tokens, topn
+from relata.llm import distinctive, markup, packing, ranking, reading, setjoin, tokens, topn, wrapper
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": markup.p1_found,
+        "p1_text": markup.p1_text,
+        "p1_wrappers": wrapper.p1_wrappers,
         "p2_found": setjoin.p2_found,
         "p2_classes": setjoin.p2_classes,
         "p4_found": ranking.p4_found,

@@ -57,27 +57,28 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def current_texts(pages: DataFrame) -> DataFrame:
-    """(id, text) of each page's current row, null texts left out.
+def current_texts(pages: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, text, *keep) of each page's current row, null texts left out.
 
     Only ids that have several rows need a choice, which a look at the ids alone finds. Their texts are shuffled, all
     others stay where they are read. If such ids are more than may be broadcast, all texts go through the choice, with
     the same result.
     """
     rows = pages.where("id is not null").select(
-        "id", F.col("touched").cast("timestamp").alias("touched"), F.col("loaded").cast("timestamp").alias("loaded"), "redirect", "text"
+        "id", F.col("touched").cast("timestamp").alias("touched"), F.col("loaded").cast("timestamp").alias("loaded"), "redirect", "text",
+        *[c for c in keep if c != "redirect"],
     )
     several = reliable(rows.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id"))
     w = Window.partitionBy("id").orderBy(*current_first())
 
     def chosen(some: DataFrame) -> DataFrame:
         tied = some.withColumn("tie", F.xxhash64("text", "redirect"))
-        return tied.withColumn("rn", F.row_number().over(w)).where("rn = 1 and text is not null").select("id", "text")
+        return tied.withColumn("rn", F.row_number().over(w)).where("rn = 1 and text is not null").select("id", "text", *keep)
 
     if several.count() > BROADCAST_IDS:
         return chosen(rows)
     few = F.broadcast(several)
-    alone = rows.join(few, "id", "left_anti").where("text is not null").select("id", "text")
+    alone = rows.join(few, "id", "left_anti").where("text is not null").select("id", "text", *keep)
     return alone.unionByName(chosen(rows.join(few, "id", "left_semi")))
 
 

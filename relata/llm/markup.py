@@ -32,6 +32,8 @@ HIDDEN_LINKS = "file|image|category|media"
 # ----------------------------------------------------------------------------------------------------------------
 
 MARK = re.compile("\x01(\\d+)\x02")
+#: Characters that stand for something of our own below; those of a text become spaces.
+_OWN_MARKS = re.compile("[\x01-\x06]")
 _ATTRS = r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*"
 _OPAQUE_HTML = (
     r"<!--.*?(?:-->|\Z)"
@@ -218,6 +220,7 @@ def _tex_inline(s: str, own: bool) -> str:
     return s
 
 
+_BLOCK = re.compile(r"</?(?:p|div|section|article|blockquote|table|tr|dl|dt|dd)(?:\s[^<>]*)?>|<hr\s*/?>", _I)
 _KEPT = re.compile("\x03(\\d+)\x04")
 
 
@@ -419,8 +422,8 @@ def _tex_items(text: str) -> list[str]:
 
 def _prepared(text: str) -> tuple[str, str, list[tuple[str, str]]]:
     """(syntax, text without opaque regions, templates and tables, its markers)."""
-    if "\x01" in text or "\x03" in text:
-        text = text.translate({1: " ", 2: " ", 3: " ", 4: " "})
+    if _OWN_MARKS.search(text):
+        text = _OWN_MARKS.sub(" ", text)
     if "\r" in text:
         text = text.replace("\r\n", "\n").replace("\r", "\n")
     syntax = syntax_of(text)
@@ -503,6 +506,79 @@ def visible(text: str | None, formulas: bool = True) -> str:
     return inline(rest, syntax, marks)
 
 
+def structured(text: str | None) -> str:
+    """The page as clean text that keeps its structure, one block after the other with blank lines between: headings after
+    ``# ``, list items after ``- ``, code in fences, formulas between dollars, paragraphs on one line. '' for NULL."""
+    if not text or text.isspace():
+        return ""
+    syntax, rest, marks = _prepared(_REDIRECT.sub("", text))
+    if syntax == "tex":
+        rest = _TEX_LIST.sub(lambda m: "\n\x05" if m[2] else "\n\n", _tex_headings(rest))
+    if "<" in rest:
+        rest = _HTML_HEAD.sub(lambda m: f"\n\x06{squeeze(m[2])}\n", rest)
+        rest = _HTML_LIST.sub(lambda m: "\n\x05" if m[2].lower() == "li" and not m[1] else "\n\n", rest)
+        rest = _BLOCK.sub("\n\n", rest)
+    if syntax == "md":
+        rest = _MD_SETEXT.sub(lambda m: f"\n\x06{m[1]}\n", rest)
+    out: list[str] = []
+    block: list[str] = []
+
+    def finish(lead: str = "") -> None:
+        shown = inline("\n".join(block), syntax, [(k, f"${b}$") if k == "formula" else (k, b) for k, b in marks])
+        block.clear()
+        if shown:
+            out.append(lead + shown)
+
+    lead = ""
+    for line in rest.split("\n"):
+        code = [m for m in MARK.finditer(line) if marks[int(m[1])][0] == "code"]
+        head = _WIKI_HEAD.match(line) if syntax == "wiki" else _MD_ATX.match(line) if syntax == "md" else None
+        item = _WIKI_ITEM.match(line) if syntax == "wiki" else _MD_ITEM.match(line) if syntax == "md" and not _MD_RULE.match(line) else None
+        if line[:1] in ("\x05", "\x06") or head or item or code or not line.strip():
+            finish(lead)
+            lead = ""
+        if line[:1] in ("\x05", "\x06"):
+            lead = "- " if line[0] == "\x05" else "# "
+            block.append(line[1:])
+            if lead == "# ":
+                finish(lead)
+                lead = ""
+        elif head:
+            block.append((head[2] if syntax == "wiki" else head[1]) or "")
+            finish("# ")
+        elif item:
+            lead = "- "
+            block.append((item[1] if syntax == "wiki" else item[2]) or "")
+        elif code:
+            at = 0
+            for m in code:
+                block.append(line[at : m.start()])
+                finish()
+                body = marks[int(m[1])][1].strip("\n")
+                out.append(f"```\n{body}\n```")
+                at = m.end()
+            block.append(line[at:])
+        elif line.strip():
+            block.append(line)
+            if lead == "- " and syntax == "wiki":
+                finish(lead)
+                lead = ""
+    finish(lead)
+    return "\n\n".join(out)
+
+
+def _tex_headings(s: str) -> str:
+    """s with each heading on a line of its own after a mark."""
+    out, at = [], 0
+    for m in _TEX_HEAD.finditer(s):
+        end = _closing(s, m.end())
+        if m.start() >= at and end >= 0:
+            title = s[m.end() : end].replace("\n", " ")
+            out += [s[at : m.start()], f"\n\x06{title}\n"]
+            at = end + 1
+    return "".join(out) + s[at:]
+
+
 # --- Spark -----------------------------------------------------------------------------------------------------------
 _ELEMENTS = "id int, touched timestamp, loaded timestamp, live boolean, tie bigint, kinds array<string>, bodies array<string>"
 
@@ -551,6 +627,17 @@ def page_elements(pages: DataFrame) -> DataFrame:
     )
 
 
+def page_texts(texts: DataFrame) -> DataFrame:
+    """(id, text): each text of (id, text) clean, with its structure; see :func:`structured`."""
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            shown = pa.array([structured(t) for t in batch.column("text").to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column("id"), shown], names=["id", "text"])
+
+    return texts.select("id", "text").mapInArrow(clean, "id int, text string")
+
+
 def _anchors_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known: dict[str, str | None] = {}
     for batch in batches:
@@ -586,3 +673,10 @@ def p1_found(spark, sf_dir: str) -> DataFrame:
         F.lit("linktext").alias("fld"), "id", F.lit("anchor").alias("kind"), "body"
     )
     return text.unionByName(link)
+
+
+def p1_text(spark, sf_dir: str) -> DataFrame:
+    """The clean text of each page's current row that is no redirect."""
+    from relata.llm.distinctive import current_texts
+
+    return page_texts(current_texts(table(spark, sf_dir, "pages"), keep=("redirect",)).where("redirect is null"))
