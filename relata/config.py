@@ -9,7 +9,7 @@ from typing import Any
 
 #: Keys that each kind of section may hold.
 KNOWN = {
-    "indexes": {"fields", "type", "namespaces", "skipLists", "skipRedirects", "skipDabs", "minWords", "minLinks", "titleMultiplier", "addInLinksToText", "booster", "analyzer"},
+    "indexes": {"fields", "type", "namespaces", "skipLists", "skipRedirects", "skipDabs", "minWords", "minLinks", "titleMultiplier", "addInLinksToText", "booster", "analyzer", "similarity"},
     "concept-mappers": {"type", "path", "index", "delegates", "maxConcepts"},
     "metrics": {
         "type", "index", "field", "similarity", "similarityNormalizer", "mostSimilarNormalizer", "basedOn", "delegates", "components", "matrix",

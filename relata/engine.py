@@ -16,7 +16,7 @@ from relata.config import Config
 from relata.functions import maths as M
 from relata.functions import text as T
 from relata.functions.stemmer import analyzed
-from relata import timing
+from relata import cache, timing
 from relata.operators import calibrate, concepts, corpus, ensemble, graph, links, matrix
 from relata.operators import postings as P
 from relata.operators.calibrate import Normalizer
@@ -314,8 +314,13 @@ class EnsembleMeasure(Measure):
 class Engine:
     """Tables of one folder, and measures and mappers by name. Measures are built when they're first asked for."""
 
-    def __init__(self, spark: SparkSession, folder: str, config: Config | None = None, results: int | None = None):
-        self.spark, self.folder = spark, folder
+    def __init__(
+        self, spark: SparkSession, folder: str, config: Config | None = None, results: int | None = None,
+        gold_files: dict[str, str] | None = None, titles: bool = False, models: str | None = None,
+    ):
+        """gold_files: files of judged phrase pairs for ``similarity`` and ``mostSimilar``, in place of the table gold. titles:
+        phrases are titles of pages. models: a folder that keeps what is dear to compute."""
+        self.spark, self.folder, self.gold_files, self.titles, self.models = spark, folder, gold_files or {}, titles, models
         self.config = config or Config({})
         self.results = results or self.config.integer("num-results", DEFAULT_RESULTS)
         self._measures: dict[str, Measure] = {}
@@ -343,7 +348,10 @@ class Engine:
             entries = section.data.get("similarityNormalizer"), section.data.get("mostSimilarNormalizer")
             if any(calibrate.parameters(e)["type"] != "identity" for e in entries):
                 with timing.phase(f"calibrate {name}"):
-                    made.calibrate(self.gold(), *entries, self.results)
+                    if entries[0] is not None:
+                        made.calibrate(self.gold(), entries[0], None, self.results)
+                    if entries[1] is not None:
+                        made.calibrate(self.gold("mostSimilar"), None, entries[1], self.results)
             self._measures[name] = made
         return self._measures[name]
 
@@ -353,12 +361,21 @@ class Engine:
     def edges(self) -> DataFrame:
         return links.edges(self.table("links"), corpus.title_ids(self.table("pages")))
 
-    def gold(self) -> DataFrame:
+    def gold(self, kind: str = "similarity") -> DataFrame:
+        """(id1, id2, y): judged pairs for ``similarity`` or ``mostSimilar``; phrases of files are mapped to pages."""
+        if kind in self.gold_files:
+            read = readers.read_gold(self.spark, self.gold_files[kind])
+            top = reliable(self.map_phrases(read.select(F.explode(F.array("phrase1", "phrase2")).alias("phrase")).distinct(), 1).select("phrase", "id"))
+            one, two = (top.select(F.col("phrase").alias(f"phrase{i}"), F.col("id").alias(f"id{i}")) for i in (1, 2))
+            return read.join(one, "phrase1").join(two, "phrase2").select("id1", "id2", F.col("similarity").alias("y"))
         judged = self.table("gold").where("id1 is not null and id2 is not null and similarity is not null")
         return judged.select("id1", "id2", F.col("similarity").alias("y"))
 
     def map_phrases(self, phrases: DataFrame, n: int = concepts.CONCEPTS) -> DataFrame:
-        """(phrase, rank, id, score) by the anchor dictionary."""
+        """(phrase, rank, id, score) by the anchor dictionary, or by title if phrases are titles."""
+        if self.titles:
+            named = phrases.select("phrase", corpus.canonical_title(F.col("phrase")).alias("title")).join(corpus.title_ids(self.table("pages")), "title")
+            return named.select("phrase", F.lit(1).alias("rank"), "id", F.lit(1.0).alias("score"))
         cur = self.pages().select(corpus.canonical_title(F.col("title")).alias("title"), corpus.canonical_title(F.col("redirect")).alias("to"))
         moves = corpus.follow_redirects(cur.where("title <> '' and to <> ''").groupBy("title").agg(F.min("to").alias("to")))
         return concepts.map_phrases(phrases, concepts.dictionary(self.table("links")), moves, corpus.title_ids(self.table("pages")), n)
@@ -420,7 +437,12 @@ class Engine:
         return LinkMeasure("links", self.edges(), self.table("pages").where("id is not null"), c.string("similarity", "google"))
 
     def _category(self, c: Config) -> Measure:
-        return CategoryMeasure("category", graph.memberships(self.table("page_cat")), graph.parents(self.table("cat_parent")), self.table("pages"))
+        member, up = graph.memberships(self.table("page_cat")), graph.parents(self.table("cat_parent"))
+        costs = None
+        if self.models:
+            make = lambda: graph.rank_costs(graph.vocabulary(up, member), up)
+            costs = cache.kept(self.spark, f"{self.models}/category-costs", [f"{self.folder}/{t}.parquet" for t in ("page_cat", "cat_parent")], make)
+        return CategoryMeasure("category", member, up, self.table("pages"), costs)
 
     def _pairwise(self, c: Config) -> Measure:
         return PairwiseMeasure("pairwise", matrix.neighbour_matrix(self.spark, self.folder, c.string("matrix", "esa")))

@@ -25,6 +25,8 @@ EPSILONS = [1.05, 1.2, 1.35, 1.6, 2.0]
 PENALTIES = [0.0, 0.0001, 0.001, 0.003, 0.01, 0.03, 0.1, 0.3]
 #: More than any vocabulary holds: no term is left out.
 ALL_TERMS = 2**31 - 1
+#: Terms, or columns, that describe a topic.
+TOPIC_TERMS = 100
 LISTS = ["category", "esa", "links", "pairwise", "text"]
 LIST_SIZE = 500
 MIN_COMPONENTS = 1
@@ -424,7 +426,8 @@ def q_ensemble_merge(spark, d):
 def _als(spark, d):
     from pyspark.ml.recommendation import ALS
 
-    m = neighbour_matrix(spark, d, "links").select("row_id", "col_id", F.col("value").cast("float").alias("value")).cache()
+    m = neighbour_matrix(spark, d, "links").select("row_id", "col_id", F.col("value").cast("float").alias("value"))
+    m = reliable(m)
     return m, ALS(rank=8, maxIter=5, regParam=0.02, userCol="row_id", itemCol="col_id", ratingCol="value", seed=7, coldStartStrategy="drop").fit(m)
 
 
@@ -455,7 +458,7 @@ def _lda(spark, d):
     docs = table(spark, d, "documents").select("doc_id", F.col("text").isNotNull().alias("has"), T.word_tokens(F.coalesce("text", F.lit(""))).alias("words"))
     counter = CountVectorizer(inputCol="words", outputCol="features", vocabSize=ALL_TERMS, minDF=5.0, maxDF=0.5)
     terms = counter.fit(docs.where("has"))
-    counted = terms.transform(docs).drop("words").cache()
+    counted = reliable(terms.transform(docs).drop("words"))
     return counted, terms, LDA(k=5, maxIter=5, optimizer="online", docConcentration=[0.1], topicConcentration=0.1, seed=7).fit(counted.where("has"))
 
 
@@ -470,11 +473,35 @@ def q_lda(spark, d):
 def q_lda_terms(spark, d):
     """The heaviest terms of each topic."""
     _, terms, model = _lda(spark, d)
-    topics = model.describeTopics(10).select("topic", F.posexplode("termIndices").alias("place", "at"))
+    topics = model.describeTopics(TOPIC_TERMS).select("topic", F.posexplode("termIndices").alias("place", "at"))
     names = spark.createDataFrame(list(enumerate(terms.vocabulary)), "at int, term string")
     return topics.join(names, "at").select("topic", "place", "term")
 
 
+def matrix_topics(m: DataFrame, topics: int = 20, rounds: int = 10) -> tuple[DataFrame, DataFrame]:
+    """((row_id, topics), (topic, place, col_id, weight)) of a sparse matrix (row_id, col_id, value >= 0): each row's shares of
+    the topics, and the TOPIC_TERMS heaviest columns of each topic."""
+    from pyspark.ml.clustering import LDA
+    from pyspark.ml.functions import vector_to_array
+    from pyspark.ml.linalg import Vectors, VectorUDT
+
+    from relata.operators.matrix import dense_ids
+
+    cells = reliable(m.where("value > 0").select("row_id", "col_id", F.col("value").cast("double").alias("value")))
+    ids = reliable(dense_ids(cells, "col_id"))
+    width = ids.count()
+    if not width:
+        raise ValueError("the matrix has no positive cells")
+    vector = F.udf(lambda r: Vectors.sparse(width, sorted((int(c["dense_id"]), float(c["value"])) for c in r)), VectorUDT())
+    rows = cells.join(ids, "col_id").groupBy("row_id").agg(F.collect_list(F.struct("dense_id", "value")).alias("cells"))
+    rows = reliable(rows.select("row_id", vector("cells").alias("features")))
+    model = LDA(k=topics, maxIter=rounds, optimizer="online", docConcentration=[0.1], topicConcentration=0.1, seed=7).fit(rows)
+    shares = model.transform(rows).select("row_id", vector_to_array("topicDistribution").alias("topics"))
+    heavy = model.describeTopics(TOPIC_TERMS).select("topic", F.posexplode(F.arrays_zip("termIndices", "termWeights")).alias("place", "t"))
+    named = heavy.join(ids.select(F.col("dense_id").alias("at"), "col_id"), F.col("t.termIndices") == F.col("at"))
+    return shares, named.select("topic", "place", "col_id", F.col("t.termWeights").alias("weight"))
+
+
 QUERIES = {
     "ensemble_features": q_ensemble_features, "ensemble_list_features": q_list_features, "ols_two_measures": q_ols_two, "ols_linear_ensemble": q_ols_ensemble, "svr_analogue": q_huber_ensemble,
     "ensemble_merge_topk": q_ensemble_merge, "als_factorize": q_als, "als_error": q_als_error, "lda_topics": q_lda,

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from relata.operators import concepts, corpus, ensemble, evaluate, facade, files, graph, hierarchy, links, matrix, normalize, postings, references
+from relata.operators import concepts, corpus, ensemble, evaluate, facade, files, graph, hierarchy, indexes, links, matrix, normalize, postings, references
 
 FLAGSHIP = "text_most_similar_topk"
 
@@ -24,6 +24,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         **ensemble.QUERIES,
         **files.QUERIES,
         **facade.QUERIES,
+        **indexes.QUERIES,
         "p3_found": references.p3_found,
         "p3_report": references.p3_report,
         "p5_found": hierarchy.p5_found,
@@ -34,6 +35,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     out: dict[str, str] = dict(postings.linked_sql())
-    for part in (corpus, postings, links, matrix, graph, normalize, concepts, evaluate, ensemble, files, facade, references, hierarchy):
+    for part in (corpus, postings, links, matrix, graph, normalize, concepts, evaluate, ensemble, files, facade, indexes, references, hierarchy):
         out |= part.SQL
     return out
