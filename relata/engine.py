@@ -89,9 +89,8 @@ class IndexedMeasure(Measure):
     """Over postings (term, id, tf) of documents (id)."""
 
     def __init__(self, name: str, docs: DataFrame, index: DataFrame, rule: P.TermRule | None = None):
-        self.name, self.docs, self.index = name, docs.select("id"), index
-        self.rule = rule or P.TermRule()
-        self.stats = P.with_size(P.term_stats(index), docs)
+        self.name, self.docs, self.rule = name, docs.select("id"), rule or P.TermRule()
+        _, self.index, self.stats = P._searchable(self.docs, index)
 
     def _asked(self, queries: DataFrame) -> DataFrame:
         mine = self.index.join(queries.select(F.col("query_id").alias("id")), "id", "left_semi")
@@ -431,7 +430,7 @@ class Engine:
         tokens = analyzed(F.col("text"), readers.stop_words(path=c.string("stopWords", "") or None), stemming=c.boolean("stemming", True))
         every = reliable(P.postings(pages.select("id", "text"), tokens))
         fit = corpus.included(pages, min_words=c.integer("minWords", corpus.MIN_WORDS), min_links=c.integer("minLinks", corpus.MIN_LINKS)).select("id")
-        return ConceptMeasure("esa", fit, reliable(every.join(fit, "id", "left_semi")), every)
+        return ConceptMeasure("esa", fit, every.join(fit, "id", "left_semi"), every)
 
     def _links(self, c: Config) -> Measure:
         return LinkMeasure("links", self.edges(), self.table("pages").where("id is not null"), c.string("similarity", "google"))

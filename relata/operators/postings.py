@@ -45,11 +45,17 @@ def with_size(stats: DataFrame, docs: DataFrame) -> DataFrame:
     return stats.join(F.broadcast(n))
 
 
+def rated(index: DataFrame, stats: DataFrame) -> DataFrame:
+    """Postings with the statistics of their terms: (term, id, tf, df, n). Postings that have them stay as they are, so a
+    search that reads its index several times joins them once."""
+    return index if {"df", "n"} <= set(index.columns) else index.join(stats, "term")
+
+
 def select_terms(index: DataFrame, stats: DataFrame, rule: TermRule) -> DataFrame:
     """(id, term, tf, df, n): at most max_terms terms a record, by tf * (1 + ln(n / (df + 1))), then by term."""
     fit = (F.col("tf") >= rule.min_tf) & (F.col("df") >= rule.min_df) & (F.col("df") <= F.floor(F.col("n") * rule.max_percent / 100))
     w = Window.partitionBy("id").orderBy(F.desc(F.round(F.col("tf") * (1 + F.log(F.col("n") / (F.col("df") + 1))), 6)), "term")
-    ranked = index.join(stats, "term").where(fit).withColumn("rn", F.row_number().over(w))
+    ranked = rated(index, stats).where(fit).withColumn("rn", F.row_number().over(w))
     return ranked.where(F.col("rn") <= rule.max_terms).drop("rn")
 
 
@@ -66,7 +72,7 @@ def weight() -> Column:
 
 def lengths(index: DataFrame, stats: DataFrame) -> DataFrame:
     """(id, len): length of each record's weights over all its terms."""
-    return index.join(stats, "term").groupBy("id").agg(F.sqrt(F.sum(weight() * weight())).alias("len"))
+    return rated(index, stats).groupBy("id").agg(F.sqrt(F.sum(weight() * weight())).alias("len"))
 
 
 def matches(asked: DataFrame, index: DataFrame, stats: DataFrame, weighted: DataFrame | None = None) -> DataFrame:
@@ -77,7 +83,7 @@ def matches(asked: DataFrame, index: DataFrame, stats: DataFrame, weighted: Data
     """
     asked = asked.select("query_id", "term", weight().alias("wq"))
     qlen = asked.groupBy("query_id").agg(F.sqrt(F.sum(F.col("wq") * F.col("wq"))).alias("qlen"))
-    docs = index.join(stats, "term").select("term", "id", weight().alias("wd"))
+    docs = rated(index, stats).select("term", "id", weight().alias("wd"))
     dots = asked.join(docs, "term").groupBy("query_id", "id").agg(F.sum(F.col("wq") * F.col("wd")).alias("dot"))
     scored = dots.join(qlen, "query_id").join(weighted if weighted is not None else lengths(index, stats), "id")
     divisor = F.col("qlen") * F.col("len")
@@ -127,9 +133,16 @@ def _doc_index(spark, d):
 
 
 def _materialized(docs):
-    """(docs, postings, statistics): the postings are written once, as searches read them several times."""
-    index = reliable(postings(docs, T.word_tokens(F.col("text"))))
-    return docs, index, with_size(term_stats(index), docs)
+    """(docs, postings, statistics): the postings are written once with the statistics of their terms, as searches read
+    them several times."""
+    index = postings(docs, T.word_tokens(F.col("text")))
+    return _searchable(docs, index)
+
+
+def _searchable(docs: DataFrame, index: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    raw = reliable(index)
+    stats = with_size(term_stats(raw), docs)
+    return docs, reliable(rated(raw, stats)), stats
 
 
 def _page_index(spark, d):
@@ -231,8 +244,7 @@ def _esa_index(spark, d):
     pages = current_pages(table(spark, d, "pages")).where("text is not null and redirect is null")
     every = reliable(postings(pages.select("id", "text"), T.remove_words(T.word_tokens(F.col("text")), stop_words())))
     docs = reliable(included(pages, min_words=MIN_WORDS, min_links=MIN_LINKS).select("id"))
-    index = reliable(every.join(docs, "id", "left_semi"))
-    return docs, index, with_size(term_stats(index), docs), every
+    return *_searchable(docs, every.join(docs, "id", "left_semi")), every
 
 
 def q_esa_id_most_similar(spark, d):
