@@ -50,15 +50,14 @@ def rank_costs(cats: DataFrame, up: DataFrame, damping: float = DAMPING, rounds:
     before the shuffle. Lineage is cut every fifth round.
     """
     total = cats.agg(F.count(F.lit(1)).alias("v"), F.sum("pages").alias("p"))
-    ranks = cats.join(F.broadcast(total)).select("cat", ((1 + F.col("pages")) / (F.col("v") + F.col("p"))).alias("rank"), ((1 - damping) / F.col("v")).alias("base"))
+    start = reliable(cats.join(F.broadcast(total)).select("cat", ((1 + F.col("pages")) / (F.col("v") + F.col("p"))).alias("rank"), ((1 - damping) / F.col("v")).alias("base")))
     ways = up.groupBy("child").agg(F.count(F.lit(1)).alias("ways"))
-    flow = reliable(up.join(ways, "child"))
-    ranks = reliable(ranks)
+    flow = reliable(up.join(ways, "child").select(F.col("child").alias("cat"), "parent", (F.lit(damping) / F.col("ways")).alias("share")))
+    ranks, base = start.select("cat", "rank"), start.select("cat", F.col("base").alias("given"))
     for turn in range(1, rounds + 1):
-        given = flow.join(ranks.select(F.col("cat").alias("child"), "rank"), "child").groupBy(F.col("parent").alias("cat")).agg(
-            F.sum(F.col("rank") / F.col("ways")).alias("in")
-        )
-        ranks = ranks.join(given, "cat", "left").select("cat", (F.col("base") + damping * F.coalesce("in", F.lit(0.0))).alias("rank"), "base")
+        given = flow.join(ranks, "cat").select(F.col("parent").alias("cat"), (F.col("rank") * F.col("share")).alias("given"))
+        # What a category has of its own is one more gift, so that a round is one join and one aggregate.
+        ranks = given.unionByName(base).groupBy("cat").agg(F.sum("given").alias("rank"))
         if turn % 5 == 0:
             ranks = reliable(ranks)
     return ranks.select("cat", (1 / -F.log("rank")).alias("cost"))

@@ -199,12 +199,21 @@ def test_phrases_to_scores(spark):
 
 
 def test_stream_counts_equal_batch(spark, tmp_path):
-    pages = spark.read.parquet(f"{SMALL}/pages.parquet").select("id", "text", "loaded")
-    pages.repartition(3).write.parquet(str(tmp_path / "in"))
-    stream = S.page_stream(spark, str(tmp_path / "in"), pages.schema, files_per_batch=1)
-    S.merge_term_counts(stream, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     from relata.functions import text as T
-
-    words = pages.where("text is not null").select(F.explode(T.word_tokens(F.col("text"))).alias("term"))
-    assert rows_of(S.term_counts(spark, str(tmp_path / "out")).select("term", "tf")) == rows_of(words.groupBy("term").agg(F.count(F.lit(1)).alias("tf")))
+    from relata.operators.corpus import current_pages
+
+    pages = spark.read.parquet(f"{SMALL}/pages.parquet").select("id", "text", "redirect", "touched", "loaded")
+    again = pages.where("id % 3 = 0")  # delivered a second time
+    older = again.withColumns({"touched": F.lit("2001-01-01").cast("timestamp_ntz"), "text": F.lit("outdated words")})
+    for i, part in enumerate((pages, again, older)):
+        part.repartition(2).write.parquet(str(tmp_path / f"part{i}"))
+    (tmp_path / "in").mkdir()
+    for i, f in enumerate(sorted(tmp_path.glob("part*/*.parquet"))):
+        f.rename(tmp_path / "in" / f"{i}.parquet")
+    stream = S.page_stream(spark, str(tmp_path / "in"), pages.schema, files_per_batch=2)
+    S.merge_term_counts(stream, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    assert len(list((tmp_path / "out").glob("batch=*"))) == 3
+    words = current_pages(pages).where("text is not null").select("id", F.explode(T.word_tokens(F.col("text"))).alias("term"))
+    expected = words.groupBy("term").agg(F.count(F.lit(1)).alias("tf"), F.countDistinct("id").alias("df"))
+    assert rows_of(S.term_counts(spark, str(tmp_path / "out"))) == rows_of(expected)
     assert S.arrivals(pages).agg(F.sum("pages")).first()[0] == pages.where("loaded is not null").count()
