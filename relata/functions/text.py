@@ -19,6 +19,9 @@ DROPPED_SECTIONS = ("see also", "references", "further reading", "external links
 #: File-like link targets are no links.
 IMAGE = "Image:"
 
+#: A small list for analyzers that keep most words.
+STANDARD_STOP_WORDS = ["a", "an", "and", "are", "as", "at", "be", "but", "by", "for", "if", "in", "into", "is", "it", "no", "not", "of", "on", "or", "such", "that", "the", "their", "then", "there", "these", "they", "this", "to", "was", "will", "with"]
+
 LINK = r"\[\[([^\]]*)\]\]"
 BULLET_LINK = r"\*(?:[ \"']*)?\s*\[\[([^\]]+?)\]\](?:[ '\"]*)?"
 

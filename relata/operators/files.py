@@ -15,9 +15,6 @@ from relata.operators.matrix import matrix_sql, neighbour_matrix
 from relata.sources import readers, writers
 from relata.session import table
 
-#: A small list for analyzers that keep most words.
-STANDARD_STOP_WORDS = ["a", "an", "and", "are", "as", "at", "be", "but", "by", "for", "if", "in", "into", "is", "it", "no", "not", "of", "on", "or", "such", "that", "the", "their", "then", "there", "these", "they", "this", "to", "was", "will", "with"]
-
 
 def q_gold_lines(spark, d):
     lines = table(spark, d, "gold").select(F.concat_ws("\t", "phrase1", "phrase2", F.col("similarity").cast("string")).alias("value"))
@@ -75,7 +72,7 @@ def q_query_language(spark, d):
 
 def q_standard_analyzer(spark, d):
     docs = table(spark, d, "documents").where("text is not null")
-    return docs.select(F.explode(analyzed(F.col("text"), STANDARD_STOP_WORDS)).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    return docs.select(F.explode(analyzed(F.col("text"), T.STANDARD_STOP_WORDS)).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
 
 
 def q_stemmed_analyzer(spark, d):
@@ -113,6 +110,6 @@ SQL = {
     "arff_lines": f"""{SIMS_SQL}, w as (select id1, id2, max(y) as y, {', '.join(f"max(x) filter (metric = '{m}' and isfinite(x)) as {m}" for m in METRICS)} from s group by all)
       select concat_ws(',', {', '.join(f"coalesce(format('{{:.4f}}', {m} + 0.0), '?')" for m in [*METRICS, 'y'])}) as value, count(*) as n from w group by 1""",
     "query_language": L.EDGES_SQL + f", tp as (select id, title, {_TYPE} as type from cur) select id, title, ninlinks from tp join inl using (id) where type = 'normal' and ninlinks between 3 and 20",
-    "standard_analyzer": f"select term, count(*) as n from (select unnest({T.WORD_TOKENS_SQL}) as term from documents) where term not in ({', '.join(repr(w) for w in STANDARD_STOP_WORDS)}) group by 1",
+    "standard_analyzer": f"select term, count(*) as n from (select unnest({T.WORD_TOKENS_SQL}) as term from documents) where term not in ({', '.join(repr(w) for w in T.STANDARD_STOP_WORDS)}) group by 1",
     "link_flags": "select query_id, max(abs(rank)) as num, max(query_id) as den from neighbours where rank is not null and query_id is not null group by 1",
 }

@@ -239,10 +239,9 @@ def _esa_index(spark, d):
     """(concepts, their postings, statistics, postings of all pages): concepts are pages with enough words and links;
     stop words are left out."""
     from relata.operators.corpus import MIN_LINKS, MIN_WORDS, included
-    from relata.sources.readers import stop_words
 
     pages = current_pages(table(spark, d, "pages")).where("text is not null and redirect is null")
-    every = reliable(postings(pages.select("id", "text"), T.remove_words(T.word_tokens(F.col("text")), stop_words())))
+    every = reliable(postings(pages.select("id", "text"), T.remove_words(T.word_tokens(F.col("text")), T.STANDARD_STOP_WORDS)))
     docs = reliable(included(pages, min_words=MIN_WORDS, min_links=MIN_LINKS).select("id"))
     return *_searchable(docs, every.join(docs, "id", "left_semi")), every
 
@@ -334,9 +333,8 @@ from pairs left join dots using (a, b) left join vlen x on x.query_id = a left j
 
 def _esa_sql() -> str:
     from relata.operators.corpus import SQL as PAGES
-    from relata.sources.readers import stop_words
 
-    stop = ", ".join("'" + w.replace("'", "''") + "'" for w in stop_words())
+    stop = ", ".join(f"'{w}'" for w in T.STANDARD_STOP_WORDS)
     fit = PAGES["page_filter"]
     fit = fit[fit.index("select id, title from cur"):].replace("select id, title from cur", "select id from cur")
     return f"""with {CUR_SQL}, fit as ({fit} and text is not null),
