@@ -47,9 +47,6 @@ CHUNK = 1 << 21
 #: At most so many ids of giant sets are broadcast; more are found by a shuffled join.
 BROADCAST_IDS = 100_000
 
-_LEVEL = 3  # bytes of a minhash within a signature; what collides is only compared in vain
-
-
 @dataclass(frozen=True)
 class Forest:
     """What depths a neighbourhood may have, and what each is worth: the gain of a depth is -ln of the chance to miss."""
@@ -77,6 +74,11 @@ class Forest:
     def levels(self) -> int:
         return self.base + DEEPER
 
+    @property
+    def width(self) -> int:
+        """Bytes of a minhash within a signature. What collides is only compared in vain, and the base depth takes four at least."""
+        return 2 if self.base > 1 else 4
+
     @property
     def depths(self) -> range:
         return range(self.base, self.levels + 1)
@@ -105,15 +107,15 @@ def minhashes(values: np.ndarray, starts: np.ndarray, trees: range, levels: int)
     return out
 
 
-def signatures(least: np.ndarray, trees: range) -> np.ndarray:
+def signatures(least: np.ndarray, trees: range, width: int) -> np.ndarray:
     """(sets, trees) of bytes that sort by tree and then by one level after the other."""
     sets, n, levels = least.shape
-    out = np.empty((sets, n, 2 + _LEVEL * levels), dtype=np.uint8)
+    out = np.empty((sets, n, 2 + width * levels), dtype=np.uint8)
     out[:, :, 0] = np.asarray(trees) >> 8
     out[:, :, 1] = np.asarray(trees) & 255
     mixed = _mixed(least.view(np.uint64), 0)
-    for b in range(_LEVEL):
-        out[:, :, 2 + b :: _LEVEL] = (mixed >> np.uint64(8 * b)).astype(np.uint8)
+    for b in range(width):
+        out[:, :, 2 + b :: width] = (mixed >> np.uint64(8 * b)).astype(np.uint8)
     return out
 
 
@@ -132,7 +134,7 @@ def _bytes(column: pa.Array) -> np.ndarray:
     return data.reshape(n, -1)
 
 
-def _sketched(batches: Iterator[pa.RecordBatch], trees: range, levels: int) -> Iterator[pa.RecordBatch]:
+def _sketched(batches: Iterator[pa.RecordBatch], trees: range, forest: Forest) -> Iterator[pa.RecordBatch]:
     """(key, cls, nm) for each class (cls, nm, hs) and tree."""
     for whole in batches:
         for begin in range(0, whole.num_rows, 2_000):
@@ -140,7 +142,7 @@ def _sketched(batches: Iterator[pa.RecordBatch], trees: range, levels: int) -> I
             hs = batch.column("hs")
             offsets = hs.offsets.to_numpy().astype(np.int64)
             flat = hs.values.to_numpy(zero_copy_only=False).view(np.uint64)[offsets[0] : offsets[-1]]
-            keys = signatures(minhashes(flat, offsets[:-1] - offsets[0], trees, levels), trees)
+            keys = signatures(minhashes(flat, offsets[:-1] - offsets[0], trees, forest.levels), trees, forest.width)
             yield _forest_rows(keys, batch.column("cls").to_numpy(), batch.column("nm").to_numpy())
 
 
@@ -156,12 +158,12 @@ PAIR, OPEN, LOSS = 0, 1, 2
 _OUT = "kind tinyint, a bigint, b bigint, key binary, nm int, loss double"
 
 
-def _common(keys: np.ndarray) -> np.ndarray:
+def _common(keys: np.ndarray, width: int) -> np.ndarray:
     """For each row the number of levels it has in common with the row before, -1 for another tree and for row 0."""
     if len(keys) < 2:
         return np.full(len(keys), -1)
     same = keys[1:] == keys[:-1]
-    levels = same[:, 2:].reshape(len(same), -1, _LEVEL).all(2)
+    levels = same[:, 2:].reshape(len(same), -1, width).all(2)
     out = np.where(same[:, :2].all(1), np.logical_and.accumulate(levels, axis=1).sum(1), -1)
     return np.concatenate([[-1], out])
 
@@ -175,7 +177,7 @@ def _close(nm_a: np.ndarray, nm_b: np.ndarray, threshold: float) -> np.ndarray:
 
 def compared(keys: np.ndarray, cls: np.ndarray, nm: np.ndarray, forest: Forest) -> Iterator[tuple]:
     """Pairs (a, b) of whole neighbourhoods in order of their keys, then once (None, cls, loss) of classes that deepened."""
-    common, m = _common(keys), len(keys)
+    common, m = _common(keys, forest.width), len(keys)
     best, chosen, starts, sizes = np.full(m, np.inf), np.zeros(m, np.int64), {}, {}
     for d in forest.depths:
         group = np.cumsum(common < d) - 1
@@ -237,7 +239,7 @@ def _walk(batches: Iterator[pa.RecordBatch], forest: Forest) -> Iterator[pa.Reco
             continue
         new = _bytes(batch.column("key")), batch.column("cls").to_numpy(), batch.column("nm").to_numpy()
         held = new if held is None else tuple(np.concatenate(x) for x in zip(held, new))
-        begins = np.flatnonzero(_common(held[0]) < forest.base)
+        begins = np.flatnonzero(_common(held[0], forest.width) < forest.base)
         if first and len(begins) > 1:
             yield opened(*(x[: begins[1]] for x in held))
             held, begins, first = tuple(x[begins[1] :] for x in held), begins[1:] - begins[1], False
@@ -246,7 +248,7 @@ def _walk(batches: Iterator[pa.RecordBatch], forest: Forest) -> Iterator[pa.Reco
             held = tuple(x[begins[-1] :] for x in held)
     if held is None:
         return
-    last = np.flatnonzero(_common(held[0]) < forest.base)[-1]
+    last = np.flatnonzero(_common(held[0], forest.width) < forest.base)[-1]
     if last:
         yield from closed(*(x[:last] for x in held))
     rest = opened(*(x[last:] for x in held))
@@ -259,7 +261,7 @@ def _open_neighbourhoods(rows: DataFrame, forest: Forest) -> tuple[DataFrame, Da
 
     Sizes come from counts of prefixes, combined within tasks. The comparison is a join in blocks.
     """
-    prefix = lambda d: F.substring("key", F.lit(1), F.lit(2) + F.lit(_LEVEL) * d)
+    prefix = lambda d: F.substring("key", F.lit(1), F.lit(2) + F.lit(forest.width) * d)
     deep = F.explode(F.array(*[F.lit(d) for d in forest.depths])).alias("d")
     at = rows.select("key", "cls", "nm", deep).withColumn("prefix", prefix(F.col("d")))
     counts = at.groupBy("prefix").agg(F.count(F.lit(1)).alias("m"))
@@ -287,8 +289,9 @@ def _open_neighbourhoods(rows: DataFrame, forest: Forest) -> tuple[DataFrame, Da
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")), lost
 
 
-def _giant_rows(parts: DataFrame, trees: range, levels: int) -> DataFrame:
+def _giant_rows(parts: DataFrame, trees: range, forest: Forest) -> DataFrame:
     """(key, cls, nm) for each class of ``parts`` (cls, nm, hs), whose sets are spread over several rows."""
+    levels, width = forest.levels, forest.width
 
     def partial(batches):
         for batch in batches:
@@ -305,7 +308,7 @@ def _giant_rows(parts: DataFrame, trees: range, levels: int) -> DataFrame:
         for batch in batches:
             if batch.num_rows:
                 least = np.asarray(batch.column("least").to_pylist(), dtype=np.int64).reshape(batch.num_rows, len(trees), levels)
-                yield _forest_rows(signatures(least, trees), batch.column("cls").to_numpy(), batch.column("nm").to_numpy())
+                yield _forest_rows(signatures(least, trees, width), batch.column("cls").to_numpy(), batch.column("nm").to_numpy())
 
     each = parts.select("cls", "nm", "hs").mapInArrow(partial, "cls bigint, nm int, least array<bigint>")
     least = each.select("cls", "nm", F.posexplode("least").alias("at", "h")).groupBy("cls", "nm", "at").agg(F.min("h").alias("h"))
@@ -315,13 +318,13 @@ def _giant_rows(parts: DataFrame, trees: range, levels: int) -> DataFrame:
 
 def candidates(classes: DataFrame, forest: Forest, giants: DataFrame | None = None) -> DataFrame:
     """(a, b), a < b: classes (cls, nm, hs) that met in some tree; nm is 4 * size + sides. giants: (cls, nm, hs) in parts."""
-    levels, first, trees = forest.levels, 0, forest.first_trees
+    first, trees = 0, forest.first_trees
     active, big, found, needs = classes, giants, [], None
     while True:
         dealt = range(first, first + trees)
-        rows = active.select("cls", "nm", "hs").mapInArrow(lambda b, r=dealt: _sketched(b, r, levels), "key binary, cls bigint, nm int")
+        rows = active.select("cls", "nm", "hs").mapInArrow(lambda b, r=dealt: _sketched(b, r, forest), "key binary, cls bigint, nm int")
         if big is not None:
-            rows = rows.unionByName(_giant_rows(big, dealt, levels))
+            rows = rows.unionByName(_giant_rows(big, dealt, forest))
         ordered = rows.repartitionByRange("key").sortWithinPartitions("key")
         out = reliable(ordered.mapInArrow(lambda b: _walk(b, forest), _OUT))
         pairs, lost = _open_neighbourhoods(out.where(F.col("kind") == OPEN).select("key", F.col("a").alias("cls"), "nm"), forest)

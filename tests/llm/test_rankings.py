@@ -77,7 +77,7 @@ def test_neighbourhoods_deepen_and_classes_go_on(spark):
     values = np.asarray([xxhash.xxh64_intdigest(v) for i in cls for v in sorted(sets[i])], dtype="uint64")
     starts = np.cumsum([0] + [len(sets[i]) for i in cls[:-1]])
     trees = range(forest.first_trees)
-    keys = setjoin.signatures(setjoin.minhashes(values, starts, trees, forest.levels), trees)
+    keys = setjoin.signatures(setjoin.minhashes(values, starts, trees, forest.levels), trees, forest.width)
     nm = np.asarray([len(sets[i]) * 4 + 3 for i in cls], dtype="int32")
     deepened = 0
     for t in trees:
@@ -96,7 +96,7 @@ def test_similar_records_of_odd_tables(spark):
     assert _pairs(setjoin.similar_records(_frame(spark, sets), 0.6, 1)) == {(2, 3)}
     assert setjoin.similar_records(_frame(spark, {4: sets[4]}), 0.6, 4).count() == 0
     for n in (0, 1, 2):
-        assert setjoin._common(np.zeros((n, 20), "uint8")).tolist() == [-1, 6][:n]
+        assert setjoin._common(np.zeros((n, 14), "uint8"), 2).tolist() == [-1, 6][:n]
 
 
 def test_giant_sets(spark):
