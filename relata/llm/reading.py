@@ -48,14 +48,14 @@ def features(text: str) -> list[float]:
     sentences are spread over bands of word length, so that a text mixed from easy and hard sentences is told from
     one of even difficulty. Sentences weigh by their words where it says so.
     """
-    plain = _HYPHEN.sub("", _TAG.sub("", text)).replace("­", "")
+    plain = _HYPHEN.sub("", _TAG.sub("", text)).replace("\u00ad", "")
     lengths, letters, commas, clauses, capitals = [], [], [], [], []
     long7 = long10 = syllables = 0
     seen: set[str] = set()
-    for sentence in _SENTENCE.split(plain):
-        words = _WORD.findall(sentence)
-        if len(words) < 3 or not sentence.rstrip().endswith((".", "!", "?")):
-            continue  # titles, menus and other furniture
+    parts = [(s, _WORD.findall(s)) for s in _SENTENCE.split(plain)]
+    # Titles, menus and other furniture are no sentences. A text without any is read line by line.
+    whole = [p for p in parts if len(p[1]) >= 3 and p[0].rstrip().endswith((".", "!", "?"))]
+    for sentence, words in whole or [(s, w) for s in plain.split("\n") if (w := _WORD.findall(s))]:
         own = [w for w in words[1:] if w.islower()] or words  # names say nothing about the level
         sizes = [len(w) for w in own]
         lengths.append(len(words))

@@ -33,7 +33,7 @@ TARGET_RECALL = 0.999
 #: The base depth is the greatest at which about so many trees reach the target recall.
 TREES = 24
 #: Share of trees that the first round has beyond those needed, so that classes may deepen without another round.
-SPARE = 0.25
+SPARE = 0.15
 #: Levels below the base depth that a neighbourhood may deepen by.
 DEEPER = 4
 #: What one more tree costs a class, in comparisons: what is shuffled for a tree against what is for a pair to verify.

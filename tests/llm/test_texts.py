@@ -153,3 +153,8 @@ def test_grading_odd_texts(spark):
     assert reading.graded(df.limit(0), model).count() == 0
     with pytest.raises(ValueError):
         reading.train_on(graded.limit(0))
+
+
+def test_unpunctuated_texts_have_syntax():
+    assert reading.features("the cat sat on the mat\nand it slept")[0] == 4.5
+    assert not any(reading.features("12 !!")) and not any(reading.features(""))
