@@ -328,6 +328,11 @@ class Engine:
             "densematrix": self._dense, "known": self._known, "split": self._split, "ensemble": self._ensemble,
         }
 
+        self._mappers: dict[str, Callable[[DataFrame, int, list[str]], DataFrame]] = {
+            "dictionary": self._map_dictionary, "titles": self._map_titles, "search": self._map_search, "ensemble": self._map_summed,
+            "hierarchical": self._map_first,
+        }
+
     def table(self, name: str) -> DataFrame:
         return table(self.spark, self.folder, name)
 
@@ -370,11 +375,46 @@ class Engine:
         judged = self.table("gold").where("id1 is not null and id2 is not null and similarity is not null")
         return judged.select("id1", "id2", F.col("similarity").alias("y"))
 
+    def mapper(self, name: str) -> Callable[[DataFrame, int], DataFrame]:
+        """The mapper of a name in the section concept-mappers, or of a kind: it takes phrases (phrase) and a number n and
+        gives the n best (phrase, rank, id, score)."""
+        sections = self.config.data.get("concept-mappers", {})
+        section = Config(sections[name], name).check("concept-mappers") if name in sections else Config({"type": name}, name)
+        kind, parts = section.string("type"), section.strings("delegates", [])
+        if kind not in self._mappers:
+            raise KeyError(f"unknown kind of mapper: {kind}")
+        return lambda phrases, n: self._mappers[kind](phrases.select("phrase").distinct(), section.integer("maxConcepts", n), parts)
+
+    def register_mapper(self, kind: str, make: Callable[[DataFrame, int, list[str]], DataFrame]) -> None:
+        """Add a kind of mapper of one's own: (phrases, n, names of the mappers it uses) to (phrase, rank, id, score)."""
+        self._mappers[kind] = make
+
     def map_phrases(self, phrases: DataFrame, n: int = concepts.CONCEPTS) -> DataFrame:
-        """(phrase, rank, id, score) by the anchor dictionary, or by title if phrases are titles."""
-        if self.titles:
-            named = phrases.select("phrase", corpus.canonical_title(F.col("phrase")).alias("title")).join(corpus.title_ids(self.table("pages")), "title")
-            return named.select("phrase", F.lit(1).alias("rank"), "id", F.lit(1.0).alias("score"))
+        """(phrase, rank, id, score) by the mapper ``main`` if there is one, else by title if phrases are titles, else by
+        the anchor dictionary."""
+        if "main" in self.config.data.get("concept-mappers", {}):
+            return self.mapper("main")(phrases, n)
+        return self.mapper("titles" if self.titles else "dictionary")(phrases, n)
+
+    def _map_titles(self, phrases: DataFrame, n: int, parts: list[str]) -> DataFrame:
+        named = phrases.select("phrase", corpus.canonical_title(F.col("phrase")).alias("title")).join(corpus.title_ids(self.table("pages")), "title")
+        return named.select("phrase", F.lit(1).alias("rank"), "id", F.lit(1.0).alias("score"))
+
+    def _map_search(self, phrases: DataFrame, n: int, parts: list[str]) -> DataFrame:
+        """The best search results of a phrase by text, those most linked to first."""
+        text = self.measure("text")
+        words = phrases.select(F.col("phrase").alias("query_id"), F.explode(T.word_tokens(F.col("phrase"))).alias("term"))
+        asked = words.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("tf")).join(text.stats, "term")
+        found = top_k(P.matches(asked, text.index, text.stats), 10 * n)
+        return concepts.search_phrases(found, links.inlink_counts(self.edges()), n)
+
+    def _map_summed(self, phrases: DataFrame, n: int, parts: list[str]) -> DataFrame:
+        return concepts.summed_mappers(n, *[self.mapper(p)(phrases, 5 * n) for p in parts])
+
+    def _map_first(self, phrases: DataFrame, n: int, parts: list[str]) -> DataFrame:
+        return concepts.first_mapper(*[self.mapper(p)(phrases, n) for p in parts])
+
+    def _map_dictionary(self, phrases: DataFrame, n: int, parts: list[str]) -> DataFrame:
         cur = self.pages().select(corpus.canonical_title(F.col("title")).alias("title"), corpus.canonical_title(F.col("redirect")).alias("to"))
         moves = corpus.follow_redirects(cur.where("title <> '' and to <> ''").groupBy("title").agg(F.min("to").alias("to")))
         return concepts.map_phrases(phrases, concepts.dictionary(self.table("links")), moves, corpus.title_ids(self.table("pages")), n)

@@ -423,26 +423,33 @@ def q_ensemble_merge(spark, d):
     return top_k(merged.select("query_id", "id", F.round("s", 6).alias("score")), K)
 
 
-def _als(spark, d):
+def _als(spark, d, metric: str):
     from pyspark.ml.recommendation import ALS
 
-    m = neighbour_matrix(spark, d, "links").select("row_id", "col_id", F.col("value").cast("float").alias("value"))
-    m = reliable(m)
+    m = reliable(neighbour_matrix(spark, d, metric).select("row_id", "col_id", F.col("value").cast("float").alias("value")))
     return m, ALS(rank=8, maxIter=5, regParam=0.02, userCol="row_id", itemCol="col_id", ratingCol="value", seed=7, coldStartStrategy="drop").fit(m)
 
 
 def q_als(spark, d):
-    """Low-rank factors of the neighbour matrix: one vector for each of its rows and each of its columns."""
-    model = _als(spark, d)[1]
-    sides = [f.select(F.lit(side).alias("side"), "id", F.col("features").alias("factors")) for side, f in (("row", model.userFactors), ("col", model.itemFactors))]
-    return sides[0].unionByName(sides[1])
+    """Low-rank factors of each metric's neighbour matrix: one vector for each of its rows and each of its columns."""
+    out = None
+    for metric in LISTS:
+        model = _als(spark, d, metric)[1]
+        for side, f in (("row", model.userFactors), ("col", model.itemFactors)):
+            part = f.select(F.lit(metric).alias("metric"), F.lit(side).alias("side"), "id", F.col("features").alias("factors"))
+            out = part if out is None else out.unionByName(part)
+    return out
 
 
 def q_als_error(spark, d):
-    """The error of the product of the factors."""
-    m, model = _als(spark, d)
-    error = model.transform(m).select(((F.col("prediction") - F.col("value")) ** 2).alias("e"))
-    return error.agg(F.count(F.lit(1)).alias("cells"), F.round(F.sqrt(F.avg("e")), 3).alias("rmse"))
+    """The error of the product of the factors, for each metric."""
+    out = None
+    for metric in LISTS:
+        m, model = _als(spark, d, metric)
+        error = model.transform(m).select(((F.col("prediction") - F.col("value")) ** 2).alias("e"))
+        part = error.agg(F.count(F.lit(1)).alias("cells"), F.round(F.sqrt(F.avg("e")), 3).alias("rmse")).select(F.lit(metric).alias("metric"), "cells", "rmse")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def _lda(spark, d):

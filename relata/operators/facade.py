@@ -83,6 +83,22 @@ def _rooted(batches):
     yield pd.DataFrame({"value": ["</mediawiki>"]})
 
 
+def _mapped(spark, d, kind: str):
+    from relata.config import Config
+    from relata.engine import Engine
+
+    e = Engine(spark, d, Config({"concept-mappers": {"main": {"type": kind, "delegates": ["dictionary", "search"]}}}))
+    return e.map_phrases(postings.phrases(spark, d)).select("phrase", "rank", "id", "score")
+
+
+def q_engine_summed_mapper(spark, d):
+    return _mapped(spark, d, "ensemble")
+
+
+def q_engine_first_mapper(spark, d):
+    return _mapped(spark, d, "hierarchical")
+
+
 def q_dump_roundtrip(spark, d):
     """Current pages written as an XML dump and read again."""
     pages = current_pages(table(spark, d, "pages")).where("title is not null and ns is not null")
@@ -115,6 +131,7 @@ def q_dense_roundtrip(spark, d):
 QUERIES = {
     "engine_links": q_engine_links, "engine_range": q_engine_range, "engine_percentile": q_engine_percentile, "engine_split": q_engine_split,
     "engine_text_lists": q_engine_text_lists, "engine_rank_and_score": q_engine_rank_and_score, "engine_cached": q_engine_cached, "engine_phrases": q_engine_phrases,
+    "engine_summed_mapper": q_engine_summed_mapper, "engine_first_mapper": q_engine_first_mapper,
     "dump_roundtrip": q_dump_roundtrip, "sparse_roundtrip": q_sparse_roundtrip, "dense_roundtrip": q_dense_roundtrip,
 }
 
@@ -141,6 +158,8 @@ SQL = {
     "engine_cached": f"""{matrix_sql('text')} select query_id, id, score, cast(rank as int) as rank from (select row_id as query_id, col_id as id, value as score,
       row_number() over (partition by row_id order by value desc, col_id) as rank from m where col_id in (select id2 from gold where id1 is not null and id2 is not null and similarity is not null)) where rank <= 10""",
     "engine_phrases": concepts.SQL["pair_disambiguate"].replace("select a, b, id1 as id_a, id2 as id_b from pairs", "select a, b, case when id1 is not null then score end as score from pairs"),
+    "engine_summed_mapper": concepts.SQL["ensemble_map"],
+    "engine_first_mapper": concepts.SQL["hierarchical_map"],
     "dump_roundtrip": f"with {CUR_SQL} select id, ns, trim(title) as title, redirect is not null as moved from cur where title is not null and ns is not null",
     "sparse_roundtrip": f"{matrix_sql('links')}, c as (select row_id, col_id, cast(trunc((least(greatest(value, -1.1::double), 1.1::double) + 1.1::double) / 2.2::double * 65535.0::double - 32768.0::double) as smallint) as code from m) select row_id, col_id, round(cast((code + 32768.0::double) / 65535.0::double * 2.2::double - 1.1::double as float)::double, 3) as value from c",
     "dense_roundtrip": "select vec_id as row_id, cast(i - 1 as int) as col_id, round(embedding[i]::double, 5) as value from (select vec_id, embedding, unnest(range(1, 65)) as i from embeddings where vec_id is not null and embedding is not null)",

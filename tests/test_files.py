@@ -3,7 +3,7 @@ import bz2
 import pytest
 from pyspark.sql import functions as F
 
-from relata import config, timing
+from relata import config, session, timing
 from relata.engine import Engine, KnownMeasure
 from relata.operators import ensemble
 from relata.sources import readers, writers
@@ -167,6 +167,31 @@ def test_unknown_ids_of_known_scores(spark):
     assert KnownMeasure("k", m, strict=False).similarity(odd).first()["score"] is None
 
 
+def test_mappers_of_a_configuration(spark):
+    e = Engine(spark, SMALL, config.Config({"concept-mappers": {"main": {"type": "mine", "maxConcepts": 2}}}))
+    e.register_mapper("mine", lambda phrases, n, parts: phrases.select("phrase", F.lit(1).alias("rank"), F.lit(7).alias("id"), F.lit(float(n)).alias("score")))
+    asked = spark.createDataFrame([("a",), ("a",)], "phrase string")
+    assert [tuple(r) for r in e.map_phrases(asked).collect()] == [("a", 1, 7, 2.0)]
+    with pytest.raises(KeyError):
+        e.mapper("unknown")
+
+
+def test_clusters_need_a_shared_folder(monkeypatch):
+    class Context:
+        master = "spark://somewhere:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    monkeypatch.setattr(session.tempfile, "mkdtemp", lambda **k: pytest.fail("a folder of one machine"))
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        session.shared_folder(Session())
+
+
 def test_phases():
     p = timing.Phases()
     with p("outer"):

@@ -5,7 +5,7 @@ import random
 import pytest
 
 from relata.engine import CategoryMeasure, DenseMeasure, EnsembleMeasure, SplitMeasure
-from relata.operators import ensemble, graph, hierarchy
+from relata.operators import ensemble, graph, hierarchy, matrix
 from tests.helpers import MIDDLE, SMALL, rows_of
 
 
@@ -50,9 +50,10 @@ def test_topics_of_each_document_over_all_terms(spark, tmp_path):
 
 def test_factors_of_each_row_and_column(spark):
     found = ensemble.q_als(spark, SMALL)
-    cells = ensemble._als(spark, SMALL)[0]
-    sides = {(r["side"], r["id"]) for r in found.where("size(factors) = 8").collect()}
-    assert sides == {("row", r[0]) for r in cells.select("row_id").collect()} | {("col", r[0]) for r in cells.select("col_id").collect()}
+    cells = matrix.neighbour_matrix(spark, SMALL)
+    sides = {(r["metric"], r["side"], r["id"]) for r in found.where("size(factors) = 8").collect()}
+    rows = {(r[0], "row", r[1]) for r in cells.select("metric", "row_id").collect()}
+    assert sides == rows | {(r[0], "col", r[1]) for r in cells.select("metric", "col_id").collect()}
     assert found.count() == len(sides)
 
 
