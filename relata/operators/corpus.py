@@ -263,33 +263,151 @@ def _digest(expr: str) -> str:
     return f"{_C} select id, md5({expr}) as digest from cur"
 
 
+def _balanced_ctes(source: str, out: str, opener: str, closer: str, by: str) -> str:
+    """CTEs from ``source`` (id, text) to ``out`` (id, text): outermost balanced spans by running sums, the depth after each
+    mark being its sum less the least sum so far.
+
+    ``by`` is an expression of inside, before (all text before the span) and after (all text behind it).
+    """
+    marks, o = f"{re.escape(opener)}|{re.escape(closer)}", out
+    return rf"""{o}_cut as (select id, text, regexp_split_to_array(text, '{marks}') as parts, regexp_extract_all(text, '{marks}') as marks from {source} where text is not null),
+      {o}_flat as (select id, text, unnest(range(0, len(parts))) as i, unnest(parts) as part, unnest(list_prepend('', marks)) as mark from {o}_cut),
+      {o}_summed as (select *, sum(case mark when '{opener}' then 1 when '{closer}' then -1 else 0 end) over w as s, sum(length(mark) + length(part)) over w - length(part) as spot from {o}_flat window w as (partition by id order by i)),
+      {o}_least as (select *, s - least(0, min(s) over (partition by id order by i)) as depth from {o}_summed),
+      {o}_marked as (select *, lag(depth, 1, 0) over (partition by id order by i) as above, max(i) filter (depth = 0) over (partition by id) as settled from {o}_least),
+      {o}_spans as (select *, count(*) filter (above = 0 and depth = 1) over (partition by id order by i) as span from {o}_marked where i <= settled),
+      {o}_texts as (select id, text, span, string_agg(case when above = 0 and depth = 1 then part when depth = 0 and above = 1 then '' else mark || part end, '' order by i) as inside,
+          min(spot) - 2 as b, max(spot) as e from {o}_spans where depth > 0 or (depth = 0 and above = 1) group by all),
+      {o}_swapped as (select id, span, {by} as new from (select *, left(text, cast(b as bigint)) as before, substr(text, cast(e as bigint) + 1) as after from {o}_texts)),
+      {o}_pieces as (select id, i, case when above = 0 then mark || part else part end as piece from {o}_spans where depth = 0
+        union all select id, s.i, w.new from {o}_spans s join {o}_swapped w using (id, span) where s.above = 0 and s.depth = 1
+        union all select id, i, mark || part from {o}_marked where i > settled),
+      {o} as (select id, string_agg(piece, '' order by i) as text from {o}_pieces group by id union all select id, null from {source} where text is null)"""
+
+
 def _balanced_sql(opener: str, closer: str, by: str) -> str:
-    """Outermost balanced spans by running sums: the depth after each mark is its sum less the least sum so far.
+    return f"{_C}, {_balanced_ctes('cur', 'stripped', opener, closer, by)} select id, text from stripped"
+
+
+def _sections_sql(text: str) -> str:
+    """Without back-references: the levels are spelled out, the deepest first, as a greedy run of marks tries them."""
+    levels = [f"={{{n}}}" for n in range(8, 1, -1)]
+    for name in T.DROPPED_SECTIONS:
+        title = name.replace(" ", "[ ]")
+        inner = "|".join(rf"{h}\s*{title}\s*{h}.*?([^=]{h}[^=])" for h in levels)
+        last = "|".join(rf"{h}\s*{title}\s*{h}\W*.*?\n\n" for h in levels)
+        kept = "".join(rf"\{i + 1}" for i in range(len(levels)))
+        text = f"regexp_replace(regexp_replace({text}, '{inner}', '{kept}', 'gis'), '{last}', chr(10) || chr(10), 'gis')"
+    return text
+
+
+_SHOWN = """case when position(':' in inside) > 1 then substr(inside, position(':' in inside) + 1) else inside end"""
+_AFTER_PIPE = f"case when regexp_matches({_SHOWN}, '(?s)^.+[|]') then regexp_replace({_SHOWN}, '(?s)^.*[|]', '') else {_SHOWN} end"
+
+_LINK_TEXT = f"case when lower(left(inside, 6)) = 'image:' then '' else {_AFTER_PIPE} end"
+_ISOLATED = r"""case when right(before, 1) = chr(10) and (length(after) <= 1
+      or regexp_matches(left(after, cast(least(10, length(after) - 1) as bigint)), '\A\W*(?:\n|\z)')) then '' else '[[' || inside || ']]' end"""
+
+
+SQL = {
+    "txt_strip_start": rf"""{_C} select id, regexp_replace(text, '\A(?:[^\w\n]*(?:[:*][^\n]*)?\n)+', '') as text from cur""",
+    "txt_strip_sections": f"{_C} select id, {_sections_sql('text')} as text from cur",
+    "txt_strip_everything": f"""{_C}, {_balanced_ctes('cur', 't', '{{', '}}', "''")}, {_balanced_ctes(f"(select id, {_sections_sql('text')} as text from t)", 'b', '{|', '|}', "''")},
+      {_balanced_ctes('b', 'a', '[[', ']]', _ISOLATED)}, {_balanced_ctes('a', 'l', '[[', ']]', _LINK_TEXT)},
+      h as (select id, regexp_replace(regexp_replace({_REFS.format(_COMMENTS.format('text'))}, '<(.*?)>', '', 'g'), '\\[(http|www)(.*?)\\]', '', 'g') as text from l)
+      select id, regexp_replace({_FORMAT}, '\\n{{3,}}', chr(10) || chr(10), 'g') as text from h""",
+    "txt_strip_templates": _balanced_sql("{{", "}}", "''"),
+    "txt_strip_tables": _balanced_sql("{|", "|}", "''"),
+    "txt_strip_links": _balanced_sql("[[", "]]", _LINK_TEXT),
+    "txt_strip_isolated_links": _balanced_sql("[[", "]]", _ISOLATED),
+    "txt_strip_non_article_links": _stripped(balanced.strip_non_article_links), "txt_strip_images": _stripped(balanced.strip_image_links),
+    "txt_strip_everything": q_txt_strip_everything,
+    "phrase_normalize": q_phrase_normalize, "title_canonicalize": q_title_spaces, "category_clean": q_category_clean,
+    "page_filter": q_page_filter, "index_projection": q_index_projection, "id_title_lookup": q_id_title_lookup,
+    "redirect_follow": q_redirect_follow, "gold_clean": q_gold_clean, "valid_titles": q_valid_titles,
+}
+
+CUR_SQL = """
+cur as (select * exclude (rn) from (select *, row_number() over (partition by id order by touched desc nulls last, loaded desc nulls last) as rn
+  from pages where id is not null) where rn = 1)
+"""
+_C = f"with {CUR_SQL} "
+_CANON = "trim(regexp_replace(split_part({0}, '#', 1), '[\\s_\\x{{a0}}]+', ' ', 'g'))"
+_LINKS = r"""regexp_extract_all(text, '\[\[([^\]]*)\]\]', 1)"""
+_TARGETS = f"list_transform(list_filter({_LINKS}, lambda x: not contains(split_part(x, '|', 1), 'Image:')), lambda x: regexp_replace(trim(split_part(x, '|', 1)), '\\s+', '_', 'g'))"
+# RE2 has no look-ahead: "dab" not followed by "link", and "disambig..." that isn't "disambiguation needed".
+_DAB = (
+    r"coalesce(list_bool_or(list_transform(regexp_extract_all(lower(text), '\{\s*\{\s*((?:disambiguation needed|dablink|[a-z]+))', 1), "
+    "lambda x: x not in ('disambiguation needed', 'dablink') and not starts_with(x, 'dablink') and ("
+    + " or ".join(f"starts_with(x, '{p}')" for p in T.DAB_PREFIXES)
+    + "))), false)"
+)
+_LISTED = "regexp_matches(lower(title), '(?:^|[^a-z0-9])list[^a-z0-9]+of(?:[^a-z0-9]|$)')"
+_TYPE = f"case when redirect is not null then 'redirect' when {_DAB} then 'dab' when {_LISTED} then 'list' else 'normal' end"
+_BULLET = r"""\*(?:[ "'']*)?\s*\[\[([^\]]+?)\]\](?:[ ''"]*)?"""
+_REFS = r"""regexp_replace(regexp_replace(regexp_replace({0}, '<ref\\>', '', 'g'), '<ref>(.*?)</ref>', '', 'gs'), '<ref\s(.*?)>(.*?)</ref>', '', 'gs')"""
+_COMMENTS = "regexp_replace({0}, '<!--(.*?)-->', '', 'gs')"
+_FORMAT = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '''{2,}', '', 'g'), '={2,}', '', 'g'), '\n:+', chr(10), 'g'), '\n(\*+)[^a-zA-Z0-9_]*', chr(10), 'g')"""
+_WORDS = r"len(list_distinct(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')))"
+
+
+def _digest(expr: str) -> str:
+    return f"{_C} select id, md5({expr}) as digest from cur"
+
+
+def _balanced_ctes(source: str, out: str, opener: str, closer: str, by: str) -> str:
+    """CTEs from ``source`` (id, text) to ``out`` (id, text): outermost balanced spans by running sums, the depth after each
+    mark being its sum less the least sum so far.
 
     ``by`` is an expression of inside, before (all text before the span) and after (all text behind it).
     """
-    marks = f"{re.escape(opener)}|{re.escape(closer)}"
-    return rf"""{_C}, cut as (select id, text, regexp_split_to_array(text, '{marks}') as parts, regexp_extract_all(text, '{marks}') as marks from cur where text is not null),
-      flat as (select id, text, unnest(range(0, len(parts))) as i, unnest(parts) as part, unnest(list_prepend('', marks)) as mark from cut),
-      summed as (select *, sum(case mark when '{opener}' then 1 when '{closer}' then -1 else 0 end) over w as s, sum(length(mark) + length(part)) over w - length(part) as spot from flat window w as (partition by id order by i)),
-      least_sums as (select *, s - least(0, min(s) over (partition by id order by i)) as depth from summed),
-      marked as (select *, lag(depth, 1, 0) over (partition by id order by i) as above, max(i) filter (depth = 0) over (partition by id) as settled from least_sums),
-      spans as (select *, count(*) filter (above = 0 and depth = 1) over (partition by id order by i) as span, depth > 0 or above > 0 as inner_mark from marked where i <= settled),
-      texts as (select id, text, span, string_agg(case when above = 0 and depth = 1 then part when depth = 0 and above = 1 then '' else mark || part end, '' order by i) as inside,
-          min(spot) - 2 as b, max(spot) as e from spans where depth > 0 or (depth = 0 and above = 1) group by all),
-      swapped as (select id, span, {by} as new from (select *, left(text, cast(b as bigint)) as before, substr(text, cast(e as bigint) + 1) as after from texts)),
-      pieces as (select id, i, case when depth = 0 and above = 0 then mark || part when depth = 0 then part end as piece from spans where depth = 0
-        union all select id, s.i, w.new from spans s join swapped w using (id, span) where s.above = 0 and s.depth = 1
-        union all select id, i, mark || part from marked where i > settled)
-      select id, string_agg(piece, '' order by i) as text from pieces group by id union all select id, null from cur where text is null"""
+    marks, o = f"{re.escape(opener)}|{re.escape(closer)}", out
+    return rf"""{o}_cut as (select id, text, regexp_split_to_array(text, '{marks}') as parts, regexp_extract_all(text, '{marks}') as marks from {source} where text is not null),
+      {o}_flat as (select id, text, unnest(range(0, len(parts))) as i, unnest(parts) as part, unnest(list_prepend('', marks)) as mark from {o}_cut),
+      {o}_summed as (select *, sum(case mark when '{opener}' then 1 when '{closer}' then -1 else 0 end) over w as s, sum(length(mark) + length(part)) over w - length(part) as spot from {o}_flat window w as (partition by id order by i)),
+      {o}_least as (select *, s - least(0, min(s) over (partition by id order by i)) as depth from {o}_summed),
+      {o}_marked as (select *, lag(depth, 1, 0) over (partition by id order by i) as above, max(i) filter (depth = 0) over (partition by id) as settled from {o}_least),
+      {o}_spans as (select *, count(*) filter (above = 0 and depth = 1) over (partition by id order by i) as span from {o}_marked where i <= settled),
+      {o}_texts as (select id, text, span, string_agg(case when above = 0 and depth = 1 then part when depth = 0 and above = 1 then '' else mark || part end, '' order by i) as inside,
+          min(spot) - 2 as b, max(spot) as e from {o}_spans where depth > 0 or (depth = 0 and above = 1) group by all),
+      {o}_swapped as (select id, span, {by} as new from (select *, left(text, cast(b as bigint)) as before, substr(text, cast(e as bigint) + 1) as after from {o}_texts)),
+      {o}_pieces as (select id, i, case when above = 0 then mark || part else part end as piece from {o}_spans where depth = 0
+        union all select id, s.i, w.new from {o}_spans s join {o}_swapped w using (id, span) where s.above = 0 and s.depth = 1
+        union all select id, i, mark || part from {o}_marked where i > settled),
+      {o} as (select id, string_agg(piece, '' order by i) as text from {o}_pieces group by id union all select id, null from {source} where text is null)"""
+
+
+def _balanced_sql(opener: str, closer: str, by: str) -> str:
+    return f"{_C}, {_balanced_ctes('cur', 'stripped', opener, closer, by)} select id, text from stripped"
+
+
+def _sections_sql(text: str) -> str:
+    """Without back-references: the levels are spelled out, the deepest first, as a greedy run of marks tries them."""
+    levels = [f"={{{n}}}" for n in range(8, 1, -1)]
+    for name in T.DROPPED_SECTIONS:
+        title = name.replace(" ", "[ ]")
+        inner = "|".join(rf"{h}\s*{title}\s*{h}.*?([^=]{h}[^=])" for h in levels)
+        last = "|".join(rf"{h}\s*{title}\s*{h}\W*.*?\n\n" for h in levels)
+        kept = "".join(rf"\{i + 1}" for i in range(len(levels)))
+        text = f"regexp_replace(regexp_replace({text}, '{inner}', '{kept}', 'gis'), '{last}', chr(10) || chr(10), 'gis')"
+    return text
 
 
 _SHOWN = """case when position(':' in inside) > 1 then substr(inside, position(':' in inside) + 1) else inside end"""
 _AFTER_PIPE = f"case when regexp_matches({_SHOWN}, '(?s)^.+[|]') then regexp_replace({_SHOWN}, '(?s)^.*[|]', '') else {_SHOWN} end"
 
+_LINK_TEXT = f"case when lower(left(inside, 6)) = 'image:' then '' else {_AFTER_PIPE} end"
+_ISOLATED = r"""case when right(before, 1) = chr(10) and (length(after) <= 1
+      or regexp_matches(left(after, cast(least(10, length(after) - 1) as bigint)), '\A\W*(?:\n|\z)')) then '' else '[[' || inside || ']]' end"""
+
 
 SQL = {
     "txt_strip_start": rf"""{_C} select id, regexp_replace(text, '\A(?:[^\w\n]*(?:[:*][^\n]*)?\n)+', '') as text from cur""",
+    "txt_strip_sections": f"{_C} select id, {_sections_sql('text')} as text from cur",
+    "txt_strip_everything": f"""{_C}, {_balanced_ctes('cur', 't', '{{', '}}', "''")}, {_balanced_ctes(f"(select id, {_sections_sql('text')} as text from t)", 'b', '{|', '|}', "''")},
+      {_balanced_ctes('b', 'a', '[[', ']]', _ISOLATED)}, {_balanced_ctes('a', 'l', '[[', ']]', _LINK_TEXT)},
+      h as (select id, regexp_replace(regexp_replace({_REFS.format(_COMMENTS.format('text'))}, '<(.*?)>', '', 'g'), '\\[(http|www)(.*?)\\]', '', 'g') as text from l)
+      select id, regexp_replace({_FORMAT}, '\\n{{3,}}', chr(10) || chr(10), 'g') as text from h""",
     "txt_strip_templates": _balanced_sql("{{", "}}", "''"),
     "txt_strip_tables": _balanced_sql("{|", "|}", "''"),
     "txt_strip_links": _balanced_sql("[[", "]]", f"case when lower(left(inside, 6)) = 'image:' then '' else {_AFTER_PIPE} end"),
