@@ -114,3 +114,23 @@ def test_link_flags(spark):
     df = spark.createDataFrame([("KB W:3/40 x",), ("none",), (None,)], "f string")
     num, den = T.link_fraction(F.col("f"))
     assert [tuple(r) for r in df.select(num, den).collect()] == [(3, 40), (None, None), (None, None)]
+
+
+def test_stripping_agrees_with_sql_on_random_markup(spark, tmp_path):
+    import random
+
+    from relata.operators import corpus
+    from tests.helpers import rows_of, rows_of_sql
+
+    rng = random.Random(3)
+    pieces = ["== See also ==", "===References===", "== other ==", "=== Further  reading ===", "==external links==", "\n", "\n\n", "text ", "[[a|b]]", "[[", "]]", "{{t}}", "{{", "}}", "{|", "|}", "* x", ":y", "''z''", "<ref>r</ref>", "[http://q w]", "[[Image:i|j]]", "[[p:q|r: s]]", "="]
+    rows = [(i, "".join(rng.choice(pieces) for _ in range(rng.randint(1, 25)))) for i in range(400)] + [(400, None), (401, "")]
+    pages = spark.createDataFrame(rows, "id int, text string").selectExpr("id", "0 as ns", "'t' as title", "cast(null as string) as redirect", "text", "timestamp_ntz '2020-01-01' as touched", "timestamp_ntz '2020-01-01' as loaded")
+    pages.coalesce(1).write.parquet(str(tmp_path / "raw"))
+    next((tmp_path / "raw").glob("*.parquet")).rename(tmp_path / "pages.parquet")
+    changed = {}
+    for name in [n for n in corpus.QUERIES if n.startswith("txt_strip_")]:
+        found = rows_of(corpus.QUERIES[name](spark, str(tmp_path)))
+        assert found == rows_of_sql(corpus.SQL[name], str(tmp_path))[1], name
+        changed[name] = sum(r not in rows for r in found)
+    assert changed["txt_strip_sections"] > 40 and all(changed.values()), changed
