@@ -33,7 +33,7 @@ TARGET_RECALL = 0.999
 #: The base depth is the greatest at which about so many trees reach the target recall.
 TREES = 24
 #: Share of trees that the first round has beyond those needed, so that classes may deepen without another round.
-SPARE = 0.15
+SPARE = 0.25
 #: Levels below the base depth that a neighbourhood may deepen by.
 DEEPER = 4
 #: What one more tree costs a class, in comparisons: what is shuffled for a tree against what is for a pair to verify.
@@ -335,10 +335,10 @@ def candidates(classes: DataFrame, forest: Forest, giants: DataFrame | None = No
             left = losses.select("cls", (F.lit(forest.need) - won + F.col("loss")).alias("need"))
         else:
             left = needs.join(losses, "cls", "left").select("cls", (F.col("need") - won + F.coalesce("loss", F.lit(0.0))).alias("need"))
-        needs = reliable(left.where("need > 1e-9"))
-        most = needs.agg(F.max("need")).first()[0]
+        most = left.where("need > 1e-9").agg(F.max("need")).first()[0]
         if most is None:
             break
+        needs = reliable(left.where("need > 1e-9"))
         active = active.join(needs.select("cls"), "cls", "left_semi")
         big = None if big is None else big.join(needs.select("cls"), "cls", "left_semi")
         first, trees = first + trees, math.ceil(most / forest.gain(forest.base) * (1 + SPARE))
@@ -380,8 +380,9 @@ class SimilarSets:
 def _giant_ids(rows: DataFrame, giant: int) -> tuple[DataFrame, int]:
     """(id, spread) of the ids that may have more than ``giant`` values, with the rows they are spread over; their number."""
     counts = rows.groupBy("id").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > giant)
-    ids = reliable(counts.select("id", F.ceil(F.col("m") / giant).cast("int").alias("spread")))
-    return ids, ids.count()
+    ids = counts.select("id", F.ceil(F.col("m") / giant).cast("int").alias("spread"))
+    n = ids.count()
+    return (reliable(ids) if n else ids), n
 
 
 def similar_sets(
@@ -482,28 +483,32 @@ def category_values(spark, sf_dir: str) -> DataFrame:
 THRESHOLD, LEAST_SIZE = 0.6, 4
 
 
-def _fields(spark, sf_dir: str) -> list[tuple[str, SimilarSets]]:
-    def found(name: str, column: str, values: DataFrame) -> SimilarSets:
-        return similar_sets(values, THRESHOLD, LEAST_SIZE, ids=table(spark, sf_dir, name).select(F.col(column).alias("id")))
+def _both_fields(spark, sf_dir: str) -> SimilarSets:
+    """Link and category sets in one forest: ids carry the field in their last bit, and so do the values, so that sets of
+    different fields have nothing in common and never meet."""
+    rows = ids = None
+    for bit, (name, column, values) in enumerate((("links", "src_id", link_values(spark, sf_dir)), ("page_cat", "page_id", category_values(spark, sf_dir)))):
+        tagged = lambda c: (F.col(c).cast("bigint") * 2 + bit).alias("id")  # noqa: E731, B023
+        part, raw = values.select(tagged("id"), F.struct(F.lit(bit).alias("fld"), "v").alias("v")), table(spark, sf_dir, name).select(tagged(column))
+        rows, ids = (part, raw) if rows is None else (rows.unionByName(part), ids.unionByName(raw))
+    return similar_sets(rows, THRESHOLD, LEAST_SIZE, ids=ids)
+
+
+def _field(column: str):
+    return F.when(F.col(column).bitwiseAND(F.lit(1)) == 0, "links").otherwise("cats").alias("fld")
 
-    return [("links", found("links", "src_id", link_values(spark, sf_dir))), ("cats", found("page_cat", "page_id", category_values(spark, sf_dir)))]
+
+def _plain(column: str):
+    return F.shiftright(column, 1).cast("int").alias(column)
 
 
 def p2_found(spark, sf_dir: str) -> DataFrame:
-    out = None
-    for fld, found in _fields(spark, sf_dir):
-        part = found.pairs().select(F.lit(fld).alias("fld"), F.col("id_a").cast("int").alias("id_a"), F.col("id_b").cast("int").alias("id_b"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    return _both_fields(spark, sf_dir).pairs().select(_field("id_a"), _plain("id_a"), _plain("id_b"))
 
 
 def p2_classes(spark, sf_dir: str) -> DataFrame:
     """(fld, id, cls, copies, links): every record with its class of equal sets and the number of records similar to it."""
-    out = None
-    for fld, found in _fields(spark, sf_dir):
-        part = found.counts().select(F.lit(fld).alias("fld"), F.col("id").cast("int").alias("id"), F.col("cls").cast("int").alias("cls"), "copies", "links")
-        out = part if out is None else out.unionByName(part)
-    return out
+    return _both_fields(spark, sf_dir).counts().select(_field("id"), _plain("id"), _plain("cls"), "copies", "links")
 
 
 def _sql(fld: str, sets: str) -> str:
