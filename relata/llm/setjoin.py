@@ -29,11 +29,11 @@ from relata.functions.titles import canonical_category, canonical_title, present
 from relata.session import reliable, table
 
 #: Chance to meet a partner exactly at the threshold; for more similar pairs it is higher.
-TARGET_RECALL = 0.999
+TARGET_RECALL = 0.9999
 #: The base depth is the greatest at which about so many trees reach the target recall.
-TREES = 24
+TREES = 30
 #: Share of trees that the first round has beyond those needed, so that classes may deepen without another round.
-SPARE = 0.25
+SPARE = 0.1
 #: Levels below the base depth that a neighbourhood may deepen by.
 DEEPER = 4
 #: What one more tree costs a class, in comparisons: what is shuffled for a tree against what is for a pair to verify.
@@ -43,7 +43,7 @@ GIANT = 100_000
 #: Classes of a neighbourhood that one task compares with all others of it at a time.
 BLOCK = 512
 #: Pairs that are held in memory at a time.
-CHUNK = 1 << 21
+CHUNK = 1 << 19
 #: At most so many ids of giant sets are broadcast; more are found by a shuffled join.
 BROADCAST_IDS = 100_000
 
