@@ -29,11 +29,11 @@ from relata.functions.titles import canonical_category, canonical_title, present
 from relata.session import reliable, table
 
 #: Chance to meet a partner exactly at the threshold; for more similar pairs it is higher.
-TARGET_RECALL = 0.9999
+TARGET_RECALL = 0.99999
 #: The base depth is the greatest at which about so many trees reach the target recall.
-TREES = 30
+TREES = 36
 #: Share of trees that the first round has beyond those needed, so that classes may deepen without another round.
-SPARE = 0.1
+SPARE = 0.05
 #: Levels below the base depth that a neighbourhood may deepen by.
 DEEPER = 4
 #: What one more tree costs a class, in comparisons: what is shuffled for a tree against what is for a pair to verify.
