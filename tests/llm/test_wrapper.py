@@ -44,6 +44,41 @@ def test_page_wrappers(spark):
     assert wrapper.page_wrappers(df.limit(0)).count() == 0
 
 
+def test_wrappers_come_from_every_page(spark):
+    rng = random.Random(2)
+    tags = [f"{x}{y}" for x in "abcdef" for y in "uvwxyz"]
+    odd = ["<p>a</p><b>rare</b>" * (i % 2) + "".join(f"<{t}>{k}" for k, t in enumerate(rng.choices(tags, k=4 * i))) for i in (3, 8, 21, 150, 400)]
+    texts = dict(enumerate([_page(f"t{i}", ["a", "b", str(i)]) for i in range(300)] + [f"<html><h1>x</h1>{t}</html>" for t in odd] + ["<p></p>"]))
+    df = spark.createDataFrame([(i, 0, t) for i, t in texts.items()], "id int, ns int, text string")
+    order = [r["id"] for r in df.orderBy(F.xxhash64("id"), "id").collect()]
+    whole = wrapper.infer([texts[i] for i in order])
+    for parts in (1, 7):
+        (r,) = wrapper.page_wrappers(df.repartition(parts)).where("syntax = 'html'").collect()
+        assert r["pages"] == r["accepted"] == len(texts) and r["parts"] == r["met"] and r["elements"] == r["reached"] > 0
+        assert r["nodes"] == r["optional"] == len(whole) > 1_000 and r["fitted"] < len(texts)
+
+
+def test_wrappers_of_the_tables_cover_them(spark):
+    rows = wrapper.p1_wrappers(spark, MIDDLE).collect()
+    assert sum(r["pages"] for r in rows) > 1_000
+    for r in rows:
+        assert r["accepted"] == r["pages"] and r["met"] == r["parts"] and r["reached"] == r["elements"] and r["fitted"] <= r["pages"]
+
+
+def test_alignment_has_the_longest_common_stream():
+    rng = random.Random(3)
+    for _ in range(300):
+        a, b = ([wrapper.Node(mark=rng.choice("abc")) for _ in range(rng.randint(0, 30))] for _ in range(2))
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i in reversed(range(len(a))):
+            for j in reversed(range(len(b))):
+                best[i][j] = best[i + 1][j + 1] + 1 if a[i] == b[j] else max(best[i + 1][j], best[i][j + 1])
+        both = wrapper.aligned(a, b)
+        assert sum(not n.optional for n in both) == best[0][0] and len(both) == len(a) + len(b) - best[0][0]
+        for page in (a, b):
+            assert len(wrapper.met_at(wrapper.places_of([n.key for n in both]), [n.key for n in page])) == len(page)
+
+
 def test_every_element_stands_in_the_clean_text(spark):
     pages = spark.read.parquet(f"{MIDDLE}/pages.parquet").where("redirect is null and text is not null")
     checked = 0
