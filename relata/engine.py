@@ -17,7 +17,7 @@ from relata.functions import maths as M
 from relata.functions import text as T
 from relata.functions.stemmer import analyzed
 from relata import cache, timing
-from relata.operators import calibrate, concepts, corpus, ensemble, graph, links, matrix
+from relata.operators import calibrate, concepts, corpus, ensemble, graph, links, matrix, search
 from relata.operators import postings as P
 from relata.operators.calibrate import Normalizer
 from relata.operators.postings import top_k
@@ -402,10 +402,8 @@ class Engine:
 
     def _map_search(self, phrases: DataFrame, n: int, parts: list[str]) -> DataFrame:
         """The best search results of a phrase by text, those most linked to first."""
-        text = self.measure("text")
-        words = phrases.select(F.col("phrase").alias("query_id"), F.explode(T.word_tokens(F.col("phrase"))).alias("term"))
-        asked = words.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("tf")).join(text.stats, "term")
-        found = top_k(P.matches(asked, text.index, text.stats), 10 * n)
+        docs = self.pages().where("text is not null and redirect is null").select("id", "text")
+        found = search.most_similar(phrases.select("phrase"), docs, 10 * n)
         return concepts.search_phrases(found, links.inlink_counts(self.edges()), n)
 
     def _map_summed(self, phrases: DataFrame, n: int, parts: list[str]) -> DataFrame:

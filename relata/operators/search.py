@@ -138,16 +138,17 @@ class _Index:
         self.id = docs.schema["id"].dataType.simpleString()
         words = phrases.select(F.col("phrase").alias("query_id"), F.explode(T.word_tokens(F.col("phrase"))).alias("term"))
         words = reliable(words.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("tf")))
-        # One NULL besides the words of each text: its count is the number of texts.
-        index = P.postings(docs, F.concat(T.word_tokens(F.col("text")), F.array(F.lit(None).cast("string"))))
-        stats = reliable(P.term_stats(index).join(words.select("term", F.lit(True).alias("asked")).distinct(), "term", "left"))
+        # One NULL besides the different words of each text: its count is the number of texts.
+        tokens = T.word_tokens(F.col("text"))
+        once = docs.select(F.explode(F.concat(F.array_distinct(tokens), F.array(F.lit(None).cast("string")))).alias("term"))
+        stats = reliable(P.term_stats(once).join(words.select("term", F.lit(True).alias("asked")).distinct(), "term", "left"))
         n = stats.where("term is null").select(F.col("df").alias("n"))
         stats = stats.where("term is not null").join(F.broadcast(n))
         asked = words.join(stats.where("asked").select("term", "df", "n"), "term")
         self.phrases = reliable(asked.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("term", "tf", "df"))).alias("terms"), F.max("n").alias("n")))
         size, known = stats.agg(F.sum(F.when(F.col("asked"), F.col("df"))), F.count(F.lit(1))).first()
         self.blocks = max(1, math.ceil((size or 0) / BLOCK))
-        rated = index.join(F.broadcast(stats) if known <= VOCABULARY else stats, "term")
+        rated = P.postings(docs, tokens).join(F.broadcast(stats) if known <= VOCABULARY else stats, "term")
         squares = F.sum(P.weight() * P.weight()).alias("squares")
         # Words that nobody asks for are one row a page.
         parts = reliable(rated.groupBy("id", F.when(F.col("asked"), F.col("term")).alias("term")).agg(squares, F.max("tf").cast("int").alias("tf")))

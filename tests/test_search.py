@@ -68,3 +68,12 @@ def test_end_of_flat_lists():
 
 def test_esa_concept_vector(spark, without_rows):
     _as_sql(spark, "esa_concept_vector")
+
+
+#: Queries that search by phrases.
+NAMES = ["engine_summed_mapper"]
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_query_by_phrases(spark, without_rows, name):
+    _as_sql(spark, name)
