@@ -28,6 +28,8 @@ COMMON = 1_000
 GROUPS, PHRASES = 24, 2_000
 #: Numbers of words with their statistics that are broadcast; more are joined by a shuffle.
 VOCABULARY = 500_000
+#: Entries of vectors that are held at once while pairs are compared.
+HELD = 8_000_000
 SPAN, SHARE = 100, 0.005
 
 
@@ -129,6 +131,47 @@ def _lists(limit: int, prune: bool, common: int) -> Callable[[pa.Table, pa.Table
     return run
 
 
+def _cosines(limit: int, prune: bool, common: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    def run(pairs: pa.Table, lists: pa.Table) -> pa.Table:
+        a, b = pairs.column("a").to_pylist(), pairs.column("b").to_pylist()
+        words = {p: _words(t) for side, terms in ((a, "ta"), (b, "tb")) for p, t in zip(side, pairs.column(terms).to_pylist())}
+        pages = _Pages(lists, next((n for n in pairs.column("n").to_pylist() if n), 1), common)
+        partners: dict[str, list[str]] = {}
+        for x, y in zip(a, b):
+            partners.setdefault(x, []).append(y)
+        by = lambda p: (_frequent(words[p], common), p)
+        score: dict[tuple[str, str], float | None] = {}
+        dense = np.zeros(len(pages.ids))
+        held: dict[str, tuple] = {}
+
+        def compare() -> None:
+            asking: dict[str, list[str]] = {}
+            for x in held:
+                for y in partners[x]:
+                    asking.setdefault(y, []).append(x)
+            for y in sorted(asking, key=by):
+                at, s = pages.search(words[y], limit, prune)
+                dense[at] = s
+                own = math.sqrt(float(s @ s))
+                for x in asking[y]:
+                    divisor = held[x][2] * own
+                    score[x, y] = math.floor(float(dense[held[x][0]] @ held[x][1]) / divisor * 1e6 + 0.5) / 1e6 if divisor > 0 else None
+                dense[at] = 0
+            held.clear()
+
+        size = 0
+        for x in sorted(partners, key=by):
+            at, s = pages.search(words[x], limit, prune)
+            held[x], size = (at.astype("int32"), s.astype("int32").astype("float64"), math.sqrt(float(s @ s))), size + len(at)
+            if size > HELD:
+                compare()
+                size = 0
+        compare()
+        return pa.table({"a": pairs.column("a"), "b": pairs.column("b"), "score": pa.array([score[x] for x in zip(a, b)], pa.float64())})
+
+    return run
+
+
 # --- tables -------------------------------------------------------------------------------------------------------
 class _Index:
     """What the phrases (phrase) ask of the texts of docs (id, text): their words, the lists of these words and the
@@ -186,3 +229,15 @@ def most_similar(phrases: DataFrame, docs: DataFrame, limit: int, prune: bool =
         return found
     whole = P.top_k(found.drop("rank"), limit)
     return P.prune_tail(reliable(whole), SPAN, SHARE) if prune else whole
+
+
+def cosines(pairs: DataFrame, docs: DataFrame, limit: int, prune: bool = False) -> DataFrame:
+    """(a, b, score) for phrase pairs (a, b): the cosine of their lists; NULL if one is empty. Lists leave no task unless
+    pages are split into blocks."""
+    phrases = pairs.select(F.explode(F.array("a", "b")).alias("phrase")).distinct()
+    if (at := _Index(phrases, docs)).blocks > 1:
+        return P.vector_cosine(pairs, reliable(most_similar(phrases, docs, limit, prune)))
+    of = lambda side: at.phrases.select(F.col("query_id").alias(side), F.col("terms").alias(f"t{side}"), F.col("n").alias(f"n{side}"))
+    rows = pairs.select("a", "b").join(of("a"), "a", "left").join(of("b"), "b", "left").withColumn("n", F.coalesce("na", "nb")).drop("na", "nb")
+    either = F.array_union(*[F.coalesce(F.col(f"{t}.term"), F.array().cast("array<string>")) for t in ("ta", "tb")])
+    return at.grouped(reliable(rows), F.xxhash64("a"), "b", either).applyInArrow(_cosines(limit, prune, COMMON), "a string, b string, score double")

@@ -71,9 +71,16 @@ def test_esa_concept_vector(spark, without_rows):
 
 
 #: Queries that search by phrases.
-NAMES = ["engine_summed_mapper"]
+NAMES = ["esa_phrase_similarity", "engine_summed_mapper"]
 
 
 @pytest.mark.parametrize("name", NAMES)
 def test_query_by_phrases(spark, without_rows, name):
     _as_sql(spark, name)
+
+
+@pytest.mark.parametrize("name", ["esa_concept_vector", "esa_phrase_similarity"])
+def test_pages_in_blocks(spark, monkeypatch, name):
+    monkeypatch.setattr(search, "BLOCK", 500)
+    monkeypatch.setattr(search, "VOCABULARY", 0)
+    _as_sql(spark, name)
