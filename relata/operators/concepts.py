@@ -203,8 +203,9 @@ def _gold_phrases(spark, d):
 
 def q_phrase_targets(spark, d):
     """The page of phrase a's search results that phrase b most likely stands for."""
-    lists = P.phrase_vectors(spark, d, TARGET_LIST).withColumnRenamed("query_id", "phrase")
-    return targets_in_lists(_gold_phrases(spark, d), lists, _mapped(spark, d, 2 * CONCEPTS))
+    pairs = _gold_phrases(spark, d)
+    lists = P.phrase_vectors(spark, d, TARGET_LIST, asked=pairs.select(F.col("a").alias("phrase")).distinct()).withColumnRenamed("query_id", "phrase")
+    return targets_in_lists(pairs, lists, _mapped(spark, d, 2 * CONCEPTS))
 
 
 def q_list_scorer(spark, d):
