@@ -71,7 +71,10 @@ def test_esa_concept_vector(spark, without_rows):
 
 
 #: Queries that search by phrases.
-NAMES = ["esa_phrase_similarity", "text_phrase_cosine", "phrase_targets", "search_map", "ensemble_map", "engine_summed_mapper", "engine_first_mapper", "esa_most_similar"]
+NAMES = [
+    "esa_phrase_similarity", "text_phrase_cosine", "phrase_targets", "search_map", "ensemble_map", "engine_summed_mapper",
+    "engine_first_mapper", "esa_most_similar", "hierarchical_map",
+]
 
 
 @pytest.mark.parametrize("name", NAMES)
